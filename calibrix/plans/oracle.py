@@ -177,3 +177,46 @@ GM_DOUBLES = ["loss", "loss_cdf", "loss_stddev", "loss_nll", "Recall", "FPR", "P
 def gm_final(src: str = "gm") -> str:
     d = ", ".join(r6(f'"{c}"', c) for c in GM_DOUBLES)
     return f"SELECT \"group\", group_size, n_rows, {d}, tn, fp, fn, tp FROM {src}"
+
+
+# ---------------------------------------------------------------- preparation pipeline
+def any_null_sql(groups=GROUPS) -> str:
+    return "(" + " OR ".join(f"{g} IS NULL" for g in groups) + ")"
+
+
+def range_index_sql(col: str, ranges) -> str:
+    whens = " ".join(f"WHEN {col} >= {lit(lo)} AND {col} < {lit(hi)} THEN {i}" for i, (lo, hi) in enumerate(ranges))
+    return f"(CASE {whens} ELSE NULL END)"
+
+
+def prepare_ctes(src: str = "comments") -> str:
+    """CTEs: cleaned -> kept (after drop) -> prepared (with split) -> splits (eval/test w/o nulls)."""
+    an = any_null_sql()
+    gsel = ", ".join(f"CASE WHEN {an} THEN -1.0{D} ELSE {g} END AS {g}" for g in GROUPS)
+    share_whens = []
+    for s, shares in (("with_nulls", DROP_SHARES_WITH_NULLS), ("without_nulls", DROP_SHARES_WITHOUT_NULLS)):
+        for i, p in enumerate(shares):
+            share_whens.append(f"WHEN stratum = '{s}' AND _rng = {i} THEN {lit(p)}")
+    share = "(CASE " + " ".join(share_whens) + f" ELSE 0.0{D} END)"
+    gl = ", ".join(GROUPS)
+    return (
+        f"cleaned AS (SELECT id, target, comment_text, {gsel}, CASE WHEN {an} THEN 'with_nulls' ELSE 'without_nulls' END "
+        f"AS stratum FROM {src}), "
+        f"dr AS (SELECT *, {range_index_sql('target', DROP_RANGES)} AS _rng, {u('drop', 'id')} AS _h FROM cleaned), "
+        f"dr2 AS (SELECT *, row_number() OVER (PARTITION BY stratum, _rng ORDER BY _h, id) AS _pos, "
+        f"count(*) OVER (PARTITION BY stratum, _rng) AS _n FROM dr), "
+        f"drop_plan AS (SELECT *, CASE WHEN _rng IS NULL THEN 0 ELSE floor(_n * {share}) END AS _n_drop FROM dr2), "
+        f"kept AS (SELECT id, target, comment_text, {gl}, stratum FROM drop_plan WHERE _rng IS NULL OR _pos > _n_drop), "
+        f"sp AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {u('split', 'id')}, id) AS _pos, "
+        f"count(*) OVER (PARTITION BY stratum) AS _n FROM kept), "
+        f"sp1 AS (SELECT *, ceil(_n * (CASE WHEN stratum = 'with_nulls' THEN 0.25{D} ELSE 0.5{D} END)) AS _t1 FROM sp), "
+        f"sp2 AS (SELECT *, ceil(_t1 * 0.67{D}) AS _t2 FROM sp1), "
+        f"sp3 AS (SELECT *, ceil(_t2 * 0.5{D}) AS _t3 FROM sp2), "
+        f"prepared AS (SELECT id, target, comment_text, {gl}, stratum, CASE WHEN _pos <= _n - _t1 THEN 'train' "
+        f"WHEN _pos <= _n - _t2 THEN 'calib' WHEN _pos <= _n - _t3 THEN 'eval' ELSE 'test' END AS split FROM sp3), "
+        f"splits AS (SELECT * FROM prepared WHERE split IN ('train', 'calib') OR stratum = 'without_nulls')"
+    )
+
+
+def with_prepare(*extra: str, part_null: bool = False) -> str:
+    return "WITH " + ", ".join([comments_cte(part_null), prepare_ctes(), *extra]) + " "

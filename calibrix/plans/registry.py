@@ -44,3 +44,349 @@ def q_group_metrics(spark, sf_dir):
     """All metrics per kept group on its class-balanced subset, plus the unbalanced ALL row."""
     gm = G.group_metrics(FX.predictions(spark, sf_dir), DEFAULT_COEFFICIENT)
     return gm.select("group", "group_size", "n_rows", *O.GM_DOUBLES, "tn", "fp", "fn", "tp")
+
+
+# ============================================================ preparation (S1-S4, P*, W5, W6, U*, A1-A4, L*)
+from pyspark.sql import functions as F  # noqa: E402
+
+from calibrix.config import GROUPS, HIST_BINS, HIST_ZOOM_MIN, NULL_SENTINEL, TARGET_RANGES  # noqa: E402
+from calibrix.operators import prepare as P  # noqa: E402
+from calibrix.operators.ranking import global_rank  # noqa: E402
+from calibrix.sources import files as FS  # noqa: E402
+from calibrix.functions.random import uniform  # noqa: E402
+
+_GL = ", ".join(GROUPS)
+
+
+def _prepared(spark, sf_dir):
+    return P.prepare(FX.comments(spark, sf_dir))
+
+
+@register("project_columns", O.with_prepare() + f"SELECT {_GL}, id, target, comment_text FROM comments")
+def q_project_columns(spark, sf_dir):
+    """Keep the nine group columns and the base columns."""
+    return P.project_columns(FX.comments(spark, sf_dir))
+
+
+@register("rename_label", O.with_prepare() + "SELECT id, target, target AS labels FROM comments")
+def q_rename_label(spark, sf_dir):
+    return P.rename_label(FX.comments(spark, sf_dir)).select("id", "target", "labels")
+
+
+@register("any_null_partition", O.with_prepare(part_null=True) + f"SELECT id, {O.any_null_sql()} AS any_null FROM comments")
+def q_any_null_partition(spark, sf_dir):
+    """Flag rows with any null group (part-null fixture: some labelled rows miss one group)."""
+    return FX.comments(spark, sf_dir, part_null=True).select("id", P.any_null().alias("any_null"))
+
+
+@register("null_sentinel", O.with_prepare(part_null=True) + f"SELECT id, stratum, {_GL} FROM cleaned")
+def q_null_sentinel(spark, sf_dir):
+    """Any null group -> all nine groups -1.0 (part-null fixture)."""
+    return P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir, part_null=True))).select("id", "stratum", *GROUPS)
+
+
+@register("range_filter", O.with_prepare() + f"SELECT id, target FROM comments WHERE target >= 0.25{O.D} AND target < 0.5{O.D}")
+def q_range_filter(spark, sf_dir):
+    return FX.comments(spark, sf_dir).where(P.in_range("target", 0.25, 0.5)).select("id", "target")
+
+
+@register(
+    "stratified_drop",
+    O.with_prepare() + "SELECT id, stratum, target FROM kept",
+)
+def q_stratified_drop(spark, sf_dir):
+    """Exact per-(stratum, range) down-sampling by hash order."""
+    cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
+    return P.stratified_drop(cleaned).select("id", "stratum", "target")
+
+
+@register("drop_by_id", O.with_prepare() + "SELECT id, stratum FROM cleaned WHERE id NOT IN (SELECT id FROM drop_plan WHERE _pos <= _n_drop)")
+def q_drop_by_id(spark, sf_dir):
+    """Remove sampled ids with a left-anti join on id."""
+    cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
+    return cleaned.join(P.dropped_ids(cleaned), "id", "left_anti").select("id", "stratum")
+
+
+@register("exact_split", O.with_prepare() + "SELECT id, stratum, split FROM prepared")
+def q_exact_split(spark, sf_dir):
+    """Chained exact train/calib/eval/test split per null stratum."""
+    return _prepared(spark, sf_dir).select("id", "stratum", "split")
+
+
+@register(
+    "union_strata",
+    O.with_prepare()
+    + "SELECT stratum, count(*) AS n_rows, count(*) FILTER (WHERE target > 0.5) AS n_toxic FROM kept GROUP BY stratum",
+)
+def q_union_strata(spark, sf_dir):
+    """Bag union of the separately down-sampled null and no-null parts."""
+    cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
+    a = P.stratified_drop(cleaned.where(F.col("stratum") == P.WITH_NULLS))
+    b = P.stratified_drop(cleaned.where(F.col("stratum") == P.WITHOUT_NULLS))
+    u = a.unionByName(b)
+    return u.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("target") > 0.5, 1)).alias("n_toxic"))
+
+
+@register("eval_without_nulls", O.with_prepare() + "SELECT id, split, stratum FROM splits WHERE split IN ('eval', 'test')")
+def q_eval_without_nulls(spark, sf_dir):
+    return P.eval_without_nulls(_prepared(spark, sf_dir)).where(F.col("split").isin("eval", "test")).select("id", "split", "stratum")
+
+
+@register(
+    "seeded_shuffle",
+    O.with_prepare()
+    + f"SELECT id, row_number() OVER (ORDER BY {O.u('shuffle', 'id')}, id) AS shuffle_pos FROM splits WHERE split = 'train'",
+)
+def q_seeded_shuffle(spark, sf_dir):
+    """Train rows in a seeded hash order (exact positions, bucketed ranking)."""
+    train = P.prepared_splits(FX.comments(spark, sf_dir)).where(F.col("split") == "train").select("id")
+    r = global_rank(train.withColumn("_h", uniform("shuffle", "id")), "_h", "id", out="shuffle_pos", unit_interval=True)
+    return r.select("id", "shuffle_pos")
+
+
+@register(
+    "head_n",
+    O.with_prepare()
+    + "SELECT split, id FROM (SELECT split, id, row_number() OVER (PARTITION BY split ORDER BY id) AS rn FROM splits) WHERE rn <= 25",
+)
+def q_head_n(spark, sf_dir):
+    """First 25 rows of each split in id order (constant-k row_number -> per-partition top-k)."""
+    from pyspark.sql import Window
+
+    s = P.prepared_splits(FX.comments(spark, sf_dir)).select("split", "id")
+    rn = F.row_number().over(Window.partitionBy("split").orderBy("id"))
+    return s.withColumn("rn", rn).where(F.col("rn") <= 25).select("split", "id")
+
+
+_TR_ROWS = []
+for _k in (2, 4):
+    for _lo, _hi in TARGET_RANGES[_k]:
+        _TR_ROWS.append((_k, P.range_label(_lo, _hi), _lo, _hi))
+
+
+def _sql_range_counts(src: str, table: str) -> str:
+    parts = [
+        f"SELECT '{table}' AS \"table\", CAST({k} AS BIGINT) AS num_ranges, '{lab}' AS target_range, "
+        f"count(*) FILTER (WHERE target >= {O.lit(lo)} AND target < {O.lit(hi)}) AS n FROM {src}"
+        for k, lab, lo, hi in _TR_ROWS
+    ]
+    return " UNION ALL ".join(parts)
+
+
+_PROFILE_TABLES = [
+    ("full", "cleaned", None),
+    ("with_nulls", "cleaned", "stratum = 'with_nulls'"),
+    ("without_nulls", "cleaned", "stratum = 'without_nulls'"),
+    ("with_nulls_dropped", "kept", "stratum = 'with_nulls'"),
+    ("without_nulls_dropped", "kept", "stratum = 'without_nulls'"),
+    ("clean", "kept", None),
+    ("train", "splits", "split = 'train'"),
+    ("calib", "splits", "split = 'calib'"),
+    ("eval", "splits", "split = 'eval'"),
+    ("test", "splits", "split = 'test'"),
+]
+
+
+def _profile_sql() -> str:
+    parts = []
+    for name, src, cond in _PROFILE_TABLES:
+        s = f"(SELECT * FROM {src}" + (f" WHERE {cond})" if cond else ")")
+        parts.append(_sql_range_counts(s, name))
+    return O.with_prepare() + " UNION ALL ".join(parts)
+
+
+def _profile_frames(spark, sf_dir):
+    cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
+    prepared = P.exact_split(P.stratified_drop(cleaned))
+    splits = P.eval_without_nulls(prepared)
+    pre = cleaned.select(
+        "target",
+        F.explode(F.array(F.lit("full"), F.concat("stratum")) ).alias("table"),
+    )
+    post = prepared.select(
+        "target",
+        F.explode(
+            F.array(
+                F.concat("stratum", F.lit("_dropped")),
+                F.lit("clean"),
+                F.when(F.col("split").isin("train", "calib") | (F.col("stratum") == P.WITHOUT_NULLS), F.col("split")),
+            )
+        ).alias("table"),
+    ).where(F.col("table").isNotNull())
+    return pre.unionByName(post), splits
+
+
+@register("target_range_counts", _profile_sql())
+def q_target_range_counts(spark, sf_dir):
+    """Rows per 2 and 4 target ranges for every intermediate table of the preparation."""
+    frames, _ = _profile_frames(spark, sf_dir)
+    return P.target_range_counts(frames, by=["table"])
+
+
+@register(
+    "shape_counts",
+    O.with_prepare()
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", count(*) AS n_rows, CAST(12 AS BIGINT) AS n_cols FROM {src}" + (f" WHERE {cond}" if cond else "")
+        for name, src, cond in _PROFILE_TABLES
+    ),
+)
+def q_shape_counts(spark, sf_dir):
+    """Row and column counts of each intermediate table (one pass per stage)."""
+    frames, _ = _profile_frames(spark, sf_dir)
+    return frames.groupBy("table").agg(F.count(F.lit(1)).alias("n_rows"), F.lit(12).cast("bigint").alias("n_cols"))
+
+
+@register(
+    "group_positive_counts",
+    O.with_prepare()
+    + " UNION ALL ".join(
+        f"SELECT '{g}' AS \"group\", count(*) FILTER (WHERE {g} > 0) AS n_positive, count(*) FILTER (WHERE {g} > 0.5{O.D}) AS n_above_half, "
+        f"count(*) FILTER (WHERE {g} > 0.5{O.D} AND split = 'eval' AND stratum = 'without_nulls') AS n_eval_above_half FROM prepared"
+        for g in GROUPS
+    ),
+)
+def q_group_positive_counts(spark, sf_dir):
+    """Per group: count > 0 and > 0.5 on the cleaned table, > 0.5 on the eval split (one pass)."""
+    prep = _prepared(spark, sf_dir)
+    is_eval = (F.col("split") == "eval") & (F.col("stratum") == P.WITHOUT_NULLS)
+    aggs = []
+    for g in GROUPS:
+        aggs += [
+            F.count(F.when(F.col(g) > 0, 1)).alias(f"{g}__pos"),
+            F.count(F.when(F.col(g) > 0.5, 1)).alias(f"{g}__half"),
+            F.count(F.when((F.col(g) > 0.5) & is_eval, 1)).alias(f"{g}__eval"),
+        ]
+    one = prep.agg(*aggs)
+    rows = F.inline(F.array(*[F.struct(F.lit(g).alias("group"), F.col(f"{g}__pos").alias("n_positive"),
+                                       F.col(f"{g}__half").alias("n_above_half"), F.col(f"{g}__eval").alias("n_eval_above_half"))
+                              for g in GROUPS]))
+    return one.select(rows)
+
+
+def _hist_sql() -> str:
+    vals = " UNION ALL ".join(
+        f"SELECT '{g}' AS \"group\", CASE WHEN target > 0.5{O.D} THEN 'toxic' ELSE 'not_toxic' END AS series, {g} AS value FROM splits WHERE split = 'eval'"
+        for g in GROUPS
+    )
+    return O.with_prepare(
+        f"hv AS ({vals})",
+        "hv_all AS (SELECT 'full' AS hist, * FROM hv UNION ALL SELECT 'zoom' AS hist, * FROM hv WHERE value >= 0.1::DOUBLE "
+        "UNION ALL SELECT 'target' AS hist, 'ALL' AS \"group\", 'target' AS series, target AS value FROM kept)",
+        "hr AS (SELECT hist, \"group\", min(value) AS lo0, max(value) AS hi0 FROM hv_all GROUP BY 1, 2)",
+        "hr2 AS (SELECT hist, \"group\", CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM hr)",
+    ) + (
+        f"SELECT v.hist, v.\"group\", v.series, CAST(least(floor((v.value - r.lo) * ({HIST_BINS}.0::DOUBLE / (r.hi - r.lo))), {HIST_BINS - 1}) AS BIGINT) AS bin, "
+        "count(*) AS n FROM hv_all v JOIN hr2 r ON v.hist = r.hist AND v.\"group\" = r.\"group\" GROUP BY 1, 2, 3, 4"
+    )
+
+
+@register("histogram_30", _hist_sql())
+def q_histogram_30(spark, sf_dir):
+    """30-bin histograms: per group toxic vs non-toxic on eval (full and zoom >= 0.1), and target."""
+    prep = _prepared(spark, sf_dir)
+    ev = P.eval_without_nulls(prep).where(F.col("split") == "eval")
+    series = F.when(F.col("target") > 0.5, "toxic").otherwise("not_toxic")
+    long = P.group_value_long(ev.withColumn("series", series), ["series"])
+    full = long.withColumn("hist", F.lit("full"))
+    zoom = long.where(F.col("value") >= HIST_ZOOM_MIN).withColumn("hist", F.lit("zoom"))
+    tgt = P.stratified_drop(P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))).select(
+        F.lit("target").alias("hist"), F.lit("ALL").alias("group"), F.lit("target").alias("series"), F.col("target").alias("value")
+    )
+    vals = full.unionByName(zoom).unionByName(tgt)
+    h = P.histogram(vals, ["hist", "group"])
+    return h.groupBy("hist", "group", "series", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sample_sql() -> str:
+    parts = []
+    for i, (lo, hi) in enumerate(TARGET_RANGES[2]):
+        lab = P.range_label(lo, hi)
+        for d, salt in enumerate(("sample1", "sample2")):
+            parts.append(
+                f"(SELECT '{lab}' AS target_range, {d + 1} AS draw, id, comment_text FROM comments "
+                f"WHERE target >= {O.lit(lo)} AND target < {O.lit(hi)} ORDER BY {O.u(salt, 'id')}, id LIMIT 1)"
+            )
+    return O.with_prepare() + "SELECT target_range, CAST(draw AS BIGINT) AS draw, id, comment_text FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("sample_per_range", _sample_sql())
+def q_sample_per_range(spark, sf_dir):
+    """Two independent seeded one-row draws per target range."""
+    return P.sample_per_range(FX.comments(spark, sf_dir))
+
+
+@register(
+    "toxic_split",
+    O.with_prepare()
+    + " UNION ALL ".join(
+        f"SELECT '{g}' AS \"group\", CASE WHEN target > 0.5{O.D} THEN 'toxic' ELSE 'not_toxic' END AS series, count(*) AS n, "
+        f"count(*) FILTER (WHERE {g} >= 0.1{O.D}) AS n_zoom FROM splits WHERE split = 'eval' GROUP BY 1, 2"
+        for g in GROUPS
+    ),
+)
+def q_toxic_split(spark, sf_dir):
+    """Eval rows split at target <= 0.5 / > 0.5, with the zoom (>= 0.1) count per group."""
+    ev = P.prepared_splits(FX.comments(spark, sf_dir)).where(F.col("split") == "eval")
+    long = P.group_value_long(ev.withColumn("series", F.when(F.col("target") > 0.5, "toxic").otherwise("not_toxic")), ["series"])
+    return long.groupBy("group", "series").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value") >= HIST_ZOOM_MIN, 1)).alias("n_zoom")
+    )
+
+
+@register(
+    "drop_missing_groups",
+    O.with_prepare()
+    + " UNION ALL ".join(
+        f"SELECT '{g}' AS \"group\", count(*) FILTER (WHERE {g} <> -1.0{O.D} AND {g} >= 0.5{O.D}) AS n_members, "
+        f"count(*) FILTER (WHERE {g} <> -1.0{O.D} AND {g} >= 0.5{O.D}) > 0 AS present FROM splits WHERE split = 'test'"
+        for g in GROUPS
+    ),
+)
+def q_drop_missing_groups(spark, sf_dir):
+    """Per group: members in the test split and whether the group is scored at all."""
+    from calibrix.operators.groups import member_condition
+
+    t = P.prepared_splits(FX.comments(spark, sf_dir)).where(F.col("split") == "test")
+    one = t.agg(*[F.count(F.when(member_condition(g), 1)).alias(g) for g in GROUPS])
+    rows = F.inline(F.array(*[F.struct(F.lit(g).alias("group"), F.col(g).alias("n_members"), (F.col(g) > 0).alias("present"))
+                              for g in GROUPS]))
+    return one.select(rows)
+
+
+from calibrix.config import scratch_path  # noqa: E402
+
+
+@register("scan_comments", O.with_prepare() + f"SELECT {_GL}, id, target, comment_text FROM comments")
+def q_scan_comments(spark, sf_dir):
+    """Comments written as multi-line CSV and read back with the fixed schema."""
+    path = scratch_path(spark, "comments_csv", sf_dir)
+    FS.write_csv(P.project_columns(FX.comments(spark, sf_dir)), path)
+    return FS.read_comments_csv(spark, path)
+
+
+def _write_splits(spark, sf_dir) -> str:
+    path = scratch_path(spark, "splits", sf_dir)
+    FS.write_splits(P.prepared_splits(FX.comments(spark, sf_dir)), path)
+    return path
+
+
+@register("write_splits", O.with_prepare() + "SELECT split, count(*) AS n_rows FROM splits GROUP BY split")
+def q_write_splits(spark, sf_dir):
+    """Write the four splits partitioned by split, read back, count rows per split."""
+    path = _write_splits(spark, sf_dir)
+    return FS.read_split(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("scan_splits", O.with_prepare() + "SELECT id, target, stratum FROM splits WHERE split = 'eval'")
+def q_scan_splits(spark, sf_dir):
+    """Read one split from the partitioned table (partition pruning on ``split``)."""
+    path = _write_splits(spark, sf_dir)
+    return FS.read_split(spark, path, "eval").select("id", "target", "stratum")
+
+
+@register("cached_dataset", O.with_prepare() + "SELECT id, split FROM splits")
+def q_cached_dataset(spark, sf_dir):
+    """Read the prepared table if already built for these inputs, else build and save it."""
+    path = scratch_path(spark, "prepared_cache", sf_dir)
+    return FS.materialize(spark, path, lambda: P.prepared_splits(FX.comments(spark, sf_dir))).select("id", "split")
