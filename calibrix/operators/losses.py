@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calibrix.config import DEFAULT_COEFFICIENT, LABEL_THRESHOLD
 from calibrix.functions.math import clamp, gaussian_nll, normal_cdf, sample_normal
+from calibrix.operators.ranking import prefix_sum
 
 
 def forecast_terms(fc: DataFrame, use_sample: bool = False, seed: int = 42, id_col: str = "row_id") -> DataFrame:
@@ -54,13 +55,18 @@ def sufficient_stats(fc: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
     )
 
 
-def alpha_sweep(fc: DataFrame, grid: DataFrame) -> DataFrame:
-    """eval_loss for every coefficient of ``grid``: losses are linear in alpha, so the data is
-    aggregated once and the (bounded, broadcast) grid is expanded after."""
+def expand_grid(df: DataFrame, coefficients: list[float]) -> DataFrame:
+    """One copy of each row per coefficient (a literal array: no join, size fixed by the grid)."""
+    return df.select("*", F.explode(F.array(*[F.lit(float(c)) for c in coefficients])).alias("coefficient"))
+
+
+def alpha_sweep(fc: DataFrame, coefficients: list[float]) -> DataFrame:
+    """eval_loss for every coefficient: losses are linear in alpha, so the data is aggregated
+    once and the grid is expanded on the one-row result."""
     st = sufficient_stats(fc).select(
         (F.col("s_cdf") / F.col("n")).alias("loss_cdf"), (F.col("s_nll") / F.col("n")).alias("loss_nll")
     )
-    return F.broadcast(grid).crossJoin(st).select(
+    return expand_grid(st, coefficients).select(
         "*",
         ((F.lit(1.0) - F.col("coefficient")) * F.col("loss_cdf") + F.col("coefficient") * F.col("loss_nll")).alias(
             "eval_loss"
@@ -75,3 +81,60 @@ def best_alpha(sweep: DataFrame) -> DataFrame:
         F.min("eval_loss").alias("best_eval_loss"),
         F.count(F.lit(1)).alias("n_runs"),
     )
+
+
+def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
+    """mean over all pairs (i, j) of |x_i - y_j| per ``by`` key, in O(n log n) without pairs.
+
+    Inputs have columns ``by + [v]``. The pooled values are grouped by distinct value and a
+    bucketed prefix sum gives the counts and sums strictly below each value:
+        sum |x - y| = sum_v cx (v CY - SY) + cy (v CX - SX)
+    """
+    by = list(by)
+    pooled = xs.select(*by, "v", F.lit(1).alias("_ix")).unionByName(ys.select(*by, "v", F.lit(0).alias("_ix")))
+    per = pooled.groupBy(*by, "v").agg(
+        F.count(F.when(F.col("_ix") == 1, 1)).alias("cx"),
+        F.sum(F.when(F.col("_ix") == 1, F.col("v")).otherwise(0.0)).alias("sx"),
+        F.count(F.when(F.col("_ix") == 0, 1)).alias("cy"),
+        F.sum(F.when(F.col("_ix") == 0, F.col("v")).otherwise(0.0)).alias("sy"),
+    )
+    ps = prefix_sum(per, "v", ["cx", "sx", "cy", "sy"], partition_by=by, strict=True)
+    contrib = F.col("cx") * (F.col("v") * F.col("cy_below") - F.col("sy_below")) + F.col("cy") * (
+        F.col("v") * F.col("cx_below") - F.col("sx_below")
+    )
+    return ps.groupBy(*by).agg(
+        F.sum("cx").alias("n_x"), F.sum("cy").alias("n_y"), F.sum(contrib).alias("_tot")
+    ).select(*by, "n_x", "n_y", (F.col("_tot") / (F.col("n_x") * F.col("n_y"))).alias("pairwise_gap"))
+
+
+def batch_ids(fc: DataFrame, batch_size: int, id_col: str = "row_id", order_key: str | None = None) -> DataFrame:
+    """``batch_id = floor((rank - 1) / B)`` in ``order_key`` (default: id) order, exact."""
+    from calibrix.operators.ranking import global_rank
+
+    key = order_key or id_col
+    r = global_rank(fc, key, id_col, out="_brank")
+    return r.withColumn("batch_id", F.floor((F.col("_brank") - 1) / F.lit(batch_size)).cast("bigint")).drop("_brank")
+
+
+def batch_losses(fc: DataFrame, batch_size: int, coefficient: float = DEFAULT_COEFFICIENT) -> DataFrame:
+    """Per batch: rows, mean losses, and the all-pairs cdf loss inside the batch (compat form)."""
+    t = forecast_terms(batch_ids(fc, batch_size))
+    per = t.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), *loss_aggs(coefficient))
+    pairs = pairwise_gap(
+        t.select("batch_id", F.col("cdf").alias("v")), t.select("batch_id", F.col("input_r").alias("v")), by=["batch_id"]
+    ).select("batch_id", F.col("pairwise_gap").alias("loss_cdf_pairs"))
+    return per.join(pairs, "batch_id")
+
+
+def batched_eval_loss(fc: DataFrame, batch_size: int, coefficient: float = DEFAULT_COEFFICIENT) -> DataFrame:
+    """Two-level averages: mean of batch means (every batch weighs the same) and the row-weighted
+    mean (a short last batch trimmed to its rows), plus the in-batch all-pairs cdf form."""
+    b = batch_losses(fc, batch_size, coefficient)
+    return b.agg(
+        F.count(F.lit(1)).alias("n_batches"),
+        F.avg("loss").alias("eval_loss"),
+        F.avg("loss_cdf").alias("eval_cdf_loss"),
+        F.avg("loss_nll").alias("eval_nll_loss"),
+        (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("eval_loss_rows"),
+        (F.sum(F.col("loss_cdf_pairs") * F.col("n")) / F.sum("n")).alias("eval_cdf_loss_pairs"),
+    )

@@ -390,3 +390,483 @@ def q_cached_dataset(spark, sf_dir):
     """Read the prepared table if already built for these inputs, else build and save it."""
     path = scratch_path(spark, "prepared_cache", sf_dir)
     return FS.materialize(spark, path, lambda: P.prepared_splits(FX.comments(spark, sf_dir))).select("id", "split")
+
+
+# ============================================================ forecasts: losses, groups, AUC, batches
+from calibrix.config import (  # noqa: E402
+    EVAL_BATCH_SIZE,
+    METRIC_NAMES,
+    OVERALL,
+    PATIENCE,
+    SWEEP_COEFFICIENTS,
+)
+from calibrix.functions import math as FM  # noqa: E402
+from calibrix.operators import auc as AU  # noqa: E402
+from calibrix.operators import calibration as CA  # noqa: E402
+from calibrix.operators import losses as L  # noqa: E402
+from calibrix.operators import runs as R  # noqa: E402
+
+_D = O.D
+_PRED = O.predictions_cte()
+_TERMS = O.terms_cte()
+_COEF = DEFAULT_COEFFICIENT
+
+
+def _terms(spark, sf_dir):
+    return L.forecast_terms(FX.predictions(spark, sf_dir))
+
+
+def _wp(*extra):
+    return _with(_PRED, _TERMS, *extra)
+
+
+@register(
+    "join_forecasts",
+    _wp("lab AS (SELECT row_id, label, input_r, " + _GL + " FROM predictions)", "fc AS (SELECT row_id, mean, stddev FROM predictions)")
+    + "SELECT lab.*, fc.mean, fc.stddev FROM lab JOIN fc ON lab.row_id = fc.row_id",
+)
+def q_join_forecasts(spark, sf_dir):
+    """Align labels/inputs/groups with forecasts by row id (equi-join; AQE picks the strategy)."""
+    p = FX.predictions(spark, sf_dir)
+    lab = p.select("row_id", "label", "input_r", *GROUPS)
+    fc = p.select("row_id", "mean", "stddev")
+    return lab.join(fc, "row_id", "inner")
+
+
+@register("binarize", _wp() + "SELECT row_id, CAST(pred_label AS BIGINT) AS pred_label, CAST(target_label AS BIGINT) AS target_label FROM terms")
+def q_binarize(spark, sf_dir):
+    return _terms(spark, sf_dir).select("row_id", "pred_label", "target_label")
+
+
+@register("group_member", _wp(O.members_cte()) + "SELECT row_id, \"group\", gval FROM members")
+def q_group_member(spark, sf_dir):
+    """Long membership table: (row, group) where value != -1 and value >= 0.5."""
+    return G.group_members(_terms(spark, sf_dir).select("row_id", *GROUPS), keep=["row_id"])
+
+
+@register("cast_groups", _wp() + "SELECT row_id, " + ", ".join(f"CAST({g} AS DOUBLE) AS {g}" for g in GROUPS) + " FROM predictions")
+def q_cast_groups(spark, sf_dir):
+    return FX.predictions(spark, sf_dir).select("row_id", *[F.col(g).cast("double").alias(g) for g in GROUPS])
+
+
+_LOSS_SQL = {
+    "loss_nll": "avg(nll)",
+    "loss_cdf": "avg(cdf_gap)",
+    "loss_stddev": "avg(stddev)",
+    "loss_total": f"(1.0{_D}-{O.lit(_COEF)})*avg(cdf_gap) + {O.lit(_COEF)}*avg(nll)",
+}
+
+
+def _loss_query(name):
+    col = {"loss_total": "loss"}.get(name, name)
+
+    def fn(spark, sf_dir):
+        return L.overall_losses(FX.predictions(spark, sf_dir), _COEF).select("n_rows", F.col(col).alias(name))
+
+    fn.__doc__ = f"Whole-table {name} over the forecast rows."
+    register(name, _wp() + f"SELECT count(*) AS n_rows, {O.r6(_LOSS_SQL[name], name)} FROM terms")(fn)
+
+
+for _n in _LOSS_SQL:
+    _loss_query(_n)
+
+
+_GM = O.group_metrics_ctes(_COEF)
+
+
+@register("confusion_counts", _wp(_GM) + "SELECT \"group\", tn, fp, fn, tp FROM gm")
+def q_confusion_counts(spark, sf_dir):
+    """tn, fp, fn, tp per kept group (balanced) and overall; never fails on one-class input."""
+    return G.group_metrics(FX.predictions(spark, sf_dir), _COEF).select("group", "tn", "fp", "fn", "tp")
+
+
+@register("classification_metrics", _wp(_GM) + "SELECT \"group\", " + ", ".join(O.r6(f'"{c}"', c) for c in ["FPR", "Recall", "Accuracy", "Precision", "F1"]) + " FROM gm")
+def q_classification_metrics(spark, sf_dir):
+    return G.group_metrics(FX.predictions(spark, sf_dir), _COEF).select("group", "FPR", "Recall", "Accuracy", "Precision", "F1")
+
+
+@register("min_group_size", _wp(O.members_cte(), O.sizes_cte()) + "SELECT \"group\", n0, n1, group_size, kept FROM sizes")
+def q_min_group_size(spark, sf_dir):
+    """Per group: class sizes and whether min(n0, n1) reaches 50."""
+    return G.group_sizes(G.group_members(_terms(spark, sf_dir)))
+
+
+@register("class_counts", _wp(O.members_cte(), O.sizes_cte()) + "SELECT \"group\", n0 AS zeros, n1 AS ones FROM sizes")
+def q_class_counts(spark, sf_dir):
+    return G.class_counts(G.group_members(_terms(spark, sf_dir)))
+
+
+@register("balanced_subset", _wp(O.members_cte(), O.sizes_cte(), O.balanced_cte()) + "SELECT \"group\", row_id, CAST(target_label AS BIGINT) AS target_label FROM balanced")
+def q_balanced_subset(spark, sf_dir):
+    """First min(n0, n1) members of each class per kept group, in row order."""
+    b = G.balanced_members(G.group_members(_terms(spark, sf_dir)))
+    return b.select("group", "row_id", "target_label")
+
+
+def _gm_long_sql(src="gm", metrics=METRIC_NAMES) -> str:
+    return " UNION ALL ".join(f"SELECT \"group\", '{m}' AS metric, CAST(\"{m}\" AS DOUBLE) AS value FROM {src}" for m in metrics)
+
+
+def _gm_long(spark, sf_dir):
+    gm = G.group_metrics(FX.predictions(spark, sf_dir), _COEF)
+    return G.metrics_long(gm, METRIC_NAMES)
+
+
+def _extremes_sql(src: str, by: str = "") -> str:
+    from calibrix.config import HIGHER_IS_BETTER, LOWER_IS_BETTER, MEAN_METRICS
+
+    lo = ", ".join(f"'{m}'" for m in LOWER_IS_BETTER)
+    hi = ", ".join(f"'{m}'" for m in HIGHER_IS_BETTER)
+    me = ", ".join(f"'{m}'" for m in MEAN_METRICS)
+    b = f"{by}, " if by else ""
+    return (
+        f"SELECT {b}metric, CASE WHEN metric IN ({lo}) THEN max(value) WHEN metric IN ({hi}) THEN min(value) END AS worst_group, "
+        f"CASE WHEN metric IN ({lo}) THEN min(value) WHEN metric IN ({hi}) THEN max(value) END AS best_group, "
+        f"avg(value) AS mean, count(*) AS n_groups FROM {src} WHERE \"group\" <> '{OVERALL}' AND metric IN ({me}) GROUP BY {b}metric"
+    )
+
+
+@register(
+    "group_extremes",
+    _wp(_GM, f"gl AS ({_gm_long_sql()})", f"ex AS ({_extremes_sql('gl')})")
+    + "SELECT metric, round(worst_group, 6) AS worst_group, round(best_group, 6) AS best_group, round(mean, 6) AS mean, n_groups FROM ex",
+)
+def q_group_extremes(spark, sf_dir):
+    """Worst / best / mean over groups per metric, by each metric's direction."""
+    return R.group_extremes(_gm_long(spark, sf_dir))
+
+
+@register(
+    "group_spread",
+    _wp(_GM, f"gl AS ({_gm_long_sql()})")
+    + f"SELECT metric, round(max(value) - min(value), 6) AS spread FROM gl WHERE \"group\" <> '{OVERALL}' GROUP BY metric",
+)
+def q_group_spread(spark, sf_dir):
+    """biggest_diffs: max - min over groups per metric."""
+    return R.group_spread(_gm_long(spark, sf_dir))
+
+
+_KEY_SQL = f"CASE WHEN \"group\" = '{OVERALL}' THEN metric ELSE 'eval_' || \"group\" || '_' || metric END"
+
+
+@register("metric_key", _wp(_GM, f"gl AS ({_gm_long_sql()})") + f"SELECT \"group\", metric, {_KEY_SQL} AS key FROM gl")
+def q_metric_key(spark, sf_dir):
+    """``eval_{group}_{metric}`` keys (bare metric names for the overall row)."""
+    from calibrix.functions.strings import metric_key
+
+    return _gm_long(spark, sf_dir).select("group", "metric", metric_key("eval", "group", "metric").alias("key"))
+
+
+@register("merge_metrics", _wp(_GM, f"gl AS ({_gm_long_sql()})") + f"SELECT {_KEY_SQL} AS key, round(value, 6) AS value FROM gl")
+def q_merge_metrics(spark, sf_dir):
+    """Group metric keys and overall keys in one (key, value) table (bag union)."""
+    from calibrix.functions.strings import metric_key
+
+    lg = _gm_long(spark, sf_dir)
+    grp = lg.where(F.col("group") != OVERALL).select(metric_key("eval", "group", "metric").alias("key"), "value")
+    ov = lg.where(F.col("group") == OVERALL).select(F.col("metric").alias("key"), "value")
+    return grp.unionByName(ov)
+
+
+@register("metrics_map", _wp(_GM, f"gl AS ({_gm_long_sql()})") + "SELECT \"group\", metric AS key, round(value, 6) AS value FROM gl")
+def q_metrics_map(spark, sf_dir):
+    """Per group a ``map<metric, value>`` (bounded: one entry per metric), exploded for checking."""
+    lg = _gm_long(spark, sf_dir)
+    maps = lg.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    return maps.select("group", F.explode("m").alias("key", "value"))
+
+
+def _suffix_sql():
+    from calibrix.config import MEAN_METRICS
+
+    parts = [
+        f"SELECT '{m}' AS metric, key, round(value, 6) AS value FROM mk WHERE key LIKE '%{m}' AND key <> '{m}' AND key <> 'biggest_diffs_{m}'"
+        for m in MEAN_METRICS
+    ]
+    return _wp(_GM, f"gl AS ({_gm_long_sql()})", f"mk AS (SELECT {_KEY_SQL} AS key, value FROM gl)") + " UNION ALL ".join(parts)
+
+
+@register("metric_suffix_filter", _suffix_sql())
+def q_metric_suffix_filter(spark, sf_dir):
+    """Keys ending with a metric name, excluding the overall key and ``biggest_diffs_*``."""
+    from calibrix.config import MEAN_METRICS
+    from calibrix.functions.strings import metric_key
+
+    lg = _gm_long(spark, sf_dir).select(metric_key("eval", "group", "metric").alias("key"), "value")
+    out = None
+    for m in MEAN_METRICS:
+        part = lg.where(F.col("key").endswith(m) & (F.col("key") != m) & (F.col("key") != f"biggest_diffs_{m}")).select(
+            F.lit(m).alias("metric"), "key", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_GRID_VALUES = ", ".join(f"({lr!r}{_D}, {c!r}{_D}, '{name}')" for lr, c, name in [
+    (lr, c, __import__("calibrix.functions.strings", fromlist=["py_run_name"]).py_run_name(42, c, lr))
+    for lr in __import__("calibrix.config", fromlist=["SWEEP_LEARNING_RATES"]).SWEEP_LEARNING_RATES for c in SWEEP_COEFFICIENTS
+])
+
+
+@register(
+    "alpha_sweep",
+    _wp(f"st AS (SELECT avg(cdf_gap) AS lc, avg(nll) AS ln FROM terms)",
+        f"sw AS (SELECT g.coefficient, (1.0{_D} - g.coefficient) * lc + g.coefficient * ln AS eval_loss FROM st, (VALUES {_GRID_VALUES}) g(learning_rate, coefficient, run_name))")
+    + "SELECT arg_min(coefficient, eval_loss) AS best_coefficient, round(min(eval_loss), 6) AS best_eval_loss, count(*) AS n_runs FROM sw",
+)
+def q_alpha_sweep(spark, sf_dir):
+    """Coefficient of the grid with the lowest eval loss (one data pass, algebra on alpha)."""
+    return L.best_alpha(L.alpha_sweep(FX.predictions(spark, sf_dir), SWEEP_COEFFICIENTS))
+
+
+@register(
+    "grid_cross",
+    _wp(f"st AS (SELECT avg(cdf_gap) AS lc, avg(nll) AS ln FROM terms)")
+    + f"SELECT g.learning_rate, g.coefficient, g.run_name, round((1.0{_D} - g.coefficient) * lc + g.coefficient * ln, 6) AS eval_loss "
+    f"FROM st, (VALUES {_GRID_VALUES}) g(learning_rate, coefficient, run_name)",
+)
+def q_grid_cross(spark, sf_dir):
+    """Every grid point applied to the data: run name and eval loss per (learning rate, coefficient)."""
+    grid = R.param_grid(spark).select("learning_rate", "coefficient", "run_name")
+    sweep = L.alpha_sweep(FX.predictions(spark, sf_dir), SWEEP_COEFFICIENTS)
+    # The grid holds one row per parameter combination (fixed, small): broadcast.
+    return sweep.join(F.broadcast(grid), "coefficient").select("learning_rate", "coefficient", "run_name", "eval_loss")
+
+
+def _auc_sql_scope(src: str, scope_sql: str) -> str:
+    """Mann-Whitney form with average ranks (independent of the prefix-sum form in Spark)."""
+    return (
+        f"SELECT {scope_sql} AS scope, pred_value, target_label FROM {src}"
+    )
+
+
+def _auc_from(src: str) -> str:
+    return (
+        f"ar AS (SELECT scope, target_label, rank() OVER (PARTITION BY scope ORDER BY pred_value) + "
+        f"(count(*) OVER (PARTITION BY scope, pred_value) - 1) / 2.0{_D} AS r FROM {src}), "
+        "ag AS (SELECT scope, count(*) FILTER (WHERE target_label = 1) AS n_pos, count(*) FILTER (WHERE target_label = 0) AS n_neg, "
+        "sum(CASE WHEN target_label = 1 THEN r ELSE 0 END) AS rs FROM ar GROUP BY scope)"
+    )
+
+
+_AUC_FINAL = (
+    "SELECT scope AS \"group\", n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN "
+    f"round((rs - n_pos * (n_pos + 1) / 2.0{_D}) / (n_pos * n_neg), 6) END AS auc FROM ag"
+)
+
+
+@register(
+    "auc_full",
+    _wp(O.members_cte(), f"sc AS (SELECT '{OVERALL}' AS scope, pred_value, target_label FROM terms UNION ALL "
+        "SELECT \"group\" AS scope, pred_value, target_label FROM members)", _auc_from("sc")) + _AUC_FINAL,
+)
+def q_auc_full(spark, sf_dir):
+    """Exact ROC AUC of the clipped mean against the binarised label: overall and per group."""
+    t = _terms(spark, sf_dir)
+    m = G.group_members(t, keep=["row_id", "pred_value", "target_label"])
+    sc = t.select(F.lit(OVERALL).alias("group"), "pred_value", "target_label").unionByName(
+        m.select("group", "pred_value", "target_label"))
+    return AU.auc(sc, by=["group"])
+
+
+def _bg_sql(kind: str) -> str:
+    parts = []
+    for g in GROUPS:
+        inside = f"({g} <> -1.0{_D} AND {g} >= 0.5{_D})"
+        if kind == "bpsn":
+            cond = f"(target_label = 1 AND NOT {inside}) OR (target_label = 0 AND {inside})"
+        else:
+            cond = f"(target_label = 0 AND NOT {inside}) OR (target_label = 1 AND {inside})"
+        parts.append(f"SELECT '{g}' AS scope, row_id, pred_value, target_label FROM terms WHERE {cond}")
+    return " UNION ALL ".join(parts)
+
+
+for _kind in ("bpsn", "bnsp"):
+    def _mk(kind):
+        def fn(spark, sf_dir):
+            bg = AU.background_subgroup(_terms(spark, sf_dir), kind)
+            return AU.auc(bg, by=["group"])
+
+        fn.__doc__ = f"{kind.upper()} AUC per group (background/subgroup mix of opposite classes)."
+        register(f"auc_{kind}", _wp(f"sc AS ({_bg_sql(kind)})", _auc_from("sc")) + _AUC_FINAL)(fn)
+
+    _mk(_kind)
+
+
+@register(
+    "group_background",
+    _wp(f"bp AS ({_bg_sql('bpsn')})", f"bn AS ({_bg_sql('bnsp')})")
+    + "SELECT a.scope AS \"group\", a.n AS n_bpsn, b.n AS n_bnsp FROM (SELECT scope, count(*) AS n FROM bp GROUP BY scope) a "
+    "JOIN (SELECT scope, count(*) AS n FROM bn GROUP BY scope) b ON a.scope = b.scope",
+)
+def q_group_background(spark, sf_dir):
+    """Per group: sizes of the BPSN and BNSP row sets (predicate across class and membership)."""
+    t = _terms(spark, sf_dir)
+    a = AU.background_subgroup(t, "bpsn").groupBy("group").agg(F.count(F.lit(1)).alias("n_bpsn"))
+    b = AU.background_subgroup(t, "bnsp").groupBy("group").agg(F.count(F.lit(1)).alias("n_bnsp"))
+    return a.join(b, "group")
+
+
+@register(
+    "pairwise_gap",
+    _wp(O.members_cte(), f"sc AS (SELECT '{OVERALL}' AS scope, cdf, input_r FROM terms UNION ALL SELECT \"group\", cdf, input_r FROM members)")
+    + "SELECT x.scope AS \"group\", count(*) // (SELECT count(*) FROM sc s WHERE s.scope = x.scope) AS n_x, "
+    "(SELECT count(*) FROM sc s WHERE s.scope = x.scope) AS n_y, round(avg(abs(x.cdf - y.input_r)), 6) AS pairwise_gap "
+    "FROM sc x JOIN sc y ON x.scope = y.scope GROUP BY x.scope",
+)
+def q_pairwise_gap(spark, sf_dir):
+    """Mean |PIT_i - r_j| over all pairs (the broadcast-shaped cdf loss), overall and per group,
+    by the sorted-gap identity (the oracle enumerates the pairs)."""
+    t = _terms(spark, sf_dir)
+    m = G.group_members(t, keep=["cdf", "input_r"])
+    sc = t.select(F.lit(OVERALL).alias("group"), "cdf", "input_r").unionByName(m.select("group", "cdf", "input_r"))
+    return L.pairwise_gap(sc.select("group", F.col("cdf").alias("v")), sc.select("group", F.col("input_r").alias("v")), by=["group"])
+
+
+_B = EVAL_BATCH_SIZE
+_BATCH_SQL = f"bt AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // {_B} AS batch_id FROM terms)"
+
+
+@register("batch_index", _wp(_BATCH_SQL) + "SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id FROM bt")
+def q_batch_index(spark, sf_dir):
+    """Consecutive batches of 64 rows in row order (exact, bucketed ranking)."""
+    return L.batch_ids(FX.predictions(spark, sf_dir).select("row_id"), _B)
+
+
+_BATCH_AGG = (
+    f"bl AS (SELECT batch_id, count(*) AS n, (1.0{_D}-{O.lit(_COEF)})*avg(cdf_gap) + {O.lit(_COEF)}*avg(nll) AS loss, "
+    "avg(cdf_gap) AS loss_cdf, avg(stddev) AS loss_stddev, avg(nll) AS loss_nll FROM bt GROUP BY batch_id), "
+    "bp AS (SELECT x.batch_id, avg(abs(x.cdf - y.input_r)) AS loss_cdf_pairs FROM bt x JOIN bt y ON x.batch_id = y.batch_id GROUP BY x.batch_id)"
+)
+
+
+@register(
+    "concat_batches",
+    _wp(_BATCH_SQL, _BATCH_AGG)
+    + "SELECT bl.batch_id, n, " + ", ".join(O.r6(c, c) for c in ["loss", "loss_cdf", "loss_stddev", "loss_nll", "loss_cdf_pairs"])
+    + " FROM bl JOIN bp ON bl.batch_id = bp.batch_id",
+)
+def q_concat_batches(spark, sf_dir):
+    """Per-batch results concatenated in batch order (one table; no driver-side concat)."""
+    return L.batch_losses(FX.predictions(spark, sf_dir), _B, _COEF).select(
+        "batch_id", "n", "loss", "loss_cdf", "loss_stddev", "loss_nll", "loss_cdf_pairs")
+
+
+@register(
+    "batched_eval_loss",
+    _wp(_BATCH_SQL, _BATCH_AGG)
+    + "SELECT count(*) AS n_batches, round(avg(loss), 6) AS eval_loss, round(avg(loss_cdf), 6) AS eval_cdf_loss, "
+    "round(avg(loss_nll), 6) AS eval_nll_loss, round(sum(loss * n) / sum(n), 6) AS eval_loss_rows, "
+    "round(sum(loss_cdf_pairs * n) / sum(n), 6) AS eval_cdf_loss_pairs FROM bl JOIN bp ON bl.batch_id = bp.batch_id",
+)
+def q_batched_eval_loss(spark, sf_dir):
+    """Mean of batch means, the row-weighted mean and the in-batch all-pairs cdf form (B = 64)."""
+    return L.batched_eval_loss(FX.predictions(spark, sf_dir), _B, _COEF)
+
+
+@register(
+    "partial_final_eval",
+    _wp(O.members_cte(), f"sc AS (SELECT '{OVERALL}' AS scope, cdf_gap, nll, stddev FROM terms UNION ALL SELECT \"group\", cdf_gap, nll, stddev FROM members)")
+    + "SELECT scope AS \"group\", count(*) AS n, round(avg(cdf_gap), 6) AS loss_cdf, round(avg(nll), 6) AS loss_nll, "
+    "round(avg(stddev), 6) AS loss_stddev FROM sc GROUP BY scope",
+)
+def q_partial_final_eval(spark, sf_dir):
+    """Accumulate sufficient statistics per chunk of 4 batches, then merge the chunks (partial ->
+    final), overall and per group over all members."""
+    t = L.forecast_terms(L.batch_ids(FX.predictions(spark, sf_dir), _B))
+    m = G.group_members(t, keep=["batch_id", "cdf_gap", "nll", "stddev"])
+    sc = t.select(F.lit(OVERALL).alias("group"), "batch_id", "cdf_gap", "nll", "stddev").unionByName(
+        m.select("group", "batch_id", "cdf_gap", "nll", "stddev"))
+    chunk = F.floor(F.col("batch_id") / 4)
+    part = sc.groupBy("group", chunk.alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cdf_gap").alias("s_cdf"), F.sum("nll").alias("s_nll"), F.sum("stddev").alias("s_std"))
+    fin = part.groupBy("group").agg(F.sum("n").alias("n"), F.sum("s_cdf").alias("s_cdf"), F.sum("s_nll").alias("s_nll"),
+                                    F.sum("s_std").alias("s_std"))
+    return fin.select("group", "n", (F.col("s_cdf") / F.col("n")).alias("loss_cdf"), (F.col("s_nll") / F.col("n")).alias("loss_nll"),
+                      (F.col("s_std") / F.col("n")).alias("loss_stddev"))
+
+
+_PIT_SQL = (
+    f"pr AS (SELECT row_id, mean, stddev, {O.cdf()} AS pit FROM predictions), "
+    "pr2 AS (SELECT *, row_number() OVER (ORDER BY pit, row_id) AS pos, count(*) OVER () AS n FROM pr), "
+    f"pr3 AS (SELECT *, CASE WHEN n > 1 THEN (pos - 1) / (n - 1)::DOUBLE ELSE 0.0{_D} END AS q, "
+    f"least(greatest(pit, 1e-6{_D}), 1.0{_D} - 1e-6{_D}) AS cdf FROM pr2)"
+)
+
+
+@register("pit_rank", _wp(_PIT_SQL) + "SELECT row_id, pos, round(q, 6) AS q, round(cdf, 6) AS cdf FROM pr3")
+def q_pit_rank(spark, sf_dir):
+    """PIT sorted and paired with linspace(0, 1, n); PIT clipped to [1e-6, 1 - 1e-6]."""
+    return CA.pit_rank(FX.predictions(spark, sf_dir)).select("row_id", "pos", "q", "cdf")
+
+
+@register("sort_by_pit", _wp(_PIT_SQL) + "SELECT pos, row_id, round(mean, 6) AS mean, round(stddev, 6) AS stddev, round(pit, 6) AS pit FROM pr3")
+def q_sort_by_pit(spark, sf_dir):
+    """(mean, stddev, PIT) reordered by PIT: position in a range-partitioned global order."""
+    r = CA.pit_rank(FX.predictions(spark, sf_dir))
+    return r.select("pos", "row_id", "mean", "stddev", F.col("_pit").alias("pit"))
+
+
+@register(
+    "calibration_mse",
+    _wp(_PIT_SQL)
+    + f"SELECT count(*) AS n_rows, round(avg(pow({O.cdf('q', 'mean', 'stddev')} - q, 2)), 6) AS mse, "
+    "round(avg(pow(cdf - q, 2)), 6) AS pit_grid_mse FROM pr3",
+)
+def q_calibration_mse(spark, sf_dir):
+    """Calibration MSE of the uncalibrated forecasts on the PIT-sorted grid, and PIT-vs-grid error."""
+    return CA.calibration_mse(CA.pit_rank(FX.predictions(spark, sf_dir)))
+
+
+@register("linspace", _wp("nn AS (SELECT count(*) AS n FROM predictions)")
+          + f"SELECT i, round(CASE WHEN n > 1 THEN i / (n - 1)::DOUBLE ELSE 0.0{_D} END, 6) AS q FROM nn, range(n) t(i)")
+def q_linspace(spark, sf_dir):
+    """n evenly spaced points on [0, 1], n = forecast rows (generated by range, split over tasks)."""
+    n = FX.predictions(spark, sf_dir).count()
+    q = F.col("id") / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)
+    return spark.range(0, n).select(F.col("id").alias("i"), q.alias("q"))
+
+
+@register("normal_cdf", _wp() + f"SELECT row_id, round((label - mean) / stddev, 6) AS z, round({O.cdf()}, 6) AS cdf FROM predictions")
+def q_normal_cdf(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir)
+    return p.select("row_id", ((F.col("label") - F.col("mean")) / F.col("stddev")).alias("z"), FM.normal_cdf("label", "mean", "stddev").alias("cdf"))
+
+
+@register("normal_nll", _wp() + f"SELECT row_id, round({O.nll()}, 6) AS nll FROM predictions")
+def q_normal_nll(spark, sf_dir):
+    return FX.predictions(spark, sf_dir).select("row_id", FM.gaussian_nll("label", "mean", "stddev").alias("nll"))
+
+
+def _bm_sql(seed=42):
+    import math as _m
+
+    z = f"(sqrt(-2.0{_D} * ln(1.0{_D} - {O.u(f'bm1_{seed}', 'row_id')})) * cos({_m.pi * 2.0!r}{_D} * {O.u(f'bm2_{seed}', 'row_id')}))"
+    return f"(mean + stddev * {z})"
+
+
+@register("sample_forecast", _wp() + f"SELECT row_id, round({_bm_sql()}, 6) AS sample, round({O.clamp(_bm_sql())}, 6) AS pred_value, "
+          f"CAST({O.clamp(_bm_sql())} > 0.5{_D} AS BIGINT) AS pred_label FROM predictions")
+def q_sample_forecast(spark, sf_dir):
+    """A seeded draw from N(mean, stddev) per row (Box-Muller), clipped and binarised."""
+    p = FX.predictions(spark, sf_dir)
+    s = FM.sample_normal("mean", "stddev", "row_id")
+    return p.select("row_id", s.alias("sample"), FM.clamp(s).alias("pred_value"), (FM.clamp(s) > 0.5).cast("int").alias("pred_label"))
+
+
+@register("clamp", _wp(_PIT_SQL) + f"SELECT p.row_id, round({O.clamp('p.mean')}, 6) AS mean_clipped, round(pr3.cdf, 6) AS pit_clipped "
+          "FROM predictions p JOIN pr3 ON p.row_id = pr3.row_id")
+def q_clamp(spark, sf_dir):
+    """Clip predictions to [0, 1] and the PIT to [1e-6, 1 - 1e-6]."""
+    from calibrix.config import PIT_CLIP
+
+    p = FX.predictions(spark, sf_dir)
+    return p.select("row_id", FM.clamp("mean").alias("mean_clipped"),
+                    FM.clamp(FM.normal_cdf("label", "mean", "stddev"), PIT_CLIP, 1 - PIT_CLIP).alias("pit_clipped"))
+
+
+@register("attach_r", _wp() + f"SELECT row_id, round({O.u('r42', 'row_id')} * 1.0{_D}, 6) AS input_r FROM predictions")
+def q_attach_r(spark, sf_dir):
+    """Seeded uniform r in [0, bound) per row, stable under repartitioning."""
+    from calibrix.functions.random import attach_r
+
+    return FX.predictions(spark, sf_dir).select("row_id", attach_r("row_id", 42, 1.0).alias("input_r"))
