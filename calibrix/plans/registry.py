@@ -19,13 +19,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _plus_zero_rounds(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: IEEE -0.0 + 0.0 = +0.0, and Spark's
+    decimal rounding never yields -0.0."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 0, j + len(key) - 1
+        while k < len(sql):
+            depth += sql[k] == "("
+            depth -= sql[k] == ")"
+            if depth == 0:
+                break
+            k += 1
+        inner = _plus_zero_rounds(sql[j + len(key):k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0::DOUBLE)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir))
         QUERIES[name].__name__ = name
         QUERIES[name].__doc__ = fn.__doc__
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _plus_zero_rounds(sql)
         return fn
 
     return deco
@@ -62,13 +87,13 @@ def _prepared(spark, sf_dir):
     return P.prepare(FX.comments(spark, sf_dir))
 
 
-@register("project_columns", O.with_prepare() + f"SELECT {_GL}, id, target, comment_text FROM comments")
+@register("project_columns", O.with_prepare() + f"SELECT {_GL}, id, round(target, 6) AS target, comment_text FROM comments")
 def q_project_columns(spark, sf_dir):
     """Keep the nine group columns and the base columns."""
     return P.project_columns(FX.comments(spark, sf_dir))
 
 
-@register("rename_label", O.with_prepare() + "SELECT id, target, target AS labels FROM comments")
+@register("rename_label", O.with_prepare() + "SELECT id, round(target, 6) AS target, round(target, 6) AS labels FROM comments")
 def q_rename_label(spark, sf_dir):
     return P.rename_label(FX.comments(spark, sf_dir)).select("id", "target", "labels")
 
@@ -85,14 +110,14 @@ def q_null_sentinel(spark, sf_dir):
     return P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir, part_null=True))).select("id", "stratum", *GROUPS)
 
 
-@register("range_filter", O.with_prepare() + f"SELECT id, target FROM comments WHERE target >= 0.25{O.D} AND target < 0.5{O.D}")
+@register("range_filter", O.with_prepare() + f"SELECT id, round(target, 6) AS target FROM comments WHERE target >= 0.25{O.D} AND target < 0.5{O.D}")
 def q_range_filter(spark, sf_dir):
     return FX.comments(spark, sf_dir).where(P.in_range("target", 0.25, 0.5)).select("id", "target")
 
 
 @register(
     "stratified_drop",
-    O.with_prepare() + "SELECT id, stratum, target FROM kept",
+    O.with_prepare() + "SELECT id, stratum, round(target, 6) AS target FROM kept",
 )
 def q_stratified_drop(spark, sf_dir):
     """Exact per-(stratum, range) down-sampling by hash order."""
@@ -357,7 +382,7 @@ def q_drop_missing_groups(spark, sf_dir):
 from calibrix.config import scratch_path  # noqa: E402
 
 
-@register("scan_comments", O.with_prepare() + f"SELECT {_GL}, id, target, comment_text FROM comments")
+@register("scan_comments", O.with_prepare() + f"SELECT {_GL}, id, round(target, 6) AS target, comment_text FROM comments")
 def q_scan_comments(spark, sf_dir):
     """Comments written as multi-line CSV and read back with the fixed schema."""
     path = scratch_path(spark, "comments_csv", sf_dir)
@@ -378,7 +403,7 @@ def q_write_splits(spark, sf_dir):
     return FS.read_split(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("scan_splits", O.with_prepare() + "SELECT id, target, stratum FROM splits WHERE split = 'eval'")
+@register("scan_splits", O.with_prepare() + "SELECT id, round(target, 6) AS target, stratum FROM splits WHERE split = 'eval'")
 def q_scan_splits(spark, sf_dir):
     """Read one split from the partitioned table (partition pruning on ``split``)."""
     path = _write_splits(spark, sf_dir)
@@ -423,7 +448,7 @@ def _wp(*extra):
 @register(
     "join_forecasts",
     _wp("lab AS (SELECT row_id, label, input_r, " + _GL + " FROM predictions)", "fc AS (SELECT row_id, mean, stddev FROM predictions)")
-    + "SELECT lab.*, fc.mean, fc.stddev FROM lab JOIN fc ON lab.row_id = fc.row_id",
+    + "SELECT lab.row_id, round(lab.label, 6) AS label, round(lab.input_r, 6) AS input_r, " + _GL + ", round(fc.mean, 6) AS mean, round(fc.stddev, 6) AS stddev FROM lab JOIN fc ON lab.row_id = fc.row_id",
 )
 def q_join_forecasts(spark, sf_dir):
     """Align labels/inputs/groups with forecasts by row id (equi-join; AQE picks the strategy)."""
@@ -870,3 +895,189 @@ def q_attach_r(spark, sf_dir):
     from calibrix.functions.random import attach_r
 
     return FX.predictions(spark, sf_dir).select("row_id", attach_r("row_id", 42, 1.0).alias("input_r"))
+
+
+# ============================================================ runs: eval log, schedule, sweep summaries
+_EL = O.eval_log_cte()
+
+
+def _patience_sql() -> str:
+    return (
+        "el1 AS (SELECT *, min(eval_loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM eval_log), "
+        "el2 AS (SELECT *, (prev_best IS NULL OR eval_loss < prev_best) AS improved FROM el1), "
+        "el3 AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl, "
+        "min(eval_loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_loss FROM el2), "
+        "el4 AS (SELECT *, row_number() OVER (PARTITION BY run_id, isl ORDER BY step) - 1 AS bad, "
+        "max(CASE WHEN improved THEN step END) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_step FROM el3)"
+    )
+
+
+@register(
+    "early_stop",
+    _with(_EL, _patience_sql())
+    + f"SELECT r.run_id, r.n_evals, s.stop_step, round(coalesce(s.best_loss, r.bl), 6) AS best_loss, coalesce(s.best_step, r.bs) AS best_step FROM "
+    "(SELECT run_id, count(*) AS n_evals, min(eval_loss) AS bl, arg_min(step, eval_loss) AS bs FROM eval_log GROUP BY run_id) r LEFT JOIN "
+    f"(SELECT run_id, arg_min(step, step) AS stop_step, arg_min(best_loss, step) AS best_loss, arg_min(best_step, step) AS best_step FROM el4 WHERE bad >= {PATIENCE} GROUP BY run_id) s "
+    "ON r.run_id = s.run_id",
+)
+def q_early_stop(spark, sf_dir):
+    """Patience 3: first step after three non-improving evaluations, per run."""
+    return R.early_stop(FX.eval_log(spark, sf_dir), PATIENCE)
+
+
+@register("best_step", _with(_EL, _patience_sql()) + "SELECT run_id, step, round(best_loss, 6) AS best_loss, best_step, improved, bad FROM el4")
+def q_best_step(spark, sf_dir):
+    """Running best loss and the step of its checkpoint, per run and evaluation."""
+    t = R.patience_trace(FX.eval_log(spark, sf_dir))
+    return t.select("run_id", "step", "best_loss", "best_step", "improved", "bad")
+
+
+@register("every_k_steps", _with(_EL) + "SELECT run_id, step, eval_loss FROM eval_log WHERE step % 5 = 0")
+def q_every_k_steps(spark, sf_dir):
+    """Keep evaluations whose step is a multiple of 5."""
+    return FX.eval_log(spark, sf_dir).where(F.col("step") % 5 == 0)
+
+
+@register(
+    "stamp",
+    "SELECT event_id, strftime(ts, '%Y_%m_%d') AS day, strftime(ts, '%H_%M') AS hm FROM events",
+)
+def q_stamp(spark, sf_dir):
+    """``yyyy_MM_dd`` and ``HH_mm`` stamps of each event time."""
+    from calibrix.functions.strings import stamp_day, stamp_minute
+    from calibrix.sources.tables import read_table
+
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts"])
+    return ev.select("event_id", stamp_day("ts").alias("day"), stamp_minute("ts").alias("hm"))
+
+
+def _lr_sql() -> str:
+    from calibrix.config import NUM_EPOCHS, TRAIN_BATCH_SIZE, WARMUP_RATIO
+
+    return O.with_prepare(
+        f"tt AS (SELECT CAST(floor(count(*) / {float(TRAIN_BATCH_SIZE)!r}{_D} * {float(NUM_EPOCHS)!r}{_D}) AS BIGINT) AS total FROM splits WHERE split = 'train')",
+        f"tw AS (SELECT total, CAST(floor({WARMUP_RATIO!r}{_D} * total) AS BIGINT) AS warmup FROM tt)",
+    ) + (
+        "SELECT s AS step, 1e-5::DOUBLE AS base_lr, round(CASE WHEN s < warmup THEN s / greatest(1, warmup)::DOUBLE "
+        "ELSE greatest(0.0::DOUBLE, (total - s) / greatest(1, total - warmup)::DOUBLE) END, 6) AS lr_factor FROM tw, range(total) t(s)"
+    )
+
+
+@register("lr_schedule", _lr_sql())
+def q_lr_schedule(spark, sf_dir):
+    """Linear warm-up / decay for int(n_train / 8 * 3) steps: lr = base_lr * lr_factor."""
+    from calibrix.config import NUM_EPOCHS, TRAIN_BATCH_SIZE
+
+    n = P.prepared_splits(FX.comments(spark, sf_dir)).where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n"))
+    s = R.lr_schedule(spark, n, 1e-5, TRAIN_BATCH_SIZE, NUM_EPOCHS)
+    return s.select("step", F.lit(1e-5).alias("base_lr"), (F.col("lr") / F.lit(1e-5)).alias("lr_factor"))
+
+
+def _sweep_long(spark, sf_dir):
+    """Long metric table per run of the coefficient grid (losses re-weighted per coefficient)."""
+    gm = G.group_metrics(FX.predictions(spark, sf_dir), _COEF)
+    runs = L.expand_grid(gm, SWEEP_COEFFICIENTS).withColumn(
+        "loss", (F.lit(1.0) - F.col("coefficient")) * F.col("loss_cdf") + F.col("coefficient") * F.col("loss_nll"))
+    return G.metrics_long(runs, METRIC_NAMES, by=["coefficient"])
+
+
+def _sweep_long_sql() -> str:
+    grid = ", ".join(f"({c!r}{_D})" for c in SWEEP_COEFFICIENTS)
+    runs = (f"runs AS (SELECT g.coefficient, gm.* REPLACE ((1.0{_D} - g.coefficient) * loss_cdf + g.coefficient * loss_nll AS loss) "
+            f"FROM gm, (VALUES {grid}) g(coefficient))")
+    longq = " UNION ALL ".join(
+        f"SELECT coefficient, \"group\", '{m}' AS metric, CAST(\"{m}\" AS DOUBLE) AS value FROM runs" for m in METRIC_NAMES)
+    return f"{runs}, sl AS ({longq})"
+
+
+def _tradeoff_sql(compat: bool = False) -> str:
+    pairs = R.tradeoff_pairs(compat)
+    ks = (
+        "sk AS (SELECT coefficient, metric AS key, value FROM sl WHERE \"group\" = 'ALL' "
+        "UNION ALL SELECT coefficient, metric || '_worst_group', worst_group FROM ex WHERE worst_group IS NOT NULL "
+        "UNION ALL SELECT coefficient, metric || '_best_group', best_group FROM ex WHERE best_group IS NOT NULL "
+        "UNION ALL SELECT coefficient, metric || '_mean', mean FROM ex)"
+    )
+    parts = [
+        f"SELECT a.coefficient, CAST({i} AS BIGINT) AS pair, '{x}' AS key_x, '{y}' AS key_y, round(a.value, 6) AS x, round(b.value, 6) AS y "
+        f"FROM sk a JOIN sk b ON a.coefficient = b.coefficient AND a.key = '{x}' AND b.key = '{y}'"
+        for i, (x, y) in enumerate(pairs)
+    ]
+    return _wp(_GM, _sweep_long_sql(), f"ex AS ({_extremes_sql('sl', 'coefficient')})", ks) + " UNION ALL ".join(parts)
+
+
+@register("tradeoff_points", _tradeoff_sql())
+def q_tradeoff_points(spark, sf_dir):
+    """Per run of the coefficient grid, the (x, y) points of the 14 trade-off scatters whose keys exist."""
+    return R.tradeoff_points(_sweep_long(spark, sf_dir), ["coefficient"]).withColumn("pair", F.col("pair").cast("bigint"))
+
+
+@register("metric_point_append", _tradeoff_sql())
+def q_metric_point_append(spark, sf_dir):
+    """Append each run's points to the scatter table (one append per run), read back without the
+    wall-clock stamp."""
+    import uuid
+
+    pts = R.tradeoff_points(_sweep_long(spark, sf_dir), ["coefficient"]).withColumn("pair", F.col("pair").cast("bigint"))
+    path = scratch_path(spark, "plot_points", sf_dir, uuid.uuid4().hex)
+    for c in SWEEP_COEFFICIENTS:
+        run_pts = pts.where(F.col("coefficient") == float(c)).withColumn("timestamp", F.current_timestamp())
+        FS.append(run_pts, path, partition_by=["pair"])
+    return spark.read.parquet(path).select("coefficient", "pair", "key_x", "key_y", "x", "y")
+
+
+@register(
+    "metric_log",
+    _wp(_GM, _sweep_long_sql())
+    + f"SELECT coefficient AS run_coefficient, CAST(0 AS BIGINT) AS step, CASE WHEN \"group\" = '{OVERALL}' THEN metric ELSE 'eval_' || \"group\" || '_' || metric END AS key, "
+    "round(value, 6) AS value FROM sl",
+)
+def q_metric_log(spark, sf_dir):
+    """Long-form metric log per run, appended partitioned by run, read back."""
+    import uuid
+
+    from calibrix.functions.strings import metric_key
+
+    lg = _sweep_long(spark, sf_dir).select(
+        F.col("coefficient").alias("run_coefficient"), F.lit(0).cast("bigint").alias("step"),
+        metric_key("eval", "group", "metric").alias("key"), "value")
+    path = scratch_path(spark, "metric_log", sf_dir, uuid.uuid4().hex)
+    FS.append(lg, path, partition_by=["run_coefficient"])
+    return spark.read.parquet(path).select("run_coefficient", "step", "key", "value")
+
+
+# ============================================================ embeddings: activations, heads, features
+def _emb(spark, sf_dir):
+    from calibrix.sources.tables import read_table
+
+    return read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+
+
+_EMB_LONG = "el AS (SELECT vec_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS BIGINT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+
+
+@register("sigmoid_stddev", f"SELECT vec_id, round(1.0{_D} / (1.0{_D} + exp(-CAST(embedding[1] AS DOUBLE))) * 5.0{_D} + 0.01{_D}, 6) AS stddev FROM embeddings")
+def q_sigmoid_stddev(spark, sf_dir):
+    """Scale head sigmoid(x) * 5 + 0.01 on the first embedding coordinate."""
+    return _emb(spark, sf_dir).select("vec_id", FM.sigmoid_stddev(F.col("embedding")[0].cast("double")).alias("stddev"))
+
+
+@register("leaky_relu", _with(_EMB_LONG) + f"SELECT vec_id, pos, round(CASE WHEN x > 0 THEN x ELSE 0.01{_D} * x END, 6) AS leaky, round(greatest(x, 0.0{_D}), 6) AS relu FROM el")
+def q_leaky_relu(spark, sf_dir):
+    """Leaky ReLU (slope 0.01) and ReLU of every embedding coordinate."""
+    e = _emb(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    return e.select("vec_id", F.col("pos").cast("bigint").alias("pos"), FM.leaky_relu("x").alias("leaky"), FM.relu("x").alias("relu"))
+
+
+@register(
+    "concat_feature",
+    _with(_EMB_LONG) + f"SELECT vec_id, pos, round(x, 6) AS x FROM el UNION ALL SELECT vec_id, CAST(len(embedding) AS BIGINT) AS pos, "
+    f"round({O.u('r42', 'vec_id')}, 6) AS x FROM embeddings",
+)
+def q_concat_feature(spark, sf_dir):
+    """Feature vector with r appended (input_r_dim = 1), exploded to (vec_id, pos, x)."""
+    from calibrix.functions.random import attach_r
+
+    e = _emb(spark, sf_dir)
+    feat = F.concat(F.transform("embedding", lambda v: v.cast("double")), F.array_repeat(attach_r("vec_id"), 1))
+    return e.select("vec_id", F.posexplode(feat).alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint"))
