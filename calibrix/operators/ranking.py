@@ -90,17 +90,18 @@ def global_rank(
     out: str = "rank",
     unit_interval: bool = False,
     rows_per_bucket: int | None = None,
+    extra_order: list[str] | tuple = (),
 ) -> DataFrame:
-    """1-based dense position of each row in ``(key, id)`` order within ``partition_by``.
+    """1-based position of each row in ``(key, id, *extra_order)`` order within ``partition_by``.
 
-    Exact (ties broken by ``id``) and deterministic under recomputation.
+    Exact (ties broken by ``id``, then ``extra_order``) and deterministic under recomputation.
     """
     part = list(partition_by)
     b, bcols = bucketize(df, key, id_col, unit_interval, rows_per_bucket)
     counts = b.groupBy(*part, *bcols).agg(F.count(F.lit(1)).alias("_rk_cnt"))
     w_off = Window.partitionBy(*part).orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, *bcols, F.coalesce(F.sum("_rk_cnt").over(w_off), F.lit(0)).alias("_rk_off"))
-    w_in = Window.partitionBy(*part, *bcols).orderBy(F.col(key), F.col(id_col))
+    w_in = Window.partitionBy(*part, *bcols).orderBy(F.col(key), F.col(id_col), *[F.col(c) for c in extra_order])
     ranked = b.join(offsets, on=[*part, *bcols], how="inner")
     return ranked.withColumn(out, (F.col("_rk_off") + F.row_number().over(w_in)).cast("bigint")).drop(
         "_rk_off", *bcols

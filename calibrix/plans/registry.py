@@ -1081,3 +1081,56 @@ def q_concat_feature(spark, sf_dir):
     e = _emb(spark, sf_dir)
     feat = F.concat(F.transform("embedding", lambda v: v.cast("double")), F.array_repeat(attach_r("vec_id"), 1))
     return e.select("vec_id", F.posexplode(feat).alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+# ============================================================ text: vocabulary lookup, tokenise + pad
+from calibrix.operators import text as TX  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    from calibrix.sources.tables import read_table
+
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+
+
+_PAT = TX.TOKEN_PATTERN.replace("'", "''")
+_TOK_SQL = (
+    f"tk0 AS (SELECT doc_id, regexp_extract_all(lower(text), '{_PAT}') AS toks FROM documents), "
+    "tk AS (SELECT doc_id, CAST(unnest(generate_series(0, len(toks) - 1)) AS BIGINT) AS pos, unnest(toks) AS token FROM tk0 WHERE len(toks) > 0), "
+    f"vc AS (SELECT token, count(*) AS cnt FROM tk GROUP BY token HAVING count(*) >= {TX.MIN_COUNT}), "
+    f"vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, ('0x' || substr(md5(token), 1, 15))::BIGINT, token) + {TX.FIRST_WORD_ID - 1} AS BIGINT) AS token_id, cnt FROM vc), "
+    f"ids AS (SELECT tk.doc_id, tk.pos, tk.token, coalesce(vocab.token_id, {TX.UNK_ID}) AS token_id FROM tk LEFT JOIN vocab ON tk.token = vocab.token)"
+)
+
+
+@register("vocab_lookup", _with(_TOK_SQL) + "SELECT doc_id, pos, token_id FROM ids")
+def q_vocab_lookup(spark, sf_dir):
+    """Every token of every document mapped to its id in a vocabulary built from the corpus."""
+    toks = TX.tokens(_docs(spark, sf_dir))
+    return TX.lookup(toks, TX.build_vocab(toks)).select("doc_id", "pos", "token_id")
+
+
+def _encode_sql() -> str:
+    keep = 510
+    return _with(
+        _TOK_SQL,
+        f"nd AS (SELECT d.doc_id, least(coalesce(len(t.toks), 0), {keep}) AS n FROM documents d JOIN tk0 t ON d.doc_id = t.doc_id)",
+        "grid AS (SELECT nd.doc_id, nd.n, CAST(p AS BIGINT) AS pos FROM nd, range(512) r(p))",
+    ) + (
+        f"SELECT g.doc_id, g.pos, CAST(CASE WHEN g.pos = 0 THEN {TX.CLS_ID} WHEN g.pos <= g.n THEN i.token_id "
+        f"WHEN g.pos = g.n + 1 THEN {TX.SEP_ID} ELSE {TX.PAD_ID} END AS BIGINT) AS input_id, "
+        "CAST(CASE WHEN g.pos <= g.n + 1 THEN 1 ELSE 0 END AS BIGINT) AS attention_mask "
+        "FROM grid g LEFT JOIN ids i ON g.doc_id = i.doc_id AND i.pos = g.pos - 1"
+    )
+
+
+@register("tokenize_pad", _encode_sql())
+def q_tokenize_pad(spark, sf_dir):
+    """512-long input ids and attention mask per document, exploded to (doc_id, pos, ...)."""
+    docs = _docs(spark, sf_dir)
+    toks = TX.tokens(docs)
+    enc = TX.encode(docs, TX.lookup(toks, TX.build_vocab(toks)))
+    z = F.arrays_zip("input_ids", "attention_mask")
+    return enc.select("doc_id", F.posexplode(z).alias("pos", "e")).select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("e.input_ids").alias("input_id"),
+        F.col("e.attention_mask").alias("attention_mask"))
