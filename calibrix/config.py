@@ -134,3 +134,8 @@ def path_exists(spark: SparkSession, uri: str) -> bool:
 def rows_per_task(spark: SparkSession) -> int:
     """Target rows per rank bucket; overridable for tests via ``calibrix.rows_per_bucket``."""
     return int(spark.conf.get("calibrix.rows_per_bucket", os.environ.get("CALIBRIX_ROWS_PER_BUCKET", "2000000")))
+
+
+def id_block(spark: SparkSession) -> int:
+    """Width of the id blocks used to rank dense row ids (``calibrix.id_block``)."""
+    return int(spark.conf.get("calibrix.id_block", os.environ.get("CALIBRIX_ID_BLOCK", "1048576")))

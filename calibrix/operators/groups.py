@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrix.config import DEFAULT_COEFFICIENT, GROUPS, MIN_GROUP_SIZE, NULL_SENTINEL, OVERALL
+from calibrix.config import DEFAULT_COEFFICIENT, GROUPS, MIN_GROUP_SIZE, NULL_SENTINEL, OVERALL, id_block
 from calibrix.operators.losses import forecast_terms, loss_aggs
 from calibrix.operators.ranking import global_rank
 
@@ -65,7 +65,8 @@ def balanced_members(
     by = list(by)
     sizes = group_sizes(members, min_size, by).where("kept").select(*by, "group", "group_size")
     m = members.join(sizes if by else F.broadcast(sizes), [*by, "group"], "inner")
-    ranked = global_rank(m, id_col, id_col, partition_by=[*by, "group", "target_label"], out="_class_pos")
+    ranked = global_rank(m, id_col, id_col, partition_by=[*by, "group", "target_label"], out="_class_pos",
+                         id_block=id_block(members.sparkSession))
     return ranked.where(F.col("_class_pos") <= F.col("group_size")).drop("_class_pos")
 
 

@@ -111,8 +111,11 @@ def batch_ids(fc: DataFrame, batch_size: int, id_col: str = "row_id", order_key:
     """``batch_id = floor((rank - 1) / B)`` in ``order_key`` (default: id) order, exact."""
     from calibrix.operators.ranking import global_rank
 
+    from calibrix.config import id_block
+
     key = order_key or id_col
-    r = global_rank(fc, key, id_col, out="_brank")
+    block = id_block(fc.sparkSession) if order_key is None else None
+    r = global_rank(fc, key, id_col, out="_brank", id_block=block)
     return r.withColumn("batch_id", F.floor((F.col("_brank") - 1) / F.lit(batch_size)).cast("bigint")).drop("_brank")
 
 

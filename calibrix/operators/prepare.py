@@ -93,20 +93,19 @@ DEFAULT_DROP_SHARES = {WITH_NULLS: DROP_SHARES_WITH_NULLS, WITHOUT_NULLS: DROP_S
 
 
 def drop_plan(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
-    """Rows with ``_rng``, hash position ``_pos`` in their (stratum, range) and ``_n_drop``."""
+    """Rows with ``_rng``, hash position ``_pos`` in their (stratum, range) and ``_n_drop``.
+
+    Rows outside every range (``_rng = -1``) form their own partition with ``_n_drop = 0``. The
+    per-(stratum, range) row count comes with the rank's offset table.
+    """
     shares = shares or DEFAULT_DROP_SHARES
-    d = df.withColumn("_rng", range_index("target", DROP_RANGES)).withColumn("_h", uniform(salt, "id"))
-    counts = d.groupBy("stratum", "_rng").agg(F.count(F.lit(1)).alias("_n"))
+    rng = F.coalesce(range_index("target", DROP_RANGES), F.lit(-1))
+    d = df.withColumn("_rng", rng).withColumn("_h", uniform(salt, "id"))
+    ranked = global_rank(d, "_h", "id", partition_by=["stratum", "_rng"], out="_pos", unit_interval=True,
+                         total="_n")
     share = F.element_at(_share_map(shares), F.concat_ws(":", "stratum", F.col("_rng").cast("string")))
-    # One row per (stratum, range): at most 2 x 5 rows, so a broadcast is safe.
-    counts = counts.select("stratum", "_rng", F.floor(F.col("_n") * F.coalesce(share, F.lit(0.0))).alias("_n_drop"))
-    in_rng = d.where(F.col("_rng").isNotNull())
-    ranked = global_rank(in_rng, "_h", "id", partition_by=["stratum", "_rng"], out="_pos", unit_interval=True)
-    ranked = ranked.join(F.broadcast(counts), ["stratum", "_rng"], "inner")
-    outside = d.where(F.col("_rng").isNull()).select(
-        *d.columns, F.lit(None).cast("bigint").alias("_pos"), F.lit(0).cast("bigint").alias("_n_drop")
-    )
-    return ranked.unionByName(outside)
+    n_drop = F.floor(F.col("_n") * F.coalesce(share, F.lit(0.0)))  # no share for range -1: 0
+    return ranked.withColumn("_n_drop", n_drop.cast("bigint")).drop("_n")
 
 
 def stratified_drop(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
@@ -115,7 +114,7 @@ def stratified_drop(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame
     Rows whose target lies in no range (target = 1.0) are never dropped.
     """
     plan = drop_plan(df, shares, salt)
-    return plan.where(F.col("_pos").isNull() | (F.col("_pos") > F.col("_n_drop"))).drop(
+    return plan.where(F.col("_pos") > F.col("_n_drop")).drop(
         "_rng", "_h", "_pos", "_n_drop"
     )
 
@@ -138,23 +137,18 @@ def exact_split(df: DataFrame, salt: str = "split") -> DataFrame:
     """Add ``split`` in {train, calib, eval, test} with exact sizes per stratum."""
     d = df.withColumn("_h", uniform(salt, "id"))
     first = F.create_map(*[x for k, v in SPLIT_FIRST_TEST_SHARE.items() for x in (F.lit(k), F.lit(float(v)))])
-    counts = d.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = global_rank(d, "_h", "id", partition_by=["stratum"], out="_pos", unit_interval=True, total="_n")
     sz = split_sizes(F.col("_n"), F.element_at(first, F.col("stratum")))
-    counts = counts.select(
-        "stratum",
-        sz["train"].alias("_c1"),
-        (sz["train"] + sz["calib"]).alias("_c2"),
-        (sz["train"] + sz["calib"] + sz["eval"]).alias("_c3"),
-    )
-    ranked = global_rank(d, "_h", "id", partition_by=["stratum"], out="_pos", unit_interval=True)
-    ranked = ranked.join(F.broadcast(counts), "stratum", "inner")  # one row per stratum
+    c1 = sz["train"]
+    c2 = c1 + sz["calib"]
+    c3 = c2 + sz["eval"]
     split = (
-        F.when(F.col("_pos") <= F.col("_c1"), "train")
-        .when(F.col("_pos") <= F.col("_c2"), "calib")
-        .when(F.col("_pos") <= F.col("_c3"), "eval")
+        F.when(F.col("_pos") <= c1, "train")
+        .when(F.col("_pos") <= c2, "calib")
+        .when(F.col("_pos") <= c3, "eval")
         .otherwise("test")
     )
-    return ranked.withColumn("split", split).drop("_h", "_pos", "_c1", "_c2", "_c3")
+    return ranked.withColumn("split", split).drop("_h", "_pos", "_n")
 
 
 def eval_without_nulls(split_df: DataFrame) -> DataFrame:

@@ -26,6 +26,25 @@ _B1 = "_rk_b1"
 _B2 = "_rk_b2"
 # Upper bound on the number of buckets (the offset table stays small enough to broadcast).
 MAX_BUCKETS = 100_000
+# Buckets for keys uniform on [0, 1) (hash positions): fixed, so no counting pass is needed. At
+# 10^12 rows a bucket holds ~10^6 rows; the offset table never exceeds 2^20 rows per partition key.
+UNIT_BUCKETS = 1 << 20
+
+
+def _join_offsets(b: DataFrame, offsets: DataFrame, part: list[str], bcols: list[str]) -> DataFrame:
+    """Equi-join on the partition keys and buckets.
+
+    A nullable partition key is compared null-safe (a null key is a partition too); non-nullable
+    keys use plain equality so the join's hash partitioning is the one the rank window needs
+    (a single shuffle of the data).
+    """
+    keys = [*part, *bcols]
+    ren = {c: f"_rk_j{i}" for i, c in enumerate(keys)}
+    o = offsets.select(*[F.col(c).alias(ren.get(c, c)) for c in offsets.columns])
+    nullable = {f.name for f in b.schema.fields if f.nullable}
+    cond = [F.col(c).eqNullSafe(F.col(ren[c])) if c in nullable else F.col(c) == F.col(ren[c]) for c in part]
+    cond += [F.col(c) == F.col(ren[c]) for c in bcols]
+    return b.join(o, cond, "inner").drop(*ren.values())
 
 
 def _bucket_count(n: int, rows_per_bucket: int) -> int:
@@ -38,8 +57,21 @@ def bucketize(
     id_col: str | None,
     unit_interval: bool = False,
     rows_per_bucket: int | None = None,
+    id_block: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Add two integer columns whose lexicographic order is monotone in ``(key, id)``."""
+    """Add two integer columns whose lexicographic order is monotone in ``(key, id)``.
+
+    ``id_block``: the key is a dense integer row id unique within a partition; buckets are
+    fixed-width id blocks, so a bucket never holds more than ``id_block`` rows and no pass over the
+    data is needed to choose them.
+    """
+    if id_block is not None:
+        b1 = F.floor(F.col(key) / F.lit(int(id_block))).cast("bigint")
+        return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
+    if unit_interval and rows_per_bucket is None:
+        k = int(df.sparkSession.conf.get("calibrix.unit_buckets", str(UNIT_BUCKETS)))
+        b1 = F.least(F.greatest(F.floor(F.col(key) * k), F.lit(0)), F.lit(k - 1)).cast("int")
+        return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
     spark = df.sparkSession
     rpb = rows_per_bucket or rows_per_task(spark)
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -91,18 +123,25 @@ def global_rank(
     unit_interval: bool = False,
     rows_per_bucket: int | None = None,
     extra_order: list[str] | tuple = (),
+    total: str | None = None,
+    id_block: int | None = None,
 ) -> DataFrame:
     """1-based position of each row in ``(key, id, *extra_order)`` order within ``partition_by``.
 
     Exact (ties broken by ``id``, then ``extra_order``) and deterministic under recomputation.
+    ``total`` names an optional column with the row count of the row's partition, taken from the
+    same small offset table (no second aggregate over the data).
     """
     part = list(partition_by)
-    b, bcols = bucketize(df, key, id_col, unit_interval, rows_per_bucket)
+    b, bcols = bucketize(df, key, id_col, unit_interval, rows_per_bucket, id_block)
     counts = b.groupBy(*part, *bcols).agg(F.count(F.lit(1)).alias("_rk_cnt"))
     w_off = Window.partitionBy(*part).orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, *bcols, F.coalesce(F.sum("_rk_cnt").over(w_off), F.lit(0)).alias("_rk_off"))
+    extra = [F.sum("_rk_cnt").over(Window.partitionBy(*part)).alias(total)] if total else []
+    offsets = counts.select(
+        *part, *bcols, F.coalesce(F.sum("_rk_cnt").over(w_off), F.lit(0)).alias("_rk_off"), *extra
+    )
     w_in = Window.partitionBy(*part, *bcols).orderBy(F.col(key), F.col(id_col), *[F.col(c) for c in extra_order])
-    ranked = b.join(offsets, on=[*part, *bcols], how="inner")
+    ranked = _join_offsets(b, offsets, part, bcols)
     return ranked.withColumn(out, (F.col("_rk_off") + F.row_number().over(w_in)).cast("bigint")).drop(
         "_rk_off", *bcols
     )
@@ -131,7 +170,7 @@ def prefix_sum(
     )
     end = -1 if strict else 0
     w_in = Window.partitionBy(*part, *bcols).orderBy(F.col(key)).rowsBetween(Window.unboundedPreceding, end)
-    j = b.join(offsets, on=[*part, *bcols], how="inner")
+    j = _join_offsets(b, offsets, part, bcols)
     for c in sum_cols:
         j = j.withColumn(f"{c}{suffix}", F.col(f"_po_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0)))
     return j.drop(*[f"_po_{c}" for c in sum_cols], *bcols)

@@ -9,7 +9,7 @@ strategy is left to AQE (broadcast only when its runtime size is small).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrix.config import MAX_SEQ_LEN
@@ -29,17 +29,30 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def token_key(col: str = "token"):
-    """60-bit integer from the token's md5: tie-break key and rank sub-bucket id."""
+    """60-bit integer from the token's md5: the tie-break key among tokens of equal count."""
     return F.conv(F.substring(F.md5(F.col(col)), 1, 15), 16, 10).cast("bigint")
 
 
 def build_vocab(toks: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """``(token, token_id, count)`` for tokens seen at least ``min_count`` times; ids from 4 in
-    (count desc, key, token) order."""
+    (count desc, key, token) order.
+
+    Two-level rank with no pass to pick buckets: tokens of one count are ranked by their key
+    scaled to [0, 1) (a uniform hash, so fixed fine buckets split even the huge low-count
+    classes), and each count class is offset by the number of tokens with a higher count (one row
+    per distinct count value: a small table).
+    """
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
-    keyed = counts.select("token", "count", (-F.col("count").cast("double")).alias("_neg"), token_key().alias("_k"))
-    r = global_rank(keyed, "_neg", "_k", out="_r", extra_order=["token"])
-    return r.select("token", (F.col("_r") + FIRST_WORD_ID - 1).alias("token_id"), "count")
+    keyed = counts.select("token", "count", token_key().alias("_k")).withColumn(
+        "_u", F.col("_k").cast("double") / F.lit(float(1 << 60)))
+    within = global_rank(keyed, "_u", "_k", partition_by=["count"], out="_r", unit_interval=True,
+                         extra_order=["token"])
+    # Distinct counts number at most sqrt(2 * tokens), so this one-partition window stays small.
+    w = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    classes = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_n_c"))
+    offsets = classes.select("count", F.coalesce(F.sum("_n_c").over(w), F.lit(0)).alias("_off"))
+    r = within.join(offsets, "count", "inner")
+    return r.select("token", (F.col("_off") + F.col("_r") + FIRST_WORD_ID - 1).alias("token_id"), "count")
 
 
 def lookup(toks: DataFrame, vocab: DataFrame) -> DataFrame:

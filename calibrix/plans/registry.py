@@ -308,17 +308,23 @@ def _hist_sql() -> str:
 
 @register("histogram_30", _hist_sql())
 def q_histogram_30(spark, sf_dir):
-    """30-bin histograms: per group toxic vs non-toxic on eval (full and zoom >= 0.1), and target."""
+    """30-bin histograms: per group toxic vs non-toxic on eval (full and zoom >= 0.1), and target.
+
+    All three value series come from one pass over the prepared table (the kept rows after the
+    down-sampling are exactly the target histogram's input), exploded into (hist, group, series).
+    """
     prep = _prepared(spark, sf_dir)
-    ev = P.eval_without_nulls(prep).where(F.col("split") == "eval")
+    is_eval = (F.col("split") == "eval") & (F.col("stratum") == P.WITHOUT_NULLS)
     series = F.when(F.col("target") > 0.5, "toxic").otherwise("not_toxic")
-    long = P.group_value_long(ev.withColumn("series", series), ["series"])
-    full = long.withColumn("hist", F.lit("full"))
-    zoom = long.where(F.col("value") >= HIST_ZOOM_MIN).withColumn("hist", F.lit("zoom"))
-    tgt = P.stratified_drop(P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))).select(
-        F.lit("target").alias("hist"), F.lit("ALL").alias("group"), F.lit("target").alias("series"), F.col("target").alias("value")
-    )
-    vals = full.unionByName(zoom).unionByName(tgt)
+    items = [F.struct(F.lit("target").alias("hist"), F.lit("ALL").alias("group"), F.lit("target").alias("series"),
+                      F.col("target").alias("value"))]
+    for g in GROUPS:
+        v = F.col(g).cast("double")
+        items.append(F.when(is_eval, F.struct(F.lit("full").alias("hist"), F.lit(g).alias("group"),
+                                               series.alias("series"), v.alias("value"))))
+        items.append(F.when(is_eval & (v >= HIST_ZOOM_MIN), F.struct(
+            F.lit("zoom").alias("hist"), F.lit(g).alias("group"), series.alias("series"), v.alias("value"))))
+    vals = prep.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
     h = P.histogram(vals, ["hist", "group"])
     return h.groupBy("hist", "group", "series", "bin").agg(F.count(F.lit(1)).alias("n"))
 
