@@ -1140,3 +1140,55 @@ def q_tokenize_pad(spark, sf_dir):
     return enc.select("doc_id", F.posexplode(z).alias("pos", "e")).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("e.input_ids").alias("input_id"),
         F.col("e.attention_mask").alias("attention_mask"))
+
+
+# ============================================================ streams
+from calibrix.sources.fixtures import EVAL_LOG_DAY0  # noqa: E402
+from calibrix.sources.tables import read_table  # noqa: E402
+from calibrix.streaming import group_loss as SG  # noqa: E402
+from calibrix.streaming import patience as SP  # noqa: E402
+from calibrix.streaming.sources import fresh_dir, stage_in_order  # noqa: E402
+
+
+def _stream_t1_sql() -> str:
+    items = ["SELECT ts, cdf_gap, nll, stddev, 'ALL' AS \"group\" FROM terms", O.members_cte(cols="ts, cdf_gap, nll, stddev", name="mem")]
+    one_minus = O.lit(1.0 - DEFAULT_COEFFICIENT)
+    coef = O.lit(DEFAULT_COEFFICIENT)
+    return _with(
+        O.predictions_cte(keep_ts=True), O.terms_cte(), items[1],
+        f"lg AS ({items[0]} UNION ALL SELECT ts, cdf_gap, nll, stddev, \"group\" FROM mem)",
+    ) + (
+        "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, \"group\", count(*) AS n_rows, "
+        f"round({one_minus} * avg(cdf_gap) + {coef} * avg(nll), 6) AS loss, round(avg(cdf_gap), 6) AS loss_cdf, "
+        "round(avg(stddev), 6) AS loss_stddev, round(avg(nll), 6) AS loss_nll FROM lg GROUP BY 1, 2"
+    )
+
+
+@register("stream_group_loss", _stream_t1_sql())
+def q_stream_group_loss(spark, sf_dir):
+    """Events staged as an in-order file stream -> forecast rows -> daily (window, group) sums in
+    the state store (complete mode, idempotent foreachBatch overwrite) -> losses."""
+    d = fresh_dir(spark, "stream_group_loss")
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    stage_in_order(ev, f"{d}/source", "ts")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/source")
+    q = SG.stream_group_loss(FX.forecasts_from_events(stream, keep_ts=True), f"{d}/out", f"{d}/checkpoint")
+    q.awaitTermination()
+    return SG.finish_losses(spark.read.parquet(f"{d}/out"), DEFAULT_COEFFICIENT)
+
+
+def _eval_log_stream_source(spark, sf_dir, d):
+    log = FX.eval_log(spark, sf_dir).withColumn(
+        "ts", F.to_timestamp(F.date_add(F.to_date(F.lit(EVAL_LOG_DAY0)), F.col("step").cast("int"))))
+    stage_in_order(log, f"{d}/source", "ts", slice_days=4, one_file=True)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/source")
+
+
+@register("stream_early_stop", ORACLE["early_stop"])
+def q_stream_early_stop(spark, sf_dir):
+    """The evaluation log as a file stream, patience state per run (applyInPandasWithState),
+    latest status per run read back from the per-batch sink."""
+    d = fresh_dir(spark, "stream_early_stop")
+    q = SP.stream_early_stop(_eval_log_stream_source(spark, sf_dir, d), f"{d}/out", f"{d}/checkpoint", PATIENCE)
+    q.awaitTermination()
+    return SP.latest_status(spark, f"{d}/out")
