@@ -107,15 +107,18 @@ def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = ()) -> Da
     ).select(*by, "n_x", "n_y", (F.col("_tot") / (F.col("n_x") * F.col("n_y"))).alias("pairwise_gap"))
 
 
-def batch_ids(fc: DataFrame, batch_size: int, id_col: str = "row_id", order_key: str | None = None) -> DataFrame:
-    """``batch_id = floor((rank - 1) / B)`` in ``order_key`` (default: id) order, exact."""
+def batch_ids(fc: DataFrame, batch_size: int, id_col: str = "row_id", order_key: str | None = None,
+              unit_key: bool = False) -> DataFrame:
+    """``batch_id = floor((rank - 1) / B)`` in ``order_key`` (default: id) order, exact.
+
+    ``unit_key``: the order key is a hash uniform on [0, 1) (a seeded shuffle order)."""
     from calibrix.operators.ranking import global_rank
 
     from calibrix.config import id_block
 
     key = order_key or id_col
     block = id_block(fc.sparkSession) if order_key is None else None
-    r = global_rank(fc, key, id_col, out="_brank", id_block=block)
+    r = global_rank(fc, key, id_col, out="_brank", id_block=block, unit_interval=unit_key)
     return r.withColumn("batch_id", F.floor((F.col("_brank") - 1) / F.lit(batch_size)).cast("bigint")).drop("_brank")
 
 

@@ -1192,3 +1192,115 @@ def q_stream_early_stop(spark, sf_dir):
     q = SP.stream_early_stop(_eval_log_stream_source(spark, sf_dir, d), f"{d}/out", f"{d}/checkpoint", PATIENCE)
     q.awaitTermination()
     return SP.latest_status(spark, f"{d}/out")
+
+
+# ============================================================ models (M1-M8)
+from calibrix.config import CALIB_BATCH_SIZE, EVAL_STEPS, SWEEP_COEFFICIENTS  # noqa: E402
+from calibrix.functions.math import gaussian_nll, normal_cdf  # noqa: E402
+from calibrix.operators import fitting as FT  # noqa: E402
+from calibrix.operators import models as MD  # noqa: E402
+from calibrix.operators.calibration import calibration_mse, pit_rank  # noqa: E402
+from calibrix.operators.losses import batch_ids  # noqa: E402
+
+_CALIB_PARAMS = MD.init_calibration(42)
+# Share of embedding rows treated as unlabelled by the prediction step (M8).
+UNLABELLED_SHARE = 0.3
+# Train / eval cut of the embedding rows for fitting.
+FIT_TRAIN_SHARE = 0.8
+
+
+def _feats(spark, sf_dir):
+    return MD.features(_emb(spark, sf_dir))
+
+
+def _head_params(spark, sf_dir):
+    return MD.init_head(64)
+
+
+@register("score_head")
+def q_score_head(spark, sf_dir):
+    """M1: the Gaussian head over every embedding row (seeded weights), per Arrow batch."""
+    return MD.score_head(_feats(spark, sf_dir), _head_params(spark, sf_dir), keep=["vec_id", "label", "input_r"])
+
+
+@register("score_unlabelled")
+def q_score_unlabelled(spark, sf_dir):
+    """M8: prediction step with a nullable label; loss columns are null where the label is."""
+    f = _feats(spark, sf_dir).withColumn(
+        "label", F.when(uniform("unl", "vec_id") < UNLABELLED_SHARE, F.lit(None).cast("double")).otherwise(F.col("label")))
+    s = MD.score_head(f, _head_params(spark, sf_dir), keep=["vec_id", "label", "input_r"])
+    return s.select("vec_id", "label", "mean", "stddev",
+                    gaussian_nll("label", "mean", "stddev").alias("loss_nll"),
+                    F.abs(normal_cdf("label", "mean", "stddev") - F.col("input_r")).alias("loss_cdf"))
+
+
+_M2_MEAN, _M2_STD = MD.calibrated_sql(_CALIB_PARAMS)
+_CALIBRATED_CTE = ("calibrated AS (SELECT row_id, label, input_r, " + _GL
+                   + f", {_M2_MEAN} AS mean, {_M2_STD} AS stddev FROM predictions)")
+
+
+@register("score_calibrated", _with(O.predictions_cte(), _CALIBRATED_CTE)
+          + "SELECT row_id, round(mean, 6) AS mean, round(stddev, 6) AS stddev FROM calibrated")
+def q_score_calibrated(spark, sf_dir):
+    """M2: the calibration layer (fixed seeded weights) as column expressions over stored forecasts."""
+    return MD.score_calibrated(FX.predictions(spark, sf_dir), _CALIB_PARAMS).select("row_id", "mean", "stddev")
+
+
+@register("evaluate_calibrated", _with(O.predictions_cte(), _CALIBRATED_CTE, O.terms_cte(src="calibrated"),
+                                       O.group_metrics_ctes(DEFAULT_COEFFICIENT)) + O.gm_final())
+def q_evaluate_calibrated(spark, sf_dir):
+    """M6: group metrics (A11) after swapping in the calibrated forecasts."""
+    fc = MD.score_calibrated(FX.predictions(spark, sf_dir), _CALIB_PARAMS)
+    gm = G.group_metrics(fc, DEFAULT_COEFFICIENT)
+    return gm.select("group", "group_size", "n_rows", *O.GM_DOUBLES, "tn", "fp", "fn", "tp")
+
+
+@register("evaluate_forecasts", _wp(_GM, f"gl AS ({_gm_long_sql()})")
+          + f"SELECT CAST({EVAL_STEPS} AS BIGINT) AS step, 'eval_' || CASE WHEN \"group\" = '{OVERALL}' THEN metric "
+          "ELSE \"group\" || '_' || metric END AS key, round(value, 6) AS value FROM gl")
+def q_evaluate_forecasts(spark, sf_dir):
+    """M5: evaluation of a split's forecasts into the logged metric table (step, key, value)."""
+    from calibrix.functions.strings import metric_key, with_prefix
+
+    lg = _gm_long(spark, sf_dir)
+    key = with_prefix("eval", metric_key("eval", "group", "metric"))
+    return lg.select(F.lit(EVAL_STEPS).cast("bigint").alias("step"), key.alias("key"), "value")
+
+
+@register("fit_calibration")
+def q_fit_calibration(spark, sf_dir):
+    """M4: PIT-rank the forecasts, fit the calibration layer by SGD (batch 1000, one epoch, seeded
+    shuffle order), report the calibration error before and after."""
+    ranked = pit_rank(FX.predictions(spark, sf_dir))
+    ranked = batch_ids(ranked.withColumn("_sh", uniform("calib_shuffle", "row_id")), CALIB_BATCH_SIZE,
+                       order_key="_sh", unit_key=True)
+    fitted, _ = FT.fit_calibration(spark, ranked)
+    before = calibration_mse(MD.score_calibrated(ranked, _CALIB_PARAMS)).withColumn("stage", F.lit("before"))
+    after = calibration_mse(MD.score_calibrated(ranked, fitted)).withColumn("stage", F.lit("after"))
+    return before.unionByName(after).select("stage", "n_rows", "mse", "pit_grid_mse")
+
+
+def _fit_frames(spark, sf_dir):
+    f = _feats(spark, sf_dir).withColumn("_tr", uniform("fit_split", "vec_id") < FIT_TRAIN_SHARE)
+    return f.where("_tr").drop("_tr"), f.where(~F.col("_tr")).drop("_tr")
+
+
+@register("fit_head")
+def q_fit_head(spark, sf_dir):
+    """M3: full-batch Adam on the head with warm-up/decay, evaluation every 5 steps, patience 3;
+    returns the training log."""
+    tr, ev = _fit_frames(spark, sf_dir)
+    _, log = FT.fit_head(spark, tr, ev, [DEFAULT_COEFFICIENT], lr=1e-3, max_steps=30, eval_every=5)
+    return spark.createDataFrame(log.astype({"step": "int64"}), "coefficient double, step long, lr double, "
+                                 "train_loss double, eval_loss double")
+
+
+@register("sweep_fit")
+def q_sweep_fit(spark, sf_dir):
+    """M7: every coefficient of the sweep trained in the same gradient passes; best eval loss and
+    step per coefficient."""
+    tr, ev = _fit_frames(spark, sf_dir)
+    params, log = FT.fit_head(spark, tr, ev, SWEEP_COEFFICIENTS, lr=1e-3, max_steps=15, eval_every=5)
+    rows = [(float(a), int(p["best_step"]), float(p["best_eval_loss"]),
+             float(log[log["coefficient"] == a]["train_loss"].iloc[-1])) for a, p in params.items()]
+    return spark.createDataFrame(rows, "coefficient double, best_step long, best_eval_loss double, final_train_loss double")
