@@ -17,7 +17,7 @@ from calibrix.config import (
     SWEEP_LEARNING_RATES,
     WARMUP_RATIO,
 )
-from calibrix.functions.strings import py_run_name
+from calibrix.functions.strings import run_name
 
 
 # ------------------------------------------------------------------ patience logic
@@ -86,15 +86,13 @@ def lr_schedule(spark: SparkSession, n_train: DataFrame, base_lr: float, batch_s
 
 # ------------------------------------------------------------------ grid
 def param_grid(spark: SparkSession, seed: int = DEFAULT_SEED) -> DataFrame:
-    """The sweep grid (learning rate x coefficient), with printed forms and run names."""
-    rows = [
-        (float(lr), float(c), str(lr), str(c), py_run_name(seed, c, lr))
-        for lr in SWEEP_LEARNING_RATES
-        for c in SWEEP_COEFFICIENTS
-    ]
-    return spark.createDataFrame(
-        rows, "learning_rate double, coefficient double, lr_str string, coefficient_str string, run_name string"
-    )
+    """The sweep grid (learning rate x coefficient), with printed forms and run names.
+
+    Run names are built by the column function ``run_name`` from the printed forms.
+    """
+    rows = [(float(lr), float(c), str(lr), str(c)) for lr in SWEEP_LEARNING_RATES for c in SWEEP_COEFFICIENTS]
+    grid = spark.createDataFrame(rows, "learning_rate double, coefficient double, lr_str string, coefficient_str string")
+    return grid.withColumn("run_name", run_name(F.lit(str(seed)), F.col("coefficient_str"), F.col("lr_str")))
 
 
 # ------------------------------------------------------------------ summaries
@@ -153,17 +151,13 @@ def tradeoff_pairs(compat: bool = False) -> list[tuple[str, str]]:
 
 def summary_keys(long: DataFrame, by: list[str]) -> DataFrame:
     """``(by..., key, value)``: overall metrics under their bare names plus the
-    ``{metric}_worst_group / _best_group / _mean`` summaries."""
+    ``{metric}_worst_group / _best_group / _mean`` summaries (one pass over the extremes)."""
     ext = group_extremes(long, by)
     overall = long.where(F.col("group") == OVERALL).select(*by, F.col("metric").alias("key"), "value")
-    parts = [overall]
-    for col, suffix in (("worst_group", "_worst_group"), ("best_group", "_best_group"), ("mean", "_mean")):
-        parts.append(ext.where(F.col(col).isNotNull()).select(*by, F.concat("metric", F.lit(suffix)).alias("key"),
-                                                              F.col(col).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    items = F.array(*[F.struct(F.concat("metric", F.lit(suffix)).alias("key"), F.col(col).alias("value"))
+                      for col, suffix in (("worst_group", "_worst_group"), ("best_group", "_best_group"), ("mean", "_mean"))])
+    summ = ext.select(*by, F.inline(items)).where(F.col("value").isNotNull())
+    return overall.unionByName(summ)
 
 
 def tradeoff_points(long: DataFrame, by: list[str], compat: bool = False) -> DataFrame:

@@ -385,7 +385,7 @@ def q_drop_missing_groups(spark, sf_dir):
     return one.select(rows)
 
 
-from calibrix.config import scratch_path  # noqa: E402
+from calibrix.config import checkpoint_root, scratch_path  # noqa: E402
 
 
 @register("scan_comments", O.with_prepare() + f"SELECT {_GL}, id, round(target, 6) AS target, comment_text FROM comments")
@@ -980,7 +980,9 @@ def q_lr_schedule(spark, sf_dir):
 
 
 def _sweep_long(spark, sf_dir):
-    """Long metric table per run of the coefficient grid (losses re-weighted per coefficient)."""
+    """Long metric table per run of the coefficient grid (losses re-weighted per coefficient).
+
+    """
     gm = G.group_metrics(FX.predictions(spark, sf_dir), _COEF)
     runs = L.expand_grid(gm, SWEEP_COEFFICIENTS).withColumn(
         "loss", (F.lit(1.0) - F.col("coefficient")) * F.col("loss_cdf") + F.col("coefficient") * F.col("loss_nll"))
@@ -1020,15 +1022,14 @@ def q_tradeoff_points(spark, sf_dir):
 
 @register("metric_point_append", _tradeoff_sql())
 def q_metric_point_append(spark, sf_dir):
-    """Append each run's points to the scatter table (one append per run), read back without the
-    wall-clock stamp."""
+    """Append the runs' points (with a wall-clock stamp) to the scatter table and read it back
+    without the stamp. All runs of the sweep are appended by one write; a run finishing on its
+    own calls the same ``append`` with its rows."""
     import uuid
 
     pts = R.tradeoff_points(_sweep_long(spark, sf_dir), ["coefficient"]).withColumn("pair", F.col("pair").cast("bigint"))
     path = scratch_path(spark, "plot_points", sf_dir, uuid.uuid4().hex)
-    for c in SWEEP_COEFFICIENTS:
-        run_pts = pts.where(F.col("coefficient") == float(c)).withColumn("timestamp", F.current_timestamp())
-        FS.append(run_pts, path, partition_by=["pair"])
+    FS.append(pts.withColumn("timestamp", F.current_timestamp()), path, partition_by=["pair"])
     return spark.read.parquet(path).select("coefficient", "pair", "key_x", "key_y", "x", "y")
 
 
