@@ -17,14 +17,20 @@ from calibrix.operators.ranking import global_rank
 
 # Token pattern and special token ids.
 TOKEN_PATTERN = r"[^\s!-/:-@\[-`{-~]+"
+SEPARATOR_PATTERN = r"[\s!-/:-@\[-`{-~]+"
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 MIN_COUNT = 2
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, pos, token)`` for every token of every whole text."""
-    arr = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
+    """``(doc_id, pos, token)`` for every token of every whole text.
+
+    Tokens are the maximal runs matching ``TOKEN_PATTERN``; they are taken by splitting on runs of
+    the complementary class and dropping the empty ends (the same tokens, faster than extracting
+    every match).
+    """
+    arr = F.filter(F.split(F.lower(F.col(text_col)), SEPARATOR_PATTERN), lambda t: t != F.lit(""))
     return docs.select(id_col, F.posexplode(arr).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
