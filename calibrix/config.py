@@ -139,3 +139,16 @@ def rows_per_task(spark: SparkSession) -> int:
 def id_block(spark: SparkSession) -> int:
     """Width of the id blocks used to rank dense row ids (``calibrix.id_block``)."""
     return int(spark.conf.get("calibrix.id_block", os.environ.get("CALIBRIX_ID_BLOCK", "1048576")))
+
+
+def code_fingerprint() -> str:
+    """Digest of this package's source: part of cache keys, so a table cached by other code is
+    never read back."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    h = hashlib.sha1()
+    for dirpath, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(dirpath, f), "rb") as fh:
+                    h.update(f.encode() + fh.read())
+    return h.hexdigest()[:16]

@@ -419,7 +419,9 @@ def q_scan_splits(spark, sf_dir):
 @register("cached_dataset", O.with_prepare() + "SELECT id, split FROM splits")
 def q_cached_dataset(spark, sf_dir):
     """Read the prepared table if already built for these inputs, else build and save it."""
-    path = scratch_path(spark, "prepared_cache", sf_dir)
+    from calibrix.config import code_fingerprint
+
+    path = scratch_path(spark, "prepared_cache", sf_dir, code_fingerprint())
     return FS.materialize(spark, path, lambda: P.prepared_splits(FX.comments(spark, sf_dir))).select("id", "split")
 
 
