@@ -17,10 +17,9 @@ def pit_rank(fc: DataFrame, id_col: str = "row_id") -> DataFrame:
     would merge ties). ``n = 1`` gives q = 0.
     """
     t = fc.withColumn("_pit", normal_cdf("label", "mean", "stddev"))
-    n = t.count()
-    r = global_rank(t, "_pit", id_col, out="pos")
-    q = (F.col("pos") - 1) / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)
-    return r.select("*", q.alias("q"), clamp("_pit", PIT_CLIP, 1.0 - PIT_CLIP).alias("cdf"))
+    r = global_rank(t, "_pit", id_col, out="pos", total="_n")
+    q = F.when(F.col("_n") > 1, (F.col("pos") - 1) / (F.col("_n") - 1).cast("double")).otherwise(F.lit(0.0))
+    return r.select(*[c for c in r.columns if c != "_n"], q.alias("q"), clamp("_pit", PIT_CLIP, 1.0 - PIT_CLIP).alias("cdf"))
 
 
 def calibration_mse(ranked: DataFrame, mean: str = "mean", stddev: str = "stddev") -> DataFrame:

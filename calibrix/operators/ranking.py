@@ -29,6 +29,8 @@ MAX_BUCKETS = 100_000
 # Buckets for keys uniform on [0, 1) (hash positions): fixed, so no counting pass is needed. At
 # 10^12 rows a bucket holds ~10^6 rows; the offset table never exceeds 2^20 rows per partition key.
 UNIT_BUCKETS = 1 << 20
+# Quantiles of the key taken in the same pass as the row count; cut points are picked from them.
+QUANTILE_GRID = 1024
 
 
 def _join_offsets(b: DataFrame, offsets: DataFrame, part: list[str], bcols: list[str]) -> DataFrame:
@@ -74,9 +76,13 @@ def bucketize(
         return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
     spark = df.sparkSession
     rpb = rows_per_bucket or rows_per_task(spark)
+    # One pass gives the row count, the id range and a fixed grid of quantiles of the key.
     aggs = [F.count(F.lit(1)).alias("n")]
     if id_col is not None:
         aggs += [F.min(id_col).alias("lo"), F.max(id_col).alias("hi")]
+    if not unit_interval:
+        grid_probs = [i / QUANTILE_GRID for i in range(1, QUANTILE_GRID)]
+        aggs.append(F.percentile_approx(F.col(key), grid_probs, 4 * QUANTILE_GRID).alias("grid"))
     stats = df.agg(*aggs).first()
     n = int(stats["n"])
     k = _bucket_count(n, rpb)
@@ -86,8 +92,12 @@ def bucketize(
         # Keys are (close to) uniform on [0, 1): equal-width cut points are equal-count.
         b1 = F.least(F.greatest(F.floor(F.col(key) * k), F.lit(0)), F.lit(k - 1)).cast("int")
         return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
-    probs = [i / k for i in range(1, k)]
-    cuts = df.approxQuantile(key, probs, 1.0 / (4 * k))
+    if k <= QUANTILE_GRID:
+        grid = stats["grid"]
+        cuts = [grid[min(len(grid), max(1, round(j * QUANTILE_GRID / k))) - 1] for j in range(1, k)]
+    else:
+        # Beyond the grid (more than QUANTILE_GRID buckets): a second pass for the exact cut count.
+        cuts = df.approxQuantile(key, [i / k for i in range(1, k)], 1.0 / (4 * k))
     values, counts = np.unique(np.asarray(cuts, dtype=float), return_counts=True)
     hot = values[counts >= 2]
     splits = set(values.tolist())
