@@ -13,14 +13,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
+    """Round-robin a tiny scan that yields fewer splits than the cluster has cores.
 
     A small file written as one row group is read by one task however many cores there are, and
     all the narrow work after it (hashing, tokenising) stays in that task. The check is on the
-    planned split count (no job runs); a large input already has at least one split per core, so
-    it is never reshuffled. Filters and column pruning still reach the scan below the exchange.
+    planned split count (no job runs) and only fires for scans of fewer than
+    ``calibrix.spread_max_splits`` splits (default 16, i.e. inputs of about 2 GB at most), so a large
+    table is never reshuffled for this, however many cores the cluster has. Filters and column
+    pruning still reach the scan below the exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    spark = df.sparkSession
+    limit = int(spark.conf.get("calibrix.spread_max_splits", "16"))
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as is
+        return df
+    if splits < min(cores, limit):
+        return df.repartition(min(cores, limit * 8))
     return df
