@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrix.config import DEFAULT_COEFFICIENT, GROUPS, MIN_GROUP_SIZE, NULL_SENTINEL, OVERALL, id_block
 from calibrix.operators.losses import forecast_terms, loss_aggs
 from calibrix.operators.ranking import global_rank
+from calibrix.sources.files import written
 
 
 def member_condition(value) -> "F.Column":
@@ -96,6 +97,38 @@ def _metrics_from(df: DataFrame, by: list, coefficient: float) -> DataFrame:
     return agg.select("*", *classification_columns())
 
 
+def _sufficient_aggs() -> list:
+    """Additive per-row statistics from which every metric of a set of rows is finished."""
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.sum("cdf_gap").alias("s_cdf"),
+        F.sum("nll").alias("s_nll"),
+        F.sum("stddev").alias("s_std"),
+        *confusion_aggs(),
+    ]
+
+
+_STAT_COLS = ["n", "s_cdf", "s_nll", "s_std", "tn", "fp", "fn", "tp"]
+
+
+def _sum_stats(df: DataFrame, by: list) -> DataFrame:
+    return df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _STAT_COLS])
+
+
+def _finish_metrics(stats: DataFrame, coefficient: float) -> DataFrame:
+    n = F.col("n").cast("double")
+    cdf, nll = F.col("s_cdf") / n, F.col("s_nll") / n
+    return stats.select(
+        "*",
+        F.col("n").alias("n_rows"),
+        (F.lit(1.0 - coefficient) * cdf + F.lit(coefficient) * nll).alias("loss"),
+        cdf.alias("loss_cdf"),
+        (F.col("s_std") / n).alias("loss_stddev"),
+        nll.alias("loss_nll"),
+        *classification_columns(),
+    )
+
+
 def group_metrics(
     fc: DataFrame,
     coefficient: float = DEFAULT_COEFFICIENT,
@@ -103,21 +136,72 @@ def group_metrics(
     min_size: int = MIN_GROUP_SIZE,
     use_sample: bool = False,
     by: list[str] | tuple = (),
+    id_col: str = "row_id",
 ) -> DataFrame:
     """Wide metric table: one row per kept group (balanced subset) plus the ``ALL`` row (whole
-    table, unbalanced). ``by`` adds outer keys (e.g. a run id) to every aggregate."""
+    table, unbalanced). ``by`` adds outer keys (e.g. a run id) to every aggregate.
+
+    Two passes over the forecasts, and only boundary rows are shuffled:
+
+    1. every row is emitted once for ``ALL`` and once per member group, tagged with its id block
+       (``floor(row_id / B)``), and aggregated to additive statistics per
+       ``(group, class, block)``: a table of groups x 2 x blocks rows. Class sizes, the ``ALL``
+       row, per-block offsets and the statistics of every block that lies wholly inside the
+       balanced subset (the first ``min(n0, n1)`` rows of each class in id order) come from it.
+    2. only rows of the one block per (group, class) that straddles the cut are ranked (inside
+       that block, so at most B rows per task) and added to the full blocks.
+    """
     by = list(by)
+    block = id_block(fc.sparkSession)
     t = forecast_terms(fc, use_sample=use_sample)
-    bal = balanced_members(group_members(t, groups), min_size, by=by)
-    per_group = _metrics_from(bal, by + ["group"], coefficient).withColumn(
-        "group_size", (F.col("n_rows") / 2).cast("bigint")
+    items = [F.lit(OVERALL)] + [F.when(member_condition(g), F.lit(g)) for g in groups]
+    cols = [*by, id_col, "target_label", "pred_label", "cdf_gap", "nll", "stddev"]
+    e = t.select(*cols, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("group")).withColumn(
+        "_blk", F.floor(F.col(id_col) / F.lit(block)).cast("bigint"))
+    per_block = e.groupBy(*by, "group", "target_label", "_blk").agg(*_sufficient_aggs())
+
+    # Sizes and block offsets by windows over the small per-block table, then ONE aggregate per
+    # (group) gives: the statistics of the blocks wholly inside the subset (all blocks for ALL),
+    # and, per class, the straddling block and how many of its rows are still needed. Every later
+    # use reads this one result, so its plan is shared rather than re-derived per branch.
+    lab = F.col("target_label")
+    wg = Window.partitionBy(*by, "group")
+    wc = Window.partitionBy(*by, "group", "target_label").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    pb = per_block.select(
+        "*",
+        F.sum(F.when(lab == 0, F.col("n")).otherwise(0)).over(wg).alias("_n0"),
+        F.sum(F.when(lab == 1, F.col("n")).otherwise(0)).over(wg).alias("_n1"),
+        F.coalesce(F.sum("n").over(wc), F.lit(0)).alias("_off"),
     )
-    overall = _metrics_from(t, by, coefficient).select(
-        "*", F.lit(OVERALL).alias("group"), F.lit(None).cast("bigint").alias("group_size")
+    is_all = F.col("group") == OVERALL
+    k = F.least("_n0", "_n1")
+    full = is_all | (F.col("_off") + F.col("n") <= k)
+    edge = ~is_all & (F.col("_off") < k) & (F.col("_off") + F.col("n") > k)
+    res = pb.withColumn("_need", k - F.col("_off")).groupBy(*by, "group").agg(
+        F.when(F.first(is_all), F.lit(None)).otherwise(F.first(k)).cast("bigint").alias("group_size"),
+        *[F.coalesce(F.sum(F.when(full, F.col(c))), F.lit(0)).alias(c) for c in _STAT_COLS],
+        *[F.max(F.when(edge & (lab == c), F.col(x))).alias(f"{x}{c}") for c in (0, 1) for x in ("_blk", "_need")],
     )
-    cols = by + ["group", "group_size", "n_rows", "loss", "loss_cdf", "loss_stddev", "loss_nll",
-                 "tn", "fp", "fn", "tp", "Recall", "FPR", "Precision", "F1", "Accuracy"]
-    return per_group.select(*cols).unionByName(overall.select(*cols))
+    res = res.where(F.col("group_size").isNull() | (F.col("group_size") >= min_size))
+    # A few rows per outer key; written once so both uses below read it instead of re-deriving it.
+    res = written(res, "group_metrics_blocks")
+
+    # Pass 2: rows of the straddling blocks only (at most 2 per group), ranked inside the block.
+    edges = res.select(*by, "group", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("target_label"), F.col(f"_blk{c}").alias("_blk"), F.col(f"_need{c}").alias("_need"))
+        for c in (0, 1)]))).where(F.col("_blk").isNotNull())
+    edge_rows = e.join(edges if by else F.broadcast(edges), [*by, "group", "target_label", "_blk"], "inner")
+    w_in = Window.partitionBy(*by, "group", "target_label", "_blk").orderBy(id_col)
+    partial = edge_rows.withColumn("_pos", F.row_number().over(w_in)).where(F.col("_pos") <= F.col("_need"))
+    part_stats = partial.groupBy(*by, "group").agg(*_sufficient_aggs())
+
+    ps = part_stats.select(*by, "group", *[F.col(c).alias(f"_p_{c}") for c in _STAT_COLS])
+    tot = res.join(ps, [*by, "group"], "left").select(
+        *by, "group", "group_size",
+        *[(F.col(c) + F.coalesce(F.col(f"_p_{c}"), F.lit(0))).alias(c) for c in _STAT_COLS])
+    out_cols = by + ["group", "group_size", "n_rows", "loss", "loss_cdf", "loss_stddev", "loss_nll",
+                     "tn", "fp", "fn", "tp", "Recall", "FPR", "Precision", "F1", "Accuracy"]
+    return _finish_metrics(tot, coefficient).select(*out_cols)
 
 
 def metrics_long(wide: DataFrame, metrics: list[str], by: list[str] | tuple = ()) -> DataFrame:

@@ -69,3 +69,20 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a table under the shared checkpoint folder and read it back.
+
+    For small intermediate results read by several branches of a plan: the branches then scan
+    the written table instead of each re-deriving it from the source (which the optimizer cannot
+    share once column pruning has made the branches differ). Runs one job.
+    """
+    import uuid
+
+    from calibrix.config import scratch_path
+
+    spark = df.sparkSession
+    path = scratch_path(spark, name, uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -209,3 +209,15 @@ def test_pit_of_true_model_draws_is_uniform(spark):
 
     err = calibration_mse(pit_rank(fc)).first()["pit_grid_mse"]
     assert err < 1e-3  # PIT ranks hug the uniform grid
+
+
+def test_group_metrics_same_with_many_id_blocks(spark):
+    fc = _forecasts(spark, 700, seed=11)
+    one = G.group_metrics(fc, min_size=5).orderBy("group").collect()
+    spark.conf.set("calibrix.id_block", "13")
+    try:
+        many = G.group_metrics(fc, min_size=5).orderBy("group").collect()
+    finally:
+        spark.conf.unset("calibrix.id_block")
+    r9 = lambda rows: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
+    assert r9(one) == r9(many)
