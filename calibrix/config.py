@@ -79,6 +79,9 @@ def get_session(master: str | None = None, app: str = "calibrix", **conf) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Generated-code cache: a session running many query shapes keeps their compiled stages
+        # (the default of 100 entries is exceeded by a few multi-stage queries, forcing recompiles).
+        "spark.sql.codegen.cache.maxEntries": "2000",
         "spark.driver.memory": "16g",
     }
     defaults.update(conf)

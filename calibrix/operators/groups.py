@@ -33,6 +33,13 @@ def group_members(df: DataFrame, groups: list[str] = GROUPS, keep: list[str] | N
     return df.select(*keep, F.inline(F.filter(arr, lambda s: member_condition(s["gval"]))))
 
 
+def with_scopes(df: DataFrame, keep: list[str], groups: list[str] = GROUPS) -> DataFrame:
+    """``keep`` columns plus ``group``: each row once as ``ALL`` and once per member group, in one
+    pass (``explode`` of a filtered array; no union that would derive ``df`` twice)."""
+    items = [F.lit(OVERALL)] + [F.when(member_condition(g), F.lit(g)) for g in groups]
+    return df.select(*keep, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("group"))
+
+
 def class_counts(members: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
     """Per group: members of class 0 and class 1 (by ``target_label``)."""
     return members.groupBy(*by, "group").agg(
@@ -154,10 +161,8 @@ def group_metrics(
     by = list(by)
     block = id_block(fc.sparkSession)
     t = forecast_terms(fc, use_sample=use_sample)
-    items = [F.lit(OVERALL)] + [F.when(member_condition(g), F.lit(g)) for g in groups]
     cols = [*by, id_col, "target_label", "pred_label", "cdf_gap", "nll", "stddev"]
-    e = t.select(*cols, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("group")).withColumn(
-        "_blk", F.floor(F.col(id_col) / F.lit(block)).cast("bigint"))
+    e = with_scopes(t, cols, groups).withColumn("_blk", F.floor(F.col(id_col) / F.lit(block)).cast("bigint"))
     per_block = e.groupBy(*by, "group", "target_label", "_blk").agg(*_sufficient_aggs())
 
     # Sizes and block offsets by windows over the small per-block table, then ONE aggregate per

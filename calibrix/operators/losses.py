@@ -92,6 +92,18 @@ def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = ()) -> Da
     """
     by = list(by)
     pooled = xs.select(*by, "v", F.lit(1).alias("_ix")).unionByName(ys.select(*by, "v", F.lit(0).alias("_ix")))
+    return _pairwise_from_pooled(pooled, by)
+
+
+def pairwise_gap_cols(df: DataFrame, x: str, y: str, by: list[str] | tuple = ()) -> DataFrame:
+    """``pairwise_gap`` for x and y taken from two columns of one frame (pooled in one pass)."""
+    by = list(by)
+    pooled = df.select(*by, F.inline(F.array(F.struct(F.col(x).alias("v"), F.lit(1).alias("_ix")),
+                                             F.struct(F.col(y).alias("v"), F.lit(0).alias("_ix")))))
+    return _pairwise_from_pooled(pooled, by)
+
+
+def _pairwise_from_pooled(pooled: DataFrame, by: list[str]) -> DataFrame:
     per = pooled.groupBy(*by, "v").agg(
         F.count(F.when(F.col("_ix") == 1, 1)).alias("cx"),
         F.sum(F.when(F.col("_ix") == 1, F.col("v")).otherwise(0.0)).alias("sx"),
@@ -126,9 +138,8 @@ def batch_losses(fc: DataFrame, batch_size: int, coefficient: float = DEFAULT_CO
     """Per batch: rows, mean losses, and the all-pairs cdf loss inside the batch (compat form)."""
     t = forecast_terms(batch_ids(fc, batch_size))
     per = t.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), *loss_aggs(coefficient))
-    pairs = pairwise_gap(
-        t.select("batch_id", F.col("cdf").alias("v")), t.select("batch_id", F.col("input_r").alias("v")), by=["batch_id"]
-    ).select("batch_id", F.col("pairwise_gap").alias("loss_cdf_pairs"))
+    pairs = pairwise_gap_cols(t, "cdf", "input_r", by=["batch_id"]).select(
+        "batch_id", F.col("pairwise_gap").alias("loss_cdf_pairs"))
     return per.join(pairs, "batch_id")
 
 

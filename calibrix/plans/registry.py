@@ -694,10 +694,7 @@ _AUC_FINAL = (
 )
 def q_auc_full(spark, sf_dir):
     """Exact ROC AUC of the clipped mean against the binarised label: overall and per group."""
-    t = _terms(spark, sf_dir)
-    m = G.group_members(t, keep=["row_id", "pred_value", "target_label"])
-    sc = t.select(F.lit(OVERALL).alias("group"), "pred_value", "target_label").unionByName(
-        m.select("group", "pred_value", "target_label"))
+    sc = G.with_scopes(_terms(spark, sf_dir), ["pred_value", "target_label"])
     return AU.auc(sc, by=["group"])
 
 
@@ -749,10 +746,8 @@ def q_group_background(spark, sf_dir):
 def q_pairwise_gap(spark, sf_dir):
     """Mean |PIT_i - r_j| over all pairs (the broadcast-shaped cdf loss), overall and per group,
     by the sorted-gap identity (the oracle enumerates the pairs)."""
-    t = _terms(spark, sf_dir)
-    m = G.group_members(t, keep=["cdf", "input_r"])
-    sc = t.select(F.lit(OVERALL).alias("group"), "cdf", "input_r").unionByName(m.select("group", "cdf", "input_r"))
-    return L.pairwise_gap(sc.select("group", F.col("cdf").alias("v")), sc.select("group", F.col("input_r").alias("v")), by=["group"])
+    sc = G.with_scopes(_terms(spark, sf_dir), ["cdf", "input_r"])
+    return L.pairwise_gap_cols(sc, "cdf", "input_r", by=["group"])
 
 
 _B = EVAL_BATCH_SIZE
