@@ -221,3 +221,14 @@ def test_group_metrics_same_with_many_id_blocks(spark):
         spark.conf.unset("calibrix.id_block")
     r9 = lambda rows: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
     assert r9(one) == r9(many)
+
+
+def test_exact_normal_cdf(spark):
+    zs = [i / 7.0 for i in range(-40, 41)]
+    df = spark.createDataFrame([(z,) for z in zs], "z double")
+    rows = df.select(normal_cdf(F.col("z"), F.lit(0.0), F.lit(1.0), exact=True).alias("e"),
+                     normal_cdf(F.col("z"), F.lit(0.0), F.lit(1.0)).alias("p")).collect()
+    for z, r in zip(zs, rows):
+        exact = 0.5 * (1 + math.erf(z / math.sqrt(2)))
+        assert abs(r["e"] - exact) < 1e-15
+        assert abs(r["p"] - r["e"]) < 2e-7
