@@ -106,6 +106,10 @@ def checkpoint_root(spark: SparkSession) -> str:
             sc.setCheckpointDir(root)
             root = sc.getCheckpointDir() or root
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: streams, written "
+                               "intermediate tables and checkpoints need storage every executor sees")
+        # Local sessions (tests) only: a private folder on this machine.
         root = tempfile.mkdtemp(prefix="calibrix-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
