@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrix.config import DEFAULT_COEFFICIENT, LABEL_THRESHOLD
@@ -95,22 +95,29 @@ def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = ()) -> Da
     return _pairwise_from_pooled(pooled, by)
 
 
-def pairwise_gap_cols(df: DataFrame, x: str, y: str, by: list[str] | tuple = ()) -> DataFrame:
-    """``pairwise_gap`` for x and y taken from two columns of one frame (pooled in one pass)."""
+def pairwise_gap_cols(df: DataFrame, x: str, y: str, by: list[str] | tuple = (), bounded_groups: bool = False) -> DataFrame:
+    """``pairwise_gap`` for x and y taken from two columns of one frame (pooled in one pass).
+
+    ``bounded_groups``: every ``by`` group holds a bounded number of rows (e.g. batches of B), so
+    the running sums are a plain window per group instead of the bucketed prefix sum."""
     by = list(by)
     pooled = df.select(*by, F.inline(F.array(F.struct(F.col(x).alias("v"), F.lit(1).alias("_ix")),
                                              F.struct(F.col(y).alias("v"), F.lit(0).alias("_ix")))))
-    return _pairwise_from_pooled(pooled, by)
+    return _pairwise_from_pooled(pooled, by, bounded_groups)
 
 
-def _pairwise_from_pooled(pooled: DataFrame, by: list[str]) -> DataFrame:
+def _pairwise_from_pooled(pooled: DataFrame, by: list[str], bounded_groups: bool = False) -> DataFrame:
     per = pooled.groupBy(*by, "v").agg(
         F.count(F.when(F.col("_ix") == 1, 1)).alias("cx"),
         F.sum(F.when(F.col("_ix") == 1, F.col("v")).otherwise(0.0)).alias("sx"),
         F.count(F.when(F.col("_ix") == 0, 1)).alias("cy"),
         F.sum(F.when(F.col("_ix") == 0, F.col("v")).otherwise(0.0)).alias("sy"),
     )
-    ps = prefix_sum(per, "v", ["cx", "sx", "cy", "sy"], partition_by=by, strict=True)
+    if bounded_groups and by:
+        w = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        ps = per.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_below") for c in ("cx", "sx", "cy", "sy")])
+    else:
+        ps = prefix_sum(per, "v", ["cx", "sx", "cy", "sy"], partition_by=by, strict=True)
     contrib = F.col("cx") * (F.col("v") * F.col("cy_below") - F.col("sy_below")) + F.col("cy") * (
         F.col("v") * F.col("cx_below") - F.col("sx_below")
     )
@@ -138,7 +145,7 @@ def batch_losses(fc: DataFrame, batch_size: int, coefficient: float = DEFAULT_CO
     """Per batch: rows, mean losses, and the all-pairs cdf loss inside the batch (compat form)."""
     t = forecast_terms(batch_ids(fc, batch_size))
     per = t.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), *loss_aggs(coefficient))
-    pairs = pairwise_gap_cols(t, "cdf", "input_r", by=["batch_id"]).select(
+    pairs = pairwise_gap_cols(t, "cdf", "input_r", by=["batch_id"], bounded_groups=True).select(
         "batch_id", F.col("pairwise_gap").alias("loss_cdf_pairs"))
     return per.join(pairs, "batch_id")
 
