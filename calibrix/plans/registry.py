@@ -634,10 +634,13 @@ def q_metric_suffix_filter(spark, sf_dir):
     return out
 
 
-_GRID_VALUES = ", ".join(f"({lr!r}{_D}, {c!r}{_D}, '{name}')" for lr, c, name in [
-    (lr, c, __import__("calibrix.functions.strings", fromlist=["py_run_name"]).py_run_name(42, c, lr))
-    for lr in __import__("calibrix.config", fromlist=["SWEEP_LEARNING_RATES"]).SWEEP_LEARNING_RATES for c in SWEEP_COEFFICIENTS
-])
+from calibrix.config import SWEEP_LEARNING_RATES  # noqa: E402
+from calibrix.functions.strings import py_run_name  # noqa: E402
+
+# The grid as SQL VALUES; run names by the Python form (the Spark side builds them with the column
+# function, so the oracle checks one against the other).
+_GRID_VALUES = ", ".join(f"({lr!r}{_D}, {c!r}{_D}, '{py_run_name(42, c, lr)}')"
+                         for lr in SWEEP_LEARNING_RATES for c in SWEEP_COEFFICIENTS)
 
 
 @register(
