@@ -50,3 +50,23 @@ def test_prefix_sum(spark, small_buckets, strict):
     m = got.merge(pdf, on=["p", "k"])
     assert len(m) == len(rows)
     assert (m["c_below"] == m["exp"]).all()
+
+
+def test_hot_key_is_split_across_buckets(spark):
+    """A key value holding a third of the rows gets its own buckets, split by id: no bucket holds
+    much more than the per-bucket bound."""
+    from calibrix.operators.ranking import bucketize
+
+    rnd = random.Random(2)
+    n = 3000
+    rows = [(i, 0.25 if i % 3 == 0 else rnd.random()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, k double")
+    b, cols = bucketize(df, "k", "id", rows_per_bucket=100)
+    sizes = [r["count"] for r in b.groupBy(*cols).count().collect()]
+    assert max(sizes) <= 3 * 100, max(sizes)
+    hot = b.where("k = 0.25").select(*cols).distinct().count()
+    assert hot >= 5  # the 1,000 hot rows are spread over several buckets
+    ranked = global_rank(df, "k", "id", out="r", rows_per_bucket=100).toPandas()
+    exp = sorted(rows, key=lambda t: (t[1], t[0]))
+    pos = {t[0]: i + 1 for i, t in enumerate(exp)}
+    assert all(ranked["r"] == ranked["id"].map(pos))
