@@ -18,13 +18,16 @@ from calibrix.operators.groups import member_condition
 from calibrix.operators.ranking import prefix_sum
 
 
-def auc(df: DataFrame, score: str = "pred_value", label: str = "target_label", by: list[str] | tuple = ()) -> DataFrame:
+def auc(df: DataFrame, score: str = "pred_value", label: str = "target_label", by: list[str] | tuple = (),
+        unit_scores: bool = False) -> DataFrame:
+    """``unit_scores``: scores lie in [0, 1] (the clamped prediction), so the prefix sum uses fixed
+    buckets and needs no planning pass over the data."""
     by = list(by)
     per = df.groupBy(*by, F.col(score).alias("_s")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("_pos"),
         F.count(F.when(F.col(label) == 0, 1)).alias("_neg"),
     )
-    ps = prefix_sum(per, "_s", ["_neg"], partition_by=by, strict=True)
+    ps = prefix_sum(per, "_s", ["_neg"], partition_by=by, strict=True, unit_interval=unit_scores)
     return ps.groupBy(*by).agg(
         F.sum("_pos").alias("n_pos"),
         F.sum("_neg").alias("n_neg"),

@@ -83,7 +83,7 @@ def best_alpha(sweep: DataFrame) -> DataFrame:
     )
 
 
-def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
+def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = (), unit_values: bool = False) -> DataFrame:
     """mean over all pairs (i, j) of |x_i - y_j| per ``by`` key, in O(n log n) without pairs.
 
     Inputs have columns ``by + [v]``. The pooled values are grouped by distinct value and a
@@ -92,21 +92,24 @@ def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = ()) -> Da
     """
     by = list(by)
     pooled = xs.select(*by, "v", F.lit(1).alias("_ix")).unionByName(ys.select(*by, "v", F.lit(0).alias("_ix")))
-    return _pairwise_from_pooled(pooled, by)
+    return _pairwise_from_pooled(pooled, by, unit_values=unit_values)
 
 
-def pairwise_gap_cols(df: DataFrame, x: str, y: str, by: list[str] | tuple = (), bounded_groups: bool = False) -> DataFrame:
+def pairwise_gap_cols(df: DataFrame, x: str, y: str, by: list[str] | tuple = (), bounded_groups: bool = False,
+                      unit_values: bool = False) -> DataFrame:
     """``pairwise_gap`` for x and y taken from two columns of one frame (pooled in one pass).
 
     ``bounded_groups``: every ``by`` group holds a bounded number of rows (e.g. batches of B), so
-    the running sums are a plain window per group instead of the bucketed prefix sum."""
+    the running sums are a plain window per group instead of the bucketed prefix sum.
+    ``unit_values``: values lie in [0, 1] (probabilities), so the prefix sum needs no planning pass."""
     by = list(by)
     pooled = df.select(*by, F.inline(F.array(F.struct(F.col(x).alias("v"), F.lit(1).alias("_ix")),
                                              F.struct(F.col(y).alias("v"), F.lit(0).alias("_ix")))))
-    return _pairwise_from_pooled(pooled, by, bounded_groups)
+    return _pairwise_from_pooled(pooled, by, bounded_groups, unit_values)
 
 
-def _pairwise_from_pooled(pooled: DataFrame, by: list[str], bounded_groups: bool = False) -> DataFrame:
+def _pairwise_from_pooled(pooled: DataFrame, by: list[str], bounded_groups: bool = False,
+                          unit_values: bool = False) -> DataFrame:
     per = pooled.groupBy(*by, "v").agg(
         F.count(F.when(F.col("_ix") == 1, 1)).alias("cx"),
         F.sum(F.when(F.col("_ix") == 1, F.col("v")).otherwise(0.0)).alias("sx"),
@@ -117,7 +120,7 @@ def _pairwise_from_pooled(pooled: DataFrame, by: list[str], bounded_groups: bool
         w = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
         ps = per.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_below") for c in ("cx", "sx", "cy", "sy")])
     else:
-        ps = prefix_sum(per, "v", ["cx", "sx", "cy", "sy"], partition_by=by, strict=True)
+        ps = prefix_sum(per, "v", ["cx", "sx", "cy", "sy"], partition_by=by, strict=True, unit_interval=unit_values)
     contrib = F.col("cx") * (F.col("v") * F.col("cy_below") - F.col("sy_below")) + F.col("cy") * (
         F.col("v") * F.col("cx_below") - F.col("sx_below")
     )

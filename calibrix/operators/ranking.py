@@ -165,14 +165,17 @@ def prefix_sum(
     strict: bool = True,
     suffix: str = "_below",
     rows_per_bucket: int | None = None,
+    unit_interval: bool = False,
 ) -> DataFrame:
     """Running sums of ``sum_cols`` in ``key`` order within ``partition_by``.
 
     ``key`` must be unique inside a partition (callers group by the key first). ``strict=True``
     gives sums over rows strictly below the current key; otherwise up to and including it.
+    ``unit_interval``: keys lie in [0, 1] (probabilities, clamped scores). Because each key occurs
+    once per partition, a hot value is one row here, so fixed fine buckets need no planning pass.
     """
     part = list(partition_by)
-    b, bcols = bucketize(df, key, None, False, rows_per_bucket)
+    b, bcols = bucketize(df, key, None, unit_interval, rows_per_bucket)
     tot = b.groupBy(*part, *bcols).agg(*[F.sum(c).alias(f"_ps_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*part).orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select(

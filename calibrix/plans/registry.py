@@ -698,7 +698,7 @@ _AUC_FINAL = (
 def q_auc_full(spark, sf_dir):
     """Exact ROC AUC of the clipped mean against the binarised label: overall and per group."""
     sc = G.with_scopes(_terms(spark, sf_dir), ["pred_value", "target_label"])
-    return AU.auc(sc, by=["group"])
+    return AU.auc(sc, by=["group"], unit_scores=True)  # pred_value is clamped to [0, 1]
 
 
 def _bg_sql(kind: str) -> str:
@@ -717,7 +717,7 @@ for _kind in ("bpsn", "bnsp"):
     def _mk(kind):
         def fn(spark, sf_dir):
             bg = AU.background_subgroup(_terms(spark, sf_dir), kind)
-            return AU.auc(bg, by=["group"])
+            return AU.auc(bg, by=["group"], unit_scores=True)
 
         fn.__doc__ = f"{kind.upper()} AUC per group (background/subgroup mix of opposite classes)."
         register(f"auc_{kind}", _wp(f"sc AS ({_bg_sql(kind)})", _auc_from("sc")) + _AUC_FINAL)(fn)
@@ -750,7 +750,7 @@ def q_pairwise_gap(spark, sf_dir):
     """Mean |PIT_i - r_j| over all pairs (the broadcast-shaped cdf loss), overall and per group,
     by the sorted-gap identity (the oracle enumerates the pairs)."""
     sc = G.with_scopes(_terms(spark, sf_dir), ["cdf", "input_r"])
-    return L.pairwise_gap_cols(sc, "cdf", "input_r", by=["group"])
+    return L.pairwise_gap_cols(sc, "cdf", "input_r", by=["group"], unit_values=True)
 
 
 _B = EVAL_BATCH_SIZE
