@@ -541,7 +541,9 @@ def _gm_long_sql(src="gm", metrics=METRIC_NAMES) -> str:
 
 
 def _gm_long(spark, sf_dir):
-    gm = G.group_metrics(FX.predictions(spark, sf_dir), _COEF)
+    """Long metric table; the wide table (one row per group) is written once, since the summaries
+    built on it read it from several branches."""
+    gm = FS.written(G.group_metrics(FX.predictions(spark, sf_dir), _COEF), "group_metrics")
     return G.metrics_long(gm, METRIC_NAMES)
 
 
@@ -982,8 +984,9 @@ def q_lr_schedule(spark, sf_dir):
 def _sweep_long(spark, sf_dir):
     """Long metric table per run of the coefficient grid (losses re-weighted per coefficient).
 
-    """
-    gm = G.group_metrics(FX.predictions(spark, sf_dir), _COEF)
+    The wide group table (one row per group) is written once: the trade-off summaries read it from
+    several branches."""
+    gm = FS.written(G.group_metrics(FX.predictions(spark, sf_dir), _COEF), "group_metrics")
     runs = L.expand_grid(gm, SWEEP_COEFFICIENTS).withColumn(
         "loss", (F.lit(1.0) - F.col("coefficient")) * F.col("loss_cdf") + F.col("coefficient") * F.col("loss_nll"))
     return G.metrics_long(runs, METRIC_NAMES, by=["coefficient"])
