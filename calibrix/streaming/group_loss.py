@@ -74,3 +74,14 @@ def stream_group_loss(fc_stream: DataFrame, out_path: str, checkpoint: str, mode
     w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def watermark_drops(query) -> int:
+    """Inputs the stateful aggregate discarded as later than the watermark, summed over the
+    progress reports the query still holds. Spark counts them after partial aggregation, so this
+    is a count of dropped partial groups (a lower bound on dropped rows), not of raw rows."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else []:
+            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
+    return total

@@ -25,6 +25,7 @@ def _append_run(spark, reverse):
     q = SG.stream_group_loss(FX.forecasts_from_events(stream, keep_ts=True), f"{d}/out", f"{d}/ckpt", mode="append")
     q.awaitTermination()
     out = spark.read.parquet(f"{d}/out").where(F.col("group") == "ALL")
+    _append_run.drops = SG.watermark_drops(q)
     return {r["window_start"]: r["n_rows"] for r in out.collect()}, ev
 
 
@@ -40,8 +41,10 @@ def test_append_in_order_matches_batch_on_closed_windows(spark):
 
 def test_append_out_of_order_drops_late_rows(spark):
     in_order, ev = _append_run(spark, reverse=False)
+    assert _append_run.drops == 0
     late, _ = _append_run(spark, reverse=True)
     assert sum(late.values()) < sum(in_order.values())
+    assert _append_run.drops > 0  # reported by the state operator
 
 
 def test_stream_early_stop_equals_batch(spark):
