@@ -26,9 +26,21 @@ _B1 = "_rk_b1"
 _B2 = "_rk_b2"
 # Upper bound on the number of buckets (the offset table stays small enough to broadcast).
 MAX_BUCKETS = 100_000
-# Buckets for keys uniform on [0, 1) (hash positions): fixed, so no counting pass is needed. At
-# 10^12 rows a bucket holds ~10^6 rows; the offset table never exceeds 2^20 rows per partition key.
+# Buckets for keys on [0, 1] (hash positions, probabilities): chosen without a pass over the data,
+# from the configured shuffle parallelism (which a job sizes to its data): 64 buckets per shuffle
+# partition, between 2^10 and 2^20. At 10^12 rows and 2^20 buckets a bucket holds ~10^6 rows; the
+# offset table never exceeds 2^20 rows per partition key. ``calibrix.unit_buckets`` overrides it.
+UNIT_BUCKETS_MIN = 1 << 10
 UNIT_BUCKETS = 1 << 20
+UNIT_BUCKETS_PER_SHUFFLE_PARTITION = 64
+
+
+def unit_bucket_count(spark) -> int:
+    fixed = spark.conf.get("calibrix.unit_buckets", None)
+    if fixed:
+        return int(fixed)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return int(min(UNIT_BUCKETS, max(UNIT_BUCKETS_MIN, parts * UNIT_BUCKETS_PER_SHUFFLE_PARTITION)))
 # Quantiles of the key taken in the same pass as the row count; cut points are picked from them.
 QUANTILE_GRID = 1024
 
@@ -71,7 +83,7 @@ def bucketize(
         b1 = F.floor(F.col(key) / F.lit(int(id_block))).cast("bigint")
         return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
     if unit_interval and rows_per_bucket is None:
-        k = int(df.sparkSession.conf.get("calibrix.unit_buckets", str(UNIT_BUCKETS)))
+        k = unit_bucket_count(df.sparkSession)
         b1 = F.least(F.greatest(F.floor(F.col(key) * k), F.lit(0)), F.lit(k - 1)).cast("int")
         return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
     spark = df.sparkSession
