@@ -54,3 +54,12 @@ def test_rank_windows_are_partitioned_by_bucket(spark, small_buckets):
 def test_split_read_prunes_partitions(spark):
     plan = _plan(E.queries()["scan_splits"](spark, SF))
     assert re.search(r"PartitionFilters: \[[^\]]*split", plan)
+
+
+def test_spread_small_only_touches_tiny_scans(spark):
+    from calibrix.sources.tables import spread_small
+
+    tiny = spark.range(0, 100, numPartitions=1)
+    assert spread_small(tiny).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 100_000, numPartitions=64)
+    assert spread_small(wide) is wide  # enough splits already: never reshuffled
