@@ -51,3 +51,43 @@ def test_auc_equals_brute_force(spark, scores, labels, unit):
         return
     exp = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg) / (len(pos) * len(neg))
     assert got == pytest.approx(exp, abs=1e-12)
+
+
+@SETTINGS
+@given(n=st.integers(20, 120), block=st.integers(1, 40), seed=st.integers(0, 10_000))
+def test_group_metrics_equals_direct_definition(spark, n, block, seed):
+    """Per kept group: the first min(n0, n1) members of each class in id order; ALL: every row."""
+    import random
+
+    import pandas as pd
+
+    from calibrix.config import GROUPS
+    from calibrix.operators import groups as G
+    from calibrix.operators.losses import forecast_terms
+
+    rnd = random.Random(seed)
+    gs = GROUPS[:3]
+    rows = [(i * 3 + rnd.randrange(3), rnd.random(), rnd.random(), rnd.random(), 0.05 + rnd.random() / 2,
+             *[rnd.choice([-1.0, 0.0, 0.5, 0.75]) for _ in gs]) for i in range(n)]
+    schema = "row_id long, label double, input_r double, mean double, stddev double, " + ", ".join(f"{g} double" for g in gs)
+    fc = spark.createDataFrame(rows, schema)
+    spark.conf.set("calibrix.id_block", str(block))
+    try:
+        got = {r["group"]: r for r in G.group_metrics(fc, 0.8, groups=gs, min_size=3).collect()}
+    finally:
+        spark.conf.unset("calibrix.id_block")
+    t = forecast_terms(fc).toPandas().sort_values("row_id")
+    exp = {"ALL": t}
+    for g in gs:
+        m = t[(t[g] != -1.0) & (t[g] >= 0.5)]
+        k = min((m["target_label"] == 0).sum(), (m["target_label"] == 1).sum())
+        if k >= 3:
+            exp[g] = pd.concat([m[m["target_label"] == c].head(k) for c in (0, 1)])
+    assert set(got) == set(exp)
+    for g, part in exp.items():
+        r = got[g]
+        assert r["n_rows"] == len(part)
+        assert r["loss_cdf"] == pytest.approx(part["cdf_gap"].mean(), abs=1e-9)
+        assert r["loss_nll"] == pytest.approx(part["nll"].mean(), abs=1e-9)
+        tp = int(((part["target_label"] == 1) & (part["pred_label"] == 1)).sum())
+        assert r["tp"] == tp
