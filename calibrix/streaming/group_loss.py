@@ -21,7 +21,11 @@ SUM_COLS = ["n_rows", "s_cdf", "s_nll", "s_std"]
 
 def window_sums(fc_stream: DataFrame, window: str = "1 day", watermark: str | None = "1 day",
                 groups: list[str] = GROUPS) -> DataFrame:
-    """Streaming aggregate ``(window_start, group) -> sums``; ``fc_stream`` has a ``ts`` column."""
+    """Streaming aggregate ``(window_start, group) -> sums``; ``fc_stream`` has a ``ts`` column.
+
+    Windows are aligned to UTC midnight. Event times stored without a zone are cast to timestamps
+    in the session time zone, so day windows are calendar days when that zone is UTC (as
+    ``get_session`` sets it)."""
     src = fc_stream.withWatermark("ts", watermark) if watermark else fc_stream
     t = forecast_terms(src)
     items = [F.lit(OVERALL)] + [F.when(member_condition(g), F.lit(g)) for g in groups]
