@@ -63,3 +63,17 @@ def test_spread_small_only_touches_tiny_scans(spark):
     assert spread_small(tiny).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100_000, numPartitions=64)
     assert spread_small(wide) is wide  # enough splits already: never reshuffled
+
+
+def test_written_table_round_trips_under_the_checkpoint_folder(spark):
+    from calibrix.config import checkpoint_root
+    from calibrix.sources.files import written
+
+    df = spark.range(0, 50).selectExpr("id", "id * 2 AS v")
+    w = written(df, "test_written")
+    assert sorted(map(tuple, w.collect())) == sorted(map(tuple, df.collect()))
+    def local(uri: str) -> str:
+        return re.sub(r"^file:/*", "/", uri)
+
+    root = local(checkpoint_root(spark))
+    assert all(local(f).startswith(root) for f in w.inputFiles())
