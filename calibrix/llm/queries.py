@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrix.llm import bpe, mixing, secret_scan, simhash, toxicity
+from calibrix.config import scratch_path
+from calibrix.llm import bpe, licenses, merkle, mixing, orc_tokens, quality_rules, secret_scan, simhash, toxicity, warc
 from calibrix.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+END_ID = 2
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as WARC archives and read back from them."""
+    path = scratch_path(spark, "warc", uuid.uuid4().hex)
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_warc(manifest, with_payload=False))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +27,30 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), copy="copy", position="position")
 
 
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written as ORC and read back from the files."""
+    path = scratch_path(spark, "token_orc", uuid.uuid4().hex)
+    orc_tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY), END_ID)
+    return orc_tokens.token_index(spark, path)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality(docs, quality_rules.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -34,8 +65,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
+    "op3_merkle": op3_merkle,
+    "op4_token_orc": op4_token_orc,
+    "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op7_license_scan": op7_license_scan,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
@@ -67,4 +103,5 @@ WITH RECURSIVE sizes AS (
 SELECT d.*, copy::INTEGER AS copy, {_UNIFORM.format("'43:' || d.doc_id || ':' || copy")} AS position
 FROM documents d JOIN counts USING (doc_id), unnest(range(1, n + 1)) AS t(copy)
 """,
+    "op7_license_scan": licenses.sql(),
 }
