@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibrix.llm.common import map_batches, utf8
-from calibrix.llm.pretokens import ChunkCache, chunks
+from calibrix.llm.common import Remembered, map_batches, utf8
+from calibrix.llm.pretokens import CACHE_CHARS, ChunkCache, chunks
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Pre-tokens and pairs of tokens that a Python worker remembers, twice at most.
+WORDS, PAIRS = 60_000, 100_000
 _NONE = -1
 
 
@@ -69,10 +71,10 @@ class PrefixBPE:
             self.merged.setdefault((a, b), r)
             if ab not in self.halves:
                 self.halves[ab], self.rank[ab] = (a, b), r
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs = Remembered(lambda pair: self._apart(*pair, float("inf")), PAIRS)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(PATTERN)
-        self.words: dict[str, bytes] = {}
+        self.words = Remembered(self._word, WORDS)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for i in vocab.values():
             self.automaton.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
@@ -106,20 +108,11 @@ class PrefixBPE:
             else:
                 return True
 
-    def follows(self, a: int, b: int) -> bool:
-        """Whether BPE leaves a, b side by side."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self._apart(a, b, float("inf"))
-        return got
-
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
         n = len(word)
         last, start = [_NONE] * (n + 1), [0] * (n + 1)
-        pairs, follows = self.pairs, self.follows
+        pairs = self.pairs
         for end, (token, width) in self.automaton.iter(word.decode("latin-1")):
             end += 1
             if last[end] >= 0:
@@ -128,10 +121,8 @@ class PrefixBPE:
             before = last[at]
             if at == 0:
                 last[end], start[end] = token, 0
-            elif before >= 0:
-                ok = pairs.get((before, token))
-                if ok or ok is None and follows(before, token):
-                    last[end], start[end] = token, at
+            elif before >= 0 and pairs[before, token]:
+                last[end], start[end] = token, at
         ids, at = [], n
         while at:
             ids.append(last[at])
@@ -139,18 +130,12 @@ class PrefixBPE:
         return ids[::-1]
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            ids = self.encode_word(word.encode())
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= 64:
-                if len(self.words) >= 300_000:
-                    self.words.clear()
-                self.words[word] = got
-        return got
+        ids = self.encode_word(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._word, self.pattern.findall(chunk)))
+        words, cached = self.pattern.findall(chunk), self.words
+        return b"".join([cached[w] if len(w) <= CACHE_CHARS else self._word(w) for w in words])
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""

@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Bytes of one text handled at a time where a text is cut into blocks of words.
 BLOCK_BYTES = 1 << 20
+# Rows of a batch that are handled at a time.
+SLICE_ROWS = 500
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -27,17 +29,43 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(c.cast("binary"), F.lit(b"").cast("binary"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a bounded number of rows, so that what is made from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
-    """``fn`` on every Arrow batch; what it returns is cast to ``schema``."""
+    """``fn`` on every slice of Arrow batches; what it returns is cast to ``schema``."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield from pa.Table.from_batches([fn(batch)]).cast(arrow).to_batches()
 
     return df.mapInArrow(run, schema)
 
 
+class Remembered[K, V](dict):
+    """A bounded memory of ``make(key)``, in two generations of at most ``limit`` keys: when the young one is full it
+    becomes the old one, and what is still asked for returns from there."""
+
+    def __init__(self, make: Callable[[K], V], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: K) -> V:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 def word_blocks(text: bytes, carry: int = 0, block: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """Lists of the text's words (runs of other bytes than space and \\t to \\r), cut at white space
     after every ``block`` bytes, so that one very long text never becomes one list. From the second

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibrix.llm.common import map_batches, utf8
+from calibrix.llm.common import map_batches, slices, utf8
 from calibrix.llm.pretokens import ChunkCache, chunks
 
 # Row index entries every so many rows; the Bloom filters' rate of false positives; bytes of a stripe.
@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     def run(batches):
         encode, at = library_encoder(tokenizer), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode(x.as_buffer().to_pybytes().decode("utf-8", "replace")) + end for x in batch.column("text")]
             n = np.array([len(x) // 4 for x in ids], np.int32)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibrix.llm.common import map_batches, unused, utf8, word_blocks
+from calibrix.llm.common import map_batches, slices, unused, utf8, word_blocks
 from calibrix.sources.files import written
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -179,9 +179,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, ce
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # a cell's or tile's rows so far, and those of others before it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1 << 13):
             cols = [batch.column(c).to_numpy() for c in keys]
             change = np.flatnonzero(reduce(np.logical_or, [np.diff(c) != 0 for c in cols]))
             first = bool(held) and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in keys)

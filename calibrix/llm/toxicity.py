@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibrix.llm.common import map_batches, unused, utf8, word_blocks
+from calibrix.llm.common import Remembered, map_batches, slices, unused, utf8, word_blocks
 
 BUCKETS, FACTORS, EPOCHS, MIN_CHI2 = 1 << 20, 8, 30, 10.0
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 THRESHOLD = 0.7
+# Words whose features a task remembers, twice at most.
+WORDS = 100_000
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_/\\+=~`^@"
 
 
@@ -165,21 +167,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, **options) -> Factorization
 
 def _scorer(model: FactorizationMachine):
     """Scores of a column of texts; the features of a word are looked up once per task."""
-    seen: dict[bytes, tuple[int, ...]] = {}
-
-    def features(word: bytes) -> tuple[int, ...]:
-        got = seen.get(word)
-        if got is None:
-            if len(seen) > 500_000:
-                seen.clear()
-            got = seen[word] = tuple(model.index[b] for b in word_buckets(word) if b in model.index)
-        return got
+    features = Remembered(lambda word: tuple(model.index[b] for b in word_buckets(word) if b in model.index), WORDS)
 
     def score(column: pa.Array) -> np.ndarray:
         docs = []
         for x in column:
             words = document_words(x.as_buffer().to_pybytes())
-            docs.append(np.array(sorted({f for w in words for f in features(w)}), np.int64))
+            docs.append(np.array(sorted({f for w in words for f in features[w]}), np.int64))
         return model.scores(docs)
 
     return score
@@ -196,7 +190,7 @@ def toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id
 
     def run(batches):
         score = _scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], schema.names)
 
     out = src.mapInArrow(run, schema)
@@ -212,7 +206,7 @@ def drop_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "te
 
     def run(batches):
         score = _scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             keep = pa.array(score(batch.column(at)) < threshold)
             yield batch.filter(keep).select(range(at))
 
