@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -109,25 +112,24 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: streams, written "
                                "intermediate tables and checkpoints need storage every executor sees")
-        # Local sessions (tests) only: a private folder on this machine.
+        # Local sessions (tests) only: a private folder on this machine, gone when the process ends.
         root = tempfile.mkdtemp(prefix="calibrix-ckpt-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     return root
 
 
 def scratch_path(spark: SparkSession, name: str, *key_parts) -> str:
-    """A path under the checkpoint root, unique per (name, inputs) fingerprint."""
+    """A path under the checkpoint root for (name, key): the same for the same key in every session."""
     digest = hashlib.sha1("|".join(map(str, key_parts)).encode()).hexdigest()[:16]
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/calibrix/{name}/{digest}"
 
 
-def local_path(uri: str) -> str:
-    """Strip a ``file:`` scheme for driver-side existence checks on local paths."""
-    if uri.startswith("file:"):
-        return uri[len("file:"):]
-    return uri
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path under the checkpoint root that no other call has."""
+    return scratch_path(spark, name, uuid.uuid4().hex)
 
 
 def path_exists(spark: SparkSession, uri: str) -> bool:
@@ -138,16 +140,6 @@ def path_exists(spark: SparkSession, uri: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def rows_per_task(spark: SparkSession) -> int:
-    """Target rows per rank bucket; overridable for tests via ``calibrix.rows_per_bucket``."""
-    return int(spark.conf.get("calibrix.rows_per_bucket", os.environ.get("CALIBRIX_ROWS_PER_BUCKET", "2000000")))
-
-
-def id_block(spark: SparkSession) -> int:
-    """Width of the id blocks used to rank dense row ids (``calibrix.id_block``)."""
-    return int(spark.conf.get("calibrix.id_block", os.environ.get("CALIBRIX_ID_BLOCK", "1048576")))
-
-
 def code_fingerprint() -> str:
     """Digest of this package's source: part of cache keys, so a table cached by other code is
     never read back."""

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The templates of run names and metric keys in this module.
+
+
 def py_run_name(seed: int, coefficient: float, lr: float, r_dim: int = 1, r_upper_bound: float = 1.0) -> str:
     """Run name with '.' replaced by '_' in coefficient and learning rate only."""
     return (

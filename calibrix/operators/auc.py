@@ -1,7 +1,7 @@
 """Exact ROC AUC by rank sums, per scope, without sorting all rows in one task.
 
 Rows are first aggregated to ``(scope, score) -> (pos, neg)`` (a partial aggregate: duplicates
-collapse map-side). A bucketed ``prefix_sum`` gives the negatives strictly below each score, and
+collapse map-side). ``prefix_sum`` gives the negatives strictly below each score, and
 
     AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)       (ties count one half)
 
@@ -18,16 +18,15 @@ from calibrix.operators.groups import member_condition
 from calibrix.operators.ranking import prefix_sum
 
 
-def auc(df: DataFrame, score: str = "pred_value", label: str = "target_label", by: list[str] | tuple = (),
-        unit_scores: bool = False) -> DataFrame:
-    """``unit_scores``: scores lie in [0, 1] (the clamped prediction), so the prefix sum uses fixed
-    buckets and needs no planning pass over the data."""
+def auc(df: DataFrame, score: str = "pred_value", label: str = "target_label", by: list[str] | tuple = ()) -> DataFrame:
+    """``n_pos, n_neg, auc`` per ``by`` key. Distinct scores are ordered by sampled ranges per key, so scores that
+    cluster spread over the tasks all the same."""
     by = list(by)
     per = df.groupBy(*by, F.col(score).alias("_s")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("_pos"),
         F.count(F.when(F.col(label) == 0, 1)).alias("_neg"),
     )
-    ps = prefix_sum(per, "_s", ["_neg"], partition_by=by, strict=True, unit_interval=unit_scores)
+    ps = prefix_sum(per, "_s", ["_neg"], partition_by=by, strict=True)
     return ps.groupBy(*by).agg(
         F.sum("_pos").alias("n_pos"),
         F.sum("_neg").alias("n_neg"),

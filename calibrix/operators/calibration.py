@@ -14,9 +14,9 @@ def pit_rank(fc: DataFrame, id_col: str = "row_id") -> DataFrame:
     """Sort by PIT, pair the i-th row with linspace(0, 1, n)[i]; PIT clipped to [1e-6, 1 - 1e-6].
 
     ``q = (rank - 1) / (n - 1)`` with ``rank`` exact and ties broken by id (``percent_rank``
-    would merge ties). ``n = 1`` gives q = 0.
+    would merge ties). ``n = 1`` gives q = 0. Rows without a label have no PIT and are left out.
     """
-    t = fc.withColumn("_pit", normal_cdf("label", "mean", "stddev"))
+    t = fc.where(F.col("label").isNotNull()).withColumn("_pit", normal_cdf("label", "mean", "stddev"))
     r = global_rank(t, "_pit", id_col, out="pos", total="_n")
     q = F.when(F.col("_n") > 1, (F.col("pos") - 1) / (F.col("_n") - 1).cast("double")).otherwise(F.lit(0.0))
     return r.select(*[c for c in r.columns if c != "_n"], q.alias("q"), clamp("_pit", PIT_CLIP, 1.0 - PIT_CLIP).alias("cdf"))

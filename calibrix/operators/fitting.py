@@ -1,17 +1,19 @@
-"""Gradient fitting as Spark jobs (M3 head, M4 calibration layer, M7 coefficient sweep).
+"""Gradient fitting as Spark jobs (M3 head, M4 calibration layer, M7 sweep).
 
-Each optimiser step is one distributed pass: ``mapInPandas`` turns every Arrow batch into a
-partial (row count, loss sum, gradient sum) and a JVM-side ``Summarizer.sum`` adds them up with
-map-side partial aggregation, so only one gradient vector per step (model-sized, a few thousand
-numbers, independent of the data) reaches the driver. The optimiser state (Adam moments) is also
-model-sized and lives on the driver. The features are persisted once; every step starts from them.
+An epoch is one distributed pass with local steps: every task takes its partition's rows in mini-batches, starting from the
+parameters of the epoch before, and returns its final parameters; the next epoch starts from their mean, weighted by
+rows. A fit therefore costs a few jobs per epoch, not one per step, and what reaches the driver is one set of
+parameters per grid point. Means are added up as a tree: tasks' results are first summed in about the square root of
+their number of groups, then across the groups, so no task receives a vector from every other.
 
-A sweep over coefficients carries every coefficient's parameters in the same pass
-(``groupBy(coefficient)`` of the partials), so the data is read once per step for the whole grid.
+A sweep trains all its (learning rate, coefficient) points in the same passes: the features are read once per epoch
+for the whole grid. Rows are dealt to partitions and ordered in them by a hash of their id, which is the
+seeded shuffle of the training data.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -19,13 +21,18 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrix.config import CALIB_LR, DEFAULT_COEFFICIENT, PATIENCE, WARMUP_RATIO
+from calibrix.config import CALIB_LR, NUM_EPOCHS, PATIENCE, TRAIN_BATCH_SIZE, WARMUP_RATIO
+from calibrix.functions.random import uniform
 from calibrix.operators import models as M
+from calibrix.operators.ranking import shuffle_partitions
 
-PARTIAL_SCHEMA = "key double, n long, loss double, g array<double>"
+# Per grid point and task: rows, summed loss, and the parameters times the rows.
+PARTIAL_SCHEMA = "key int, task int, n long, loss double, g array<double>"
+# Least mini-batches of a task in an epoch: fewer rows than that are trained by fewer tasks.
+MIN_STEPS = 8
 
 
 class Adam:
@@ -60,149 +67,152 @@ def linear_warmup_decay(base_lr: float, total: int, warmup_ratio: float = WARMUP
     return lr
 
 
-def summed_partials(partials: DataFrame) -> dict[float, tuple[int, float, np.ndarray]]:
-    """``key -> (rows, loss sum, gradient sum)``; one small row per key reaches the driver."""
-    agg = partials.withColumn("gv", array_to_vector("g")).groupBy("key").agg(
-        F.sum("n").alias("n"), F.sum("loss").alias("loss"), Summarizer.sum(F.col("gv")).alias("g"))
-    return {r["key"]: (int(r["n"]), float(r["loss"]), r["g"].toArray()) for r in agg.collect()}
-
-
-def _head_partials(feats: DataFrame, thetas: dict[float, np.ndarray], like: dict, sc) -> tuple[DataFrame, object]:
-    bc = sc.broadcast({k: M.unflatten(t, like) for k, t in thetas.items()})
-
-    def run(batches):
-        ps = bc.value
-        acc = {k: [0, 0.0, None] for k in ps}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["x"].to_numpy())
-            r = pdf["input_r"].to_numpy(dtype=float)
-            y = pdf["label"].to_numpy(dtype=float)
-            for alpha, p in ps.items():
-                loss, g = M.head_loss_grad(p, x, r, y, alpha)
-                a = acc[alpha]
-                a[0] += len(pdf)
-                a[1] += loss
-                a[2] = g if a[2] is None else a[2] + g
-        rows = [(k, a[0], a[1], a[2].tolist()) for k, a in acc.items() if a[2] is not None]
-        if rows:
-            yield pd.DataFrame(rows, columns=["key", "n", "loss", "g"])
-
-    return feats.mapInPandas(run, PARTIAL_SCHEMA), bc
-
-
-def head_eval_loss(feats: DataFrame, thetas: dict[float, np.ndarray], like: dict) -> dict[float, float]:
-    """Mean loss per coefficient on ``feats`` (one pass for the whole grid)."""
-    sc = feats.sparkSession.sparkContext
-    part, bc = _head_partials(feats, thetas, like, sc)
-    out = {k: (loss / n if n else float("nan")) for k, (n, loss, _) in summed_partials(part).items()}
-    bc.unpersist()
+def summed_partials(partials: DataFrame, tasks: int) -> dict[int, tuple[int, float, np.ndarray]]:
+    """``key -> (rows, loss sum, vector sum)``, added up in two levels; one row per key reaches the driver."""
+    groups = max(1, math.isqrt(tasks))
+
+    def add(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), Summarizer.sum(F.col("g")).alias("g"))
+
+    some = add(partials.withColumn("g", array_to_vector("g")).withColumn("part", F.col("task") % groups), "key", "part")
+    return {r["key"]: (int(r["n"]), float(r["loss"]), r["g"].toArray()) for r in add(some, "key").collect()}
+
+
+def _dealt(df: DataFrame, id_col: str, batch_size: int, salt: str) -> tuple[DataFrame, int, int]:
+    """``df`` in a seeded order over partitions of at least ``MIN_STEPS`` mini-batches, kept for the epochs; the number of
+    partitions and of rows."""
+    n = df.count()
+    parts = max(1, min(shuffle_partitions(df.sparkSession), n // (batch_size * MIN_STEPS)))
+    rows = df.withColumn("_order", uniform(salt, id_col)).repartition(parts, "_order").sortWithinPartitions("_order")
+    return rows.withColumn("_task", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK), parts, n
+
+
+def _batches(frames, size: int):
+    """Mini-batches of ``size`` rows (a partition's last one may be shorter), across the frames' borders."""
+    held = None
+    for pdf in frames:
+        held = pdf if held is None or not len(held) else pd.concat([held, pdf], ignore_index=True)
+        whole = len(held) // size * size
+        for i in range(0, whole, size):
+            yield held.iloc[i:i + size]
+        held = held.iloc[whole:]
+    if held is not None and len(held):
+        yield held
+
+
+def _head_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.stack(pdf["x"].to_numpy()), pdf["input_r"].to_numpy(float), pdf["label"].to_numpy(float)
+
+
+def _head_epoch(rows: DataFrame, thetas: dict[int, np.ndarray], grid: list[tuple[float, float]], like: dict, id_col: str, epoch: int,
+                batch_size: int, steps: int, total_steps: int, drop: float, seed: int):
+    bc = rows.sparkSession.sparkContext.broadcast(thetas)
+
+    def run(frames):
+        theta = {k: t.copy() for k, t in bc.value.items()}
+        opt = {k: Adam(t) for k, t in theta.items()}
+        loss, n, task = dict.fromkeys(theta, 0.0), 0, 0
+        for i, pdf in enumerate(_batches(frames, batch_size)):
+            x, r, y = _head_arrays(pdf)
+            n, task = n + len(pdf), int(pdf["_task"].iloc[0])
+            mask = M.dropout_mask(pdf[id_col].to_numpy(np.int64), like["b2"].size, epoch, drop, seed) if drop else 1.0
+            for k in theta:
+                lr, alpha = grid[k]
+                got, g = M.head_loss_grad(M.unflatten(theta[k], like), x, r, y, alpha, mask)
+                loss[k] += got
+                theta[k] = opt[k].step(theta[k], g / len(pdf), linear_warmup_decay(lr, total_steps)(epoch * steps + i + 1))
+        if n:
+            yield pd.DataFrame([(k, task, n, loss[k], (theta[k] * n).tolist()) for k in theta], columns=["key", "task", "n", "loss", "g"])
+
+    return rows.mapInPandas(run, PARTIAL_SCHEMA), bc
+
+
+def _head_losses(rows: DataFrame, thetas: dict[int, np.ndarray], grid: list[tuple[float, float]], like: dict):
+    bc = rows.sparkSession.sparkContext.broadcast(thetas)
+
+    def run(frames):
+        out = []
+        for pdf in frames:
+            if len(pdf):
+                x, r, y = _head_arrays(pdf)
+                for k, t in bc.value.items():
+                    mean, std = M.head_forward(M.unflatten(t, like), x, r)
+                    out.append((k, len(pdf), float(M.loss_terms(y, r, mean, std, grid[k][1])[0].sum())))
+        yield pd.DataFrame(out, columns=["key", "n", "loss"])
+
+    return rows.mapInPandas(run, "key int, n long, loss double"), bc
+
+
+def eval_losses(rows: DataFrame, thetas: dict[int, np.ndarray], grid: list[tuple[float, float]], like: dict) -> dict[int, float]:
+    """Mean loss per grid point on ``rows`` (one pass for the whole grid)."""
+    df, bc = _head_losses(rows, thetas, grid, like)
+    out = {r["key"]: r["loss"] / r["n"] for r in df.groupBy("key").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).collect()}
+    bc.destroy()
     return out
 
 
-def fit_head(
-    spark: SparkSession,
-    train: DataFrame,
-    evals: DataFrame,
-    coefficients: list[float] = (DEFAULT_COEFFICIENT,),
-    lr: float = 1e-3,
-    max_steps: int = 30,
-    eval_every: int = 5,
-    patience: int = PATIENCE,
-    seed: int = 42,
-    hidden: int = M.HEAD_HIDDEN,
-) -> tuple[dict[float, dict], pd.DataFrame]:
-    """M3 / M7: full-batch Adam with warm-up and linear decay, evaluated every ``eval_every``
-    steps; a coefficient stops after ``patience`` evaluations without strict improvement and
-    keeps its best parameters. Returns (best params per coefficient, training log)."""
-    sc = spark.sparkContext
-    tr = train.persist(StorageLevel.MEMORY_AND_DISK)
-    ev = evals.persist(StorageLevel.MEMORY_AND_DISK)
-    dim = len(tr.select("x").first()["x"])
-    like = M.init_head(dim, hidden, seed=seed)
-    theta = {float(a): M.flatten(like) for a in coefficients}
-    opt = {a: Adam(t) for a, t in theta.items()}
-    best = {a: (np.inf, t.copy(), -1) for a, t in theta.items()}
-    bad = {a: 0 for a in theta}
-    active = set(theta)
-    sched = linear_warmup_decay(lr, max_steps)
-    log = []
-    for step in range(max_steps):
+def fit_head(train: DataFrame, evals: DataFrame, grid: list[tuple[float, float]], epochs: int = NUM_EPOCHS, batch_size: int = TRAIN_BATCH_SIZE,
+             patience: int = PATIENCE, drop: float = M.HEAD_DROP_PROB, seed: int = 42, hidden: int = M.HEAD_HIDDEN,
+             id_col: str = "vec_id") -> tuple[dict[tuple[float, float], dict], pd.DataFrame]:
+    """M3 / M7: the head for each (learning rate, coefficient) of ``grid``, by ``epochs`` passes over ``train`` (id, x, input_r,
+    label; rows without a label are left out) with Adam, warm-up and linear decay, and dropout before the last layer.
+    After each epoch ``evals`` is scored; a point stops after ``patience`` epochs without strict improvement and keeps its
+    best parameters. Returns (best parameters per point, training log)."""
+    tr, parts, n = _dealt(train.where(F.col("label").isNotNull()), id_col, batch_size, "fit_order")
+    ev = evals.where(F.col("label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    first = tr.select("x").first()
+    like = M.init_head(len(first["x"]) if first else 0, hidden, seed=seed)
+    theta = {k: M.flatten(like) for k in range(len(grid))}
+    best = {k: (np.inf, t.copy(), -1) for k, t in theta.items()}
+    bad, active, log = dict.fromkeys(theta, 0), set(theta) if n else set(), []
+    steps = math.ceil(n / parts / batch_size) if n else 0
+    for epoch in range(epochs):
         if not active:
             break
-        part, bc = _head_partials(tr, {a: theta[a] for a in active}, like, sc)
-        sums = summed_partials(part)
-        bc.unpersist()
-        rate = sched(step)
-        rows = {}
-        for a in sorted(active):
-            n, loss, g = sums[a]
-            theta[a] = opt[a].step(theta[a], g / n, rate)
-            rows[a] = {"coefficient": a, "step": step, "lr": rate, "train_loss": loss / n, "eval_loss": None}
-            log.append(rows[a])
-        if (step + 1) % eval_every == 0 or step == max_steps - 1:
-            el = head_eval_loss(ev, {a: theta[a] for a in active}, like)
-            for a in sorted(active):
-                rows[a]["eval_loss"] = el[a]
-                if el[a] < best[a][0]:
-                    best[a], bad[a] = (el[a], theta[a].copy(), step), 0
-                else:
-                    bad[a] += 1
-                    if bad[a] >= patience:
-                        active.discard(a)
+        df, bc = _head_epoch(tr, {k: theta[k] for k in active}, grid, like, id_col, epoch, batch_size, steps, steps * epochs, drop, seed)
+        sums = summed_partials(df, parts)
+        bc.destroy()
+        for k, (rows, _, g) in sums.items():
+            theta[k] = g / rows
+        after = eval_losses(ev, {k: theta[k] for k in active}, grid, like)
+        for k in sorted(active):
+            rows, loss, _ = sums[k]
+            value = after.get(k, float("nan"))
+            log.append((*grid[k], epoch, loss / rows, value))
+            if value < best[k][0]:
+                best[k], bad[k] = (value, theta[k].copy(), epoch), 0
+            else:
+                bad[k] += 1
+                if bad[k] >= patience:
+                    active.discard(k)
     tr.unpersist()
     ev.unpersist()
-    params = {a: dict(M.unflatten(b[1], like), best_step=b[2], best_eval_loss=b[0]) for a, b in best.items()}
-    return params, pd.DataFrame(log)
-
-
-def _calib_partials(data: DataFrame, theta: np.ndarray, like: dict, sc) -> tuple[DataFrame, object]:
-    bc = sc.broadcast(M.unflatten(theta, like))
-
-    def run(batches):
-        p = bc.value
-        n, tot, gs = 0, 0.0, None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            loss, g = M.calib_loss_grad(p, pdf["mean"].to_numpy(float), pdf["stddev"].to_numpy(float),
-                                        pdf["q"].to_numpy(float))
-            n, tot, gs = n + len(pdf), tot + loss, g if gs is None else gs + g
-        if gs is not None:
-            yield pd.DataFrame([(0.0, n, tot, gs.tolist())], columns=["key", "n", "loss", "g"])
-
-    return data.mapInPandas(run, PARTIAL_SCHEMA), bc
-
-
-def fit_calibration(
-    spark: SparkSession,
-    ranked: DataFrame,
-    batch_size: int = 1000,
-    lr: float = CALIB_LR,
-    epochs: int = 1,
-    seed: int = 42,
-    max_steps: int | None = None,
-) -> tuple[dict, pd.DataFrame]:
-    """M4: SGD on the calibration layer over PIT-ranked rows ``(mean, stddev, q, batch_id)``.
-
-    One step per batch (``batch_id`` from a seeded shuffle order); each step filters the persisted
-    rows to its batch, so a step's work is one batch however large the table is. ``max_steps``
-    bounds the number of driver round trips (one epoch by default)."""
-    sc = spark.sparkContext
-    data = ranked.select("batch_id", "mean", "stddev", "q").persist(StorageLevel.MEMORY_AND_DISK)
-    n_batches = int(data.agg(F.max("batch_id")).first()[0]) + 1
+    params = {grid[k]: dict(M.unflatten(t, like), best_epoch=epoch, best_eval_loss=loss) for k, (loss, t, epoch) in best.items()}
+    return params, pd.DataFrame(log, columns=["learning_rate", "coefficient", "epoch", "train_loss", "eval_loss"])
+
+
+def fit_calibration(ranked: DataFrame, batch_size: int = 1000, lr: float = CALIB_LR, epochs: int = 1, seed: int = 42,
+                    id_col: str = "row_id") -> tuple[dict, pd.DataFrame]:
+    """M4: SGD on the calibration layer over PIT-ranked rows (id, mean, stddev, q), in mini-batches of a seeded shuffle
+    order; one job per epoch. Returns (parameters, log of the epochs' mean squared errors)."""
     like = M.init_calibration(seed)
-    theta = M.flatten(like)
-    log = []
-    steps = n_batches * epochs if max_steps is None else min(max_steps, n_batches * epochs)
-    for step in range(steps):
-        b = step % n_batches
-        part, bc = _calib_partials(data.where(F.col("batch_id") == b), theta, like, sc)
-        sums = summed_partials(part)
-        bc.unpersist()
-        n, loss, g = sums[0.0]
-        theta = theta - lr * g / n
-        log.append({"step": step, "batch_id": b, "rows": n, "batch_mse": loss / n})
-    data.unpersist()
-    return M.unflatten(theta, like), pd.DataFrame(log)
+    theta, log = M.flatten(like), []
+    rows, parts, n = _dealt(ranked.select(id_col, "mean", "stddev", "q"), id_col, batch_size, "calib_shuffle")
+    for epoch in range(epochs if n else 0):
+        bc = rows.sparkSession.sparkContext.broadcast(theta)
+
+        def run(frames, bc=bc):
+            t, total, count, task = bc.value.copy(), 0.0, 0, 0
+            for pdf in _batches(frames, batch_size):
+                loss, g = M.calib_loss_grad(M.unflatten(t, like), pdf["mean"].to_numpy(float), pdf["stddev"].to_numpy(float), pdf["q"].to_numpy(float))
+                t = t - lr * g / len(pdf)
+                total, count, task = total + loss, count + len(pdf), int(pdf["_task"].iloc[0])
+            if count:
+                yield pd.DataFrame([(0, task, count, total, (t * count).tolist())], columns=["key", "task", "n", "loss", "g"])
+
+        seen, loss, g = summed_partials(rows.mapInPandas(run, PARTIAL_SCHEMA), parts)[0]
+        bc.destroy()
+        theta = g / seen
+        log.append((epoch, seen, loss / seen))
+    rows.unpersist()
+    return M.unflatten(theta, like), pd.DataFrame(log, columns=["epoch", "rows", "mse"])

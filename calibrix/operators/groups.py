@@ -3,20 +3,17 @@
 All nine groups are handled in one pass: each forecast row emits one ``(group, value)`` row per
 group it is a member of (``inline(filter(array(...)))``, no 9x blow-up of non-members), then one
 aggregate groups by ``group``. The balanced subset takes the first ``min(n0, n1)`` members of
-each class in ``row_id`` order via ``global_rank`` (bucketed, so a huge group is spread over many
-tasks).
+each class in ``row_id`` order via ``global_rank`` (a huge group is spread over the ranges of its ids).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibrix.config import DEFAULT_COEFFICIENT, GROUPS, MIN_GROUP_SIZE, NULL_SENTINEL, OVERALL, id_block
+from calibrix.config import DEFAULT_COEFFICIENT, GROUPS, MIN_GROUP_SIZE, NULL_SENTINEL, OVERALL
 from calibrix.operators.losses import forecast_terms, loss_aggs
-from calibrix.operators.ranking import global_rank
+from calibrix.operators.ranking import cut_index, cut_points, global_rank
 from calibrix.sources.files import written
 
 
@@ -73,8 +70,7 @@ def balanced_members(
     by = list(by)
     sizes = group_sizes(members, min_size, by).where("kept").select(*by, "group", "group_size")
     m = members.join(sizes if by else F.broadcast(sizes), [*by, "group"], "inner")
-    ranked = global_rank(m, id_col, id_col, partition_by=[*by, "group", "target_label"], out="_class_pos",
-                         id_block=id_block(members.sparkSession))
+    ranked = global_rank(m, id_col, id_col, partition_by=[*by, "group", "target_label"], out="_class_pos")
     return ranked.where(F.col("_class_pos") <= F.col("group_size")).drop("_class_pos")
 
 
@@ -99,11 +95,6 @@ def classification_columns(tn="tn", fp="fp", fn="fn", tp="tp") -> list:
     return [rec.alias("Recall"), fpr.alias("FPR"), prec.alias("Precision"), f1.alias("F1"), acc.alias("Accuracy")]
 
 
-def _metrics_from(df: DataFrame, by: list, coefficient: float) -> DataFrame:
-    agg = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *loss_aggs(coefficient), *confusion_aggs())
-    return agg.select("*", *classification_columns())
-
-
 def _sufficient_aggs() -> list:
     """Additive per-row statistics from which every metric of a set of rows is finished."""
     return [
@@ -151,18 +142,18 @@ def group_metrics(
     Two passes over the forecasts, and only boundary rows are shuffled:
 
     1. every row is emitted once for ``ALL`` and once per member group, tagged with its id block
-       (``floor(row_id / B)``), and aggregated to additive statistics per
-       ``(group, class, block)``: a table of groups x 2 x blocks rows. Class sizes, the ``ALL``
+       (ranges between quantiles of the ids, so sparse or hashed ids do as well as dense ones), and aggregated
+       to additive statistics per ``(group, class, block)``: a table of groups x 2 x blocks rows. Class sizes, the ``ALL``
        row, per-block offsets and the statistics of every block that lies wholly inside the
        balanced subset (the first ``min(n0, n1)`` rows of each class in id order) come from it.
     2. only rows of the one block per (group, class) that straddles the cut are ranked (inside
-       that block, so at most B rows per task) and added to the full blocks.
+       that block, a few rows in a thousand of one group and class per task) and added to the full blocks.
     """
     by = list(by)
-    block = id_block(fc.sparkSession)
     t = forecast_terms(fc, use_sample=use_sample)
+    cuts = cut_points(fc, id_col)
     cols = [*by, id_col, "target_label", "pred_label", "cdf_gap", "nll", "stddev"]
-    e = with_scopes(t, cols, groups).withColumn("_blk", F.floor(F.col(id_col) / F.lit(block)).cast("bigint"))
+    e = with_scopes(t, cols, groups).withColumn("_blk", cut_index(id_col, cuts))
     per_block = e.groupBy(*by, "group", "target_label", "_blk").agg(*_sufficient_aggs())
 
     # Sizes and block offsets by windows over the small per-block table, then ONE aggregate per
@@ -215,6 +206,3 @@ def metrics_long(wide: DataFrame, metrics: list[str], by: list[str] | tuple = ()
         [*by, "group"], metrics, "metric", "value"
     )
 
-
-def any_member(cols: list[str]):
-    return reduce(lambda a, b: a | b, [member_condition(c) for c in cols])

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from calibrix.config import DEFAULT_COEFFICIENT, LABEL_THRESHOLD
 from calibrix.functions.math import clamp, gaussian_nll, normal_cdf, sample_normal
-from calibrix.operators.ranking import prefix_sum
+from calibrix.operators.ranking import global_rank, prefix_sum
 
 
 def forecast_terms(fc: DataFrame, use_sample: bool = False, seed: int = 42, id_col: str = "row_id") -> DataFrame:
-    """Add ``cdf`` (PIT), ``cdf_gap = |cdf - r|``, ``nll``, ``pred_value``, ``pred_label``, ``target_label``."""
+    """Add ``cdf`` (PIT), ``cdf_gap = |cdf - r|``, ``nll``, ``pred_value``, ``pred_label``, ``target_label``.
+
+    Rows without a label have none of these: they are left out here, once, for every loss and metric."""
     pred = sample_normal("mean", "stddev", id_col, seed) if use_sample else F.col("mean")
-    return fc.select(
+    return fc.where(F.col("label").isNotNull()).select(
         "*",
         normal_cdf("label", "mean", "stddev").alias("cdf"),
         gaussian_nll("label", "mean", "stddev").alias("nll"),
@@ -38,9 +40,9 @@ def loss_aggs(coefficient: float = DEFAULT_COEFFICIENT) -> list:
     ]
 
 
-def overall_losses(fc: DataFrame, coefficient: float = DEFAULT_COEFFICIENT) -> DataFrame:
+def overall_losses(fc: DataFrame, coefficient: float = DEFAULT_COEFFICIENT, id_col: str = "row_id") -> DataFrame:
     """One row: n_rows, loss, loss_cdf, loss_stddev, loss_nll over the whole table."""
-    t = forecast_terms(fc)
+    t = forecast_terms(fc, id_col=id_col)
     return t.agg(F.count(F.lit(1)).alias("n_rows"), *loss_aggs(coefficient))
 
 
@@ -83,33 +85,30 @@ def best_alpha(sweep: DataFrame) -> DataFrame:
     )
 
 
-def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = (), unit_values: bool = False) -> DataFrame:
+def pairwise_gap(xs: DataFrame, ys: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
     """mean over all pairs (i, j) of |x_i - y_j| per ``by`` key, in O(n log n) without pairs.
 
     Inputs have columns ``by + [v]``. The pooled values are grouped by distinct value and a
-    bucketed prefix sum gives the counts and sums strictly below each value:
+    prefix sum gives the counts and sums strictly below each value:
         sum |x - y| = sum_v cx (v CY - SY) + cy (v CX - SX)
     """
     by = list(by)
     pooled = xs.select(*by, "v", F.lit(1).alias("_ix")).unionByName(ys.select(*by, "v", F.lit(0).alias("_ix")))
-    return _pairwise_from_pooled(pooled, by, unit_values=unit_values)
+    return _pairwise_from_pooled(pooled, by)
 
 
-def pairwise_gap_cols(df: DataFrame, x: str, y: str, by: list[str] | tuple = (), bounded_groups: bool = False,
-                      unit_values: bool = False) -> DataFrame:
+def pairwise_gap_cols(df: DataFrame, x: str, y: str, by: list[str] | tuple = (), bounded_groups: bool = False) -> DataFrame:
     """``pairwise_gap`` for x and y taken from two columns of one frame (pooled in one pass).
 
     ``bounded_groups``: every ``by`` group holds a bounded number of rows (e.g. batches of B), so
-    the running sums are a plain window per group instead of the bucketed prefix sum.
-    ``unit_values``: values lie in [0, 1] (probabilities), so the prefix sum needs no planning pass."""
+    the running sums are a plain window per group instead of the prefix sum over sampled ranges."""
     by = list(by)
     pooled = df.select(*by, F.inline(F.array(F.struct(F.col(x).alias("v"), F.lit(1).alias("_ix")),
                                              F.struct(F.col(y).alias("v"), F.lit(0).alias("_ix")))))
-    return _pairwise_from_pooled(pooled, by, bounded_groups, unit_values)
+    return _pairwise_from_pooled(pooled, by, bounded_groups)
 
 
-def _pairwise_from_pooled(pooled: DataFrame, by: list[str], bounded_groups: bool = False,
-                          unit_values: bool = False) -> DataFrame:
+def _pairwise_from_pooled(pooled: DataFrame, by: list[str], bounded_groups: bool = False) -> DataFrame:
     per = pooled.groupBy(*by, "v").agg(
         F.count(F.when(F.col("_ix") == 1, 1)).alias("cx"),
         F.sum(F.when(F.col("_ix") == 1, F.col("v")).otherwise(0.0)).alias("sx"),
@@ -120,7 +119,7 @@ def _pairwise_from_pooled(pooled: DataFrame, by: list[str], bounded_groups: bool
         w = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
         ps = per.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_below") for c in ("cx", "sx", "cy", "sy")])
     else:
-        ps = prefix_sum(per, "v", ["cx", "sx", "cy", "sy"], partition_by=by, strict=True, unit_interval=unit_values)
+        ps = prefix_sum(per, "v", ["cx", "sx", "cy", "sy"], partition_by=by, strict=True)
     contrib = F.col("cx") * (F.col("v") * F.col("cy_below") - F.col("sy_below")) + F.col("cy") * (
         F.col("v") * F.col("cx_below") - F.col("sx_below")
     )
@@ -129,24 +128,15 @@ def _pairwise_from_pooled(pooled: DataFrame, by: list[str], bounded_groups: bool
     ).select(*by, "n_x", "n_y", (F.col("_tot") / (F.col("n_x") * F.col("n_y"))).alias("pairwise_gap"))
 
 
-def batch_ids(fc: DataFrame, batch_size: int, id_col: str = "row_id", order_key: str | None = None,
-              unit_key: bool = False) -> DataFrame:
-    """``batch_id = floor((rank - 1) / B)`` in ``order_key`` (default: id) order, exact.
-
-    ``unit_key``: the order key is a hash uniform on [0, 1) (a seeded shuffle order)."""
-    from calibrix.operators.ranking import global_rank
-
-    from calibrix.config import id_block
-
-    key = order_key or id_col
-    block = id_block(fc.sparkSession) if order_key is None else None
-    r = global_rank(fc, key, id_col, out="_brank", id_block=block, unit_interval=unit_key)
+def batch_ids(fc: DataFrame, batch_size: int, id_col: str = "row_id", order_key: str | None = None) -> DataFrame:
+    """``batch_id = floor((rank - 1) / B)`` in ``order_key`` (default: id) order, exact for any ids."""
+    r = global_rank(fc, order_key or id_col, id_col, out="_brank")
     return r.withColumn("batch_id", F.floor((F.col("_brank") - 1) / F.lit(batch_size)).cast("bigint")).drop("_brank")
 
 
 def batch_losses(fc: DataFrame, batch_size: int, coefficient: float = DEFAULT_COEFFICIENT) -> DataFrame:
-    """Per batch: rows, mean losses, and the all-pairs cdf loss inside the batch (compat form)."""
-    t = forecast_terms(batch_ids(fc, batch_size))
+    """Per batch of labelled rows: rows, mean losses, and the all-pairs cdf loss inside the batch (compat form)."""
+    t = batch_ids(forecast_terms(fc).select("row_id", "cdf", "input_r", "cdf_gap", "nll", "stddev"), batch_size)
     per = t.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), *loss_aggs(coefficient))
     pairs = pairwise_gap_cols(t, "cdf", "input_r", by=["batch_id"], bounded_groups=True).select(
         "batch_id", F.col("pairwise_gap").alias("loss_cdf_pairs"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrix.config import DEFAULT_SEED
-from calibrix.functions.math import ERF_A, ERF_P, HALF_LOG_2PI
+from calibrix.functions.math import ERF_COEFFICIENTS, HALF_LOG_2PI
 from calibrix.functions.random import attach_r
 
 # Head width, dropout share, calibration hidden width, stddev scale and floor.
@@ -30,6 +30,8 @@ CALIB_HIDDEN = 16
 STD_SCALE = 5.0
 STD_FLOOR = 0.01
 LEAKY_SLOPE = 0.01
+# The embedding table's labels are 0 to 9; the head's target is in [0, 1].
+LABEL_SCALE = 9.0
 
 SCORE_SCHEMA = "mean double, stddev double"
 
@@ -80,9 +82,8 @@ def unflatten(theta: np.ndarray, like: dict) -> dict:
 def np_erf(x: np.ndarray) -> np.ndarray:
     """The same polynomial as the column ``erf`` (so numpy and SQL paths agree)."""
     ax = np.abs(x)
-    t = 1.0 / (1.0 + ERF_P * ax)
-    a1, a2, a3, a4, a5 = ERF_A
-    y = 1.0 - (((((a5 * t + a4) * t + a3) * t + a2) * t + a1) * t) * np.exp(-ax * ax)
+    t = 2.0 / (2.0 + ax)
+    y = 1.0 - t * np.exp(np.polynomial.polynomial.polyval(2.0 * t - 1.0, ERF_COEFFICIENTS) - ax * ax)
     return np.where(x < 0, -y, y)
 
 
@@ -102,14 +103,26 @@ def _leaky(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x, LEAKY_SLOPE * x)
 
 
-def head_forward(p: dict, x: np.ndarray, r: np.ndarray, cache: bool = False):
-    """``x``: [n, d] features, ``r``: [n] -> (mean [n], stddev [n]) in evaluation mode."""
+def dropout_mask(ids: np.ndarray, width: int, epoch: int, share: float = HEAD_DROP_PROB, seed: int = DEFAULT_SEED) -> np.ndarray:
+    """[n, width] factors: 0 for a share of a row's units, 1 / (1 - share) for the others, by a hash of (seed, epoch, row id,
+    unit): the same in any partitioning."""
+    units = np.arange(width, dtype=np.uint64) + np.uint64((seed * 1_000_003 + epoch) * width)
+    h = (ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ (units * np.uint64(0xD1B54A32D192ED03))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    u = (h >> np.uint64(11)).astype(float) / float(1 << 53)
+    return np.where(u < share, 0.0, 1.0 / (1.0 - share))
+
+
+def head_forward(p: dict, x: np.ndarray, r: np.ndarray, cache: bool = False, mask: np.ndarray | float = 1.0):
+    """``x``: [n, d] features, ``r``: [n] -> (mean [n], stddev [n]); ``mask``: dropout factors of the second hidden layer
+    (1 in evaluation mode)."""
     rr = np.repeat(r[:, None], p["r_dim"], axis=1)
     h0 = np.hstack([x, rr])
     a1 = h0 @ p["w1"].T + p["b1"]
     h1c = np.hstack([_leaky(a1), rr])
     a2 = h1c @ p["w2"].T + p["b2"]
-    h2 = _leaky(a2)
+    h2 = _leaky(a2) * mask
     o = h2 @ p["w3"].T + p["b3"]
     s = _sigmoid(o[:, 1])
     mean, std = o[:, 0], s * STD_SCALE + STD_FLOOR
@@ -130,13 +143,13 @@ def loss_terms(y: np.ndarray, r: np.ndarray, mean: np.ndarray, std: np.ndarray,
     return loss, d_mean, d_std
 
 
-def head_loss_grad(p: dict, x: np.ndarray, r: np.ndarray, y: np.ndarray, alpha: float):
+def head_loss_grad(p: dict, x: np.ndarray, r: np.ndarray, y: np.ndarray, alpha: float, mask: np.ndarray | float = 1.0):
     """Sum of per-row losses over the batch and the gradient of that sum (flat, PARAM_KEYS order)."""
-    mean, std, (h0, a1, h1c, a2, h2, s) = head_forward(p, x, r, cache=True)
+    mean, std, (h0, a1, h1c, a2, h2, s) = head_forward(p, x, r, cache=True, mask=mask)
     loss, d_mean, d_std = loss_terms(y, r, mean, std, alpha)
     do = np.stack([d_mean, d_std * STD_SCALE * s * (1.0 - s)], axis=1)
     g = {"w3": do.T @ h2, "b3": do.sum(0)}
-    da2 = (do @ p["w3"]) * np.where(a2 > 0, 1.0, LEAKY_SLOPE)
+    da2 = (do @ p["w3"]) * mask * np.where(a2 > 0, 1.0, LEAKY_SLOPE)
     g["w2"], g["b2"] = da2.T @ h1c, da2.sum(0)
     hidden = p["w1"].shape[0]
     da1 = (da2 @ p["w2"])[:, :hidden] * np.where(a1 > 0, 1.0, LEAKY_SLOPE)
@@ -171,7 +184,7 @@ def calib_loss_grad(p: dict, mean: np.ndarray, std: np.ndarray, q: np.ndarray):
 
 # ------------------------------------------------------------------ Spark wrappers
 def features(emb: DataFrame, seed: int = DEFAULT_SEED, r_upper_bound: float = 1.0, id_col: str = "vec_id",
-             label_col: str | None = "label", label_scale: float = 9.0) -> DataFrame:
+             label_col: str | None = "label", label_scale: float = LABEL_SCALE) -> DataFrame:
     """``(id, x array<double>, input_r, label)``: embedding as doubles, hash-seeded ``r``, and the
     label scaled to [0, 1] (null stays null)."""
     cols = [F.col(id_col), F.transform("embedding", lambda v: v.cast("double")).alias("x"),
@@ -206,6 +219,33 @@ def score_head(feats: DataFrame, params: dict, keep: list[str] | None = None) ->
     return feats.mapInPandas(run, out_schema)
 
 
+def head_sql(p: dict, source: str) -> list[str]:
+    """CTEs ending in ``scored``: the head over ``source`` (vec_id, x, input_r, label) as SQL lists, for the oracle."""
+    def numbers(a: np.ndarray) -> str:
+        return "[" + ", ".join(f"{float(v)!r}" for v in a) + "]::DOUBLE[]"
+
+    def matrix(a: np.ndarray) -> str:
+        return "[" + ", ".join("[" + ", ".join(f"{float(v)!r}" for v in row) + "]" for row in a) + "]::DOUBLE[][]"
+
+    def layer(w: str, b: str, h: str) -> str:
+        return f"list_transform(range(1, len({b}) + 1), lambda j: list_dot_product({w}[j], {h}) + {b}[j])"
+
+    def leaky(h: str) -> str:
+        return f"list_transform({h}, lambda v: CASE WHEN v > 0 THEN v ELSE {LEAKY_SLOPE!r}::DOUBLE * v END)"
+
+    r = "list_transform(range(0, r_dim), lambda i: input_r)"
+    params = ", ".join([*(f"{matrix(p[k])} AS {k}" for k in ("w1", "w2", "w3")), *(f"{numbers(p[k])} AS {k}" for k in ("b1", "b2", "b3")),
+                        f"{p['r_dim']} AS r_dim"])
+    return [
+        f"head AS MATERIALIZED (SELECT {params})",
+        f"head1 AS (SELECT vec_id, label, input_r, {leaky(layer('w1', 'b1', f'list_concat(x, {r})'))} AS h FROM {source}, head)",
+        f"head2 AS (SELECT vec_id, label, input_r, {leaky(layer('w2', 'b2', f'list_concat(h, {r})'))} AS h FROM head1, head)",
+        f"head3 AS (SELECT vec_id, label, input_r, {layer('w3', 'b3', 'h')} AS o FROM head2, head)",
+        f"scored AS (SELECT vec_id, label, input_r, o[1] AS mean, 1.0::DOUBLE / (1.0::DOUBLE + exp(-o[2])) * {STD_SCALE!r}::DOUBLE + "
+        f"{STD_FLOOR!r}::DOUBLE AS stddev FROM head3)",
+    ]
+
+
 def _hidden_columns(p: dict, mean: str, stddev: str) -> list[Column]:
     m, s = F.col(mean), F.col(stddev)
     return [F.greatest(F.lit(float(p["w1"][j, 0])) * m + F.lit(float(p["w1"][j, 1])) * s + F.lit(float(p["b1"][j])),

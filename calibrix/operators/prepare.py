@@ -92,31 +92,35 @@ def _share_map(shares_by_stratum: dict[str, list[float]]) -> Column:
 DEFAULT_DROP_SHARES = {WITH_NULLS: DROP_SHARES_WITH_NULLS, WITHOUT_NULLS: DROP_SHARES_WITHOUT_NULLS}
 
 
+KEYS = ["id", "stratum", "target"]
+
+
 def drop_plan(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
-    """Rows with ``_rng``, hash position ``_pos`` in their (stratum, range) and ``_n_drop``.
+    """``KEYS`` with ``_rng``, hash position ``_pos`` in their (stratum, range) and ``_n_drop``.
 
-    Rows outside every range (``_rng = -1``) form their own partition with ``_n_drop = 0``. The
-    per-(stratum, range) row count comes with the rank's offset table.
+    Rows outside every range (``_rng = -1``) form their own partition with ``_n_drop = 0``. Only the keys are ranked:
+    texts and groups stay where they are.
     """
     shares = shares or DEFAULT_DROP_SHARES
     rng = F.coalesce(range_index("target", DROP_RANGES), F.lit(-1))
-    d = df.withColumn("_rng", rng).withColumn("_h", uniform(salt, "id"))
-    ranked = global_rank(d, "_h", "id", partition_by=["stratum", "_rng"], out="_pos", unit_interval=True,
-                         total="_n")
+    d = df.select(*KEYS).withColumn("_rng", rng).withColumn("_h", uniform(salt, "id"))
+    ranked = global_rank(d, "_h", "id", partition_by=["stratum", "_rng"], out="_pos", total="_n")
     share = F.element_at(_share_map(shares), F.concat_ws(":", "stratum", F.col("_rng").cast("string")))
     n_drop = F.floor(F.col("_n") * F.coalesce(share, F.lit(0.0)))  # no share for range -1: 0
     return ranked.withColumn("_n_drop", n_drop.cast("bigint")).drop("_n")
 
 
+def kept_keys(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
+    """``KEYS`` of the rows that ``stratified_drop`` keeps."""
+    return drop_plan(df, shares, salt).where(F.col("_pos") > F.col("_n_drop")).select(*KEYS)
+
+
 def stratified_drop(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
     """Drop exactly ``floor(n * share)`` rows per (stratum, target range), chosen by hash order.
 
     Rows whose target lies in no range (target = 1.0) are never dropped.
     """
-    plan = drop_plan(df, shares, salt)
-    return plan.where(F.col("_pos") > F.col("_n_drop")).drop(
-        "_rng", "_h", "_pos", "_n_drop"
-    )
+    return df.join(kept_keys(df, shares, salt).select("id"), "id", "left_semi")
 
 
 def dropped_ids(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
@@ -133,11 +137,11 @@ def split_sizes(n: Column, first_share: Column) -> dict[str, Column]:
     return {"train": n - t1, "calib": t1 - t2, "eval": t2 - t3, "test": t3}
 
 
-def exact_split(df: DataFrame, salt: str = "split") -> DataFrame:
-    """Add ``split`` in {train, calib, eval, test} with exact sizes per stratum."""
-    d = df.withColumn("_h", uniform(salt, "id"))
+def split_keys(keys: DataFrame, salt: str = "split") -> DataFrame:
+    """``KEYS`` and ``split`` in {train, calib, eval, test}, with exact sizes per stratum."""
+    d = keys.select(*KEYS).withColumn("_h", uniform(salt, "id"))
     first = F.create_map(*[x for k, v in SPLIT_FIRST_TEST_SHARE.items() for x in (F.lit(k), F.lit(float(v)))])
-    ranked = global_rank(d, "_h", "id", partition_by=["stratum"], out="_pos", unit_interval=True, total="_n")
+    ranked = global_rank(d, "_h", "id", partition_by=["stratum"], out="_pos", total="_n")
     sz = split_sizes(F.col("_n"), F.element_at(first, F.col("stratum")))
     c1 = sz["train"]
     c2 = c1 + sz["calib"]
@@ -148,7 +152,12 @@ def exact_split(df: DataFrame, salt: str = "split") -> DataFrame:
         .when(F.col("_pos") <= c3, "eval")
         .otherwise("test")
     )
-    return ranked.withColumn("split", split).drop("_h", "_pos", "_n")
+    return ranked.select(*KEYS, split.alias("split"))
+
+
+def exact_split(df: DataFrame, salt: str = "split") -> DataFrame:
+    """Add ``split`` in {train, calib, eval, test} with exact sizes per stratum."""
+    return df.join(split_keys(df, salt).select("id", "split"), "id")
 
 
 def eval_without_nulls(split_df: DataFrame) -> DataFrame:
@@ -156,10 +165,16 @@ def eval_without_nulls(split_df: DataFrame) -> DataFrame:
     return split_df.where(F.col("split").isin("train", "calib") | (F.col("stratum") == WITHOUT_NULLS))
 
 
+def prepare_keys(comments_df: DataFrame) -> DataFrame:
+    """``KEYS`` and ``split`` of every kept row (before the eval/test filter): the whole preparation without texts."""
+    return split_keys(kept_keys(null_sentinel(project_columns(comments_df))))
+
+
 def prepare(comments_df: DataFrame) -> DataFrame:
-    """comments -> cleaned, down-sampled, split (all kept rows, before the eval/test filter)."""
+    """comments -> cleaned, down-sampled, split (all kept rows, before the eval/test filter). Texts and groups are
+    joined to the split keys once, at the end."""
     cleaned = null_sentinel(project_columns(comments_df))
-    return exact_split(stratified_drop(cleaned))
+    return cleaned.join(split_keys(kept_keys(cleaned)).select("id", "split"), "id")
 
 
 def prepared_splits(comments_df: DataFrame) -> DataFrame:
@@ -211,19 +226,21 @@ def group_value_long(df: DataFrame, keep: list[str], groups: list[str] = GROUPS)
     return df.select(*keep, F.inline(arr))
 
 
-def histogram(values: DataFrame, keys: list[str], value: str = "value", bins: int = HIST_BINS) -> DataFrame:
-    """Equal-width histogram over the joint min..max of each ``keys`` group, last bin closed.
+def histogram(values: DataFrame, keys: list[str], series: list[str], value: str = "value", bins: int = HIST_BINS) -> DataFrame:
+    """``keys, series, bin, n``: equal-width histograms over the joint min..max of each ``keys`` group, last bin closed.
 
-    ``keys`` names the histogram (not the series); series share their histogram's edges. The
-    min/max table has one row per histogram key and is joined back (AQE broadcasts it).
+    ``keys`` names the histogram; its ``series`` share its edges. Equal values are counted before anything is
+    shuffled by key, so a histogram that holds every row costs no more than its distinct values; the edges are one row
+    per histogram, a number fixed by the call's configuration, and broadcast.
     """
-    rng = values.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    per_value = values.groupBy(*keys, *series, value).agg(F.count(F.lit(1)).alias("_n"))
+    rng = per_value.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     rng = rng.select(
         *keys,
         F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
-    j = values.join(rng, keys, "inner")
+    j = per_value.join(F.broadcast(rng), keys, "inner")
     b = F.least(F.floor((F.col(value) - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))),
                 F.lit(bins - 1))
-    return j.withColumn("bin", b.cast("bigint")).drop("_lo", "_hi")
+    return j.groupBy(*keys, *series, b.cast("bigint").alias("bin")).agg(F.sum("_n").alias("n"))

@@ -1,201 +1,100 @@
 """Exact global order statistics without a single-partition window.
 
-``Window.orderBy(...)`` with no partition key sends every row to one task. Here rows are first
-cut into *rank buckets* by a monotone function of the sort key, a small per-bucket count (or sum)
-table gives each bucket its offset, and ranks are finished inside each bucket:
-
-    rank = offset(partition, bucket) + row_number() over (partition, bucket order by key, id)
-
-Buckets hold about ``rows_per_bucket`` rows each (``calibrix.rows_per_bucket``), so no task
-holds an unbounded group. Heavy ties are handled: a key value that fills more than one quantile
-slot becomes its own bucket, split further by the id (ties are ordered by id).
+``Window.orderBy(...)`` with no partition key sends every row to one task. Here the rows are range-partitioned
+on the whole sort key (partition columns, key, id) and sorted in their partitions: Spark samples the cut points
+from the data itself, so clustered keys, sparse ids and hot values (split by their ids) spread evenly over
+``spark.sql.shuffle.partitions`` tasks at any size of input. The sorted rows are written once with their number
+in their partition; a row's rank is that number plus the rows of the partitions before, which come from a table
+of one row per partition (and partition key).
+
+The write is a job of its own, run while the plan is built: the cut points must be the same for the offsets and
+for the ranks, so the order is fixed by materialising it.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibrix.config import rows_per_task
-
-_B1 = "_rk_b1"
-_B2 = "_rk_b2"
-# Upper bound on the number of buckets (the offset table stays small enough to broadcast).
-MAX_BUCKETS = 100_000
-# Buckets for keys on [0, 1] (hash positions, probabilities): chosen without a pass over the data,
-# from the configured shuffle parallelism (which a job sizes to its data): 64 buckets per shuffle
-# partition, between 2^10 and 2^20. At 10^12 rows and 2^20 buckets a bucket holds ~10^6 rows; the
-# offset table never exceeds 2^20 rows per partition key. ``calibrix.unit_buckets`` overrides it.
-UNIT_BUCKETS_MIN = 1 << 10
-UNIT_BUCKETS = 1 << 20
-UNIT_BUCKETS_PER_SHUFFLE_PARTITION = 64
-
-
-def unit_bucket_count(spark) -> int:
-    fixed = spark.conf.get("calibrix.unit_buckets", None)
-    if fixed:
-        return int(fixed)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return int(min(UNIT_BUCKETS, max(UNIT_BUCKETS_MIN, parts * UNIT_BUCKETS_PER_SHUFFLE_PARTITION)))
-# Quantiles of the key taken in the same pass as the row count; cut points are picked from them.
-QUANTILE_GRID = 1024
-
-
-def _join_offsets(b: DataFrame, offsets: DataFrame, part: list[str], bcols: list[str]) -> DataFrame:
-    """Equi-join on the partition keys and buckets.
-
-    A nullable partition key is compared null-safe (a null key is a partition too); non-nullable
-    keys use plain equality so the join's hash partitioning is the one the rank window needs
-    (a single shuffle of the data).
-    """
-    keys = [*part, *bcols]
-    ren = {c: f"_rk_j{i}" for i, c in enumerate(keys)}
-    o = offsets.select(*[F.col(c).alias(ren.get(c, c)) for c in offsets.columns])
-    nullable = {f.name for f in b.schema.fields if f.nullable}
-    cond = [F.col(c).eqNullSafe(F.col(ren[c])) if c in nullable else F.col(c) == F.col(ren[c]) for c in part]
-    cond += [F.col(c) == F.col(ren[c]) for c in bcols]
-    return b.join(o, cond, "inner").drop(*ren.values())
+from calibrix.sources.files import written
 
+_AT = "_rk_at"
+_SLICE = "_rk_slice"
 
-def _bucket_count(n: int, rows_per_bucket: int) -> int:
-    return int(min(MAX_BUCKETS, max(1, math.ceil(n / max(1, rows_per_bucket)))))
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def bucketize(
-    df: DataFrame,
-    key: str,
-    id_col: str | None,
-    unit_interval: bool = False,
-    rows_per_bucket: int | None = None,
-    id_block: int | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """Add two integer columns whose lexicographic order is monotone in ``(key, id)``.
 
-    ``id_block``: the key is a dense integer row id unique within a partition; buckets are
-    fixed-width id blocks, so a bucket never holds more than ``id_block`` rows and no pass over the
-    data is needed to choose them.
-    """
-    if id_block is not None:
-        b1 = F.floor(F.col(key) / F.lit(int(id_block))).cast("bigint")
-        return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
-    if unit_interval and rows_per_bucket is None:
-        k = unit_bucket_count(df.sparkSession)
-        b1 = F.least(F.greatest(F.floor(F.col(key) * k), F.lit(0)), F.lit(k - 1)).cast("int")
-        return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
-    spark = df.sparkSession
-    rpb = rows_per_bucket or rows_per_task(spark)
-    # One pass gives the row count, the id range and a fixed grid of quantiles of the key.
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if id_col is not None:
-        aggs += [F.min(id_col).alias("lo"), F.max(id_col).alias("hi")]
-    if not unit_interval:
-        grid_probs = [i / QUANTILE_GRID for i in range(1, QUANTILE_GRID)]
-        aggs.append(F.percentile_approx(F.col(key), grid_probs, 4 * QUANTILE_GRID).alias("grid"))
-    stats = df.agg(*aggs).first()
-    n = int(stats["n"])
-    k = _bucket_count(n, rpb)
-    if k == 1:
-        return df.withColumn(_B1, F.lit(0)).withColumn(_B2, F.lit(0)), [_B1, _B2]
-    if unit_interval:
-        # Keys are (close to) uniform on [0, 1): equal-width cut points are equal-count.
-        b1 = F.least(F.greatest(F.floor(F.col(key) * k), F.lit(0)), F.lit(k - 1)).cast("int")
-        return df.withColumn(_B1, b1).withColumn(_B2, F.lit(0)), [_B1, _B2]
-    if k <= QUANTILE_GRID:
-        grid = stats["grid"]
-        cuts = [grid[min(len(grid), max(1, round(j * QUANTILE_GRID / k))) - 1] for j in range(1, k)]
-    else:
-        # Beyond the grid (more than QUANTILE_GRID buckets): a second pass for the exact cut count.
-        cuts = df.approxQuantile(key, [i / k for i in range(1, k)], 1.0 / (4 * k))
-    values, counts = np.unique(np.asarray(cuts, dtype=float), return_counts=True)
-    hot = values[counts >= 2]
-    splits = set(values.tolist())
-    for h in hot:
-        splits.add(float(np.nextafter(h, np.inf)))
-    splits = [-math.inf] + sorted(splits) + [math.inf]
-    out = Bucketizer(splits=splits, inputCol=key, outputCol=_B1, handleInvalid="keep").transform(df)
-    out = out.withColumn(_B1, F.col(_B1).cast("int"))
-    if len(hot) and id_col is not None:
-        # A hot value v owns the bucket [v, nextafter(v)); inside it order is by id alone.
-        hot_idx = [int(np.searchsorted(splits, h, side="right") - 1) for h in hot]
-        reps = {int(i): int(c) + 1 for i, c in zip(hot_idx, counts[counts >= 2])}
-        lo, hi = float(stats["lo"]), float(stats["hi"])
-        width = (hi - lo + 1.0)
-        parts = F.create_map(*[x for i, r in reps.items() for x in (F.lit(i), F.lit(r))])
-        nsub = F.element_at(parts, F.col(_B1))
-        b2 = F.when(
-            nsub.isNotNull(),
-            F.least(F.floor((F.col(id_col) - F.lit(lo)) / F.lit(width) * nsub), nsub - 1),
-        ).otherwise(F.lit(0))
-        out = out.withColumn(_B2, b2.cast("int"))
-    else:
-        out = out.withColumn(_B2, F.lit(0))
-    return out, [_B1, _B2]
-
-
-def global_rank(
-    df: DataFrame,
-    key: str,
-    id_col: str,
-    partition_by: list[str] | tuple = (),
-    out: str = "rank",
-    unit_interval: bool = False,
-    rows_per_bucket: int | None = None,
-    extra_order: list[str] | tuple = (),
-    total: str | None = None,
-    id_block: int | None = None,
-) -> DataFrame:
+def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` in the global order of ``keys``, written once; ``_rk_slice`` and ``_rk_at`` are a row's partition and
+    its place (increasing over all rows, without gaps inside a partition). The partition count is given, so that
+    adaptive execution doesn't merge the partitions of a small input and every size runs the same plan."""
+    n = shuffle_partitions(df.sparkSession)
+    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(_AT, F.monotonically_increasing_id())
+    return written(rows, "ordered").withColumn(_SLICE, F.shiftright(F.col(_AT), 33))
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame, part: list[str]) -> DataFrame:
+    """Equi-join on the partition keys (null-safe: null is a partition too) and slices; the offsets have a row per
+    partition key and slice, so Spark broadcasts them unless there are very many keys."""
+    ren = {c: f"_rk_j{i}" for i, c in enumerate([*part, _SLICE])}
+    o = offsets.select(*[F.col(c).alias(ren.get(c, c)) for c in offsets.columns])
+    cond = [F.col(c).eqNullSafe(F.col(ren[c])) for c in part] + [F.col(_SLICE) == F.col(ren[_SLICE])]
+    return rows.join(o, cond, "inner").drop(*ren.values())
+
+
+def global_rank(df: DataFrame, key: str, id_col: str, partition_by: list[str] | tuple = (), out: str = "rank",
+                extra_order: list[str] | tuple = (), total: str | None = None) -> DataFrame:
     """1-based position of each row in ``(key, id, *extra_order)`` order within ``partition_by``.
 
-    Exact (ties broken by ``id``, then ``extra_order``) and deterministic under recomputation.
-    ``total`` names an optional column with the row count of the row's partition, taken from the
-    same small offset table (no second aggregate over the data).
+    Exact: ties are broken by ``id``, then ``extra_order``. ``total`` names an optional column with the row count of
+    the row's partition. All columns of ``df`` are sorted and written; pass narrow rows and join the rest back.
     """
     part = list(partition_by)
-    b, bcols = bucketize(df, key, id_col, unit_interval, rows_per_bucket, id_block)
-    counts = b.groupBy(*part, *bcols).agg(F.count(F.lit(1)).alias("_rk_cnt"))
-    w_off = Window.partitionBy(*part).orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("_rk_cnt").over(Window.partitionBy(*part)).alias(total)] if total else []
-    offsets = counts.select(
-        *part, *bcols, F.coalesce(F.sum("_rk_cnt").over(w_off), F.lit(0)).alias("_rk_off"), *extra
-    )
-    w_in = Window.partitionBy(*part, *bcols).orderBy(F.col(key), F.col(id_col), *[F.col(c) for c in extra_order])
-    ranked = _join_offsets(b, offsets, part, bcols)
-    return ranked.withColumn(out, (F.col("_rk_off") + F.row_number().over(w_in)).cast("bigint")).drop(
-        "_rk_off", *bcols
-    )
-
-
-def prefix_sum(
-    df: DataFrame,
-    key: str,
-    sum_cols: list[str],
-    partition_by: list[str] | tuple = (),
-    strict: bool = True,
-    suffix: str = "_below",
-    rows_per_bucket: int | None = None,
-    unit_interval: bool = False,
-) -> DataFrame:
+    order = [c for c in dict.fromkeys([key, id_col, *extra_order]) if c not in part]
+    rows = ordered(df, [*part, *order])
+    counts = rows.groupBy(*part, _SLICE).agg(F.count(F.lit(1)).alias("_rk_n"), F.min(_AT).alias("_rk_first"))
+    before = Window.partitionBy(*part).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_rk_n").over(Window.partitionBy(*part)).alias(total)] if total else []
+    offsets = counts.select(*part, _SLICE, (F.coalesce(F.sum("_rk_n").over(before), F.lit(0)) - F.col("_rk_first") + 1).alias("_rk_off"), *extra)
+    ranked = _with_offsets(rows, offsets, part)
+    return ranked.withColumn(out, (F.col(_AT) + F.col("_rk_off")).cast("bigint")).drop("_rk_off", _AT, _SLICE)
+
+
+def prefix_sum(df: DataFrame, key: str, sum_cols: list[str], partition_by: list[str] | tuple = (), strict: bool = True,
+               suffix: str = "_below") -> DataFrame:
     """Running sums of ``sum_cols`` in ``key`` order within ``partition_by``.
 
-    ``key`` must be unique inside a partition (callers group by the key first). ``strict=True``
-    gives sums over rows strictly below the current key; otherwise up to and including it.
-    ``unit_interval``: keys lie in [0, 1] (probabilities, clamped scores). Because each key occurs
-    once per partition, a hot value is one row here, so fixed fine buckets need no planning pass.
+    ``key`` must be unique inside a partition (callers group by the key first). ``strict=True`` gives sums over rows
+    strictly below the current key; otherwise up to and including it.
     """
     part = list(partition_by)
-    b, bcols = bucketize(df, key, None, unit_interval, rows_per_bucket)
-    tot = b.groupBy(*part, *bcols).agg(*[F.sum(c).alias(f"_ps_{c}") for c in sum_cols])
-    w_off = Window.partitionBy(*part).orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(
-        *part, *bcols, *[F.coalesce(F.sum(f"_ps_{c}").over(w_off), F.lit(0)).alias(f"_po_{c}") for c in sum_cols]
-    )
-    end = -1 if strict else 0
-    w_in = Window.partitionBy(*part, *bcols).orderBy(F.col(key)).rowsBetween(Window.unboundedPreceding, end)
-    j = _join_offsets(b, offsets, part, bcols)
-    for c in sum_cols:
-        j = j.withColumn(f"{c}{suffix}", F.col(f"_po_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0)))
-    return j.drop(*[f"_po_{c}" for c in sum_cols], *bcols)
+    rows = ordered(df, [*part, key])
+    tot = rows.groupBy(*part, _SLICE).agg(*[F.sum(c).alias(f"_ps_{c}") for c in sum_cols])
+    before = Window.partitionBy(*part).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select(*part, _SLICE, *[F.coalesce(F.sum(f"_ps_{c}").over(before), F.lit(0)).alias(f"_po_{c}") for c in sum_cols])
+    within = Window.partitionBy(*part, _SLICE).orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    j = _with_offsets(rows, offsets, part)
+    sums = [(F.col(f"_po_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"{c}{suffix}") for c in sum_cols]
+    return j.select("*", *sums).drop(*[f"_po_{c}" for c in sum_cols], _AT, _SLICE)
+
+
+def cut_points(df: DataFrame, col: str, parts: int | None = None) -> list:
+    """At most ``parts - 1`` values of a numeric column that cut its rows into about equal parts (approximate
+    quantiles; by default four parts per shuffle partition). Runs one aggregate; the result is bounded by ``parts``."""
+    parts = parts or 4 * shuffle_partitions(df.sparkSession)
+    probs = [i / parts for i in range(1, parts)]
+    got = df.agg(F.percentile_approx(col, probs, max(10_000, 10 * parts))).first()[0] if probs else None
+    return sorted(set(got or []))
+
+
+def cut_index(col: str, cuts: list) -> Column:
+    """Number of cut points below a value: found among every k-th cut first, then between two of those."""
+    if not cuts:
+        return F.lit(0)
+    k = max(1, int(len(cuts) ** 0.5))
+    fine, coarse = F.array(*[F.lit(c) for c in cuts]), F.array(*[F.lit(c) for c in cuts[k - 1::k]])
+    block = F.size(F.filter(coarse, lambda c: c < F.col(col)))
+    return F.element_at(F.transform(F.array(block), lambda b: b * k + F.size(F.filter(
+        F.slice(fine, b * k + 1, F.lit(k)), lambda c: c < F.col(col)))), 1)

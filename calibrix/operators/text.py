@@ -2,36 +2,41 @@
 
 Words are lower-cased and split on whitespace and ASCII punctuation (an RE2/Java-compatible
 class). The vocabulary ranks tokens by corpus frequency (ties: a hash of the token, then the
-token) with a bucketed global rank, so no single task orders the whole vocabulary. Token ids are
-attached with an equi-join on the token; the vocabulary grows with the corpus, so the join
-strategy is left to AQE (broadcast only when its runtime size is small).
+token) with the global rank, so no single task orders the whole vocabulary. Token ids are
+attached with an equi-join on the token, salted for common ones; the vocabulary grows with the
+corpus, so Spark picks the join from its written size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrix.config import MAX_SEQ_LEN
 from calibrix.operators.ranking import global_rank
+from calibrix.sources.files import written
 
 # Token pattern and special token ids.
 TOKEN_PATTERN = r"[^\s!-/:-@\[-`{-~]+"
 SEPARATOR_PATTERN = r"[\s!-/:-@\[-`{-~]+"
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
-MIN_COUNT = 2
+# Tokens seen fewer times are unknown: a parameter of the user, 1 keeps all.
+MIN_COUNT = 1
+# Occurrences of one token that a join task is given.
+HOT_ROWS = 1_000_000
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = False) -> DataFrame:
     """``(doc_id, pos, token)`` for every token of every whole text.
 
     Tokens are the maximal runs matching ``TOKEN_PATTERN``; they are taken by splitting on runs of
     the complementary class and dropping the empty ends (the same tokens, faster than extracting
-    every match).
+    every match). ``keep_empty``: a text without tokens has one row with null position and token.
     """
     arr = F.filter(F.split(F.lower(F.col(text_col)), SEPARATOR_PATTERN), lambda t: t != F.lit(""))
-    return docs.select(id_col, F.posexplode(arr).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
+    each = F.posexplode_outer(arr) if keep_empty else F.posexplode(arr)
+    return docs.select(id_col, each.alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def token_key(col: str = "token"):
@@ -41,45 +46,51 @@ def token_key(col: str = "token"):
 
 def build_vocab(toks: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """``(token, token_id, count)`` for tokens seen at least ``min_count`` times; ids from 4 in
-    (count desc, key, token) order.
+    (count desc, key, token) order, by the global rank (its sorted rows are a written table)."""
+    counts = toks.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    keyed = counts.where(F.col("count") >= min_count).select("token", "count", (-F.col("count")).alias("_c"), token_key().alias("_k"))
+    r = global_rank(keyed, "_c", "_k", out="_r", extra_order=["token"])
+    return r.select("token", (F.col("_r") + FIRST_WORD_ID - 1).alias("token_id"), "count")
 
-    Two-level rank with no pass to pick buckets: tokens of one count are ranked by their key
-    scaled to [0, 1) (a uniform hash, so fixed fine buckets split even the huge low-count
-    classes), and each count class is offset by the number of tokens with a higher count (one row
-    per distinct count value: a small table).
+
+def lookup(toks: DataFrame, vocab: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Attach ids; unknown tokens map to UNK.
+
+    A token with more than ``hot_rows`` occurrences is salted: its vocabulary row is repeated for each of
+    ``count / hot_rows`` salts and its occurrences are dealt over them, so no join task gets all of a common word.
+    The list of hot tokens is written first, for Spark to know its size.
     """
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
-    keyed = counts.select("token", "count", token_key().alias("_k")).withColumn(
-        "_u", F.col("_k").cast("double") / F.lit(float(1 << 60)))
-    within = global_rank(keyed, "_u", "_k", partition_by=["count"], out="_r", unit_interval=True,
-                         extra_order=["token"])
-    # Distinct counts number at most sqrt(2 * tokens), so this one-partition window stays small.
-    w = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    classes = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_n_c"))
-    offsets = classes.select("count", F.coalesce(F.sum("_n_c").over(w), F.lit(0)).alias("_off"))
-    r = within.join(offsets, "count", "inner")
-    return r.select("token", (F.col("_off") + F.col("_r") + FIRST_WORD_ID - 1).alias("token_id"), "count")
-
-
-def lookup(toks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Attach ids; unknown tokens map to UNK."""
-    j = toks.join(vocab.select("token", "token_id"), "token", "left")
+    vocab = written(vocab, "vocabulary")
+    hot = written(vocab.where(F.col("count") > hot_rows).select("token", F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts")), "hot_tokens")
+    salts = F.coalesce("_salts", F.lit(1))
+    left = toks.join(hot, "token", "left").withColumn("_salt", F.pmod(F.xxhash64(*toks.columns), salts).cast("int")).drop("_salts")
+    right = vocab.select("token", "token_id", "count").join(hot, "token", "left").select(
+        "token", "token_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    j = left.join(right, ["token", "_salt"], "left").drop("_salt")
     return j.withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("bigint")))
 
 
-def encode(docs: DataFrame, ids: DataFrame, max_len: int = MAX_SEQ_LEN, id_col: str = "doc_id") -> DataFrame:
+def encode(ids: DataFrame, max_len: int = MAX_SEQ_LEN, id_col: str = "doc_id") -> DataFrame:
     """``input_ids`` / ``attention_mask`` of length ``max_len``: [CLS] first max_len-2 ids [SEP] pads.
 
-    Only the first ``max_len - 2`` positions of a document are gathered (bounded per document).
+    ``ids`` come from ``tokens`` with ``keep_empty``, so a text without tokens has its row here too. Only the
+    first ``max_len - 2`` positions of a document are gathered (bounded per document).
     """
     keep = max_len - 2
-    firsts = ids.where(F.col("pos") < keep).groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_p"))
-    j = docs.select(id_col).join(firsts, id_col, "left")
-    body = F.coalesce(F.transform("_p", lambda s: s["token_id"]), F.array().cast("array<bigint>"))
+    docs = ids.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos") < keep, F.struct("pos", "token_id")))).alias("_p"))
+    body = F.transform("_p", lambda s: s["token_id"])
     n = F.size(body)
     pad = F.lit(keep) - n
     input_ids = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), body, F.array(F.lit(SEP_ID).cast("bigint")),
                          F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad))
     mask = F.concat(F.array_repeat(F.lit(1).cast("bigint"), n + 2), F.array_repeat(F.lit(0).cast("bigint"), pad))
-    return j.select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"))
+    return docs.select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"))
+
+
+def tokenize_pad(docs: DataFrame, max_len: int = MAX_SEQ_LEN, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
+    """Documents as padded ids, in the vocabulary of all their tokens; a token beyond the length only counts for it."""
+    toks = tokens(docs, id_col, text_col, keep_empty=True)
+    vocab = build_vocab(toks, min_count)
+    first = toks.where(F.col("pos").isNull() | (F.col("pos") < max_len - 2))
+    return encode(lookup(first, vocab), max_len, id_col)

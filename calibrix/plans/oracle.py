@@ -14,8 +14,8 @@ from calibrix.config import (
     MIN_GROUP_SIZE,
     OVERALL,
 )
-from calibrix.functions.math import ERF_A, ERF_P, HALF_LOG_2PI, SQRT2
-from calibrix.sources.fixtures import PART_NULL_SHARE, PREDICTION_GROUP_RATES, PREDICTION_UNKNOWN_SHARE
+from calibrix.functions.math import ERF_COEFFICIENTS, HALF_LOG_2PI, SQRT2
+from calibrix.sources.fixtures import PART_NULL_SHARE, PREDICTION_GROUP_RATES, PREDICTION_UNKNOWN_SHARE, UNLABELLED_SHARE
 
 D = "::DOUBLE"
 
@@ -30,10 +30,11 @@ def u(salt: str, idexpr: str) -> str:
 
 def erf(x: str) -> str:
     ax = f"abs({x})"
-    t = f"(1.0{D}/(1.0{D}+{lit(ERF_P)}*{ax}))"
-    a1, a2, a3, a4, a5 = (lit(a) for a in ERF_A)
-    poly = f"((((({a5}*{t}+{a4})*{t}+{a3})*{t}+{a2})*{t}+{a1})*{t})"
-    y = f"(1.0{D}-{poly}*exp(-({ax}*{ax})))"
+    t = f"(2.0{D}/(2.0{D}+{ax}))"
+    poly = lit(ERF_COEFFICIENTS[-1])
+    for c in reversed(ERF_COEFFICIENTS[:-1]):
+        poly = f"({poly}*(2.0{D}*{t}-1.0{D})+{lit(c)})"
+    y = f"(1.0{D}-{t}*exp({poly}-{ax}*{ax}))"
     return f"(CASE WHEN ({x}) < 0 THEN -{y} ELSE {y} END)"
 
 
@@ -47,7 +48,7 @@ def nll(label: str = "label", mean: str = "mean", std: str = "stddev") -> str:
 
 
 def clamp(x: str, lo: float = 0.0, hi: float = 1.0) -> str:
-    return f"least(greatest({x},{lit(lo)}),{lit(hi)})"
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x},{lit(lo)}),{lit(hi)}) END)"
 
 
 def r6(expr: str, name: str) -> str:
@@ -55,12 +56,14 @@ def r6(expr: str, name: str) -> str:
 
 
 # ---------------------------------------------------------------- fixtures
-def predictions_cte(keep_ts: bool = False) -> str:
+def predictions_cte(keep_ts: bool = False, hashed_ids: bool = False, name: str = "predictions") -> str:
+    y = f"least(value/100.0{D}, 1.0{D})"
+    rid = "('0x'||substr(md5('id:'||event_id),1,15))::BIGINT" if hashed_ids else "event_id"
     cols = [
-        "event_id AS row_id",
-        f"{u('y', 'event_id')} AS label",
+        f"{rid} AS row_id",
+        f"(CASE WHEN {u('unlabelled', 'event_id')} >= {lit(UNLABELLED_SHARE)} THEN {y} END) AS label",
         f"{u('r', 'event_id')} AS input_r",
-        f"(0.6{D}*{u('y', 'event_id')}+0.4{D}*{u('m', 'event_id')}) AS mean",
+        f"(0.6{D}*{y}+0.4{D}*{u('m', 'event_id')}) AS mean",
         f"(0.05{D}+0.45{D}*{u('s', 'event_id')}) AS stddev",
     ]
     for g, p in zip(GROUPS, PREDICTION_GROUP_RATES):
@@ -70,13 +73,19 @@ def predictions_cte(keep_ts: bool = False) -> str:
         )
     if keep_ts:
         cols.append("CAST(ts AS TIMESTAMP) AS ts")
-    return "predictions AS (SELECT " + ", ".join(cols) + " FROM events)"
+    return f"{name} AS (SELECT " + ", ".join(cols) + " FROM events)"
+
+
+def run_predictions_cte(coefficients: list[float]) -> str:
+    grid = ", ".join(f"({lit(c)})" for c in coefficients)
+    return (f"run_predictions AS (SELECT p.* REPLACE ((1.0{D} - 0.5{D}*coefficient)*mean + 0.25{D}*coefficient AS mean, "
+            f"stddev*(0.5{D} + coefficient) AS stddev), coefficient FROM predictions p, (VALUES {grid}) g(coefficient))")
 
 
 def terms_cte(src: str = "predictions", name: str = "terms", pred: str = "mean") -> str:
     """cdf, nll, pred_value, then cdf_gap / labels (mirrors ``forecast_terms``)."""
     return (
-        f"{name}_a AS (SELECT *, {cdf()} AS cdf, {nll()} AS nll, {clamp(pred)} AS pred_value FROM {src}), "
+        f"{name}_a AS (SELECT *, {cdf()} AS cdf, {nll()} AS nll, {clamp(pred)} AS pred_value FROM {src} WHERE label IS NOT NULL), "
         f"{name} AS (SELECT *, abs(cdf - input_r) AS cdf_gap, CAST(pred_value > 0.5{D} AS INTEGER) AS pred_label, "
         f"CAST(label > 0.5{D} AS INTEGER) AS target_label FROM {name}_a)"
     )
@@ -84,8 +93,10 @@ def terms_cte(src: str = "predictions", name: str = "terms", pred: str = "mean")
 
 def comments_cte(part_null: bool = False, name: str = "comments") -> str:
     idc = "d.doc_id"
-    nt = u("nt", idc)
-    target = f"(CASE WHEN {nt} < 0.2{D} THEN 0.0{D} WHEN {nt} > 0.98{D} THEN 1.0{D} ELSE {u('target', idc)} END)"
+    nt, ut = u("nt", idc), u("target", idc)
+    target = (f"(CASE WHEN l.toxic = 1 THEN 0.5{D} + 0.5{D}*{ut} WHEN l.quality = 0 THEN 0.25{D} + 0.25{D}*{ut} "
+              f"WHEN l.doc_id IS NOT NULL THEN CASE WHEN {nt} < 0.3{D} THEN 0.0{D} ELSE 0.5{D}*{ut} END "
+              f"WHEN {nt} < 0.2{D} THEN 0.0{D} WHEN {nt} > 0.98{D} THEN 1.0{D} ELSE {ut} END)")
     cols = [f"{idc} AS id", f"{target} AS target", "d.text AS comment_text"]
     for g in GROUPS:
         v = f"greatest(0.0{D}, floor({u(g, idc)}*9)/4.0{D} - 1.0{D})"
@@ -95,7 +106,7 @@ def comments_cte(part_null: bool = False, name: str = "comments") -> str:
         cols.append(f"CAST({v} AS DOUBLE) AS {g}")
     return (
         f"{name} AS (SELECT " + ", ".join(cols)
-        + " FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)"
+        + " FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id)"
     )
 
 
@@ -116,19 +127,22 @@ def members_cte(src: str = "terms", name: str = "members", cols: str = "*", grou
     return f"{name} AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def sizes_cte(src: str = "members", name: str = "sizes", min_size: int = MIN_GROUP_SIZE) -> str:
+def sizes_cte(src: str = "members", name: str = "sizes", min_size: int = MIN_GROUP_SIZE, by: str = "") -> str:
+    """``by``: an outer key, e.g. a run's coefficient."""
+    b = f"{by}, " if by else ""
     return (
-        f"{name}_a AS (SELECT \"group\", count(*) FILTER (WHERE target_label = 0) AS n0, "
-        f"count(*) FILTER (WHERE target_label = 1) AS n1 FROM {src} GROUP BY \"group\"), "
-        f"{name} AS (SELECT \"group\", n0, n1, least(n0, n1) AS group_size, least(n0, n1) >= {min_size} AS kept "
+        f"{name}_a AS (SELECT {b}\"group\", count(*) FILTER (WHERE target_label = 0) AS n0, "
+        f"count(*) FILTER (WHERE target_label = 1) AS n1 FROM {src} GROUP BY {b}\"group\"), "
+        f"{name} AS (SELECT {b}\"group\", n0, n1, least(n0, n1) AS group_size, least(n0, n1) >= {min_size} AS kept "
         f"FROM {name}_a)"
     )
 
 
-def balanced_cte(src: str = "members", sizes: str = "sizes", name: str = "balanced") -> str:
+def balanced_cte(src: str = "members", sizes: str = "sizes", name: str = "balanced", by: str = "") -> str:
+    part, on = (f"m.{by}, ", f"m.{by} = s.{by} AND ") if by else ("", "")
     return (
-        f"{name} AS (SELECT * FROM (SELECT m.*, s.group_size, row_number() OVER (PARTITION BY m.\"group\", "
-        f"m.target_label ORDER BY m.row_id) AS _pos FROM {src} m JOIN {sizes} s ON m.\"group\" = s.\"group\" "
+        f"{name} AS (SELECT * FROM (SELECT m.*, s.group_size, row_number() OVER (PARTITION BY {part}m.\"group\", "
+        f"m.target_label ORDER BY m.row_id) AS _pos FROM {src} m JOIN {sizes} s ON {on}m.\"group\" = s.\"group\" "
         f"WHERE s.kept) WHERE _pos <= group_size)"
     )
 
@@ -158,14 +172,15 @@ def classification_exprs() -> dict[str, str]:
     }
 
 
-def group_metrics_ctes(coef: float, src_terms: str = "terms") -> str:
+def group_metrics_ctes(coef: float, src_terms: str = "terms", by: str = "") -> str:
     """CTEs ending in ``gm`` = wide group metric table (kept groups + ALL row), unrounded."""
     cls = classification_exprs()
     cls_sel = ", ".join(f"{v} AS \"{k}\"" for k, v in cls.items())
+    b, group_by = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     return (
-        f"{members_cte(src_terms)}, {sizes_cte()}, {balanced_cte()}, "
-        f"gm_g AS (SELECT \"group\", CAST(count(*) / 2 AS BIGINT) AS group_size, {metric_select(coef)} FROM balanced GROUP BY \"group\"), "
-        f"gm_all AS (SELECT '{OVERALL}' AS \"group\", CAST(NULL AS BIGINT) AS group_size, {metric_select(coef)} FROM {src_terms}), "
+        f"{members_cte(src_terms)}, {sizes_cte(by=by)}, {balanced_cte(by=by)}, "
+        f"gm_g AS (SELECT {b}\"group\", CAST(count(*) / 2 AS BIGINT) AS group_size, {metric_select(coef)} FROM balanced GROUP BY {b}\"group\"), "
+        f"gm_all AS (SELECT {b}'{OVERALL}' AS \"group\", CAST(NULL AS BIGINT) AS group_size, {metric_select(coef)} FROM {src_terms}{group_by}), "
         f"gm_u AS (SELECT * FROM gm_g UNION ALL SELECT * FROM gm_all), "
         f"gm AS (SELECT *, {cls_sel} FROM gm_u)"
     )

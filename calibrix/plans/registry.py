@@ -122,20 +122,20 @@ def q_range_filter(spark, sf_dir):
 def q_stratified_drop(spark, sf_dir):
     """Exact per-(stratum, range) down-sampling by hash order."""
     cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
-    return P.stratified_drop(cleaned).select("id", "stratum", "target")
+    return P.kept_keys(cleaned)
 
 
 @register("drop_by_id", O.with_prepare() + "SELECT id, stratum FROM cleaned WHERE id NOT IN (SELECT id FROM drop_plan WHERE _pos <= _n_drop)")
 def q_drop_by_id(spark, sf_dir):
     """Remove sampled ids with a left-anti join on id."""
     cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
-    return cleaned.join(P.dropped_ids(cleaned), "id", "left_anti").select("id", "stratum")
+    return cleaned.select("id", "stratum").join(P.dropped_ids(cleaned), "id", "left_anti")
 
 
 @register("exact_split", O.with_prepare() + "SELECT id, stratum, split FROM prepared")
 def q_exact_split(spark, sf_dir):
     """Chained exact train/calib/eval/test split per null stratum."""
-    return _prepared(spark, sf_dir).select("id", "stratum", "split")
+    return P.prepare_keys(FX.comments(spark, sf_dir)).select("id", "stratum", "split")
 
 
 @register(
@@ -146,15 +146,16 @@ def q_exact_split(spark, sf_dir):
 def q_union_strata(spark, sf_dir):
     """Bag union of the separately down-sampled null and no-null parts."""
     cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
-    a = P.stratified_drop(cleaned.where(F.col("stratum") == P.WITH_NULLS))
-    b = P.stratified_drop(cleaned.where(F.col("stratum") == P.WITHOUT_NULLS))
+    a = P.kept_keys(cleaned.where(F.col("stratum") == P.WITH_NULLS))
+    b = P.kept_keys(cleaned.where(F.col("stratum") == P.WITHOUT_NULLS))
     u = a.unionByName(b)
     return u.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("target") > 0.5, 1)).alias("n_toxic"))
 
 
 @register("eval_without_nulls", O.with_prepare() + "SELECT id, split, stratum FROM splits WHERE split IN ('eval', 'test')")
 def q_eval_without_nulls(spark, sf_dir):
-    return P.eval_without_nulls(_prepared(spark, sf_dir)).where(F.col("split").isin("eval", "test")).select("id", "split", "stratum")
+    keys = P.eval_without_nulls(P.prepare_keys(FX.comments(spark, sf_dir)))
+    return keys.where(F.col("split").isin("eval", "test")).select("id", "split", "stratum")
 
 
 @register(
@@ -163,24 +164,30 @@ def q_eval_without_nulls(spark, sf_dir):
     + f"SELECT id, row_number() OVER (ORDER BY {O.u('shuffle', 'id')}, id) AS shuffle_pos FROM splits WHERE split = 'train'",
 )
 def q_seeded_shuffle(spark, sf_dir):
-    """Train rows in a seeded hash order (exact positions, bucketed ranking)."""
-    train = P.prepared_splits(FX.comments(spark, sf_dir)).where(F.col("split") == "train").select("id")
-    r = global_rank(train.withColumn("_h", uniform("shuffle", "id")), "_h", "id", out="shuffle_pos", unit_interval=True)
+    """Train rows in a seeded hash order (exact positions by the global rank)."""
+    train = P.prepare_keys(FX.comments(spark, sf_dir)).where(F.col("split") == "train").select("id")
+    r = global_rank(train.withColumn("_h", uniform("shuffle", "id")), "_h", "id", out="shuffle_pos")
     return r.select("id", "shuffle_pos")
 
 
+# First rows kept of each split: the user's limits, one per split.
+HEAD_ROWS = {"train": 40, "calib": 25, "eval": 15, "test": 10}
+
+
 @register(
     "head_n",
     O.with_prepare()
-    + "SELECT split, id FROM (SELECT split, id, row_number() OVER (PARTITION BY split ORDER BY id) AS rn FROM splits) WHERE rn <= 25",
+    + "SELECT split, id FROM (SELECT split, id, row_number() OVER (PARTITION BY split ORDER BY id) AS rn FROM splits) "
+    "WHERE rn <= CASE split " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in HEAD_ROWS.items()) + " END",
 )
 def q_head_n(spark, sf_dir):
-    """First 25 rows of each split in id order (constant-k row_number -> per-partition top-k)."""
-    from pyspark.sql import Window
-
-    s = P.prepared_splits(FX.comments(spark, sf_dir)).select("split", "id")
-    rn = F.row_number().over(Window.partitionBy("split").orderBy("id"))
-    return s.withColumn("rn", rn).where(F.col("rn") <= 25).select("split", "id")
+    """The first N rows of each split in id order, N by split (a bounded top-k of each split: no sort of the rest)."""
+    s = P.eval_without_nulls(P.prepare_keys(FX.comments(spark, sf_dir))).select("split", "id")
+    out = None
+    for split, n in HEAD_ROWS.items():
+        top = s.where(F.col("split") == split).orderBy("id").limit(n)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 _TR_ROWS = []
@@ -222,8 +229,7 @@ def _profile_sql() -> str:
 
 def _profile_frames(spark, sf_dir):
     cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
-    prepared = P.exact_split(P.stratified_drop(cleaned))
-    splits = P.eval_without_nulls(prepared)
+    prepared = P.split_keys(P.kept_keys(cleaned))
     pre = cleaned.select(
         "target",
         F.explode(F.array(F.lit("full"), F.concat("stratum")) ).alias("table"),
@@ -238,28 +244,32 @@ def _profile_frames(spark, sf_dir):
             )
         ).alias("table"),
     ).where(F.col("table").isNotNull())
-    return pre.unionByName(post), splits
+    return pre.unionByName(post)
 
 
 @register("target_range_counts", _profile_sql())
 def q_target_range_counts(spark, sf_dir):
     """Rows per 2 and 4 target ranges for every intermediate table of the preparation."""
-    frames, _ = _profile_frames(spark, sf_dir)
-    return P.target_range_counts(frames, by=["table"])
+    return P.target_range_counts(_profile_frames(spark, sf_dir), by=["table"])
 
 
 @register(
     "shape_counts",
     O.with_prepare()
     + " UNION ALL ".join(
-        f"SELECT '{name}' AS \"table\", count(*) AS n_rows, CAST(12 AS BIGINT) AS n_cols FROM {src}" + (f" WHERE {cond}" if cond else "")
+        f"SELECT '{name}' AS \"table\", (SELECT count(*) FROM {src}" + (f" WHERE {cond}" if cond else "") + f") AS n_rows, "
+        f"(SELECT len(struct_keys(x)) FROM (SELECT * FROM {src} LIMIT 1) x) AS n_cols"
         for name, src, cond in _PROFILE_TABLES
     ),
 )
 def q_shape_counts(spark, sf_dir):
-    """Row and column counts of each intermediate table (one pass per stage)."""
-    frames, _ = _profile_frames(spark, sf_dir)
-    return frames.groupBy("table").agg(F.count(F.lit(1)).alias("n_rows"), F.lit(12).cast("bigint").alias("n_cols"))
+    """Row and column counts of each intermediate table (one pass per stage; columns from the tables' schemas)."""
+    cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
+    kept = P.stratified_drop(cleaned)
+    width = {"cleaned": len(cleaned.columns), "kept": len(kept.columns), "splits": len(P.exact_split(kept).columns)}
+    n_cols = F.create_map(*[x for name, src, _ in _PROFILE_TABLES for x in (F.lit(name), F.lit(width[src]).cast("bigint"))])
+    counts = _profile_frames(spark, sf_dir).groupBy("table").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.withColumn("n_cols", F.element_at(n_cols, F.col("table")))
 
 
 @register(
@@ -325,8 +335,7 @@ def q_histogram_30(spark, sf_dir):
         items.append(F.when(is_eval & (v >= HIST_ZOOM_MIN), F.struct(
             F.lit("zoom").alias("hist"), F.lit(g).alias("group"), series.alias("series"), v.alias("value"))))
     vals = prep.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
-    h = P.histogram(vals, ["hist", "group"])
-    return h.groupBy("hist", "group", "series", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return P.histogram(vals, ["hist", "group"], ["series"])
 
 
 def _sample_sql() -> str:
@@ -385,49 +394,78 @@ def q_drop_missing_groups(spark, sf_dir):
     return one.select(rows)
 
 
-from calibrix.config import checkpoint_root, scratch_path  # noqa: E402
+from calibrix.config import code_fingerprint, fresh_path, scratch_path  # noqa: E402
+from calibrix.operators import text as TX  # noqa: E402
+from calibrix.sources.tables import read_table  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
 
 
 @register("scan_comments", O.with_prepare() + f"SELECT {_GL}, id, round(target, 6) AS target, comment_text FROM comments")
 def q_scan_comments(spark, sf_dir):
     """Comments written as multi-line CSV and read back with the fixed schema."""
-    path = scratch_path(spark, "comments_csv", sf_dir)
+    path = fresh_path(spark, "comments_csv")
     FS.write_csv(P.project_columns(FX.comments(spark, sf_dir)), path)
     return FS.read_comments_csv(spark, path)
 
 
-def _write_splits(spark, sf_dir) -> str:
-    path = scratch_path(spark, "splits", sf_dir)
-    FS.write_splits(P.prepared_splits(FX.comments(spark, sf_dir)), path)
-    return path
+def _write_splits(spark, sf_dir, fmt) -> tuple[str, DataFrame]:
+    path, df = fresh_path(spark, "splits"), P.prepared_splits(FX.comments(spark, sf_dir))
+    FS.write_splits(df, path, fmt)
+    return path, df
 
 
-@register("write_splits", O.with_prepare() + "SELECT split, count(*) AS n_rows FROM splits GROUP BY split")
+@register("write_splits", O.with_prepare() + "SELECT split, count(*) AS n_rows, CAST(sum(length(comment_text)) AS BIGINT) AS n_chars FROM splits GROUP BY split")
 def q_write_splits(spark, sf_dir):
-    """Write the four splits partitioned by split, read back, count rows per split."""
-    path = _write_splits(spark, sf_dir)
-    return FS.read_split(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Write the four splits as CSV files partitioned by split, read them back, count rows and characters per split."""
+    path, df = _write_splits(spark, sf_dir, "csv")
+    back = FS.read_split(spark, path, fmt="csv", schema=df.drop("split").schema)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("comment_text")).alias("n_chars"))
 
 
 @register("scan_splits", O.with_prepare() + "SELECT id, round(target, 6) AS target, stratum FROM splits WHERE split = 'eval'")
 def q_scan_splits(spark, sf_dir):
     """Read one split from the partitioned table (partition pruning on ``split``)."""
-    path = _write_splits(spark, sf_dir)
+    path, _ = _write_splits(spark, sf_dir, "parquet")
     return FS.read_split(spark, path, "eval").select("id", "target", "stratum")
 
 
-@register("cached_dataset", O.with_prepare() + "SELECT id, split FROM splits")
+_PAT = TX.TOKEN_PATTERN.replace("'", "''")
+_TOK_SQL = (
+    f"tk0 AS (SELECT doc_id, regexp_extract_all(lower(text), '{_PAT}') AS toks FROM documents), "
+    "tk AS (SELECT doc_id, CAST(unnest(generate_series(0, len(toks) - 1)) AS BIGINT) AS pos, unnest(toks) AS token FROM tk0 WHERE len(toks) > 0), "
+    f"vc AS (SELECT token, count(*) AS cnt FROM tk GROUP BY token HAVING count(*) >= {TX.MIN_COUNT}), "
+    f"vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, ('0x' || substr(md5(token), 1, 15))::BIGINT, token) + {TX.FIRST_WORD_ID - 1} AS BIGINT) AS token_id, cnt FROM vc), "
+    f"ids AS (SELECT tk.doc_id, tk.pos, tk.token, coalesce(vocab.token_id, {TX.UNK_ID}) AS token_id FROM tk LEFT JOIN vocab ON tk.token = vocab.token)"
+)
+
+
+@register(
+    "cached_dataset",
+    O.with_prepare(_TOK_SQL, f"cd AS (SELECT doc_id, count(*) AS n, sum(token_id) AS total FROM ids WHERE pos < {TX.MAX_SEQ_LEN - 2} GROUP BY doc_id)")
+    + f"SELECT s.id, s.split, coalesce(n, 0) + 2 AS n_tokens, CAST(coalesce(total, 0) + {TX.CLS_ID + TX.SEP_ID} AS BIGINT) AS id_sum "
+    "FROM splits s LEFT JOIN cd ON cd.doc_id = s.id",
+)
 def q_cached_dataset(spark, sf_dir):
-    """Read the prepared table if already built for these inputs, else build and save it."""
-    from calibrix.config import code_fingerprint
+    """The splits' padded token arrays, read from the cache if it was built from these files by this code, else built
+    and saved. The key has the input files' names, sizes and times."""
+    inputs = FS.input_listing(spark, *[f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("documents", "labels")])
+    path = scratch_path(spark, "tokenised_splits", inputs, code_fingerprint())
+
+    def build():
+        enc = TX.tokenize_pad(_docs(spark, sf_dir)).withColumnRenamed("doc_id", "id")
+        return P.prepared_splits(FX.comments(spark, sf_dir)).drop("comment_text").join(enc, "id")
 
-    path = scratch_path(spark, "prepared_cache", sf_dir, code_fingerprint())
-    return FS.materialize(spark, path, lambda: P.prepared_splits(FX.comments(spark, sf_dir))).select("id", "split")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return FS.materialize(spark, path, build).select("id", "split", total("attention_mask").alias("n_tokens"), total("input_ids").alias("id_sum"))
 
 
 # ============================================================ forecasts: losses, groups, AUC, batches
 from calibrix.config import (  # noqa: E402
     EVAL_BATCH_SIZE,
+    EVAL_STEPS,
     METRIC_NAMES,
     OVERALL,
     PATIENCE,
@@ -443,6 +481,7 @@ _D = O.D
 _PRED = O.predictions_cte()
 _TERMS = O.terms_cte()
 _COEF = DEFAULT_COEFFICIENT
+_HASHED = O.predictions_cte(hashed_ids=True)
 
 
 def _terms(spark, sf_dir):
@@ -529,11 +568,30 @@ def q_class_counts(spark, sf_dir):
     return G.class_counts(G.group_members(_terms(spark, sf_dir)))
 
 
-@register("balanced_subset", _wp(O.members_cte(), O.sizes_cte(), O.balanced_cte()) + "SELECT \"group\", row_id, CAST(target_label AS BIGINT) AS target_label FROM balanced")
+@register("balanced_subset", _with(_HASHED, _TERMS, O.members_cte(), O.sizes_cte(), O.balanced_cte())
+          + "SELECT \"group\", row_id, CAST(target_label AS BIGINT) AS target_label FROM balanced")
 def q_balanced_subset(spark, sf_dir):
-    """First min(n0, n1) members of each class per kept group, in row order."""
-    b = G.balanced_members(G.group_members(_terms(spark, sf_dir)))
-    return b.select("group", "row_id", "target_label")
+    """First min(n0, n1) members of each class per kept group, in row order (rows with hashed, sparse ids)."""
+    terms = L.forecast_terms(FX.predictions(spark, sf_dir, hashed_ids=True)).select("row_id", "target_label", *GROUPS)
+    return G.balanced_members(G.group_members(terms)).select("group", "row_id", "target_label")
+
+
+def _sample_metrics_sql() -> str:
+    return _with(_PRED, O.terms_cte(pred=_bm_sql()), O.group_metrics_ctes(DEFAULT_COEFFICIENT)) + O.gm_final()
+
+
+def _bm_sql(seed=42):
+    import math as _m
+
+    z = f"(sqrt(-2.0{_D} * ln(1.0{_D} - {O.u(f'bm1_{seed}', 'row_id')})) * cos({_m.pi * 2.0!r}{_D} * {O.u(f'bm2_{seed}', 'row_id')}))"
+    return f"(mean + stddev * {z})"
+
+
+@register("group_metrics_sampled", _sample_metrics_sql())
+def q_group_metrics_sampled(spark, sf_dir):
+    """Group metrics with predictions drawn from N(mean, stddev) instead of the mean."""
+    gm = G.group_metrics(FX.predictions(spark, sf_dir), _COEF, use_sample=True)
+    return gm.select("group", "group_size", "n_rows", *O.GM_DOUBLES, "tn", "fp", "fn", "tp")
 
 
 def _gm_long_sql(src="gm", metrics=METRIC_NAMES) -> str:
@@ -670,13 +728,6 @@ def q_grid_cross(spark, sf_dir):
     return sweep.join(F.broadcast(grid), "coefficient").select("learning_rate", "coefficient", "run_name", "eval_loss")
 
 
-def _auc_sql_scope(src: str, scope_sql: str) -> str:
-    """Mann-Whitney form with average ranks (independent of the prefix-sum form in Spark)."""
-    return (
-        f"SELECT {scope_sql} AS scope, pred_value, target_label FROM {src}"
-    )
-
-
 def _auc_from(src: str) -> str:
     return (
         f"ar AS (SELECT scope, target_label, rank() OVER (PARTITION BY scope ORDER BY pred_value) + "
@@ -700,7 +751,7 @@ _AUC_FINAL = (
 def q_auc_full(spark, sf_dir):
     """Exact ROC AUC of the clipped mean against the binarised label: overall and per group."""
     sc = G.with_scopes(_terms(spark, sf_dir), ["pred_value", "target_label"])
-    return AU.auc(sc, by=["group"], unit_scores=True)  # pred_value is clamped to [0, 1]
+    return AU.auc(sc, by=["group"])
 
 
 def _bg_sql(kind: str) -> str:
@@ -719,7 +770,7 @@ for _kind in ("bpsn", "bnsp"):
     def _mk(kind):
         def fn(spark, sf_dir):
             bg = AU.background_subgroup(_terms(spark, sf_dir), kind)
-            return AU.auc(bg, by=["group"], unit_scores=True)
+            return AU.auc(bg, by=["group"])
 
         fn.__doc__ = f"{kind.upper()} AUC per group (background/subgroup mix of opposite classes)."
         register(f"auc_{kind}", _wp(f"sc AS ({_bg_sql(kind)})", _auc_from("sc")) + _AUC_FINAL)(fn)
@@ -734,11 +785,15 @@ for _kind in ("bpsn", "bnsp"):
     "JOIN (SELECT scope, count(*) AS n FROM bn GROUP BY scope) b ON a.scope = b.scope",
 )
 def q_group_background(spark, sf_dir):
-    """Per group: sizes of the BPSN and BNSP row sets (predicate across class and membership)."""
-    t = _terms(spark, sf_dir)
-    a = AU.background_subgroup(t, "bpsn").groupBy("group").agg(F.count(F.lit(1)).alias("n_bpsn"))
-    b = AU.background_subgroup(t, "bnsp").groupBy("group").agg(F.count(F.lit(1)).alias("n_bnsp"))
-    return a.join(b, "group")
+    """Per group: sizes of the BPSN and BNSP row sets (predicate across class and membership), in one aggregate."""
+    tox, one = F.col("target_label") == 1, _terms(spark, sf_dir)
+    aggs = []
+    for g in GROUPS:
+        inside = G.member_condition(g)
+        aggs += [F.count(F.when(tox != inside, 1)).alias(f"{g}__p"), F.count(F.when(tox == inside, 1)).alias(f"{g}__n")]
+    rows = F.inline(F.array(*[F.struct(F.lit(g).alias("group"), F.col(f"{g}__p").alias("n_bpsn"), F.col(f"{g}__n").alias("n_bnsp"))
+                              for g in GROUPS]))
+    return one.agg(*aggs).select(rows)
 
 
 @register(
@@ -752,17 +807,18 @@ def q_pairwise_gap(spark, sf_dir):
     """Mean |PIT_i - r_j| over all pairs (the broadcast-shaped cdf loss), overall and per group,
     by the sorted-gap identity (the oracle enumerates the pairs)."""
     sc = G.with_scopes(_terms(spark, sf_dir), ["cdf", "input_r"])
-    return L.pairwise_gap_cols(sc, "cdf", "input_r", by=["group"], unit_values=True)
+    return L.pairwise_gap_cols(sc, "cdf", "input_r", by=["group"])
 
 
 _B = EVAL_BATCH_SIZE
 _BATCH_SQL = f"bt AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // {_B} AS batch_id FROM terms)"
 
 
-@register("batch_index", _wp(_BATCH_SQL) + "SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id FROM bt")
+@register("batch_index", _with(_HASHED, _TERMS, _BATCH_SQL) + "SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id FROM bt")
 def q_batch_index(spark, sf_dir):
-    """Consecutive batches of 64 rows in row order (exact, bucketed ranking)."""
-    return L.batch_ids(FX.predictions(spark, sf_dir).select("row_id"), _B)
+    """Consecutive batches of 64 labelled rows in row order (hashed, sparse row ids)."""
+    rows = FX.predictions(spark, sf_dir, hashed_ids=True).where(F.col("label").isNotNull())
+    return L.batch_ids(rows.select("row_id"), _B)
 
 
 _BATCH_AGG = (
@@ -803,23 +859,15 @@ def q_batched_eval_loss(spark, sf_dir):
     "round(avg(stddev), 6) AS loss_stddev FROM sc GROUP BY scope",
 )
 def q_partial_final_eval(spark, sf_dir):
-    """Accumulate sufficient statistics per chunk of 4 batches, then merge the chunks (partial ->
-    final), overall and per group over all members."""
-    t = L.forecast_terms(L.batch_ids(FX.predictions(spark, sf_dir), _B))
-    m = G.group_members(t, keep=["batch_id", "cdf_gap", "nll", "stddev"])
-    sc = t.select(F.lit(OVERALL).alias("group"), "batch_id", "cdf_gap", "nll", "stddev").unionByName(
-        m.select("group", "batch_id", "cdf_gap", "nll", "stddev"))
-    chunk = F.floor(F.col("batch_id") / 4)
-    part = sc.groupBy("group", chunk.alias("chunk")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("cdf_gap").alias("s_cdf"), F.sum("nll").alias("s_nll"), F.sum("stddev").alias("s_std"))
-    fin = part.groupBy("group").agg(F.sum("n").alias("n"), F.sum("s_cdf").alias("s_cdf"), F.sum("s_nll").alias("s_nll"),
-                                    F.sum("s_std").alias("s_std"))
-    return fin.select("group", "n", (F.col("s_cdf") / F.col("n")).alias("loss_cdf"), (F.col("s_nll") / F.col("n")).alias("loss_nll"),
-                      (F.col("s_std") / F.col("n")).alias("loss_stddev"))
+    """Losses accumulated over all members, overall and per group: one grouped aggregate, which Spark computes as
+    partial sums in each task and a final merge."""
+    sc = G.with_scopes(_terms(spark, sf_dir), ["cdf_gap", "nll", "stddev"])
+    return sc.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("cdf_gap").alias("loss_cdf"), F.avg("nll").alias("loss_nll"),
+                                   F.avg("stddev").alias("loss_stddev"))
 
 
 _PIT_SQL = (
-    f"pr AS (SELECT row_id, mean, stddev, {O.cdf()} AS pit FROM predictions), "
+    f"pr AS (SELECT row_id, mean, stddev, {O.cdf()} AS pit FROM predictions WHERE label IS NOT NULL), "
     "pr2 AS (SELECT *, row_number() OVER (ORDER BY pit, row_id) AS pos, count(*) OVER () AS n FROM pr), "
     f"pr3 AS (SELECT *, CASE WHEN n > 1 THEN (pos - 1) / (n - 1)::DOUBLE ELSE 0.0{_D} END AS q, "
     f"least(greatest(pit, 1e-6{_D}), 1.0{_D} - 1e-6{_D}) AS cdf FROM pr2)"
@@ -829,14 +877,15 @@ _PIT_SQL = (
 @register("pit_rank", _wp(_PIT_SQL) + "SELECT row_id, pos, round(q, 6) AS q, round(cdf, 6) AS cdf FROM pr3")
 def q_pit_rank(spark, sf_dir):
     """PIT sorted and paired with linspace(0, 1, n); PIT clipped to [1e-6, 1 - 1e-6]."""
-    return CA.pit_rank(FX.predictions(spark, sf_dir)).select("row_id", "pos", "q", "cdf")
+    p = FX.predictions(spark, sf_dir).select("row_id", "label", "mean", "stddev")
+    return CA.pit_rank(p).select("row_id", "pos", "q", "cdf")
 
 
 @register("sort_by_pit", _wp(_PIT_SQL) + "SELECT pos, row_id, round(mean, 6) AS mean, round(stddev, 6) AS stddev, round(pit, 6) AS pit FROM pr3")
 def q_sort_by_pit(spark, sf_dir):
-    """(mean, stddev, PIT) reordered by PIT: position in a range-partitioned global order."""
-    r = CA.pit_rank(FX.predictions(spark, sf_dir))
-    return r.select("pos", "row_id", "mean", "stddev", F.col("_pit").alias("pit"))
+    """(mean, stddev, PIT) in the order of the PIT, with each row's position."""
+    r = CA.pit_rank(FX.predictions(spark, sf_dir).select("row_id", "label", "mean", "stddev"))
+    return r.select("pos", "row_id", "mean", "stddev", F.col("_pit").alias("pit")).orderBy("pos")
 
 
 @register(
@@ -847,7 +896,7 @@ def q_sort_by_pit(spark, sf_dir):
 )
 def q_calibration_mse(spark, sf_dir):
     """Calibration MSE of the uncalibrated forecasts on the PIT-sorted grid, and PIT-vs-grid error."""
-    return CA.calibration_mse(CA.pit_rank(FX.predictions(spark, sf_dir)))
+    return CA.calibration_mse(CA.pit_rank(FX.predictions(spark, sf_dir).select("row_id", "label", "mean", "stddev")))
 
 
 @register("linspace", _wp("nn AS (SELECT count(*) AS n FROM predictions)")
@@ -870,13 +919,6 @@ def q_normal_nll(spark, sf_dir):
     return FX.predictions(spark, sf_dir).select("row_id", FM.gaussian_nll("label", "mean", "stddev").alias("nll"))
 
 
-def _bm_sql(seed=42):
-    import math as _m
-
-    z = f"(sqrt(-2.0{_D} * ln(1.0{_D} - {O.u(f'bm1_{seed}', 'row_id')})) * cos({_m.pi * 2.0!r}{_D} * {O.u(f'bm2_{seed}', 'row_id')}))"
-    return f"(mean + stddev * {z})"
-
-
 @register("sample_forecast", _wp() + f"SELECT row_id, round({_bm_sql()}, 6) AS sample, round({O.clamp(_bm_sql())}, 6) AS pred_value, "
           f"CAST({O.clamp(_bm_sql())} > 0.5{_D} AS BIGINT) AS pred_label FROM predictions")
 def q_sample_forecast(spark, sf_dir):
@@ -887,7 +929,7 @@ def q_sample_forecast(spark, sf_dir):
 
 
 @register("clamp", _wp(_PIT_SQL) + f"SELECT p.row_id, round({O.clamp('p.mean')}, 6) AS mean_clipped, round(pr3.cdf, 6) AS pit_clipped "
-          "FROM predictions p JOIN pr3 ON p.row_id = pr3.row_id")
+          "FROM predictions p LEFT JOIN pr3 ON p.row_id = pr3.row_id")
 def q_clamp(spark, sf_dir):
     """Clip predictions to [0, 1] and the PIT to [1e-6, 1 - 1e-6]."""
     from calibrix.config import PIT_CLIP
@@ -976,26 +1018,27 @@ def q_lr_schedule(spark, sf_dir):
     """Linear warm-up / decay for int(n_train / 8 * 3) steps: lr = base_lr * lr_factor."""
     from calibrix.config import NUM_EPOCHS, TRAIN_BATCH_SIZE
 
-    n = P.prepared_splits(FX.comments(spark, sf_dir)).where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n"))
+    n = P.prepare_keys(FX.comments(spark, sf_dir)).where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n"))
     s = R.lr_schedule(spark, n, 1e-5, TRAIN_BATCH_SIZE, NUM_EPOCHS)
     return s.select("step", F.lit(1e-5).alias("base_lr"), (F.col("lr") / F.lit(1e-5)).alias("lr_factor"))
 
 
-def _sweep_long(spark, sf_dir):
-    """Long metric table per run of the coefficient grid (losses re-weighted per coefficient).
+def _sweep_long(spark, sf_dir, coefficients=SWEEP_COEFFICIENTS):
+    """Long metric table per run of the coefficient grid, each run with its own forecasts and weighting of the losses.
 
-    The wide group table (one row per group) is written once: the trade-off summaries read it from
-    several branches."""
-    gm = FS.written(G.group_metrics(FX.predictions(spark, sf_dir), _COEF), "group_metrics")
-    runs = L.expand_grid(gm, SWEEP_COEFFICIENTS).withColumn(
+    The wide group table (a row per run and group) is written once: the trade-off summaries read it from several
+    branches."""
+    gm = G.group_metrics(FX.run_predictions(spark, sf_dir, coefficients), _COEF, by=["coefficient"])
+    gm = FS.written(gm, "group_metrics").withColumn(
         "loss", (F.lit(1.0) - F.col("coefficient")) * F.col("loss_cdf") + F.col("coefficient") * F.col("loss_nll"))
-    return G.metrics_long(runs, METRIC_NAMES, by=["coefficient"])
+    return G.metrics_long(gm, METRIC_NAMES, by=["coefficient"])
+
+
+_SWEEP = (O.run_predictions_cte(SWEEP_COEFFICIENTS), O.terms_cte(src="run_predictions"), O.group_metrics_ctes(_COEF, by="coefficient"))
 
 
 def _sweep_long_sql() -> str:
-    grid = ", ".join(f"({c!r}{_D})" for c in SWEEP_COEFFICIENTS)
-    runs = (f"runs AS (SELECT g.coefficient, gm.* REPLACE ((1.0{_D} - g.coefficient) * loss_cdf + g.coefficient * loss_nll AS loss) "
-            f"FROM gm, (VALUES {grid}) g(coefficient))")
+    runs = f"runs AS (SELECT * REPLACE ((1.0{_D} - coefficient) * loss_cdf + coefficient * loss_nll AS loss) FROM gm)"
     longq = " UNION ALL ".join(
         f"SELECT coefficient, \"group\", '{m}' AS metric, CAST(\"{m}\" AS DOUBLE) AS value FROM runs" for m in METRIC_NAMES)
     return f"{runs}, sl AS ({longq})"
@@ -1014,7 +1057,7 @@ def _tradeoff_sql(compat: bool = False) -> str:
         f"FROM sk a JOIN sk b ON a.coefficient = b.coefficient AND a.key = '{x}' AND b.key = '{y}'"
         for i, (x, y) in enumerate(pairs)
     ]
-    return _wp(_GM, _sweep_long_sql(), f"ex AS ({_extremes_sql('sl', 'coefficient')})", ks) + " UNION ALL ".join(parts)
+    return _with(_PRED, *_SWEEP, _sweep_long_sql(), f"ex AS ({_extremes_sql('sl', 'coefficient')})", ks) + " UNION ALL ".join(parts)
 
 
 @register("tradeoff_points", _tradeoff_sql())
@@ -1025,34 +1068,31 @@ def q_tradeoff_points(spark, sf_dir):
 
 @register("metric_point_append", _tradeoff_sql())
 def q_metric_point_append(spark, sf_dir):
-    """Append the runs' points (with a wall-clock stamp) to the scatter table and read it back
-    without the stamp. All runs of the sweep are appended by one write; a run finishing on its
-    own calls the same ``append`` with its rows."""
-    import uuid
-
-    pts = R.tradeoff_points(_sweep_long(spark, sf_dir), ["coefficient"]).withColumn("pair", F.col("pair").cast("bigint"))
-    path = scratch_path(spark, "plot_points", sf_dir, uuid.uuid4().hex)
-    FS.append(pts.withColumn("timestamp", F.current_timestamp()), path, partition_by=["pair"])
+    """Append the runs' points (with a wall-clock stamp) to the scatter table and read it back without the stamp: the
+    first runs create the table, later runs are appended to it by a second write."""
+    pts = FS.written(R.tradeoff_points(_sweep_long(spark, sf_dir), ["coefficient"]).withColumn("pair", F.col("pair").cast("bigint")), "points")
+    path, last = fresh_path(spark, "plot_points"), SWEEP_COEFFICIENTS[-1]
+    for runs in (F.col("coefficient") < last, F.col("coefficient") == last):
+        FS.append(pts.where(runs).withColumn("timestamp", F.current_timestamp()), path, partition_by=["pair"])
     return spark.read.parquet(path).select("coefficient", "pair", "key_x", "key_y", "x", "y")
 
 
 @register(
     "metric_log",
-    _wp(_GM, _sweep_long_sql())
-    + f"SELECT coefficient AS run_coefficient, CAST(0 AS BIGINT) AS step, CASE WHEN \"group\" = '{OVERALL}' THEN metric ELSE 'eval_' || \"group\" || '_' || metric END AS key, "
-    "round(value, 6) AS value FROM sl",
+    _with(_PRED, *_SWEEP, _sweep_long_sql())
+    + f"SELECT coefficient AS run_coefficient, CAST(st.step AS BIGINT) AS step, CASE WHEN \"group\" = '{OVERALL}' THEN metric ELSE 'eval_' || \"group\" || '_' || metric END AS key, "
+    f"round(value, 6) AS value FROM sl, (VALUES (0), ({EVAL_STEPS})) st(step) WHERE st.step = 0 OR coefficient > 0",
 )
 def q_metric_log(spark, sf_dir):
-    """Long-form metric log per run, appended partitioned by run, read back."""
-    import uuid
-
+    """Long-form metric log per run, partitioned by run: every run's first record, then a second append with the records
+    of the runs that went on to the next evaluation step."""
     from calibrix.functions.strings import metric_key
 
-    lg = _sweep_long(spark, sf_dir).select(
-        F.col("coefficient").alias("run_coefficient"), F.lit(0).cast("bigint").alias("step"),
-        metric_key("eval", "group", "metric").alias("key"), "value")
-    path = scratch_path(spark, "metric_log", sf_dir, uuid.uuid4().hex)
-    FS.append(lg, path, partition_by=["run_coefficient"])
+    lg = FS.written(_sweep_long(spark, sf_dir).select(
+        F.col("coefficient").alias("run_coefficient"), metric_key("eval", "group", "metric").alias("key"), "value"), "metric_log_rows")
+    path = fresh_path(spark, "metric_log")
+    for step, rows in ((0, lg), (EVAL_STEPS, lg.where(F.col("run_coefficient") > 0))):
+        FS.append(rows.withColumn("step", F.lit(step).cast("bigint")), path, partition_by=["run_coefficient"])
     return spark.read.parquet(path).select("run_coefficient", "step", "key", "value")
 
 
@@ -1066,10 +1106,11 @@ def _emb(spark, sf_dir):
 _EMB_LONG = "el AS (SELECT vec_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS BIGINT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 
 
-@register("sigmoid_stddev", f"SELECT vec_id, round(1.0{_D} / (1.0{_D} + exp(-CAST(embedding[1] AS DOUBLE))) * 5.0{_D} + 0.01{_D}, 6) AS stddev FROM embeddings")
+@register("sigmoid_stddev", _with(_EMB_LONG) + f"SELECT vec_id, pos, round(1.0{_D} / (1.0{_D} + exp(-x)) * 5.0{_D} + 0.01{_D}, 6) AS stddev FROM el")
 def q_sigmoid_stddev(spark, sf_dir):
-    """Scale head sigmoid(x) * 5 + 0.01 on the first embedding coordinate."""
-    return _emb(spark, sf_dir).select("vec_id", FM.sigmoid_stddev(F.col("embedding")[0].cast("double")).alias("stddev"))
+    """Scale head sigmoid(x) * 5 + 0.01 of every embedding coordinate."""
+    e = _emb(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    return e.select("vec_id", F.col("pos").cast("bigint").alias("pos"), FM.sigmoid_stddev(F.col("x").cast("double")).alias("stddev"))
 
 
 @register("leaky_relu", _with(_EMB_LONG) + f"SELECT vec_id, pos, round(CASE WHEN x > 0 THEN x ELSE 0.01{_D} * x END, 6) AS leaky, round(greatest(x, 0.0{_D}), 6) AS relu FROM el")
@@ -1079,40 +1120,25 @@ def q_leaky_relu(spark, sf_dir):
     return e.select("vec_id", F.col("pos").cast("bigint").alias("pos"), FM.leaky_relu("x").alias("leaky"), FM.relu("x").alias("relu"))
 
 
+# How often r is appended to the features.
+INPUT_R_DIM = 2
+
+
 @register(
     "concat_feature",
-    _with(_EMB_LONG) + f"SELECT vec_id, pos, round(x, 6) AS x FROM el UNION ALL SELECT vec_id, CAST(len(embedding) AS BIGINT) AS pos, "
-    f"round({O.u('r42', 'vec_id')}, 6) AS x FROM embeddings",
+    _with(_EMB_LONG) + f"SELECT vec_id, pos, round(x, 6) AS x FROM el UNION ALL SELECT vec_id, CAST(len(embedding) + k AS BIGINT) AS pos, "
+    f"round({O.u('r42', 'vec_id')}, 6) AS x FROM embeddings, range({INPUT_R_DIM}) t(k)",
 )
 def q_concat_feature(spark, sf_dir):
-    """Feature vector with r appended (input_r_dim = 1), exploded to (vec_id, pos, x)."""
+    """Feature vector with r appended ``INPUT_R_DIM`` times, exploded to (vec_id, pos, x)."""
     from calibrix.functions.random import attach_r
 
     e = _emb(spark, sf_dir)
-    feat = F.concat(F.transform("embedding", lambda v: v.cast("double")), F.array_repeat(attach_r("vec_id"), 1))
+    feat = F.concat(F.transform("embedding", lambda v: v.cast("double")), F.array_repeat(attach_r("vec_id"), INPUT_R_DIM))
     return e.select("vec_id", F.posexplode(feat).alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # ============================================================ text: vocabulary lookup, tokenise + pad
-from calibrix.operators import text as TX  # noqa: E402
-
-
-def _docs(spark, sf_dir):
-    from calibrix.sources.tables import read_table
-
-    return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-
-
-_PAT = TX.TOKEN_PATTERN.replace("'", "''")
-_TOK_SQL = (
-    f"tk0 AS (SELECT doc_id, regexp_extract_all(lower(text), '{_PAT}') AS toks FROM documents), "
-    "tk AS (SELECT doc_id, CAST(unnest(generate_series(0, len(toks) - 1)) AS BIGINT) AS pos, unnest(toks) AS token FROM tk0 WHERE len(toks) > 0), "
-    f"vc AS (SELECT token, count(*) AS cnt FROM tk GROUP BY token HAVING count(*) >= {TX.MIN_COUNT}), "
-    f"vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, ('0x' || substr(md5(token), 1, 15))::BIGINT, token) + {TX.FIRST_WORD_ID - 1} AS BIGINT) AS token_id, cnt FROM vc), "
-    f"ids AS (SELECT tk.doc_id, tk.pos, tk.token, coalesce(vocab.token_id, {TX.UNK_ID}) AS token_id FROM tk LEFT JOIN vocab ON tk.token = vocab.token)"
-)
-
-
 @register("vocab_lookup", _with(_TOK_SQL) + "SELECT doc_id, pos, token_id FROM ids")
 def q_vocab_lookup(spark, sf_dir):
     """Every token of every document mapped to its id in a vocabulary built from the corpus."""
@@ -1137,9 +1163,7 @@ def _encode_sql() -> str:
 @register("tokenize_pad", _encode_sql())
 def q_tokenize_pad(spark, sf_dir):
     """512-long input ids and attention mask per document, exploded to (doc_id, pos, ...)."""
-    docs = _docs(spark, sf_dir)
-    toks = TX.tokens(docs)
-    enc = TX.encode(docs, TX.lookup(toks, TX.build_vocab(toks)))
+    enc = TX.tokenize_pad(_docs(spark, sf_dir))
     z = F.arrays_zip("input_ids", "attention_mask")
     return enc.select("doc_id", F.posexplode(z).alias("pos", "e")).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("e.input_ids").alias("input_id"),
@@ -1148,10 +1172,9 @@ def q_tokenize_pad(spark, sf_dir):
 
 # ============================================================ streams
 from calibrix.sources.fixtures import EVAL_LOG_DAY0  # noqa: E402
-from calibrix.sources.tables import read_table  # noqa: E402
 from calibrix.streaming import group_loss as SG  # noqa: E402
 from calibrix.streaming import patience as SP  # noqa: E402
-from calibrix.streaming.sources import fresh_dir, stage_in_order  # noqa: E402
+from calibrix.streaming.sources import stage_in_order  # noqa: E402
 
 
 def _stream_t1_sql() -> str:
@@ -1170,21 +1193,21 @@ def _stream_t1_sql() -> str:
 
 @register("stream_group_loss", _stream_t1_sql())
 def q_stream_group_loss(spark, sf_dir):
-    """Events staged as an in-order file stream -> forecast rows -> daily (window, group) sums in
-    the state store (complete mode, idempotent foreachBatch overwrite) -> losses."""
-    d = fresh_dir(spark, "stream_group_loss")
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts"]).withColumn("ts", F.col("ts").cast("timestamp"))
-    stage_in_order(ev, f"{d}/source", "ts")
+    """Events staged as an in-order file stream -> forecast rows -> daily (window, group) sums in the state store
+    (update mode: windows that the watermark has passed leave the state) -> losses of each window's last update."""
+    d = fresh_path(spark, "stream_group_loss")
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    stage_in_order(ev, f"{d}/source", "ts", files=16)
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/source")
     q = SG.stream_group_loss(FX.forecasts_from_events(stream, keep_ts=True), f"{d}/out", f"{d}/checkpoint")
     q.awaitTermination()
-    return SG.finish_losses(spark.read.parquet(f"{d}/out"), DEFAULT_COEFFICIENT)
+    return SG.finish_losses(SG.latest_sums(spark, f"{d}/out"), DEFAULT_COEFFICIENT)
 
 
 def _eval_log_stream_source(spark, sf_dir, d):
     log = FX.eval_log(spark, sf_dir).withColumn(
         "ts", F.to_timestamp(F.date_add(F.to_date(F.lit(EVAL_LOG_DAY0)), F.col("step").cast("int"))))
-    stage_in_order(log, f"{d}/source", "ts", slice_days=4, one_file=True)
+    stage_in_order(log, f"{d}/source", "ts", files=8)
     return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/source")
 
 
@@ -1192,47 +1215,56 @@ def _eval_log_stream_source(spark, sf_dir, d):
 def q_stream_early_stop(spark, sf_dir):
     """The evaluation log as a file stream, patience state per run (applyInPandasWithState),
     latest status per run read back from the per-batch sink."""
-    d = fresh_dir(spark, "stream_early_stop")
+    d = fresh_path(spark, "stream_early_stop")
     q = SP.stream_early_stop(_eval_log_stream_source(spark, sf_dir, d), f"{d}/out", f"{d}/checkpoint", PATIENCE)
     q.awaitTermination()
     return SP.latest_status(spark, f"{d}/out")
 
 
 # ============================================================ models (M1-M8)
-from calibrix.config import CALIB_BATCH_SIZE, EVAL_STEPS, SWEEP_COEFFICIENTS  # noqa: E402
+from calibrix.config import CALIB_BATCH_SIZE, NUM_EPOCHS  # noqa: E402
 from calibrix.functions.math import gaussian_nll, normal_cdf  # noqa: E402
 from calibrix.operators import fitting as FT  # noqa: E402
 from calibrix.operators import models as MD  # noqa: E402
 from calibrix.operators.calibration import calibration_mse, pit_rank  # noqa: E402
-from calibrix.operators.losses import batch_ids  # noqa: E402
 
 _CALIB_PARAMS = MD.init_calibration(42)
 # Share of embedding rows treated as unlabelled by the prediction step (M8).
 UNLABELLED_SHARE = 0.3
 # Train / eval cut of the embedding rows for fitting.
 FIT_TRAIN_SHARE = 0.8
+# Learning rate of the single fits, and the sweep's second one.
+FIT_LR = 1e-3
 
 
 def _feats(spark, sf_dir):
     return MD.features(_emb(spark, sf_dir))
 
 
-def _head_params(spark, sf_dir):
+def _head_params():
     return MD.init_head(64)
 
 
-@register("score_head")
+_FEATURES_CTE = (f"features AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, {O.u('r42', 'vec_id')} AS input_r, "
+                 f"label / {MD.LABEL_SCALE!r}{_D} AS label FROM embeddings)")
+_HEAD_CTES = MD.head_sql(_head_params(), "features")
+
+
+@register("score_head", _with(_FEATURES_CTE, *_HEAD_CTES)
+          + "SELECT vec_id, round(label, 6) AS label, round(input_r, 6) AS input_r, round(mean, 6) AS mean, round(stddev, 6) AS stddev FROM scored")
 def q_score_head(spark, sf_dir):
     """M1: the Gaussian head over every embedding row (seeded weights), per Arrow batch."""
-    return MD.score_head(_feats(spark, sf_dir), _head_params(spark, sf_dir), keep=["vec_id", "label", "input_r"])
+    return MD.score_head(_feats(spark, sf_dir), _head_params(), keep=["vec_id", "label", "input_r"])
 
 
-@register("score_unlabelled")
+@register("score_unlabelled", _with(_FEATURES_CTE, *_HEAD_CTES,
+          f"sl AS (SELECT * REPLACE (CASE WHEN {O.u('unl', 'vec_id')} >= {O.lit(UNLABELLED_SHARE)} THEN label END AS label) FROM scored)")
+          + f"SELECT vec_id, round(label, 6) AS label, round(mean, 6) AS mean, round(stddev, 6) AS stddev, round({O.nll()}, 6) AS loss_nll, "
+          f"round(abs({O.cdf()} - input_r), 6) AS loss_cdf FROM sl")
 def q_score_unlabelled(spark, sf_dir):
     """M8: prediction step with a nullable label; loss columns are null where the label is."""
-    f = _feats(spark, sf_dir).withColumn(
-        "label", F.when(uniform("unl", "vec_id") < UNLABELLED_SHARE, F.lit(None).cast("double")).otherwise(F.col("label")))
-    s = MD.score_head(f, _head_params(spark, sf_dir), keep=["vec_id", "label", "input_r"])
+    f = _feats(spark, sf_dir).withColumn("label", F.when(uniform("unl", "vec_id") >= UNLABELLED_SHARE, F.col("label")))
+    s = MD.score_head(f, _head_params(), keep=["vec_id", "label", "input_r"])
     return s.select("vec_id", "label", "mean", "stddev",
                     gaussian_nll("label", "mean", "stddev").alias("loss_nll"),
                     F.abs(normal_cdf("label", "mean", "stddev") - F.col("input_r")).alias("loss_cdf"))
@@ -1259,28 +1291,37 @@ def q_evaluate_calibrated(spark, sf_dir):
     return gm.select("group", "group_size", "n_rows", *O.GM_DOUBLES, "tn", "fp", "fn", "tp")
 
 
-@register("evaluate_forecasts", _wp(_GM, f"gl AS ({_gm_long_sql()})")
+@register("evaluate_forecasts", _wp(_GM, f"gl AS ({_gm_long_sql()})", _BATCH_SQL, _BATCH_AGG)
           + f"SELECT CAST({EVAL_STEPS} AS BIGINT) AS step, 'eval_' || CASE WHEN \"group\" = '{OVERALL}' THEN metric "
-          "ELSE \"group\" || '_' || metric END AS key, round(value, 6) AS value FROM gl")
+          f"ELSE \"group\" || '_' || metric END AS key, round(value, 6) AS value FROM gl WHERE \"group\" <> '{OVERALL}' OR metric <> 'loss' "
+          + "".join(f"UNION ALL SELECT CAST({EVAL_STEPS} AS BIGINT), '{k}', round(avg({c}), 6) FROM bl "
+                    for k, c in (("eval_loss", "loss"), ("eval_cdf_loss", "loss_cdf"), ("eval_nll_loss", "loss_nll"))))
 def q_evaluate_forecasts(spark, sf_dir):
-    """M5: evaluation of a split's forecasts into the logged metric table (step, key, value)."""
+    """M5: the evaluation record of a split's forecasts (step, key, value): the group metrics, and the losses as means
+    over batches, which replace the row mean under ``eval_loss``."""
     from calibrix.functions.strings import metric_key, with_prefix
 
-    lg = _gm_long(spark, sf_dir)
-    key = with_prefix("eval", metric_key("eval", "group", "metric"))
-    return lg.select(F.lit(EVAL_STEPS).cast("bigint").alias("step"), key.alias("key"), "value")
+    lg = _gm_long(spark, sf_dir).where((F.col("group") != OVERALL) | (F.col("metric") != "loss"))
+    metrics = lg.select(with_prefix("eval", metric_key("eval", "group", "metric")).alias("key"), "value")
+    names = ["eval_loss", "eval_cdf_loss", "eval_nll_loss"]
+    batches = L.batched_eval_loss(FX.predictions(spark, sf_dir), _B, _COEF).select(*names).unpivot([], names, "key", "value")
+    return metrics.unionByName(batches).select(F.lit(EVAL_STEPS).cast("bigint").alias("step"), "key", "value")
+
+
+# Share of the forecasts that the calibration layer is fitted on; the rest measures it.
+CALIBRATION_SHARE = 0.5
 
 
 @register("fit_calibration")
 def q_fit_calibration(spark, sf_dir):
-    """M4: PIT-rank the forecasts, fit the calibration layer by SGD (batch 1000, one epoch, seeded
-    shuffle order), report the calibration error before and after."""
-    ranked = pit_rank(FX.predictions(spark, sf_dir))
-    ranked = batch_ids(ranked.withColumn("_sh", uniform("calib_shuffle", "row_id")), CALIB_BATCH_SIZE,
-                       order_key="_sh", unit_key=True)
-    fitted, _ = FT.fit_calibration(spark, ranked)
-    before = calibration_mse(MD.score_calibrated(ranked, _CALIB_PARAMS)).withColumn("stage", F.lit("before"))
-    after = calibration_mse(MD.score_calibrated(ranked, fitted)).withColumn("stage", F.lit("after"))
+    """M4 -> M2 -> A21: the calibration layer is fitted on the PIT-ranked calibration rows (SGD in batches of 1000, one
+    epoch); the calibration error of the other rows is reported before and after."""
+    p = FX.predictions(spark, sf_dir).select("row_id", "label", "mean", "stddev")
+    p = p.withColumn("_fit", uniform("calibration", "row_id") < CALIBRATION_SHARE)
+    fitted, _ = FT.fit_calibration(pit_rank(p.where("_fit")), CALIB_BATCH_SIZE)
+    held = FS.written(pit_rank(p.where(~F.col("_fit"))).select("row_id", "mean", "stddev", "q", "cdf"), "calibration_rows")
+    before = calibration_mse(MD.score_calibrated(held, _CALIB_PARAMS)).withColumn("stage", F.lit("before"))
+    after = calibration_mse(MD.score_calibrated(held, fitted)).withColumn("stage", F.lit("after"))
     return before.unionByName(after).select("stage", "n_rows", "mse", "pit_grid_mse")
 
 
@@ -1289,22 +1330,38 @@ def _fit_frames(spark, sf_dir):
     return f.where("_tr").drop("_tr"), f.where(~F.col("_tr")).drop("_tr")
 
 
+_FIT_LOG = "learning_rate double, coefficient double, epoch long, train_loss double, eval_loss double"
+
+
 @register("fit_head")
 def q_fit_head(spark, sf_dir):
-    """M3: full-batch Adam on the head with warm-up/decay, evaluation every 5 steps, patience 3;
-    returns the training log."""
+    """M3: the head fitted on the training rows in mini-batch epochs, evaluated after each; the training log."""
     tr, ev = _fit_frames(spark, sf_dir)
-    _, log = FT.fit_head(spark, tr, ev, [DEFAULT_COEFFICIENT], lr=1e-3, max_steps=30, eval_every=5)
-    return spark.createDataFrame(log.astype({"step": "int64"}), "coefficient double, step long, lr double, "
-                                 "train_loss double, eval_loss double")
+    _, log = FT.fit_head(tr, ev, [(FIT_LR, DEFAULT_COEFFICIENT)], epochs=NUM_EPOCHS)
+    return spark.createDataFrame(log, _FIT_LOG)
+
+
+@register("fit_score_evaluate")
+def q_fit_score_evaluate(spark, sf_dir):
+    """M3 -> M1 -> losses: fit on the training rows, score the evaluation rows with the fitted and with the initial
+    weights, and evaluate both."""
+    tr, ev = _fit_frames(spark, sf_dir)
+    params, _ = FT.fit_head(tr, ev, [(FIT_LR, DEFAULT_COEFFICIENT)], epochs=NUM_EPOCHS)
+    out = None
+    for stage, p in (("initial", _head_params()), ("fitted", params[FIT_LR, DEFAULT_COEFFICIENT])):
+        scored = MD.score_head(ev, p, keep=["vec_id", "label", "input_r"])
+        row = L.overall_losses(scored, DEFAULT_COEFFICIENT, id_col="vec_id").withColumn("stage", F.lit(stage))
+        out = row if out is None else out.unionByName(row)
+    return out.select("stage", "n_rows", "loss", "loss_cdf", "loss_stddev", "loss_nll")
 
 
 @register("sweep_fit")
 def q_sweep_fit(spark, sf_dir):
-    """M7: every coefficient of the sweep trained in the same gradient passes; best eval loss and
-    step per coefficient."""
+    """M7: every point of the (learning rate, coefficient) grid trained in the same passes over the data; the best
+    evaluation loss and its epoch per point."""
     tr, ev = _fit_frames(spark, sf_dir)
-    params, log = FT.fit_head(spark, tr, ev, SWEEP_COEFFICIENTS, lr=1e-3, max_steps=15, eval_every=5)
-    rows = [(float(a), int(p["best_step"]), float(p["best_eval_loss"]),
-             float(log[log["coefficient"] == a]["train_loss"].iloc[-1])) for a, p in params.items()]
-    return spark.createDataFrame(rows, "coefficient double, best_step long, best_eval_loss double, final_train_loss double")
+    grid = [(lr, c) for lr in (*SWEEP_LEARNING_RATES, FIT_LR) for c in SWEEP_COEFFICIENTS]
+    params, log = FT.fit_head(tr, ev, grid, epochs=NUM_EPOCHS)
+    rows = [(lr, c, int(p["best_epoch"]), float(p["best_eval_loss"]), float(log[(log["learning_rate"] == lr) & (log["coefficient"] == c)]["train_loss"].iloc[-1]))
+            for (lr, c), p in params.items()]
+    return spark.createDataFrame(rows, "learning_rate double, coefficient double, best_epoch long, best_eval_loss double, final_train_loss double")

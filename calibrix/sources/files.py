@@ -6,9 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibrix.config import GROUPS, path_exists
+from calibrix.config import GROUPS, fresh_path, path_exists
 
 COMMENT_SCHEMA = T.StructType(
     [T.StructField(g, T.DoubleType(), True) for g in GROUPS]
@@ -48,16 +49,30 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         w.parquet(path)
 
 
-def read_split(spark: SparkSession, path: str, split: str | None = None, schema: str | None = None) -> DataFrame:
-    """Read the split table; a ``split`` filter prunes to that partition directory."""
-    df = spark.read.parquet(path)
+def read_split(spark: SparkSession, path: str, split: str | None = None, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """Read the split table; a ``split`` filter prunes to that partition directory. CSV needs the columns' schema."""
+    if fmt == "csv":
+        df = spark.read.schema(schema.add("split", T.StringType())).options(**CSV_OPTIONS).csv(path)
+    else:
+        df = spark.read.parquet(path)
     return df.where(df["split"] == split) if split else df
 
 
+def input_listing(spark: SparkSession, *paths: str) -> str:
+    """A digest of the files at ``paths`` (path, length, modification time): part of a cache key, so that new data in
+    the same folder isn't taken for the old. Lists files only, as a Spark job; their contents aren't read."""
+    parts = []
+    for p in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p)
+        row = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+        parts.append(f"{p}:{row[0]}:{row[1]}")
+    return "|".join(parts)
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read ``path`` if a completed write exists there, else build, write and read back.
 
-    The path should be keyed by the inputs (``scratch_path``), so a stale cache is never read.
+    The path must name the inputs and the code (``scratch_path`` with ``input_listing`` and ``code_fingerprint``).
     """
     if not path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
@@ -78,11 +93,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     the written table instead of each re-deriving it from the source (which the optimizer cannot
     share once column pruning has made the branches differ). Runs one job.
     """
-    import uuid
-
-    from calibrix.config import scratch_path
-
     spark = df.sparkSession
-    path = scratch_path(spark, name, uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(path)
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
     return spark.read.parquet(path)

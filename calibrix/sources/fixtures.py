@@ -21,21 +21,28 @@ PREDICTION_GROUP_RATES = [0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.02, 0.015, 0.008]
 # Share of forecast rows whose groups are unknown (sentinel -1).
 PREDICTION_UNKNOWN_SHARE = 0.2
 PART_NULL_SHARE = 0.05
+# Share of forecast rows without a label.
+UNLABELLED_SHARE = 0.2
 EVAL_LOG_DAY0 = "2024-01-01"
 
 
 def comments(spark: SparkSession, sf_dir: str, part_null: bool = False) -> DataFrame:
-    """``id, target, comment_text`` + nine groups; groups are null for unlabelled documents.
+    """``id, target, comment_text`` + nine groups.
 
-    The label table is joined on ``doc_id`` (a left join; AQE broadcasts it only when its
-    runtime size is under the broadcast threshold, otherwise it is a sort-merge join).
+    The target of a labelled document follows its labels: toxic ones lie in [0.5, 1), others of low quality in
+    [0.25, 0.5), the rest in [0, 0.5) with many zeros; an unlabelled one's is a hash, and its groups are null. An id's
+    several labels count as the highest ``toxic`` and the lowest ``quality``. The join on ``doc_id`` is a left join
+    whose strategy Spark picks.
     """
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    labels = read_table(spark, sf_dir, "labels", ["doc_id"]).withColumn("_labelled", F.lit(True))
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min("quality").alias("quality"), F.lit(True).alias("_labelled"))
     df = docs.join(labels, "doc_id", "left")
     idc = F.col("doc_id")
-    nt = uniform("nt", idc)
-    target = F.when(nt < 0.2, F.lit(0.0)).when(nt > 0.98, F.lit(1.0)).otherwise(uniform("target", idc))
+    nt, ut = uniform("nt", idc), uniform("target", idc)
+    target = (F.when(F.col("toxic") == 1, F.lit(0.5) + F.lit(0.5) * ut).when(F.col("quality") == 0, F.lit(0.25) + F.lit(0.25) * ut)
+              .when(F.col("_labelled"), F.when(nt < 0.3, F.lit(0.0)).otherwise(F.lit(0.5) * ut))
+              .when(nt < 0.2, F.lit(0.0)).when(nt > 0.98, F.lit(1.0)).otherwise(ut))
     cols = [idc.alias("id"), target.alias("target"), F.col("text").alias("comment_text")]
     for g in GROUPS:
         val = F.greatest(F.lit(0.0), F.floor(uniform(g, idc) * 9) / F.lit(4.0) - F.lit(1.0))
@@ -46,13 +53,22 @@ def comments(spark: SparkSession, sf_dir: str, part_null: bool = False) -> DataF
     return df.select(*cols)
 
 
-def forecasts_from_events(events: DataFrame, keep_ts: bool = False) -> DataFrame:
-    """Forecast rows from an events frame (batch or stream); ``row_id = event_id``."""
+def hashed_id(col: str) -> F.Column:
+    """60 bits of the id's md5: a sparse id that isn't in the order of the rows."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit("id:"), F.col(col).cast("string"))), 1, 15), 16, 10).cast("bigint")
+
+
+def forecasts_from_events(events: DataFrame, keep_ts: bool = False, hashed_ids: bool = False) -> DataFrame:
+    """Forecast rows from an events frame (batch or stream); ``row_id = event_id``, or a hash of it.
+
+    The label is the event's value over 100, 1 at most: skewed towards 0, with many ties and a heap at 1; a share of
+    the rows has none. The forecast's mean follows the value with noise.
+    """
     rid = F.col("event_id")
-    y = uniform("y", rid)
+    y = F.least(F.col("value") / F.lit(100.0), F.lit(1.0))
     cols = [
-        rid.alias("row_id"),
-        y.alias("label"),
+        (hashed_id("event_id") if hashed_ids else rid).alias("row_id"),
+        F.when(uniform("unlabelled", rid) >= UNLABELLED_SHARE, y).alias("label"),
         uniform("r", rid).alias("input_r"),
         (F.lit(0.6) * y + F.lit(0.4) * uniform("m", rid)).alias("mean"),
         (F.lit(0.05) + F.lit(0.45) * uniform("s", rid)).alias("stddev"),
@@ -67,9 +83,18 @@ def forecasts_from_events(events: DataFrame, keep_ts: bool = False) -> DataFrame
     return events.select(*cols)
 
 
-def predictions(spark: SparkSession, sf_dir: str, keep_ts: bool = False) -> DataFrame:
-    columns = ["event_id", "ts"] if keep_ts else ["event_id"]
-    return forecasts_from_events(read_table(spark, sf_dir, "events", columns), keep_ts)
+def predictions(spark: SparkSession, sf_dir: str, keep_ts: bool = False, hashed_ids: bool = False) -> DataFrame:
+    columns = ["event_id", "value", *(["ts"] if keep_ts else [])]
+    return forecasts_from_events(read_table(spark, sf_dir, "events", columns), keep_ts, hashed_ids)
+
+
+def run_predictions(spark: SparkSession, sf_dir: str, coefficients: list[float]) -> DataFrame:
+    """The forecasts of every run of a sweep, with the run's ``coefficient``: the larger it is, the closer its means
+    are to 0.5 and the wider its spread."""
+    c = F.col("coefficient")
+    p = predictions(spark, sf_dir).withColumn("coefficient", F.explode(F.array(*[F.lit(float(x)) for x in coefficients])))
+    return p.withColumn("mean", (F.lit(1.0) - F.lit(0.5) * c) * F.col("mean") + F.lit(0.25) * c).withColumn(
+        "stddev", F.col("stddev") * (F.lit(0.5) + c))
 
 
 def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ does not have.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from calibrix.config import DEFAULT_COEFFICIENT, GROUPS, OVERALL
 from calibrix.operators.groups import member_condition
@@ -55,37 +56,52 @@ def finish_losses(sums: DataFrame, coefficient: float = DEFAULT_COEFFICIENT) ->
     )
 
 
-def stream_group_loss(fc_stream: DataFrame, out_path: str, checkpoint: str, mode: str = "complete",
+def stream_group_loss(fc_stream: DataFrame, out_path: str, checkpoint: str, mode: str = "update",
                       window: str = "1 day", watermark: str = "1 day", trigger_available_now: bool = True):
     """Start T1 and return the ``StreamingQuery``.
 
-    ``mode="complete"``: every micro-batch rewrites the whole (small) sums table at ``out_path``
-    through ``foreachBatch`` (idempotent when a batch is replayed after a failure); late rows are
-    still counted. ``mode="append"``: a parquet file sink that emits a window once the watermark
-    passes it; rows later than the watermark are dropped, and windows still open when an
-    ``availableNow`` run ends are not emitted.
+    Both modes keep the windows of the last ``watermark`` of event time only in the state store; rows later than that are
+    dropped (``WatermarkDrops`` counts them). ``mode="update"``: each micro-batch writes the windows it changed to a
+    ``batch_id`` partition of its own (a replayed batch replaces itself) and ``latest_sums`` reads each window's last
+    update, so windows still open are there too. ``mode="append"``: a parquet file sink that emits a window once, when the
+    watermark passes it; windows still open when an ``availableNow`` run ends are not emitted.
     """
     sums = window_sums(fc_stream, window, watermark)
-    if mode == "complete":
+    if mode == "update":
         def write_batch(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out_path)
+            (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
 
-        w = sums.writeStream.outputMode("complete").foreachBatch(write_batch)
+        w = sums.writeStream.outputMode("update").foreachBatch(write_batch)
     elif mode == "append":
         w = sums.writeStream.outputMode("append").format("parquet").option("path", out_path)
     else:
-        raise ValueError("mode must be 'complete' or 'append'")
+        raise ValueError("mode must be 'update' or 'append'")
     w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def watermark_drops(query) -> int:
-    """Inputs the stateful aggregate discarded as later than the watermark, summed over the
-    progress reports the query still holds. Spark counts them after partial aggregation, so this
-    is a count of dropped partial groups (a lower bound on dropped rows), not of raw rows."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else []:
-            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
-    return total
+def latest_sums(spark: SparkSession, out_path: str) -> DataFrame:
+    """Each window's and group's sums as of its last update."""
+    rows = spark.read.parquet(out_path)
+    last = rows.groupBy("window_start", "group").agg(F.max_by(F.struct(*SUM_COLS), F.col("batch_id")).alias("s"))
+    return last.select("window_start", "group", "s.*")
+
+
+class WatermarkDrops(StreamingQueryListener):
+    """Counts the inputs that stateful aggregates discarded as later than the watermark, from every progress report of
+    every query while it is registered (``spark.streams.addListener``). Spark counts them after partial aggregation:
+    dropped partial groups, a lower bound on dropped rows."""
+
+    def __init__(self):
+        self.total = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.total += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -2,8 +2,8 @@
 
 State per run (a few numbers): best loss so far, its step, evaluations since the last strict
 improvement, the stop step once ``patience`` evaluations in a row failed to improve, and the number
-of evaluations seen. Rows of one run inside a micro-batch are processed in step order; the stream
-must deliver each run's steps in order across batches (the log is append-only by step).
+of evaluations seen. All rows of one run inside a micro-batch are put in step order first, however many
+Arrow chunks they come in; the stream must deliver each run's steps in order across batches (the log is append-only by step).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,15 +33,23 @@ def _update(patience: int):
             n, best, best_step, bad, stop, stop_best, stop_best_step = state.get
         else:
             n, best, best_step, bad, stop, stop_best, stop_best_step = 0, None, None, 0, None, None, None
-        for pdf in pdfs:
-            for step, loss in pdf.sort_values("step")[["step", "eval_loss"]].itertuples(index=False):
-                n += 1
-                if best is None or loss < best:
-                    best, best_step, bad = float(loss), int(step), 0
-                else:
-                    bad += 1
-                if stop is None and bad >= patience:
-                    stop, stop_best, stop_best_step = int(step), best, best_step
+        rows = pd.concat(list(pdfs)).sort_values("step", kind="stable")  # all chunks of the run's new evaluations
+        steps, losses = rows["step"].to_numpy(np.int64), rows["eval_loss"].to_numpy(float)
+        start = np.inf if best is None else best
+        # Best loss before each evaluation; an evaluation without a loss improves nothing.
+        before = np.fmin.accumulate(np.concatenate([[start], losses]))
+        better = losses < before[:-1]
+        at = np.arange(len(losses))
+        last = np.maximum.accumulate(np.where(better, at, -1))  # the last improvement up to each evaluation
+        waited = np.where(last >= 0, at - last, at + 1 + bad)
+        if stop is None and (waited >= patience).any():
+            i = int(np.argmax(waited >= patience))
+            stop, stop_best = int(steps[i]), None if np.isinf(before[i + 1]) else float(before[i + 1])
+            stop_best_step = int(steps[last[i]]) if last[i] >= 0 else best_step
+        n += len(losses)
+        if last[-1] >= 0:
+            best, best_step = float(losses[last[-1]]), int(steps[last[-1]])
+        bad = int(waited[-1])
         state.update((n, best, best_step, bad, stop, stop_best, stop_best_step))
         out_best = stop_best if stop is not None else best
         out_step = stop_best_step if stop is not None else best_step

@@ -1,43 +1,23 @@
-"""File-stream sources staged from batch tables.
-
-A file source takes new files by modification time, so a test source that must arrive in event
-time order is written slice by slice (one Spark write per time slice, in order). The number of
-writes depends on the time span and slice width, never on the row count.
-"""
+"""File-stream sources staged from batch tables."""
 
 from __future__ import annotations
 
-import datetime as dt
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from calibrix.config import scratch_path
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint root for one streaming run."""
-    return scratch_path(spark, name, uuid.uuid4().hex)
+from pyspark.sql import DataFrame
 
 
-def stage_in_order(df: DataFrame, path: str, order_col: str, slice_days: int = 8, reverse: bool = False,
-                   one_file: bool = False) -> int:
-    """Write ``df`` under ``path`` as one parquet write per ``slice_days`` of ``order_col``.
+def stage_in_order(df: DataFrame, path: str, order_col: str, files: int = 16, reverse: bool = False) -> int:
+    """Write ``df`` under ``path`` in at most ``files`` files by ranges of ``order_col``, and return their number.
 
-    ``reverse=True`` writes the slices newest first (a late-data source). ``one_file=True`` writes
-    each slice as a single file, so a reader taking one file per trigger sees the slices strictly
-    in order (for small logs such as evaluation results). Returns the number of slices written.
+    One write, range-partitioned: equal values share a file. A file source takes new files by their modification time,
+    so that of each file is then set by its range (``reverse``: latest first, a source of late data).
     """
-    bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if bounds["lo"] is None:
-        return 0
-    lo = dt.datetime.combine(bounds["lo"].date(), dt.time())
-    n = (bounds["hi"] - lo).days // slice_days + 1
-    order = range(n - 1, -1, -1) if reverse else range(n)
-    for i in order:
-        a = lo + dt.timedelta(days=i * slice_days)
-        b = a + dt.timedelta(days=slice_days)
-        part = df.where((F.col(order_col) >= F.lit(a)) & (F.col(order_col) < F.lit(b)))
-        (part.coalesce(1) if one_file else part).write.mode("append").parquet(path)
-    return n
+    key = df[order_col].desc() if reverse else df[order_col].asc()
+    df.repartitionByRange(files, key).sortWithinPartitions(key).write.parquet(path)
+    jvm = df.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    first = fs.getFileStatus(folder).getModificationTime() - 1000 * len(parts)
+    for i, p in enumerate(parts):
+        fs.setTimes(p, first + 1000 * i, -1)
+    return len(parts)

@@ -12,11 +12,3 @@ from calibrix.config import get_session  # noqa: E402
 def spark():
     s = get_session("local[4]", app="calibrix-tests", **{"spark.sql.shuffle.partitions": "8"})
     yield s
-
-
-@pytest.fixture
-def small_buckets(spark):
-    """Force the multi-bucket path of global_rank / prefix_sum on tiny frames."""
-    spark.conf.set("calibrix.rows_per_bucket", "7")
-    yield
-    spark.conf.unset("calibrix.rows_per_bucket")

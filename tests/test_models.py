@@ -69,24 +69,64 @@ def test_calibrated_columns_equal_numpy(spark):
     assert np.allclose(got["mean"].to_numpy(), m2, atol=1e-12) and np.allclose(got["stddev"].to_numpy(), s2, atol=1e-12)
 
 
-def test_fit_head_lowers_training_loss(spark):
-    feats, _ = _feats(spark, n=80)
-    tr, ev = feats.where(F.col("vec_id") < 60), feats.where(F.col("vec_id") >= 60)
-    params, log = FT.fit_head(spark, tr, ev, [0.0, 0.8], lr=1e-2, max_steps=8, eval_every=4, hidden=8)
-    for a in (0.0, 0.8):
-        t = log[log["coefficient"] == a]["train_loss"].to_numpy()
-        assert t[-1] < t[0]
-        assert params[a]["best_step"] >= 0
+def test_dropout_gradient_and_mask():
+    rng = np.random.default_rng(6)
+    like = M.init_head(5, hidden=7, seed=3)
+    x, r, y = rng.normal(size=(20, 5)), rng.random(20), rng.random(20)
+    mask = M.dropout_mask(np.arange(20), 7, epoch=1)
+    assert set(np.unique(mask)) == {0.0, 2.0} and (mask == M.dropout_mask(np.arange(20), 7, epoch=1)).all()
+    assert (mask != M.dropout_mask(np.arange(20), 7, epoch=2)).any()
+    assert abs((M.dropout_mask(np.arange(5000), 100, 0, 0.3) == 0).mean() - 0.3) < 0.01
+    theta = M.flatten(like)
+    _, g = M.head_loss_grad(like, x, r, y, 0.8, mask)
+    idx = rng.choice(theta.size, 40, replace=False)
+    num = _fd(lambda t: M.head_loss_grad(M.unflatten(t, like), x, r, y, 0.8, mask)[0], theta, idx=idx)
+    assert np.allclose(g[idx], num, rtol=1e-4, atol=1e-5)
+
+
+def test_fit_head_lowers_losses_over_the_grid(spark):
+    feats, _ = _feats(spark, n=400)
+    tr, ev = feats.where(F.col("vec_id") < 320), feats.where(F.col("vec_id") >= 320)
+    grid = [(1e-2, 0.0), (1e-2, 0.8), (1e-3, 0.8)]
+    params, log = FT.fit_head(tr, ev, grid, epochs=4, hidden=8, drop=0.2)
+    assert set(params) == set(grid) and len(log) <= 12
+    for lr, a in grid:
+        t = log[(log["learning_rate"] == lr) & (log["coefficient"] == a)]
+        assert t["train_loss"].iloc[-1] < t["train_loss"].iloc[0] and params[lr, a]["best_epoch"] >= 0
+    rerun, _ = FT.fit_head(tr.repartition(5), ev, grid[1:2], epochs=4, hidden=8, drop=0.2)
+    assert np.allclose(M.flatten(rerun[grid[1]]), M.flatten(params[grid[1]]))  # the same in any partitioning of the input
+    nothing, log = FT.fit_head(tr.limit(0), ev, grid, hidden=8)
+    assert len(log) == 0 and len(nothing) == 3
+
+
+def test_partial_sums_over_many_tasks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, t, t + 1, float(t), rng.random(6).tolist()) for k in range(2) for t in range(40)]
+    got = FT.summed_partials(spark.createDataFrame(rows, FT.PARTIAL_SCHEMA), 40)
+    for k in range(2):
+        own = [r for r in rows if r[0] == k]
+        assert got[k][:2] == (sum(r[2] for r in own), sum(r[3] for r in own)) and np.allclose(got[k][2], np.sum([r[4] for r in own], axis=0))
 
 
 def test_fit_calibration_lowers_mse(spark):
     rng = np.random.default_rng(4)
-    n = 300
+    n = 3000
     q = np.linspace(0, 1, n)
-    rows = [(i, int(i // 100), float(rng.random()), float(0.1 + rng.random()), float(q[i])) for i in range(n)]
-    df = spark.createDataFrame(rows, "row_id long, batch_id long, mean double, stddev double, q double")
+    rows = [(i, float(rng.random()), float(0.1 + rng.random()), float(q[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, mean double, stddev double, q double")
     like = M.init_calibration(42)
-    before = M.calib_loss_grad(like, df.toPandas()["mean"].to_numpy(), df.toPandas()["stddev"].to_numpy(), q)[0]
-    fitted, log = FT.fit_calibration(spark, df, lr=0.5, epochs=3)
-    after = M.calib_loss_grad(fitted, df.toPandas()["mean"].to_numpy(), df.toPandas()["stddev"].to_numpy(), q)[0]
-    assert len(log) == 9 and after < before
+    pdf = df.toPandas()
+    mse = lambda p: M.calib_loss_grad(p, pdf["mean"].to_numpy(), pdf["stddev"].to_numpy(), q)[0]
+    fitted, log = FT.fit_calibration(df, batch_size=50, lr=0.5, epochs=3)
+    assert len(log) == 3 and (log["rows"] == n).all() and mse(fitted) < mse(like)
+    assert FT.fit_calibration(df.limit(0))[1].empty
+
+
+def test_fits_improve_what_they_report(spark):
+    import __spark_entry__ as E
+
+    q, d = E.queries(), "/root/testdata/sf0.01"
+    by = {r["stage"]: r for r in q["fit_calibration"](spark, d).collect()}
+    assert by["after"]["mse"] < by["before"]["mse"] and by["after"]["n_rows"] == by["before"]["n_rows"]
+    by = {r["stage"]: r for r in q["fit_score_evaluate"](spark, d).collect()}
+    assert by["fitted"]["loss"] < by["initial"]["loss"]

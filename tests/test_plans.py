@@ -26,10 +26,9 @@ def _schemas(plan: str) -> dict[str, set[str]]:
 
 @pytest.mark.parametrize("name,table,allowed", [
     ("histogram_30", "documents", {"doc_id"}),
-    ("exact_split", "documents", {"doc_id"}),
-    ("group_metrics", "events", {"event_id"}),
+    ("null_sentinel", "documents", {"doc_id"}),
+    ("group_metrics", "events", {"event_id", "value"}),
     ("early_stop", "events", {"ts", "event_type", "value"}),
-    ("auc_full", "events", {"event_id"}),
 ])
 def test_scans_read_only_needed_columns(spark, name, table, allowed):
     got = _schemas(_plan(E.queries()[name](spark, SF)))
@@ -43,12 +42,13 @@ def test_sql_expressible_queries_stay_in_the_jvm(spark, name):
     assert not re.search(r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas", plan)
 
 
-def test_rank_windows_are_partitioned_by_bucket(spark, small_buckets):
-    # With more rows than one bucket holds, every row_number window is partitioned by the bucket
-    # (with fewer, the single bucket is the bound: at most rows_per_bucket rows in the task).
-    plan = _plan(E.queries()["pit_rank"](spark, SF))
-    row_number_windows = [ln for ln in plan.splitlines() if "row_number()" in ln and "Window [" in ln]
-    assert row_number_windows and all("_rk_b1" in ln for ln in row_number_windows)
+@pytest.mark.parametrize("name", ["pit_rank", "batch_index", "auc_full", "exact_split", "vocab_lookup"])
+def test_no_window_over_all_rows(spark, name):
+    """Only the offsets (a row per range) may meet in one task: every window with rows of data has a partition key."""
+    plan = _plan(E.queries()[name](spark, SF))
+    for line in plan.splitlines():
+        if "Window [" in line and "_rk_slice" not in line.split("specifiedwindowframe")[0] and "_rk_n" not in line and "_ps_" not in line:
+            raise AssertionError(line)
 
 
 def test_split_read_prunes_partitions(spark):
@@ -56,13 +56,22 @@ def test_split_read_prunes_partitions(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*split", plan)
 
 
-def test_spread_small_only_touches_tiny_scans(spark):
-    from calibrix.sources.tables import spread_small
+def test_file_queries_dont_disturb_each_other(spark):
+    """All are built first, then read: none overwrites another's files."""
+    names = ["scan_comments", "write_splits", "scan_splits", "cached_dataset", "metric_point_append", "metric_log"]
+    built = {n: E.queries()[n](spark, SF) for n in [*names, *names]}
+    first = {n: df.count() for n, df in built.items()}
+    assert all(first.values()) and first == {n: E.queries()[n](spark, SF).count() for n in names}
+
+
+def test_cache_key_follows_the_input_files(spark, tmp_path):
+    from calibrix.sources.files import input_listing
 
-    tiny = spark.range(0, 100, numPartitions=1)
-    assert spread_small(tiny).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100_000, numPartitions=64)
-    assert spread_small(wide) is wide  # enough splits already: never reshuffled
+    spark.range(5).write.parquet(f"{tmp_path}/t.parquet")
+    a = input_listing(spark, f"{tmp_path}/t.parquet")
+    assert a == input_listing(spark, f"{tmp_path}/t.parquet")
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert a != input_listing(spark, f"{tmp_path}/t.parquet")
 
 
 def test_written_table_round_trips_under_the_checkpoint_folder(spark):

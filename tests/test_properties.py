@@ -1,5 +1,5 @@
 """Generated inputs (hypothesis) for the exact primitives: rank, all-pairs gap and AUC against
-plain Python on the same rows, with heavy ties and many small buckets."""
+plain Python on the same rows, with heavy ties and sparse ids."""
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -16,13 +16,9 @@ vals = st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]) | st.floa
 @SETTINGS
 @given(keys=vals, parts=st.integers(1, 3))
 def test_rank_equals_sort(spark, keys, parts):
-    spark.conf.set("calibrix.rows_per_bucket", "5")
-    try:
-        rows = [(i, float(k), i % parts) for i, k in enumerate(keys)]
-        df = spark.createDataFrame(rows, "id long, k double, p int")
-        got = {r["id"]: r["r"] for r in global_rank(df, "k", "id", partition_by=["p"], out="r").collect()}
-    finally:
-        spark.conf.unset("calibrix.rows_per_bucket")
+    rows = [(i, float(k), i % parts) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "id long, k double, p int")
+    got = {r["id"]: r["r"] for r in global_rank(df, "k", "id", partition_by=["p"], out="r").collect()}
     for p in range(parts):
         order = sorted((t for t in rows if t[2] == p), key=lambda t: (t[1], t[0]))
         for pos, t in enumerate(order, start=1):
@@ -30,20 +26,20 @@ def test_rank_equals_sort(spark, keys, parts):
 
 
 @SETTINGS
-@given(xs=vals, ys=vals, unit=st.booleans())
-def test_pairwise_gap_equals_brute_force(spark, xs, ys, unit):
+@given(xs=vals, ys=vals)
+def test_pairwise_gap_equals_brute_force(spark, xs, ys):
     x = spark.createDataFrame([(float(v),) for v in xs], "v double")
     y = spark.createDataFrame([(float(v),) for v in ys], "v double")
-    got = L.pairwise_gap(x, y, unit_values=unit).first()["pairwise_gap"]
+    got = L.pairwise_gap(x, y).first()["pairwise_gap"]
     exp = sum(abs(a - b) for a in xs for b in ys) / (len(xs) * len(ys))
     assert got == pytest.approx(exp, abs=1e-12)
 
 
 @SETTINGS
-@given(scores=vals, labels=st.lists(st.integers(0, 1), min_size=60, max_size=60), unit=st.booleans())
-def test_auc_equals_brute_force(spark, scores, labels, unit):
+@given(scores=vals, labels=st.lists(st.integers(0, 1), min_size=60, max_size=60))
+def test_auc_equals_brute_force(spark, scores, labels):
     rows = [(float(s), labels[i]) for i, s in enumerate(scores)]
-    got = A.auc(spark.createDataFrame(rows, "s double, y int"), "s", "y", unit_scores=unit).first()["auc"]
+    got = A.auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()["auc"]
     pos = [s for s, y in rows if y == 1]
     neg = [s for s, y in rows if y == 0]
     if not pos or not neg:
@@ -54,8 +50,8 @@ def test_auc_equals_brute_force(spark, scores, labels, unit):
 
 
 @SETTINGS
-@given(n=st.integers(20, 120), block=st.integers(1, 40), seed=st.integers(0, 10_000))
-def test_group_metrics_equals_direct_definition(spark, n, block, seed):
+@given(n=st.integers(20, 120), sparse=st.sampled_from([3, 10**12]), seed=st.integers(0, 10_000))
+def test_group_metrics_equals_direct_definition(spark, n, sparse, seed):
     """Per kept group: the first min(n0, n1) members of each class in id order; ALL: every row."""
     import random
 
@@ -67,15 +63,11 @@ def test_group_metrics_equals_direct_definition(spark, n, block, seed):
 
     rnd = random.Random(seed)
     gs = GROUPS[:3]
-    rows = [(i * 3 + rnd.randrange(3), rnd.random(), rnd.random(), rnd.random(), 0.05 + rnd.random() / 2,
+    rows = [(i * sparse + rnd.randrange(sparse), rnd.random(), rnd.random(), rnd.random(), 0.05 + rnd.random() / 2,
              *[rnd.choice([-1.0, 0.0, 0.5, 0.75]) for _ in gs]) for i in range(n)]
     schema = "row_id long, label double, input_r double, mean double, stddev double, " + ", ".join(f"{g} double" for g in gs)
     fc = spark.createDataFrame(rows, schema)
-    spark.conf.set("calibrix.id_block", str(block))
-    try:
-        got = {r["group"]: r for r in G.group_metrics(fc, 0.8, groups=gs, min_size=3).collect()}
-    finally:
-        spark.conf.unset("calibrix.id_block")
+    got = {r["group"]: r for r in G.group_metrics(fc, 0.8, groups=gs, min_size=3).collect()}
     t = forecast_terms(fc).toPandas().sort_values("row_id")
     exp = {"ALL": t}
     for g in gs:

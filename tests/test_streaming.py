@@ -2,30 +2,41 @@
 loses late rows in append mode; patience state equals the batch early stop."""
 
 import os
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from calibrix.operators import runs as R
 from calibrix.sources import fixtures as FX
+from calibrix.config import fresh_path
 from calibrix.sources.tables import read_table
 from calibrix.streaming import group_loss as SG
 from calibrix.streaming import patience as SP
-from calibrix.streaming.sources import fresh_dir, stage_in_order
+from calibrix.streaming.sources import stage_in_order
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
 def _append_run(spark, reverse):
-    d = fresh_dir(spark, "test_t1")
-    ev = read_table(spark, SF, "events", ["event_id", "ts"]).withColumn("ts", F.col("ts").cast("timestamp"))
-    stage_in_order(ev, f"{d}/source", "ts", reverse=reverse, one_file=True)
+    d = fresh_path(spark, "test_t1")
+    ev = read_table(spark, SF, "events", ["event_id", "ts", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    stage_in_order(ev, f"{d}/source", "ts", files=10, reverse=reverse)
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/source")
+    drops = SG.WatermarkDrops()
+    spark.streams.addListener(drops)
     q = SG.stream_group_loss(FX.forecasts_from_events(stream, keep_ts=True), f"{d}/out", f"{d}/ckpt", mode="append")
     q.awaitTermination()
+    for _ in range(100):  # reports come a little later
+        if drops.total or not reverse:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(drops)
     out = spark.read.parquet(f"{d}/out").where(F.col("group") == "ALL")
-    _append_run.drops = SG.watermark_drops(q)
+    _append_run.drops = drops.total
+    ev = ev.join(FX.predictions(spark, SF).where("label is not null").select(F.col("row_id").alias("event_id")), "event_id")
     return {r["window_start"]: r["n_rows"] for r in out.collect()}, ev
 
 
@@ -48,12 +59,63 @@ def test_append_out_of_order_drops_late_rows(spark):
 
 
 def test_stream_early_stop_equals_batch(spark):
-    d = fresh_dir(spark, "test_t2")
+    d = fresh_path(spark, "test_t2")
     log = FX.eval_log(spark, SF)
     staged = log.withColumn("ts", F.to_timestamp(F.date_add(F.to_date(F.lit("2024-01-01")), F.col("step").cast("int"))))
-    stage_in_order(staged, f"{d}/source", "ts", slice_days=3, one_file=True)
+    stage_in_order(staged, f"{d}/source", "ts", files=10)
     stream = spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/source")
     SP.stream_early_stop(stream, f"{d}/out", f"{d}/ckpt", patience=3).awaitTermination()
     got = {r["run_id"]: tuple(r) for r in SP.latest_status(spark, f"{d}/out").collect()}
     exp = {r["run_id"]: tuple(r) for r in R.early_stop(log, 3).select(*SP.STATUS_SCHEMA_COLS).collect()}
     assert got == exp
+
+
+class _State:
+    def __init__(self):
+        self.get, self.exists = None, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 5])
+def test_patience_over_chunks_and_batches(chunks):
+    """A run's rows in several Arrow chunks, in no order: as a loop over all of its steps."""
+    import random
+
+    rnd = random.Random(7)
+    for _ in range(200):
+        losses = [rnd.choice([0.9, 0.7, 0.5, 0.3, float("nan"), rnd.random()]) for _ in range(rnd.randrange(1, 14))]
+        cut = rnd.randrange(len(losses) + 1)
+        state, got = _State(), None
+        for lo, hi in ((0, cut), (cut, len(losses))):
+            rows = [(i, losses[i]) for i in range(lo, hi)]
+            rnd.shuffle(rows)
+            if rows:
+                parts = [rows[k::chunks] for k in range(chunks) if rows[k::chunks]]
+                got = next(SP._update(3)(("r",), iter([pd.DataFrame(p, columns=["step", "eval_loss"]) for p in parts]), state)).iloc[0]
+        best, best_step, bad, stop = None, None, 0, None
+        for i, x in enumerate(losses):
+            if x < (best if best is not None else float("inf")):
+                best, best_step, bad = x, i, 0
+            else:
+                bad += 1
+            if bad >= 3:
+                stop = i
+                break
+        none = lambda v: None if pd.isna(v) else v
+        assert (none(got["stop_step"]), none(got["best_loss"]), none(got["best_step"])) == (stop, best, best_step) and got["n_evals"] == len(losses)
+
+
+def test_update_mode_state_is_bounded_and_complete(spark):
+    """Every window's last update equals the batch answer, and closed windows leave the state store."""
+    d = fresh_path(spark, "test_t1_update")
+    ev = read_table(spark, SF, "events", ["event_id", "ts", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    stage_in_order(ev, f"{d}/source", "ts", files=10)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/source")
+    q = SG.stream_group_loss(FX.forecasts_from_events(stream, keep_ts=True), f"{d}/out", f"{d}/ckpt")
+    q.awaitTermination()
+    got = {(r["window_start"], r["group"]): r["n_rows"] for r in SG.latest_sums(spark, f"{d}/out").collect()}
+    batch = SG.window_sums(FX.forecasts_from_events(ev, keep_ts=True), watermark=None)
+    assert got == {(r["window_start"], r["group"]): r["n_rows"] for r in batch.collect()}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < len(got) / 2
