@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrix.functions.random import uniform
@@ -46,26 +46,39 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else (x if isinstance(x, Column) else F.lit(float(x)))
 
 
-def erf(x) -> Column:
-    """erf(x) to about 1e-13, as one expression in generated code (see ``_erf_coefficients``). Same evaluation order
-    as the SQL oracle."""
-    x = _c(x)
-    ax = F.abs(x)
-    t = F.lit(2.0) / (F.lit(2.0) + ax)
-    u = F.lit(2.0) * t - F.lit(1.0)
+def _erf_u(x: Column) -> Column:
+    return F.lit(4.0) / (F.lit(2.0) + F.abs(x)) - F.lit(1.0)
+
+
+def _erf(x: Column, u: Column) -> Column:
     poly = F.lit(ERF_COEFFICIENTS[-1])
     for c in reversed(ERF_COEFFICIENTS[:-1]):
         poly = poly * u + F.lit(c)
-    y = F.lit(1.0) - t * F.exp(poly - ax * ax)
+    y = F.lit(1.0) - (u + F.lit(1.0)) / F.lit(2.0) * F.exp(poly - x * x)
     return F.when(x < 0, -y).otherwise(y)
 
 
+def erf(x) -> Column:
+    """erf(x) to about 1e-15 (see ``_erf_coefficients``). Same evaluation order as the SQL oracle."""
+    x = _c(x)
+    return _erf(x, _erf_u(x))
+
+
 def normal_cdf(label, mean, stddev) -> Column:
     """PIT: Phi((label - mean) / stddev) = 0.5 (1 + erf(z / sqrt 2))."""
     z = (_c(label) - _c(mean)) / _c(stddev) / F.lit(SQRT2)
     return F.lit(0.5) * (F.lit(1.0) + erf(z))
 
 
+def with_normal_cdf(df: DataFrame, out: str, label: str = "label", mean: str = "mean", stddev: str = "stddev") -> DataFrame:
+    """``df`` with ``normal_cdf`` as a column ``out``. What the polynomial reads many times is projected first, so that the
+    generated code holds it once however many expressions use ``out``."""
+    z = (F.col(label) - F.col(mean)) / F.col(stddev) / F.lit(SQRT2)
+    df = df.select("*", z.alias("__z")).select("*", _erf_u(F.col("__z")).alias("__u"))
+    cdf = F.lit(0.5) * (F.lit(1.0) + _erf(F.col("__z"), F.col("__u")))
+    return df.select("*", cdf.alias(out)).drop("__z", "__u")
+
+
 def gaussian_nll(label, mean, stddev) -> Column:
     """Negative log density of label under N(mean, stddev^2)."""
     z = (_c(label) - _c(mean)) / _c(stddev)

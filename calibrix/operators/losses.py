@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrix.config import DEFAULT_COEFFICIENT, LABEL_THRESHOLD
-from calibrix.functions.math import clamp, gaussian_nll, normal_cdf, sample_normal
+from calibrix.functions.math import clamp, gaussian_nll, sample_normal, with_normal_cdf
 from calibrix.operators.ranking import global_rank, prefix_sum
 
 
@@ -15,9 +15,8 @@ def forecast_terms(fc: DataFrame, use_sample: bool = False, seed: int = 42, id_c
 
     Rows without a label have none of these: they are left out here, once, for every loss and metric."""
     pred = sample_normal("mean", "stddev", id_col, seed) if use_sample else F.col("mean")
-    return fc.where(F.col("label").isNotNull()).select(
+    return with_normal_cdf(fc.where(F.col("label").isNotNull()), "cdf").select(
         "*",
-        normal_cdf("label", "mean", "stddev").alias("cdf"),
         gaussian_nll("label", "mean", "stddev").alias("nll"),
         clamp(pred, 0.0, 1.0).alias("pred_value"),
     ).select(

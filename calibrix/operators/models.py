@@ -82,8 +82,8 @@ def unflatten(theta: np.ndarray, like: dict) -> dict:
 def np_erf(x: np.ndarray) -> np.ndarray:
     """The same polynomial as the column ``erf`` (so numpy and SQL paths agree)."""
     ax = np.abs(x)
-    t = 2.0 / (2.0 + ax)
-    y = 1.0 - t * np.exp(np.polynomial.polynomial.polyval(2.0 * t - 1.0, ERF_COEFFICIENTS) - ax * ax)
+    u = 4.0 / (2.0 + ax) - 1.0
+    y = 1.0 - (u + 1.0) / 2.0 * np.exp(np.polynomial.polynomial.polyval(u, ERF_COEFFICIENTS) - ax * ax)
     return np.where(x < 0, -y, y)
 
 

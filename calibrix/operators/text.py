@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrix.config import MAX_SEQ_LEN
-from calibrix.operators.ranking import global_rank
+from calibrix.operators.ranking import global_rank, shuffle_partitions
 from calibrix.sources.files import written
 
 # Token pattern and special token ids.
@@ -39,6 +39,12 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     return docs.select(id_col, each.alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def dealt(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents dealt evenly over the tasks, which tokenising and exploding whole texts of very different length
+    needs; a shuffle of the texts, small beside that of their tokens."""
+    return docs.repartition(shuffle_partitions(docs.sparkSession), id_col)
+
+
 def token_key(col: str = "token"):
     """60-bit integer from the token's md5: the tie-break key among tokens of equal count."""
     return F.conv(F.substring(F.md5(F.col(col)), 1, 15), 16, 10).cast("bigint")
@@ -90,7 +96,7 @@ def encode(ids: DataFrame, max_len: int = MAX_SEQ_LEN, id_col: str = "doc_id") -
 
 def tokenize_pad(docs: DataFrame, max_len: int = MAX_SEQ_LEN, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """Documents as padded ids, in the vocabulary of all their tokens; a token beyond the length only counts for it."""
-    toks = tokens(docs, id_col, text_col, keep_empty=True)
+    toks = tokens(dealt(docs, id_col), id_col, text_col, keep_empty=True)
     vocab = build_vocab(toks, min_count)
     first = toks.where(F.col("pos").isNull() | (F.col("pos") < max_len - 2))
     return encode(lookup(first, vocab), max_len, id_col)

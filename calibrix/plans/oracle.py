@@ -24,17 +24,21 @@ def lit(x: float) -> str:
     return f"({float(x)!r}{D})"
 
 
-def u(salt: str, idexpr: str) -> str:
-    return f"((('0x'||substr(md5('{salt}'||':'||CAST({idexpr} AS VARCHAR)),1,8))::BIGINT)/(4294967296.0{D}))"
+def u(salt: str, idexpr: str, part: int = 0) -> str:
+    return f"((('0x'||substr(md5('{salt}'||':'||CAST({idexpr} AS VARCHAR)),{1 + 8 * part},8))::BIGINT)/(4294967296.0{D}))"
+
+
+def column_u(table: str, k: int, idexpr: str) -> str:
+    return u(f"{table}{k // 4}", idexpr, k % 4)
 
 
 def erf(x: str) -> str:
     ax = f"abs({x})"
-    t = f"(2.0{D}/(2.0{D}+{ax}))"
+    u = f"(4.0{D}/(2.0{D}+{ax})-1.0{D})"
     poly = lit(ERF_COEFFICIENTS[-1])
     for c in reversed(ERF_COEFFICIENTS[:-1]):
-        poly = f"({poly}*(2.0{D}*{t}-1.0{D})+{lit(c)})"
-    y = f"(1.0{D}-{t}*exp({poly}-{ax}*{ax}))"
+        poly = f"({poly}*{u}+{lit(c)})"
+    y = f"(1.0{D}-({u}+1.0{D})/2.0{D}*exp({poly}-({x})*({x})))"
     return f"(CASE WHEN ({x}) < 0 THEN -{y} ELSE {y} END)"
 
 
@@ -61,15 +65,15 @@ def predictions_cte(keep_ts: bool = False, hashed_ids: bool = False, name: str =
     rid = "('0x'||substr(md5('id:'||event_id),1,15))::BIGINT" if hashed_ids else "event_id"
     cols = [
         f"{rid} AS row_id",
-        f"(CASE WHEN {u('unlabelled', 'event_id')} >= {lit(UNLABELLED_SHARE)} THEN {y} END) AS label",
-        f"{u('r', 'event_id')} AS input_r",
-        f"(0.6{D}*{y}+0.4{D}*{u('m', 'event_id')}) AS mean",
-        f"(0.05{D}+0.45{D}*{u('s', 'event_id')}) AS stddev",
+        f"(CASE WHEN {column_u('forecast', 0, 'event_id')} >= {lit(UNLABELLED_SHARE)} THEN {y} END) AS label",
+        f"{column_u('forecast', 1, 'event_id')} AS input_r",
+        f"(0.6{D}*{y}+0.4{D}*{column_u('forecast', 2, 'event_id')}) AS mean",
+        f"(0.05{D}+0.45{D}*{column_u('forecast', 3, 'event_id')}) AS stddev",
     ]
-    for g, p in zip(GROUPS, PREDICTION_GROUP_RATES):
+    for k, (g, p) in enumerate(zip(GROUPS, PREDICTION_GROUP_RATES), 5):
         cols.append(
-            f"(CASE WHEN {u('has', 'event_id')} < {lit(PREDICTION_UNKNOWN_SHARE)} THEN -1.0{D} "
-            f"WHEN {u(g, 'event_id')} < {lit(p)} THEN 0.75{D} ELSE 0.0{D} END) AS {g}"
+            f"(CASE WHEN {column_u('forecast', 4, 'event_id')} < {lit(PREDICTION_UNKNOWN_SHARE)} THEN -1.0{D} "
+            f"WHEN {column_u('forecast', k, 'event_id')} < {lit(p)} THEN 0.75{D} ELSE 0.0{D} END) AS {g}"
         )
     if keep_ts:
         cols.append("CAST(ts AS TIMESTAMP) AS ts")
@@ -93,16 +97,16 @@ def terms_cte(src: str = "predictions", name: str = "terms", pred: str = "mean")
 
 def comments_cte(part_null: bool = False, name: str = "comments") -> str:
     idc = "d.doc_id"
-    nt, ut = u("nt", idc), u("target", idc)
+    nt, ut = column_u("comment", 0, idc), column_u("comment", 1, idc)
     target = (f"(CASE WHEN l.toxic = 1 THEN 0.5{D} + 0.5{D}*{ut} WHEN l.quality = 0 THEN 0.25{D} + 0.25{D}*{ut} "
               f"WHEN l.doc_id IS NOT NULL THEN CASE WHEN {nt} < 0.3{D} THEN 0.0{D} ELSE 0.5{D}*{ut} END "
               f"WHEN {nt} < 0.2{D} THEN 0.0{D} WHEN {nt} > 0.98{D} THEN 1.0{D} ELSE {ut} END)")
     cols = [f"{idc} AS id", f"{target} AS target", "d.text AS comment_text"]
-    for g in GROUPS:
-        v = f"greatest(0.0{D}, floor({u(g, idc)}*9)/4.0{D} - 1.0{D})"
+    for k, g in enumerate(GROUPS, 3):
+        v = f"greatest(0.0{D}, floor({column_u('comment', k, idc)}*9)/4.0{D} - 1.0{D})"
         v = f"(CASE WHEN l.doc_id IS NULL THEN NULL ELSE {v} END)"
         if part_null and g == GROUPS[0]:
-            v = f"(CASE WHEN {u('pn', idc)} < {lit(PART_NULL_SHARE)} THEN NULL ELSE {v} END)"
+            v = f"(CASE WHEN {column_u('comment', 2, idc)} < {lit(PART_NULL_SHARE)} THEN NULL ELSE {v} END)"
         cols.append(f"CAST({v} AS DOUBLE) AS {g}")
     return (
         f"{name} AS (SELECT " + ", ".join(cols)

@@ -1142,7 +1142,7 @@ def q_concat_feature(spark, sf_dir):
 @register("vocab_lookup", _with(_TOK_SQL) + "SELECT doc_id, pos, token_id FROM ids")
 def q_vocab_lookup(spark, sf_dir):
     """Every token of every document mapped to its id in a vocabulary built from the corpus."""
-    toks = TX.tokens(_docs(spark, sf_dir))
+    toks = TX.tokens(TX.dealt(_docs(spark, sf_dir)))
     return TX.lookup(toks, TX.build_vocab(toks)).select("doc_id", "pos", "token_id")
 
 

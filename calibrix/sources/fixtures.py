@@ -26,6 +26,11 @@ UNLABELLED_SHARE = 0.2
 EVAL_LOG_DAY0 = "2024-01-01"
 
 
+def column_u(table: str, k: int, id_col) -> F.Column:
+    """The ``k``-th uniform of a row: four from each digest, so a row of many random columns takes few digests."""
+    return uniform(f"{table}{k // 4}", id_col, k % 4)
+
+
 def comments(spark: SparkSession, sf_dir: str, part_null: bool = False) -> DataFrame:
     """``id, target, comment_text`` + nine groups.
 
@@ -39,16 +44,16 @@ def comments(spark: SparkSession, sf_dir: str, part_null: bool = False) -> DataF
         F.max("toxic").alias("toxic"), F.min("quality").alias("quality"), F.lit(True).alias("_labelled"))
     df = docs.join(labels, "doc_id", "left")
     idc = F.col("doc_id")
-    nt, ut = uniform("nt", idc), uniform("target", idc)
+    nt, ut = column_u("comment", 0, idc), column_u("comment", 1, idc)
     target = (F.when(F.col("toxic") == 1, F.lit(0.5) + F.lit(0.5) * ut).when(F.col("quality") == 0, F.lit(0.25) + F.lit(0.25) * ut)
               .when(F.col("_labelled"), F.when(nt < 0.3, F.lit(0.0)).otherwise(F.lit(0.5) * ut))
               .when(nt < 0.2, F.lit(0.0)).when(nt > 0.98, F.lit(1.0)).otherwise(ut))
     cols = [idc.alias("id"), target.alias("target"), F.col("text").alias("comment_text")]
-    for g in GROUPS:
-        val = F.greatest(F.lit(0.0), F.floor(uniform(g, idc) * 9) / F.lit(4.0) - F.lit(1.0))
+    for k, g in enumerate(GROUPS, 3):
+        val = F.greatest(F.lit(0.0), F.floor(column_u("comment", k, idc) * 9) / F.lit(4.0) - F.lit(1.0))
         val = F.when(F.col("_labelled").isNull(), F.lit(None).cast("double")).otherwise(val.cast("double"))
         if part_null and g == GROUPS[0]:
-            val = F.when(uniform("pn", idc) < PART_NULL_SHARE, F.lit(None).cast("double")).otherwise(val)
+            val = F.when(column_u("comment", 2, idc) < PART_NULL_SHARE, F.lit(None).cast("double")).otherwise(val)
         cols.append(val.alias(g))
     return df.select(*cols)
 
@@ -68,15 +73,15 @@ def forecasts_from_events(events: DataFrame, keep_ts: bool = False, hashed_ids:
     y = F.least(F.col("value") / F.lit(100.0), F.lit(1.0))
     cols = [
         (hashed_id("event_id") if hashed_ids else rid).alias("row_id"),
-        F.when(uniform("unlabelled", rid) >= UNLABELLED_SHARE, y).alias("label"),
-        uniform("r", rid).alias("input_r"),
-        (F.lit(0.6) * y + F.lit(0.4) * uniform("m", rid)).alias("mean"),
-        (F.lit(0.05) + F.lit(0.45) * uniform("s", rid)).alias("stddev"),
+        F.when(column_u("forecast", 0, rid) >= UNLABELLED_SHARE, y).alias("label"),
+        column_u("forecast", 1, rid).alias("input_r"),
+        (F.lit(0.6) * y + F.lit(0.4) * column_u("forecast", 2, rid)).alias("mean"),
+        (F.lit(0.05) + F.lit(0.45) * column_u("forecast", 3, rid)).alias("stddev"),
     ]
-    unknown = uniform("has", rid) < PREDICTION_UNKNOWN_SHARE
-    for g, p in zip(GROUPS, PREDICTION_GROUP_RATES):
+    unknown = column_u("forecast", 4, rid) < PREDICTION_UNKNOWN_SHARE
+    for k, (g, p) in enumerate(zip(GROUPS, PREDICTION_GROUP_RATES), 5):
         cols.append(
-            F.when(unknown, F.lit(-1.0)).when(uniform(g, rid) < p, F.lit(0.75)).otherwise(F.lit(0.0)).alias(g)
+            F.when(unknown, F.lit(-1.0)).when(column_u("forecast", k, rid) < p, F.lit(0.75)).otherwise(F.lit(0.0)).alias(g)
         )
     if keep_ts:
         cols.append(F.col("ts").cast("timestamp").alias("ts"))
