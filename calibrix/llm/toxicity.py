@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from calibrix.llm.common import Remembered, map_batches, slices, unused, utf8, word_blocks
 
-BUCKETS, FACTORS, EPOCHS, MIN_CHI2 = 1 << 20, 8, 30, 10.0
+BUCKETS, FACTORS, EPOCHS, MIN_CHI2 = 1 << 20, 8, 30, 20.0
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 THRESHOLD = 0.7
 # Words whose features a task remembers, twice at most.
@@ -80,7 +80,7 @@ class FactorizationMachine:
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factors: int = FACTORS, rate: float = 0.1,
-        decay: float = 1e-3, min_chi2: float = MIN_CHI2, seed: int = 7) -> FactorizationMachine:
+        decay: float = 3e-4, min_chi2: float = MIN_CHI2, seed: int = 7) -> FactorizationMachine:
     """A machine from arrays of distinct buckets and 0/1 labels, by AdaGrad on mini-batches."""
     n, pos = len(docs), int(labels.sum())
     if not n or not pos or pos == n:
