@@ -50,11 +50,10 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         for name, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     src = written(src.withColumn("weight", weight), "source_rates")
-    total = src.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars"))
-    share = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(F.lit(0.0))
-    out = src.join(F.broadcast(total))  # one row
-    return out.select("source", "docs", "chars", share.alias("share"),
-                      (share * F.lit(float(epochs)) * F.col("all_chars") / F.col("chars")).alias("rate"))
+    total = src.agg(F.sum("weight"), F.sum("chars")).first()  # two numbers
+    share = F.col("weight") / F.lit(total[0]) if total[0] else F.lit(0.0)
+    return src.select("source", "docs", "chars", share.alias("share"),
+                      (share * F.lit(float(epochs)) * F.lit(float(total[1] or 0)) / F.col("chars")).alias("rate"))
 
 
 def distribution(mean: Column) -> Column:
