@@ -14,40 +14,71 @@ their texts' hashes. An empty table gives no rows. Other columns aren't read.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibrix.llm.common import map_batches, slices, utf8
-from calibrix.llm.pretokens import ChunkCache, chunks
+from calibrix.llm.bpe import PATTERN, byte_letters
+from calibrix.llm.common import Remembered, map_batches, slices, utf8
+from calibrix.llm.pretokens import CACHE_CHARS, ChunkCache, chunks, pieces
 
 # Row index entries every so many rows; the Bloom filters' rate of false positives; bytes of a stripe.
 INDEX_ROWS, BLOOM_RATE, STRIPE_BYTES = 1000, 0.01, 16 << 20
+# Chunks and pieces of texts that a Python worker remembers, twice at most.
+CHUNKS, PIECES = 300_000, 200_000
 
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str):
-    """A function from a text to its ids (little-endian 32-bit) by the tokenizers library, cached by chunks."""
+    """A function from a text to its ids (little-endian 32-bit) by the tokenizers library.
+
+    Where the file's pre-tokenizer is byte-level, texts are cut by its pattern and each different piece is encoded by the
+    library's model once, in a bounded memory; else, and for texts with an added token, the library gets the whole text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
     lib.no_truncation()
     lib.no_padding()
-    encode = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
-    cache = ChunkCache(encode)
-    # Text of an added token may hold spaces and is matched before anything else: such texts go to the library whole.
-    added = [t.content for t in lib.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added, model = [t["content"] for t in spec.get("added_tokens", [])], lib.model
+    letters, pattern = dict(enumerate(byte_letters())), regex.compile(PATTERN)
+    space = letters[0x20]
+    cut = spec["pre_tokenizer"] or {}
+    byte_level = spec["normalizer"] is None and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
+
+    def whole(text: str) -> bytes:
+        return np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(word: str) -> bytes:
+        shown = f"{space}{word[1:]}" if word.isascii() and word[1:].isalpha() and word[0] == " " else word.encode().decode("latin-1").translate(letters)
+        ids = [t.id for t in model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    known = Remembered(piece, PIECES)
+
+    def chunk(part: str) -> bytes:
+        words = pieces(part, pattern.findall)
+        if len(words) == 1:  # remembered as a chunk already
+            return piece(part)
+        return b"".join([known[w] if len(w) <= CACHE_CHARS else piece(w) for w in words])
+
+    cache = ChunkCache(lambda parts: [chunk(p) for p in parts], CHUNKS)
 
     def ids(text: str) -> bytes:
-        if any(a in text for a in added):
-            return encode([text])[0]
+        if not byte_level or any(a in text for a in added):
+            return whole(text)
         return b"".join(cache(chunks(text)))
 
     return ids

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 # A space followed by more white space or by the text's end: there, str.split cuts where the pattern doesn't.
 _WIDE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
-CACHE_CHUNKS, CACHE_CHARS = 100_000, 64
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 64
 
 
 def chunks(text: str) -> list[str]:
@@ -26,6 +26,17 @@ def chunks(text: str) -> list[str]:
     return head + [f" {p}" for p in parts[1:]]
 
 
+def pieces(chunk: str, findall: Callable[[str], list[str]]) -> list[str]:
+    """The chunk's pre-tokens: by ``findall`` of the pattern, unless it is a word alone or with one mark behind it, which
+    most are and which needs no pattern."""
+    word = chunk[1:] if chunk[0] == " " else chunk
+    if word.isalpha():
+        return [chunk]
+    if chunk[-1] in ".,;:!?" and word[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return findall(chunk)
+
+
 class ChunkCache:
     """Encodings of chunks, in two generations of at most ``limit`` chunks each: when the young one is
     full it becomes the old one, and what is still used returns to the young one."""
