@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibrix.llm.common import Remembered, map_batches, utf8
-from calibrix.llm.pretokens import CACHE_CHARS, ChunkCache, chunks
+from calibrix.llm.pretokens import CACHE_CHARS, ChunkCache, chunks, pieces
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pre-tokens and pairs of tokens that a Python worker remembers, twice at most.
-WORDS, PAIRS = 60_000, 100_000
+WORDS, PAIRS = 100_000, 150_000
 _NONE = -1
 
 
@@ -71,7 +71,8 @@ class PrefixBPE:
             self.merged.setdefault((a, b), r)
             if ab not in self.halves:
                 self.halves[ab], self.rank[ab] = (a, b), r
-        self.pairs = Remembered(lambda pair: self._apart(*pair, float("inf")), PAIRS)
+        self.size = size
+        self.pairs = Remembered(lambda pair: self._apart(*divmod(pair, size), float("inf")), PAIRS)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.words = Remembered(self._word, WORDS)
@@ -112,7 +113,7 @@ class PrefixBPE:
         """The ids of one pre-token."""
         n = len(word)
         last, start = [_NONE] * (n + 1), [0] * (n + 1)
-        pairs = self.pairs
+        pairs, size = self.pairs, self.size
         for end, (token, width) in self.automaton.iter(word.decode("latin-1")):
             end += 1
             if last[end] >= 0:
@@ -121,7 +122,7 @@ class PrefixBPE:
             before = last[at]
             if at == 0:
                 last[end], start[end] = token, 0
-            elif before >= 0 and pairs[before, token]:
+            elif before >= 0 and pairs[before * size + token]:
                 last[end], start[end] = token, at
         ids, at = [], n
         while at:
@@ -134,7 +135,7 @@ class PrefixBPE:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        words, cached = self.pattern.findall(chunk), self.words
+        words, cached = pieces(chunk, self.pattern.findall), self.words
         return b"".join([cached[w] if len(w) <= CACHE_CHARS else self._word(w) for w in words])
 
     def encode(self, text: str) -> bytes:

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 # A space followed by more white space or by the text's end: there, str.split cuts where the pattern doesn't.
 _WIDE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
-CACHE_CHUNKS, CACHE_CHARS = 200_000, 64
+CACHE_CHUNKS, CACHE_CHARS = 150_000, 64
 
 
 def chunks(text: str) -> list[str]:
