@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form (ASCII letters in lower case, copyright lines dropped, punctuation and white
-space as single spaces, equivalent spellings as one) and its SHA-256 is looked up among the digests of known licences
+A text is brought to a canonical form (ASCII letters in lower case, copyright statements dropped, punctuation and white
+space as single spaces, equivalent spellings as one; licence prose that a line break puts at "copyright" stays) and its SHA-256 is looked up among the digests of known licences
 by a hash join: whole texts that are a licence are found however they are set or spelt. The same is done with each
 line of a text and the digests of known notices ("Licensed under ..."), which are a short fixed list.
 
@@ -25,7 +25,12 @@ EQUIVALENT = [
     ("copyright owner", "copyright holder"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
     ("non commercial", "noncommercial"), ("per cent", "percent"), ("https", "http"),
 ]
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A copyright statement: a line with a mark behind "copyright" (the sign, a year, "by", a template's bracket), or whose paragraph begins
+# with "copyright", and up to 100 statements without a mark right below it (Java matches groups by recursion). Other lines that begin with the word are prose.
+_MARK = r"(\(c\)|©|[12][0-9]{3}|[<\[{])"
+COPYRIGHT_LINE = (r"((^|\n)[ \t]*(copyright[ \t:,]*(by[ \t]|" + _MARK + r")|\(c\)[ \t:,]*(copyright|" + _MARK + r")|©|all rights reserved)"
+                  r"|(^|\n[ \t\r]*\n)[ \t]*copyright[ \t])[^\n]*"
+                  r"(\n[ \t]*(copyright|\(c\)|©|(all[ \t]+)?rights[ \t]+reserved)[^\n]*){0,100}")
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F‘’“”–—•© ]+"
 
 # Licence texts, without their copyright lines, and one-line notices.

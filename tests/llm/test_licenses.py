@@ -1,3 +1,5 @@
+import textwrap
+
 from pyspark.sql import functions as F
 
 from calibrix.llm import licenses as li
@@ -28,3 +30,28 @@ def test_known_table_of_the_user(spark):
     docs = spark.createDataFrame([(1, "my OWN licence"), (1, "my OWN licence"), (None, None)], "doc_id long, text string")
     known = spark.createDataFrame([(li.digest("My own license!"), "own"), (li.digest("My own license!"), "zzz")], "text_digest string, license string")
     assert sorted((str(r.doc_id), str(r.license)) for r in li.license_scan(docs, known).collect()) == [("1", "own"), ("1", "own"), ("None", "None")]
+
+
+def test_line_breaks_do_not_matter(spark):
+    for name, text in li.TEXTS.items():
+        paragraphs = [" ".join(p.split()) for p in text.strip().split("\n\n")]
+        for width in (*range(20, 140, 3), 10_000):
+            wrapped = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False) for p in paragraphs)
+            assert li.digest(wrapped) == li.digest(text), (name, width)
+    usual = li.TEXTS["MIT"].replace("AUTHORS OR\nCOPYRIGHT HOLDERS BE", "\nAUTHORS OR COPYRIGHT HOLDERS BE")
+    assert usual != li.TEXTS["MIT"] and "copyright holders be liable" in li.canonical_text(li.TEXTS["MIT"])
+    docs = spark.createDataFrame([(1, usual)], "doc_id long, text string")
+    assert li.license_scan(docs).first().license == "MIT"
+
+
+def test_copyright_statements_are_dropped_and_prose_stays(spark):
+    said = ["Copyright (c) 2020 X", "Copyright 1999-2001, X", "copyright by X", "(C) 2020 X", "© X", "Copyright <YEAR> <HOLDER>", "Copyright X Foundation",
+            "Copyright (c) 1998 The Regents. All\nrights reserved.", "Copyright X\nCopyright Y\n(c) Z\nAll rights reserved."]
+    prose = ["copyright notice, this list", "COPYRIGHT HOLDERS BE LIABLE", "copyright", "copyright, patent, trademark", "(c) You must retain"]
+    texts = [f"{a}\n\nmid" for a in said] + [f"top\n{a}\nend" for a in prose] + ["Copyright X\n" * 20_000, "Copyright 2020 X\n" * 20_000 + "mid"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", li.canonical(F.col("t")).alias("c"))
+    got = {r.i: r.c for r in df.collect()}
+    assert [got[i] for i in range(len(texts))] == [li.canonical_text(t) for t in texts]
+    assert got[len(texts) - 1] == "mid"
+    assert [got[i] for i in range(len(said))] == ["mid"] * len(said)
+    assert [got[len(said) + i].split()[1] for i in range(len(prose))] == ["copyright"] * 4 + ["c"]
