@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from calibrix.llm import secret_scan as s
 
@@ -60,3 +62,28 @@ def test_redaction_keeps_rows_and_columns(spark, odd_docs, no_docs):
     hit = out.where("doc_id = 9").first()
     assert hit.text == "naïve café 漢字 🙂 [SECRET]" and hit.n_chars == len(hit.text)
     assert s.redacted(f"token={'0a' * 20}, {'0b' * 20}.", "*") == "*, *."
+
+
+WAYS = ["Authorization: Bearer {}", "the client_id is {} here", "credential {}"]
+
+
+def recall(alphabet, length, n=200):
+    rng = random.Random(f"{alphabet}{length}")
+    keys = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(n)]
+    texts = [(WAYS[i % 3].format(k), k) for i, k in enumerate(keys)]
+    return sum(any(t[a:b] == k for a, _, b in s.all_spans(t)) for t, k in texts) / n
+
+
+def test_random_keys_are_found_whatever_their_digits():
+    for n in (16, 24, 32, 48, 63):
+        assert recall(string.ascii_letters + string.digits, n) > 0.99, n
+        assert recall(string.ascii_letters, n) > 0.98 and recall(string.digits, n) > 0.95, n
+        assert recall(string.ascii_lowercase, n) > 0.9 and recall(string.ascii_uppercase, n) > 0.9, n
+
+
+def test_words_are_no_keys():
+    words = ["internationalisation", "getAccessTokenFromRequest", "com/example/widgets/AbstractFactory", "Geschwindigkeitsbegrenzung",
+             "anticonstitutionnellement", "NoSuchElementException", "MAXIMUM_RETRY_COUNT", "state-of-the-art-solutions", "----------------",
+             "2024-01-15_10-30-00", "0123456789012345678", "aaaaaaaaaaaaaaaaaaaaaa"]
+    for w in words:
+        assert [s.all_spans(x.format(w)) for x in WAYS] == [[]] * 3, w
