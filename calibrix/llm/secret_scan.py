@@ -51,6 +51,11 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MAX_WORDLIKE = 0.65
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH, AROUND, MIN_SHARE = 64, 256, 0.8
+# zstandard's entropy coder takes 64 literals or more and makes any key of a small alphabet cheap. From there on literals
+# are left as they are (a target length does that with the fast strategy), so only repetition saves bytes.
+RAW_LITERALS = 64
+_PLAIN = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_FAST, min_match=4, target_length=1,
+                                                        write_content_size=False, write_dict_id=False)
 _ID_BYTES = IDENTIFIERS.encode()
 
 
@@ -58,7 +63,10 @@ def marginal_bytes(candidate: str, around: str) -> int:
     """Bytes that ``candidate`` adds to a frame primed with identifiers and the text around it."""
     primer = zstandard.ZstdCompressionDict(_ID_BYTES + b" " + around.encode("utf-8", "replace"),
                                            dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    c = zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_dict_id=False)
+    if len(candidate) < RAW_LITERALS:
+        c = zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_dict_id=False)
+    else:
+        c = zstandard.ZstdCompressor(compression_params=_PLAIN, dict_data=primer)
     return len(c.compress(candidate.encode())) - len(c.compress(b""))
 
 

@@ -87,3 +87,18 @@ def test_words_are_no_keys():
              "2024-01-15_10-30-00", "0123456789012345678", "aaaaaaaaaaaaaaaaaaaaaa"]
     for w in words:
         assert [s.all_spans(x.format(w)) for x in WAYS] == [[]] * 3, w
+
+
+def test_long_keys_are_found_in_any_alphabet():
+    for name, alphabet in {"hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "alnum": string.ascii_letters + string.digits,
+                           "base64": string.ascii_letters + string.digits + "+/"}.items():
+        for n in (63, 64, 72, 128, 172, 256, 512, 1024, 5000):
+            assert recall(alphabet, n, 40) == 1.0, (name, n)
+    assert recall(string.digits, 200, 40) > 0.9
+
+
+def test_long_repetition_is_no_key():
+    rng = random.Random(3)
+    few = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(20))
+    for w in ("z" * 500, "zyxwvutsrq" * 20, few * 10, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789/+"):
+        assert [s.all_spans(x.format(w)) for x in WAYS] == [[]] * 3, w
