@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and novelty of strings in sensitive contexts by dictionary-primed zstandard.
 
 Three kinds of spans come from patterns (``assign``, ``access``, ``hex``). The fourth, ``novel``, has strings
-that no pattern has: a run of key characters shortly after a sensitive word on its line is a candidate, and its
-novelty is the number of bytes it adds to a zstandard frame whose dictionary holds the text around it and common
+that no pattern has: a run of key characters up to ``reach`` after a sensitive word is a candidate, on its line or on
+those below as long as each line before ends open (``:``, ``=``, ``|``, a bracket, comma, quote and the like), and so is
+each line of a PEM private key, up to its END line. A candidate's novelty is the number of bytes it adds to a zstandard frame whose dictionary holds the text around it and common
 identifiers of code. A word, a path, a name used nearby or an identifier costs a few bytes there; a random key
 costs as much as itself. A candidate is reported if its marginal bytes are at least ``min_share`` of its length. Words
 that the dictionary lacks are new as well: of a candidate with fewer than 3 digits, less than ``MAX_WORDLIKE`` of the
@@ -33,9 +34,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
-# Words whose line may hold a secret, and identifiers that prime the dictionary.
-SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|"
-                       r"bearer|authorization|client[_-]?id|signature", re.I | re.A)
+# Words that a secret may follow, and identifiers that prime the dictionary.
+SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|"
+                       r"bearer|authorization|client[ _-]?id|signature", re.I | re.A)
 IDENTIFIERS = ("password passwd passphrase secret token api_key apikey access_key private_key credential bearer "
                "authorization client_id client_secret signature username user host port localhost http https www com org "
                "net example test default config settings environment variable value string number true false null none "
@@ -50,7 +51,14 @@ PAIRS = frozenset(x[0] + y for x in (
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MAX_WORDLIKE = 0.65
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-REACH, AROUND, MIN_SHARE = 64, 256, 0.8
+_LEAST = 16
+# The line break of a line that goes on below; the header of a PEM key, the lines of one without an END line, and the rest
+# of a body behind its last whole line.
+_BREAK = re.compile(r"([:=|>(\[{,\\\"'`+-]?)[ \t\r]*\n")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_LINES = re.compile(r"(?:\s*[A-Za-z-]+: [^\n]*\n)*(?:(?:\s|\\[nr]|[\"',+>])*[A-Za-z0-9+/=]{16,})*")
+_PEM_REST = re.compile(r"(?:\s|\\[nr]|[\"',+>])+([A-Za-z0-9+/=]{1,15})(?![A-Za-z0-9+/=])")
+REACH, AROUND, MIN_SHARE = 256, 256, 0.8
 # zstandard's entropy coder takes 64 literals or more and makes any key of a small alphabet cheap. From there on literals
 # are left as they are (a target length does that with the fast strategy), so only repetition saves bytes.
 RAW_LITERALS = 64
@@ -92,24 +100,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _contexts(text: str, reach: int) -> list[tuple[int, int, bool]]:
+    """(start, end, whether a PEM key) of the stretches where candidates may begin, sorted."""
+    heads, keys = [(m.start(), m.end()) for m in _PEM.finditer(text)], []
+    for i, (begin, start) in enumerate(heads):
+        end = text.find("-----END ", start, heads[i + 1][0] if i + 1 < len(heads) else len(text))
+        end = end if end >= 0 else _PEM_LINES.match(text, start).end()
+        if end > start:
+            keys.append((begin, start, end))
+    i, found = 0, []
+    for m in SENSITIVE.finditer(text):
+        while i < len(keys) and keys[i][2] <= m.start():
+            i += 1
+        if i < len(keys) and keys[i][0] < m.end():
+            continue  # in a PEM key
+        end = min(len(text), m.end() + reach)
+        found.append((m.end(), next((x.start() for x in _BREAK.finditer(text, m.end(), end) if not x[1]), end), False))
+    return sorted(found + [(start, end, True) for _, start, end in keys])
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH, around: int = AROUND,
                 min_share: float = MIN_SHARE) -> list[tuple[int, int, int]]:
     """(start, 3, end) of candidates in sensitive contexts whose bytes are new, none overlapping ``base``."""
     out, after = [], 0
-    for m in SENSITIVE.finditer(text):
-        line = text.find("\n", m.end())
-        end = min(m.end() + reach, line if line >= 0 else len(text))
-        for c in _CANDIDATE.finditer(text, max(m.end(), after)):
-            if c.start() >= end:
-                break
-            s, e = c.span()
-            after = e
-            if any(s < b_end and b_start < e for b_start, _, b_end in base):
-                continue
-            if not may_be_key(c[0]):
+    for start, end, pem in _contexts(text, reach):
+        at = max(start, after)
+        while c := _CANDIDATE.search(text, at, end if pem else end + _LEAST - 1):
+            s, e = c.start(), c.end() if pem else _CANDIDATE.match(text, c.start()).end()
+            at = after = e
+            s += s > 0 and text[s - 1 : s + 1] in ("\\n", "\\r")  # an escaped line break
+            if e - s < _LEAST or any(s < b_end and b_start < e for b_start, _, b_end in base) or not may_be_key(text[s:e]):
                 continue
-            if marginal_bytes(c[0], f"{text[max(0, s - around) : s]}\n{text[e : e + around]}") >= min_share * (e - s):
+            if marginal_bytes(text[s:e], f"{text[max(0, s - around) : s]}\n{text[e : e + around]}") >= min_share * (e - s):
                 out.append((s, 3, e))
+        if pem and out and out[-1][0] >= start and (rest := _PEM_REST.match(text, out[-1][2], end)):
+            out.append((rest.start(1), 3, rest.end(1)))
     return out
 
 
