@@ -12,6 +12,7 @@ Only id and text are read.
 from __future__ import annotations
 
 import hashlib
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,17 +93,37 @@ software in a product, an acknowledgment in the product documentation would be a
 3. This notice may not be removed or altered from any source distribution.
 """
 TEXTS = {"MIT": _MIT, "ISC": _ISC, "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL, "BSD-3-Clause": _BSD_HEAD + _BSD_THIRD + _BSD_TAIL, "Zlib": _ZLIB}
+# Longer texts, whole as their publishers set them; files of the package, read by the driver alone.
+TEXTS |= {name: pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode() for name in (
+    "Apache-2.0", "Artistic-1.0-Perl", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1",
+    "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense")}
+_TERMS_END = "END OF TERMS AND CONDITIONS"
 NOTICES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
+    "AGPL-3.0": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+                   'Licensed under the Apache License, Version 2.0 (the "License");',
+                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+                   "http://www.apache.org/licenses/LICENSE-2.0"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC0-1.0": ["Licensed under CC0 1.0."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0",
+                "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only",
+                "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL-3.0": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
     "MIT": ["Licensed under the MIT License.", "Released under the MIT License.", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
+                "License, v. 2.0. If a copy of the MPL was not distributed with this",
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+                "this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
 
 
@@ -130,9 +151,12 @@ def digest(text: str) -> str:
 
 
 def variants(text: str) -> list[str]:
-    """A licence text with and without its title line."""
+    """A licence text with and without its title line, with its usual titles, and with and without what stands behind its terms."""
     title, _, body = text.partition("\n")
-    return [text, body] if title.endswith("License") else [text]
+    terms, end, _ = text.partition(_TERMS_END)
+    titles = ["", f"The {title}", f"The {title} ({title.split(' ')[0]})", f"{title} ({title.split(' ')[0]})"] if title.endswith(" License") else []
+    titles = titles if end == "" and len(title.split(" ")) == 2 else titles[:1]
+    return [text, *(f"{t}\n{body}" for t in titles), *([terms, terms + end] if end else [])]
 
 
 def known_texts(spark: SparkSession, texts: dict[str, str] = TEXTS) -> DataFrame:
