@@ -46,7 +46,6 @@ RECORD_ID = "urn:x-page:"
 # The gzip extra subfield that holds a member's offset.
 _OFFSET_FIELD = b"WO"
 SPLIT_BYTES, FILE_BYTES, READ_BYTES = 32 << 20, 1 << 30, 1 << 18
-_HEADER_LIMIT = 1 << 16
 MANIFEST = "path string, bytes long, records long"
 RECORDS = ("path string, offset long, record_id string, record_type string, target_uri string, refers_to string, "
            "payload_digest string, payload_bytes long, payload binary, intact boolean")
@@ -186,7 +185,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record in a member's data."""
     at = 0
     while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at, at + _HEADER_LIMIT)
+        end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
         pairs = (line.split(":", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)

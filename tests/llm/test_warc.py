@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import uuid
+from urllib.parse import quote
 
 import pytest
 
@@ -94,3 +95,14 @@ def test_archives_of_other_writers_and_noise():
     broken = data[: offsets[3] + 20] + data[offsets[4] :]  # a member cut short: the others are still found
     found = [h["warc-record-id"] for _, h, _ in warc.scan_range(Held(broken), 0, len(broken))]
     assert found == [f"<urn:x:{i}>" for i in range(30) if i != 3]
+
+
+def test_urls_of_any_length(spark, tmp_path):
+    urls = ["http://a/", "data:text/html," + "x" * 70_000, "http://a/" + "漢" * 30_000, "data:," + "y" * 3_000_000, None]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    manifest = warc.write_warc(pages, (tmp_path / "long").as_uri())
+    for split in (1 << 20, 4096):
+        rows = warc.read_warc(manifest, split_bytes=split).where("record_type != 'warcinfo'").collect()
+        assert len(rows) == manifest.agg({"records": "sum"}).first()[0] == len(urls)
+        assert sorted((r.target_uri or "")[:40] + str(len(r.target_uri or "")) for r in rows) == sorted(
+            (quote(u, safe=":/,") if u else "")[:40] + str(len(quote(u, safe=":/,")) if u else 0) for u in urls)
