@@ -9,9 +9,10 @@ over the document's buckets: pairs of terms that matter only together, such as a
 group, get weight by their factors, which linear weights can't give.
 
 It is fitted on a bounded sample of labelled rows: per class the first ``max_positive`` / ``max_negative`` rows
-in the order of a hash of their id, among rows that aren't held out. A bucket takes part if its chi-square
-statistic in the sample reaches ``MIN_CHI2`` (and with it its document count is at least 3). Scoring covers
-every row, each text as a whole.
+in the order of a hash of their id, among rows that aren't held out. A bucket takes part if its document count
+is at least 3 and its chi-square statistic in the sample reaches ``MIN_CHI2``, or, for a term that matters only in a
+pair, if the statistic among the documents of such a bucket reaches ``MIN_JOINT``. Scoring covers every row, each text
+as a whole.
 
 Nulls: rows with a null id or label aren't learnt from; a null text scores as the empty text. An id with several
 labels counts as toxic if any is 1. Repeated rows score alike. Without labels of both classes to learn from
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from calibrix.llm.common import Remembered, map_batches, slices, unused, utf8, word_blocks
 
 BUCKETS, FACTORS, EPOCHS, MIN_CHI2 = 1 << 20, 8, 30, 20.0
+# Higher, as each term is tested with every bucket of the first kind.
+MIN_JOINT = 30.0
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 THRESHOLD = 0.7
 # Words whose features a task remembers, twice at most.
@@ -79,8 +82,34 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.logits(docs), -30, 30)))
 
 
+def _chi2(a: np.ndarray, df: np.ndarray, pos: int, n: int) -> np.ndarray:
+    """Chi-square with the label of terms in ``df`` of ``n`` documents, ``a`` of them among the ``pos`` toxic ones."""
+    b, c = df - a, pos - a
+    d = (n - pos) - b
+    return n * (a * d - b * c) ** 2 / np.maximum(1e-9, df * (n - df) * pos * (n - pos))
+
+
+def _joint(strong: np.ndarray, inverse: np.ndarray, at: np.ndarray, labels: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Terms whose chi-square among the documents that have one of the ``strong`` terms reaches ``least``."""
+    out = np.zeros(size, bool)
+    doc = np.repeat(np.arange(len(labels)), np.diff(at))
+    order = np.argsort(inverse, kind="stable")
+    first = np.searchsorted(inverse[order], [strong, strong + 1])
+    for s, lo, hi in zip(strong, *first, strict=True):
+        having = doc[order[lo:hi]]
+        n, pos = len(having), int(labels[having].sum())
+        if n < least or not 0 < pos < n:  # the statistic is n at most
+            continue
+        terms = np.concatenate([inverse[at[i] : at[i + 1]] for i in having])
+        df = np.bincount(terms, minlength=size).astype(float)
+        a = np.bincount(terms, np.repeat(labels[having], np.diff(at)[having]), size)
+        out |= (_chi2(a, df, pos, n) >= least) & (df >= 3) & (n - df >= 3)
+    return out
+
+
 def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factors: int = FACTORS, rate: float = 0.1,
-        decay: float = 3e-4, min_chi2: float = MIN_CHI2, seed: int = 7) -> FactorizationMachine:
+        decay: float = 3e-4, min_chi2: float = MIN_CHI2, seed: int = 7,
+        min_joint: float = MIN_JOINT) -> FactorizationMachine:
     """A machine from arrays of distinct buckets and 0/1 labels, by AdaGrad on mini-batches."""
     n, pos = len(docs), int(labels.sum())
     if not n or not pos or pos == n:
@@ -90,14 +119,12 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factor
     buckets, inverse = np.unique(flat, return_inverse=True)
     a = np.bincount(inverse, y_of, len(buckets))  # with the bucket and toxic
     df = np.bincount(inverse, minlength=len(buckets)).astype(float)
-    b, c = df - a, pos - a
-    d = (n - pos) - b
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum(1e-9, df * (n - df) * pos * (n - pos))
-    used = np.flatnonzero((chi2 >= min_chi2) & (df >= 3))
+    at = np.cumsum([0, *map(len, docs)])
+    strong = (_chi2(a, df, pos, n) >= min_chi2) & (df >= 3)
+    used = np.flatnonzero(strong | _joint(np.flatnonzero(strong), inverse, at, labels, len(buckets), min_joint))
     index = {int(buckets[i]): k for k, i in enumerate(used)}
     place = np.full(len(buckets), -1)
     place[used] = np.arange(len(used))
-    at = np.cumsum([0, *map(len, docs)])
     rows = [z[z >= 0] for z in (place[inverse[at[i] : at[i + 1]]] for i in range(n))]
     rng = np.random.default_rng(seed)
     m = FactorizationMachine(index, float(np.log(pos / (n - pos))), np.zeros(len(used)),

@@ -59,3 +59,21 @@ def test_sample_is_bounded_and_leaves_out_the_held_out(spark):
     learnt = {x.word_buckets(f"t{i}".encode())[0] for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1}
     assert all(any(int(b) in learnt for b in row) for row in got)
     assert sorted(x.word_buckets(b"(Word!)"))[:1] and x.word_buckets(b"...") == []
+
+
+def test_a_term_that_matters_in_a_pair_alone():
+    rng = np.random.default_rng(1)
+    docs, y = [], []
+    for i in range(6000):
+        insult, group = i % 4 == 0, i // 4 % 2 == 0  # the group is in half of the documents of either class
+        toxic = (insult and group) or (not group and i % 4 == 1)  # there, something else is toxic
+        docs.append(np.array([0] * insult + [1] * group + [2] * (toxic and not insult) + sorted(rng.choice(np.arange(3, 60), 5, replace=False).tolist()), np.int64))
+        y.append(int(toxic))
+    y = np.array(y)
+    has = np.array([1 in d for d in docs])
+    assert abs(has[y == 1].mean() - has[y == 0].mean()) < 1e-9  # chi-square 0
+    m = x.fit(docs[:4000], y[:4000], epochs=15)
+    assert 1 in m.index and len(m.index) < 20
+    rows = [np.array([m.index[int(t)] for t in d if int(t) in m.index], np.int64) for d in docs[4000:]]
+    assert ((m.scores(rows) >= 0.5) == y[4000:]).mean() > 0.99
+    assert 1 not in x.fit(docs[:4000], y[:4000], epochs=1, min_joint=np.inf).index
