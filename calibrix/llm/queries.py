@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from calibrix.config import scratch_path
-from calibrix.llm import bpe, licenses, merkle, mixing, orc_tokens, quality_rules, secret_scan, simhash, toxicity, warc
+from calibrix.llm import (bpe, licenses, merkle, mixing, orc_tokens, quadratic, quality_rules, secret_scan, simhash, spelling, toxicity, warc,
+                          word_runs)
 from calibrix.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,6 +65,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component")
 
 
+def op11_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = quadratic.statistics_table(table(spark, sf_dir, "documents"))
+    return quadratic.quality_scores(statistics, quadratic.fit_discriminant(statistics, table(spark, sf_dir, "labels")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of all documents' words; a word in 31 of those of a document has lost a letter, as the contract says."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop=31)
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' runs; a tenth of the documents has a repeated tail, as the contract says."""
+    return word_runs.digests(word_runs.periodic_runs(table(spark, sf_dir, "documents"), edit=word_runs.repeated_tail))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
@@ -75,6 +91,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_quadratic_quality": op11_quadratic_quality,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_word_runs": op13_word_runs,
 }
 
 _UNIFORM = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
