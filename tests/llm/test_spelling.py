@@ -114,12 +114,19 @@ def test_query_against_brute_force(spark):
 
 def test_odd_rows(spark, odd_docs):
     text = "Straße STRASSE strasse ÉCOLEÉCOLE école " * 3
-    more = spark.createDataFrame([(None, text), (20, None), (21, ""), (22, "x" * 300_000), (22, "x" * 300_001 + " " + "x" * 300_000)],
+    more = spark.createDataFrame([(None, text), (20, None), (21, ""), (22, "x" * 2000), (22, "x" * 2001 + " " + "x" * 2000)],
                                  "doc_id long, text string")
     docs = odd_docs.select("doc_id", "text").unionAll(more)
     got = {r.word: (r.n, r.n_near) for r in S.spelling_variants(docs, drop=31).collect()}
     want = brute(expected_counts([("" if r.doc_id is None else r.doc_id, r.text) for r in docs.collect()]))
-    assert got == {w: (r[3], r[4]) for w, r in want.items()} and max(map(len, got)) == 300_000
+    assert got == {w: (r[3], r[4]) for w, r in want.items()} and max(map(len, got)) == 2000
+
+
+def test_very_long_words(spark):
+    long = "ab" * 150_000
+    rows = [(long, 50), (long + "x", 4), (long[1:], 5), (long[:-1] + "c", 1), ("b" + long[:-1], 7)]
+    got = {r.word: (r.n, r.n_near, r.form) for r in S.spelling_forms(spark.createDataFrame(rows, "word string, n long")).collect()}
+    assert got == {long: (50, 3, None), rows[1][0]: (4, 1, long), rows[2][0]: (5, 2, long), rows[3][0]: (1, 1, long), rows[4][0]: (7, 1, None)}
 
 
 def test_repeated_and_null_words_and_other_columns(spark):
