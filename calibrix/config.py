@@ -55,6 +55,8 @@ SWEEP_COEFFICIENTS = [0.0, 0.06, 0.2, 0.4, 0.6, 0.8, 1.0]
 DEFAULT_COEFFICIENT = 0.8
 DEFAULT_SEED = 42
 TRAIN_BATCH_SIZE = 8
+# A training step's rows: batches of TRAIN_BATCH_SIZE on 8 devices.
+GLOBAL_BATCH_SIZE = 8 * TRAIN_BATCH_SIZE
 EVAL_BATCH_SIZE = 64
 NUM_EPOCHS = 3
 WARMUP_RATIO = 0.1

@@ -1,38 +1,46 @@
-"""Gradient fitting as Spark jobs (M3 head, M4 calibration layer, M7 sweep).
+"""Gradient fitting as Spark jobs (M3 head, M4 calibration layer, M7 sweep): synchronous mini-batch steps.
 
-An epoch is one distributed pass with local steps: every task takes its partition's rows in mini-batches, starting from the
-parameters of the epoch before, and returns its final parameters; the next epoch starts from their mean, weighted by
-rows. A fit therefore costs a few jobs per epoch, not one per step, and what reaches the driver is one set of
-parameters per grid point. Means are added up as a tree: tasks' results are first summed in about the square root of
-their number of groups, then across the groups, so no task receives a vector from every other.
+The training rows get their place in a seeded order (an exact rank), and with it their batch: step ``k`` takes the rows with
+places ``k * batch_size`` on, the same rows for any number of tasks. Each step is one job: tasks compute the gradient of
+their share of the batch at the same parameters, the shares are summed across tasks in two levels (about the square root
+of their number of groups first, so that no task receives a vector from every other), and the driver takes the optimiser's
+step with the sum. So the parameters are those of a single process that takes the same batches, up to the rounding
+of sums; the number of tasks, the cluster's settings and the partitioning of the input don't matter.
 
-A sweep trains all its (learning rate, coefficient) points in the same passes: the features are read once per epoch
-for the whole grid. Rows are dealt to partitions and ordered in them by a hash of their id, which is the
-seeded shuffle of the training data.
+The rows are written once by blocks of steps, each block dealt to ``tasks`` lanes. An epoch goes through the blocks: one at a
+time is cached, and a step's job reads the cached rows of its step only. What a step costs doesn't grow with the table, and the
+memory needed is a block's. Messages are of the model's size; the driver holds the parameters and the optimiser's state.
+
+A step is a job rather than a barrier between tasks of one job, as Spark's barriers (``allGather``) take a second each and hand every
+message to every task.
+
+A sweep trains all its (learning rate, coefficient) points in the same steps: a batch is read once for the whole grid.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrix.config import CALIB_LR, NUM_EPOCHS, PATIENCE, TRAIN_BATCH_SIZE, WARMUP_RATIO
+from calibrix.config import CALIB_LR, GLOBAL_BATCH_SIZE, NUM_EPOCHS, PATIENCE, WARMUP_RATIO, fresh_path
 from calibrix.functions.random import uniform
 from calibrix.operators import models as M
-from calibrix.operators.ranking import shuffle_partitions
+from calibrix.operators.ranking import global_rank
 
 # Per grid point and task: rows, summed loss, and the parameters times the rows.
 PARTIAL_SCHEMA = "key int, task int, n long, loss double, g array<double>"
-# Least mini-batches of a task in an epoch: fewer rows than that are trained by fewer tasks.
-MIN_STEPS = 8
+# Rows of a block (whole steps, one at least), and a step's rows for each task unless the number of tasks is given.
+BLOCK_ROWS = 1 << 20
+HEAD_TASK_ROWS, CALIB_TASK_ROWS = 16, 250
 
 
 class Adam:
@@ -74,57 +82,81 @@ def summed_partials(partials: DataFrame, tasks: int) -> dict[int, tuple[int, flo
     def add(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), Summarizer.sum(F.col("g")).alias("g"))
 
-    some = add(partials.withColumn("g", array_to_vector("g")).withColumn("part", F.col("task") % groups), "key", "part")
+    some = partials.withColumn("g", array_to_vector("g")).withColumn("part", F.col("task") % groups)
+    if groups > 1:
+        some = add(some, "key", "part")
     return {r["key"]: (int(r["n"]), float(r["loss"]), r["g"].toArray()) for r in add(some, "key").collect()}
 
 
-def _dealt(df: DataFrame, id_col: str, batch_size: int, salt: str) -> tuple[DataFrame, int, int]:
-    """``df`` in a seeded order over partitions of at least ``MIN_STEPS`` mini-batches, kept for the epochs; the number of
-    partitions and of rows."""
-    n = df.count()
-    parts = max(1, min(shuffle_partitions(df.sparkSession), n // (batch_size * MIN_STEPS)))
-    rows = df.withColumn("_order", uniform(salt, id_col)).repartition(parts, "_order").sortWithinPartitions("_order")
-    return rows.withColumn("_task", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK), parts, n
+@dataclass
+class Batches:
+    """Training rows by step, written by blocks of steps."""
 
+    rows: DataFrame
+    n: int
+    steps: int
+    steps_per_block: int
+    tasks: int
 
-def _batches(frames, size: int):
-    """Mini-batches of ``size`` rows (a partition's last one may be shorter), across the frames' borders."""
-    held = None
-    for pdf in frames:
-        held = pdf if held is None or not len(held) else pd.concat([held, pdf], ignore_index=True)
-        whole = len(held) // size * size
-        for i in range(0, whole, size):
-            yield held.iloc[i:i + size]
-        held = held.iloc[whole:]
-    if held is not None and len(held):
-        yield held
+    def __iter__(self) -> Iterator[tuple[int, DataFrame]]:
+        """Each step with its rows, of a block that is cached as long as its steps are taken."""
+        for first in range(0, self.steps, self.steps_per_block):
+            block = self.rows.where(F.col("_block") == first // self.steps_per_block)
+            block = block.repartition(self.tasks, "_lane").sortWithinPartitions("_step").persist(StorageLevel.MEMORY_AND_DISK)
+            for step in range(first, min(self.steps, first + self.steps_per_block)):
+                yield step, block.where(F.col("_step") == step)
+            block.unpersist()
 
 
-def _head_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.stack(pdf["x"].to_numpy()), pdf["input_r"].to_numpy(float), pdf["label"].to_numpy(float)
+def batches(df: DataFrame, id_col: str, batch_size: int, salt: str, tasks: int, block_rows: int = BLOCK_ROWS) -> Batches:
+    """``df`` in batches of ``batch_size`` rows of its seeded order (the last may be smaller); ids are unique."""
+    at = F.col("_place") - 1
+    per_block = max(1, block_rows // batch_size)
+    rows = global_rank(df.withColumn("_order", uniform(salt, id_col)), "_order", id_col, out="_place")
+    rows = rows.withColumn("_step", F.floor(at / batch_size).cast("long")).withColumn("_lane", F.pmod(at, F.lit(tasks)).cast("int"))
+    rows = rows.withColumn("_block", F.floor(F.col("_step") / per_block).cast("long")).drop("_order", "_place")
+    path = fresh_path(df.sparkSession, "training_blocks")
+    rows.repartition("_block", "_lane").write.partitionBy("_block").parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    n = rows.count()
+    return Batches(rows, n, math.ceil(n / batch_size), per_block, tasks)
 
 
-def _head_epoch(rows: DataFrame, thetas: dict[int, np.ndarray], grid: list[tuple[float, float]], like: dict, id_col: str, epoch: int,
-                batch_size: int, steps: int, total_steps: int, drop: float, seed: int):
-    bc = rows.sparkSession.sparkContext.broadcast(thetas)
+Local = Callable[[dict[int, np.ndarray], pd.DataFrame], dict[int, tuple[float, np.ndarray]]]
+
+
+def step_sums(rows: DataFrame, thetas: dict[int, np.ndarray], local: Local, tasks: int) -> dict[int, tuple[int, float, np.ndarray]]:
+    """One step's ``key -> (rows, loss sum, gradient sum)``; ``local`` gives a frame's loss and gradient sums at ``thetas``."""
+    bc = rows.sparkSession.sparkContext.broadcast(thetas)  # model-sized
 
     def run(frames):
-        theta = {k: t.copy() for k, t in bc.value.items()}
-        opt = {k: Adam(t) for k, t in theta.items()}
-        loss, n, task = dict.fromkeys(theta, 0.0), 0, 0
-        for i, pdf in enumerate(_batches(frames, batch_size)):
-            x, r, y = _head_arrays(pdf)
-            n, task = n + len(pdf), int(pdf["_task"].iloc[0])
-            mask = M.dropout_mask(pdf[id_col].to_numpy(np.int64), like["b2"].size, epoch, drop, seed) if drop else 1.0
-            for k in theta:
-                lr, alpha = grid[k]
-                got, g = M.head_loss_grad(M.unflatten(theta[k], like), x, r, y, alpha, mask)
-                loss[k] += got
-                theta[k] = opt[k].step(theta[k], g / len(pdf), linear_warmup_decay(lr, total_steps)(epoch * steps + i + 1))
+        n, sums = 0, {}
+        for pdf in frames:
+            if len(pdf):
+                n += len(pdf)
+                for k, (loss, g) in local(bc.value, pdf).items():
+                    had = sums.get(k, (0.0, 0.0))
+                    sums[k] = (had[0] + loss, had[1] + g)
         if n:
-            yield pd.DataFrame([(k, task, n, loss[k], (theta[k] * n).tolist()) for k in theta], columns=["key", "task", "n", "loss", "g"])
+            task = TaskContext.get().partitionId()
+            yield pd.DataFrame([(k, task, n, loss, g.tolist()) for k, (loss, g) in sums.items()], columns=["key", "task", "n", "loss", "g"])
+
+    out = summed_partials(rows.mapInPandas(run, PARTIAL_SCHEMA), tasks)
+    bc.destroy()
+    return out
+
+
+def _head_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.stack(pdf["x"].to_numpy()), pdf["input_r"].to_numpy(float), pdf["label"].to_numpy(float)
+
+
+def _head_local(grid: list[tuple[float, float]], like: dict, id_col: str, epoch: int, drop: float, seed: int) -> Local:
+    def local(thetas, pdf):
+        x, r, y = _head_arrays(pdf)
+        mask = M.dropout_mask(pdf[id_col].to_numpy(np.int64), like["b2"].size, epoch, drop, seed) if drop else 1.0
+        return {k: M.head_loss_grad(M.unflatten(t, like), x, r, y, grid[k][1], mask) for k, t in thetas.items()}
 
-    return rows.mapInPandas(run, PARTIAL_SCHEMA), bc
+    return local
 
 
 def _head_losses(rows: DataFrame, thetas: dict[int, np.ndarray], grid: list[tuple[float, float]], like: dict):
@@ -151,68 +183,71 @@ def eval_losses(rows: DataFrame, thetas: dict[int, np.ndarray], grid: list[tuple
     return out
 
 
-def fit_head(train: DataFrame, evals: DataFrame, grid: list[tuple[float, float]], epochs: int = NUM_EPOCHS, batch_size: int = TRAIN_BATCH_SIZE,
-             patience: int = PATIENCE, drop: float = M.HEAD_DROP_PROB, seed: int = 42, hidden: int = M.HEAD_HIDDEN,
-             id_col: str = "vec_id") -> tuple[dict[tuple[float, float], dict], pd.DataFrame]:
-    """M3 / M7: the head for each (learning rate, coefficient) of ``grid``, by ``epochs`` passes over ``train`` (id, x, input_r,
-    label; rows without a label are left out) with Adam, warm-up and linear decay, and dropout before the last layer.
-    After each epoch ``evals`` is scored; a point stops after ``patience`` epochs without strict improvement and keeps its
-    best parameters. Returns (best parameters per point, training log)."""
-    tr, parts, n = _dealt(train.where(F.col("label").isNotNull()), id_col, batch_size, "fit_order")
+def fit_head(train: DataFrame, evals: DataFrame, grid: list[tuple[float, float]], epochs: int = NUM_EPOCHS, batch_size: int = GLOBAL_BATCH_SIZE,
+             patience: int = PATIENCE, drop: float = M.HEAD_DROP_PROB, seed: int = 42, hidden: int = M.HEAD_HIDDEN, id_col: str = "vec_id",
+             eval_steps: int | None = None, tasks: int | None = None, init: Callable[[int], dict] | None = None) -> tuple[dict[tuple[float, float], dict], pd.DataFrame]:
+    """M3 / M7: the head for each (learning rate, coefficient) of ``grid``, by ``epochs`` passes over the batches of ``train`` (id, x,
+    input_r, label; rows without a label are left out) with Adam, warm-up and linear decay, and dropout before the last
+    layer. ``evals`` is scored every ``eval_steps`` steps (None: after each epoch); a point stops after ``patience`` evaluations
+    without strict improvement and keeps its best parameters. ``init`` gives the parameters to start from, for a number of
+    features (None: seeded, with ``hidden`` units). Returns (best parameters per point, log of the evaluations
+    with the mean training loss since the one before)."""
+    tasks = tasks or math.ceil(batch_size / HEAD_TASK_ROWS)
+    data = batches(train.where(F.col("label").isNotNull()), id_col, batch_size, "fit_order", tasks)
     ev = evals.where(F.col("label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    first = tr.select("x").first()
-    like = M.init_head(len(first["x"]) if first else 0, hidden, seed=seed)
+    first = data.rows.select("x").first()
+    width = len(first["x"]) if first else 0
+    like = init(width) if init else M.init_head(width, hidden, seed=seed)
     theta = {k: M.flatten(like) for k in range(len(grid))}
     best = {k: (np.inf, t.copy(), -1) for k, t in theta.items()}
-    bad, active, log = dict.fromkeys(theta, 0), set(theta) if n else set(), []
-    steps = math.ceil(n / parts / batch_size) if n else 0
+    optimiser = {k: Adam(t) for k, t in theta.items()}
+    rate = {k: linear_warmup_decay(lr, data.steps * epochs) for k, (lr, _) in enumerate(grid)}
+    bad, active, log, since = dict.fromkeys(theta, 0), set(theta) if data.n else set(), [], {}
     for epoch in range(epochs):
-        if not active:
-            break
-        df, bc = _head_epoch(tr, {k: theta[k] for k in active}, grid, like, id_col, epoch, batch_size, steps, steps * epochs, drop, seed)
-        sums = summed_partials(df, parts)
-        bc.destroy()
-        for k, (rows, _, g) in sums.items():
-            theta[k] = g / rows
-        after = eval_losses(ev, {k: theta[k] for k in active}, grid, like)
-        for k in sorted(active):
-            rows, loss, _ = sums[k]
-            value = after.get(k, float("nan"))
-            log.append((*grid[k], epoch, loss / rows, value))
-            if value < best[k][0]:
-                best[k], bad[k] = (value, theta[k].copy(), epoch), 0
-            else:
-                bad[k] += 1
-                if bad[k] >= patience:
-                    active.discard(k)
-    tr.unpersist()
+        local = _head_local(grid, like, id_col, epoch, drop, seed)
+        for step, rows in data:
+            if not active:
+                break
+            taken = epoch * data.steps + step
+            for k, (n, loss, g) in step_sums(rows, {k: theta[k] for k in active}, local, tasks).items():
+                theta[k] = optimiser[k].step(theta[k], g / n, rate[k](taken))
+                had = since.get(k, (0, 0.0))
+                since[k] = (had[0] + n, had[1] + loss)
+            if (taken + 1) % eval_steps if eval_steps else step < data.steps - 1:
+                continue
+            after = eval_losses(ev, {k: theta[k] for k in active}, grid, like)
+            for k in sorted(active):
+                value = after.get(k, float("nan"))
+                log.append((*grid[k], epoch, since[k][1] / since[k][0], value))
+                if value < best[k][0]:
+                    best[k], bad[k] = (value, theta[k].copy(), epoch), 0
+                else:
+                    bad[k] += 1
+                    if bad[k] >= patience:
+                        active.discard(k)
+            since = {}
     ev.unpersist()
     params = {grid[k]: dict(M.unflatten(t, like), best_epoch=epoch, best_eval_loss=loss) for k, (loss, t, epoch) in best.items()}
     return params, pd.DataFrame(log, columns=["learning_rate", "coefficient", "epoch", "train_loss", "eval_loss"])
 
 
-def fit_calibration(ranked: DataFrame, batch_size: int = 1000, lr: float = CALIB_LR, epochs: int = 1, seed: int = 42,
-                    id_col: str = "row_id") -> tuple[dict, pd.DataFrame]:
+def fit_calibration(ranked: DataFrame, batch_size: int = 1000, lr: float = CALIB_LR, epochs: int = 1, seed: int = 42, id_col: str = "row_id",
+                    tasks: int | None = None) -> tuple[dict, pd.DataFrame]:
     """M4: SGD on the calibration layer over PIT-ranked rows (id, mean, stddev, q), in mini-batches of a seeded shuffle
-    order; one job per epoch. Returns (parameters, log of the epochs' mean squared errors)."""
+    order. Returns (parameters, log of the epochs' mean squared errors, each batch's before its step)."""
     like = M.init_calibration(seed)
     theta, log = M.flatten(like), []
-    rows, parts, n = _dealt(ranked.select(id_col, "mean", "stddev", "q"), id_col, batch_size, "calib_shuffle")
-    for epoch in range(epochs if n else 0):
-        bc = rows.sparkSession.sparkContext.broadcast(theta)
-
-        def run(frames, bc=bc):
-            t, total, count, task = bc.value.copy(), 0.0, 0, 0
-            for pdf in _batches(frames, batch_size):
-                loss, g = M.calib_loss_grad(M.unflatten(t, like), pdf["mean"].to_numpy(float), pdf["stddev"].to_numpy(float), pdf["q"].to_numpy(float))
-                t = t - lr * g / len(pdf)
-                total, count, task = total + loss, count + len(pdf), int(pdf["_task"].iloc[0])
-            if count:
-                yield pd.DataFrame([(0, task, count, total, (t * count).tolist())], columns=["key", "task", "n", "loss", "g"])
-
-        seen, loss, g = summed_partials(rows.mapInPandas(run, PARTIAL_SCHEMA), parts)[0]
-        bc.destroy()
-        theta = g / seen
-        log.append((epoch, seen, loss / seen))
-    rows.unpersist()
+    tasks = tasks or math.ceil(batch_size / CALIB_TASK_ROWS)
+    data = batches(ranked.select(id_col, "mean", "stddev", "q"), id_col, batch_size, "calib_shuffle", tasks)
+
+    def local(thetas, pdf):
+        p = M.unflatten(thetas[0], like)
+        return {0: M.calib_loss_grad(p, pdf["mean"].to_numpy(float), pdf["stddev"].to_numpy(float), pdf["q"].to_numpy(float))}
+
+    for epoch in range(epochs if data.n else 0):
+        total = 0.0
+        for _, rows in data:
+            n, loss, g = step_sums(rows, {0: theta}, local, tasks)[0]
+            theta, total = theta - lr * g / n, total + loss
+        log.append((epoch, data.n, total / data.n))
     return M.unflatten(theta, like), pd.DataFrame(log, columns=["epoch", "rows", "mse"])

@@ -2,6 +2,7 @@
 its loss, the calibration layer's column form equals its numpy form."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,12 +89,12 @@ def test_fit_head_lowers_losses_over_the_grid(spark):
     feats, _ = _feats(spark, n=400)
     tr, ev = feats.where(F.col("vec_id") < 320), feats.where(F.col("vec_id") >= 320)
     grid = [(1e-2, 0.0), (1e-2, 0.8), (1e-3, 0.8)]
-    params, log = FT.fit_head(tr, ev, grid, epochs=4, hidden=8, drop=0.2)
+    params, log = FT.fit_head(tr, ev, grid, epochs=4, hidden=8, drop=0.2, batch_size=32)
     assert set(params) == set(grid) and len(log) <= 12
     for lr, a in grid:
         t = log[(log["learning_rate"] == lr) & (log["coefficient"] == a)]
         assert t["train_loss"].iloc[-1] < t["train_loss"].iloc[0] and params[lr, a]["best_epoch"] >= 0
-    rerun, _ = FT.fit_head(tr.repartition(5), ev, grid[1:2], epochs=4, hidden=8, drop=0.2)
+    rerun, _ = FT.fit_head(tr.repartition(5), ev, grid[1:2], epochs=4, hidden=8, drop=0.2, batch_size=32)
     assert np.allclose(M.flatten(rerun[grid[1]]), M.flatten(params[grid[1]]))  # the same in any partitioning of the input
     nothing, log = FT.fit_head(tr.limit(0), ev, grid, hidden=8)
     assert len(log) == 0 and len(nothing) == 3
@@ -108,6 +109,58 @@ def test_partial_sums_over_many_tasks(spark):
         assert got[k][:2] == (sum(r[2] for r in own), sum(r[3] for r in own)) and np.allclose(got[k][2], np.sum([r[4] for r in own], axis=0))
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 8])
+def test_head_steps_equal_a_single_process(spark, tasks, monkeypatch):
+    """The same batches taken one after the other by numpy: equal parameters for any number of tasks and blocks."""
+    monkeypatch.setattr(FT, "BLOCK_ROWS", 100)
+    feats, _ = _feats(spark, n=230)
+    grid, epochs, size = [(1e-2, 0.0), (3e-3, 0.8)], 2, 32
+    fit = FT.fit_head(feats.repartition(5), feats, grid, epochs=epochs, batch_size=size, hidden=8, drop=0.3, tasks=tasks, eval_steps=10 ** 6)
+    assert len(fit[1]) == 0  # no evaluation: nothing stops, nothing is kept as best
+    seen = {}
+    real = FT.eval_losses
+    monkeypatch.setattr(FT, "eval_losses", lambda ev, thetas, *a: seen.update(thetas) or real(ev, thetas, *a))
+    FT.fit_head(feats.repartition(2), feats, grid, epochs=epochs, batch_size=size, hidden=8, drop=0.3, tasks=tasks)
+    pdf = feats.withColumn("o", FT.uniform("fit_order", "vec_id")).toPandas().sort_values(["o", "vec_id"])
+    like = M.init_head(6, 8)
+    steps = -(-len(pdf) // size)
+    for k, (lr, alpha) in enumerate(grid):
+        theta = M.flatten(like)
+        opt, rate = FT.Adam(theta), FT.linear_warmup_decay(lr, epochs * steps)
+        for epoch in range(epochs):
+            for i in range(steps):
+                b = pdf.iloc[i * size:(i + 1) * size]
+                mask = M.dropout_mask(b["vec_id"].to_numpy(), 8, epoch, 0.3)
+                _, g = M.head_loss_grad(M.unflatten(theta, like), *FT._head_arrays(b), alpha, mask)
+                theta = opt.step(theta, g / len(b), rate(epoch * steps + i))
+        assert np.abs(seen[k] - theta).max() < 1e-6 and np.abs(theta - M.flatten(like)).max() > 1e-3
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 8])
+def test_calibration_steps_equal_a_single_process(spark, tasks):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"row_id": np.arange(530), "mean": rng.random(530), "stddev": 0.1 + rng.random(530), "q": np.linspace(0, 1, 530)})
+    df = spark.createDataFrame(pdf)
+    got, log = FT.fit_calibration(df.repartition(6), batch_size=64, lr=0.5, epochs=2, tasks=tasks)
+    b = df.withColumn("o", FT.uniform("calib_shuffle", "row_id")).toPandas().sort_values(["o", "row_id"])
+    like, losses = M.init_calibration(42), []
+    theta = M.flatten(like)
+    for _ in range(2):
+        total = 0.0
+        for i in range(0, 530, 64):
+            part = b.iloc[i:i + 64]
+            loss, g = M.calib_loss_grad(M.unflatten(theta, like), part["mean"].to_numpy(), part["stddev"].to_numpy(), part["q"].to_numpy())
+            theta, total = theta - 0.5 * g / len(part), total + loss
+        losses.append(total / 530)
+    assert np.abs(M.flatten(got) - theta).max() < 1e-6 and np.allclose(log["mse"], losses)
+
+
+def test_evaluation_every_k_steps_stops_early(spark):
+    feats, _ = _feats(spark, n=200)
+    _, log = FT.fit_head(feats, feats, [(0.0, 0.8)], epochs=3, batch_size=50, hidden=4, eval_steps=2, patience=2)
+    assert log["epoch"].tolist() == [0, 0, 1]  # a rate of 0 improves once, at the first evaluation
+
+
 def test_fit_calibration_lowers_mse(spark):
     rng = np.random.default_rng(4)
     n = 3000
