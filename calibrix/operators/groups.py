@@ -8,6 +8,8 @@ each class in ``row_id`` order via ``global_rank`` (a huge group is spread over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +141,8 @@ def group_metrics(
     """Wide metric table: one row per kept group (balanced subset) plus the ``ALL`` row (whole
     table, unbalanced). ``by`` adds outer keys (e.g. a run id) to every aggregate.
 
-    Two passes over the forecasts, and only boundary rows are shuffled:
+    The forecasts are read once: their narrow terms (keys, id, labels, three numbers, a bit per group) are written, and the
+    cut points and both passes read those. Only boundary rows are shuffled:
 
     1. every row is emitted once for ``ALL`` and once per member group, tagged with its id block
        (ranges between quantiles of the ids, so sparse or hashed ids do as well as dense ones), and aggregated
@@ -150,10 +153,14 @@ def group_metrics(
        that block, a few rows in a thousand of one group and class per task) and added to the full blocks.
     """
     by = list(by)
-    t = forecast_terms(fc, use_sample=use_sample)
-    cuts = cut_points(fc, id_col)
     cols = [*by, id_col, "target_label", "pred_label", "cdf_gap", "nll", "stddev"]
-    e = with_scopes(t, cols, groups).withColumn("_blk", cut_index(id_col, cuts))
+    member = [F.when(member_condition(g), F.lit(1 << i)).otherwise(F.lit(0)) for i, g in enumerate(groups)]
+    t = forecast_terms(fc, use_sample=use_sample).select(*cols, reduce(lambda a, b: a.bitwiseOR(b), member, F.lit(0)).alias("_in"))
+    t = written(t, "forecast_terms")
+    # The block is found once per row, before the row is repeated for its groups.
+    t = t.withColumn("_blk", cut_index(id_col, cut_points(t, id_col)))
+    scopes = [F.lit(OVERALL)] + [F.when(F.col("_in").bitwiseAND(1 << i) != 0, F.lit(g)) for i, g in enumerate(groups)]
+    e = t.select(*cols, "_blk", F.explode(F.filter(F.array(*scopes), lambda x: x.isNotNull())).alias("group"))
     per_block = e.groupBy(*by, "group", "target_label", "_blk").agg(*_sufficient_aggs())
 
     # Sizes and block offsets by windows over the small per-block table, then ONE aggregate per

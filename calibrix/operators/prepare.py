@@ -93,26 +93,45 @@ DEFAULT_DROP_SHARES = {WITH_NULLS: DROP_SHARES_WITH_NULLS, WITHOUT_NULLS: DROP_S
 
 
 KEYS = ["id", "stratum", "target"]
+# A row's own key, beside its id: a digest of all its columns. Rows alike in both are copies that can stand for each other.
+ROW = "_row"
+
+
+def _with_row(df: DataFrame) -> DataFrame:
+    nulls = F.concat(*[F.isnull(c).cast("string") for c in df.columns])  # the hash passes over nulls
+    return df.withColumn(ROW, F.xxhash64(*df.columns, nulls))
+
+
+def _keys(df: DataFrame) -> list[str]:
+    return [*KEYS, ROW] if ROW in df.columns else KEYS
+
+
+def chosen_rows(df: DataFrame, keys: DataFrame, *values: str) -> DataFrame:
+    """The rows of ``df`` that ``keys`` (``KEYS``, ``ROW``, ``values``) has, with ``values``: exactly as many, also where ids repeat or
+    are null: copies are collapsed to one, which joins with each of its chosen keys (one shuffle of the rows)."""
+    chosen = keys.select(F.col("id").alias("_id"), F.col(ROW).alias("_key"), *values)
+    rows = _with_row(df).dropDuplicates(["id", ROW])
+    return rows.join(chosen, (F.col(ROW) == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).select(*df.columns, *values)
 
 
 def drop_plan(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
-    """``KEYS`` with ``_rng``, hash position ``_pos`` in their (stratum, range) and ``_n_drop``.
+    """``KEYS`` (and ``ROW``) with ``_rng``, hash position ``_pos`` in their (stratum, range) and ``_n_drop``.
 
     Rows outside every range (``_rng = -1``) form their own partition with ``_n_drop = 0``. Only the keys are ranked:
     texts and groups stay where they are.
     """
     shares = shares or DEFAULT_DROP_SHARES
     rng = F.coalesce(range_index("target", DROP_RANGES), F.lit(-1))
-    d = df.select(*KEYS).withColumn("_rng", rng).withColumn("_h", uniform(salt, "id"))
-    ranked = global_rank(d, "_h", "id", partition_by=["stratum", "_rng"], out="_pos", total="_n")
+    d = df.select(*_keys(df)).withColumn("_rng", rng).withColumn("_h", uniform(salt, "id"))
+    ranked = global_rank(d, "_h", "id", partition_by=["stratum", "_rng"], extra_order=_keys(df)[3:], out="_pos", total="_n")
     share = F.element_at(_share_map(shares), F.concat_ws(":", "stratum", F.col("_rng").cast("string")))
     n_drop = F.floor(F.col("_n") * F.coalesce(share, F.lit(0.0)))  # no share for range -1: 0
     return ranked.withColumn("_n_drop", n_drop.cast("bigint")).drop("_n")
 
 
 def kept_keys(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
-    """``KEYS`` of the rows that ``stratified_drop`` keeps."""
-    return drop_plan(df, shares, salt).where(F.col("_pos") > F.col("_n_drop")).select(*KEYS)
+    """``KEYS`` (and ``ROW``, if ``df`` has it) of the rows that ``stratified_drop`` keeps."""
+    return drop_plan(df, shares, salt).where(F.col("_pos") > F.col("_n_drop")).select(*_keys(df))
 
 
 def stratified_drop(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
@@ -120,7 +139,7 @@ def stratified_drop(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame
 
     Rows whose target lies in no range (target = 1.0) are never dropped.
     """
-    return df.join(kept_keys(df, shares, salt).select("id"), "id", "left_semi")
+    return chosen_rows(df, kept_keys(_with_row(df), shares, salt))
 
 
 def dropped_ids(df: DataFrame, shares=None, salt: str = "drop") -> DataFrame:
@@ -139,9 +158,9 @@ def split_sizes(n: Column, first_share: Column) -> dict[str, Column]:
 
 def split_keys(keys: DataFrame, salt: str = "split") -> DataFrame:
     """``KEYS`` and ``split`` in {train, calib, eval, test}, with exact sizes per stratum."""
-    d = keys.select(*KEYS).withColumn("_h", uniform(salt, "id"))
+    d = keys.select(*_keys(keys)).withColumn("_h", uniform(salt, "id"))
     first = F.create_map(*[x for k, v in SPLIT_FIRST_TEST_SHARE.items() for x in (F.lit(k), F.lit(float(v)))])
-    ranked = global_rank(d, "_h", "id", partition_by=["stratum"], out="_pos", total="_n")
+    ranked = global_rank(d, "_h", "id", partition_by=["stratum"], extra_order=_keys(keys)[3:], out="_pos", total="_n")
     sz = split_sizes(F.col("_n"), F.element_at(first, F.col("stratum")))
     c1 = sz["train"]
     c2 = c1 + sz["calib"]
@@ -152,12 +171,12 @@ def split_keys(keys: DataFrame, salt: str = "split") -> DataFrame:
         .when(F.col("_pos") <= c3, "eval")
         .otherwise("test")
     )
-    return ranked.select(*KEYS, split.alias("split"))
+    return ranked.select(*_keys(keys), split.alias("split"))
 
 
 def exact_split(df: DataFrame, salt: str = "split") -> DataFrame:
     """Add ``split`` in {train, calib, eval, test} with exact sizes per stratum."""
-    return df.join(split_keys(df, salt).select("id", "split"), "id")
+    return chosen_rows(df, split_keys(_with_row(df), salt), "split")
 
 
 def eval_without_nulls(split_df: DataFrame) -> DataFrame:
@@ -174,7 +193,7 @@ def prepare(comments_df: DataFrame) -> DataFrame:
     """comments -> cleaned, down-sampled, split (all kept rows, before the eval/test filter). Texts and groups are
     joined to the split keys once, at the end."""
     cleaned = null_sentinel(project_columns(comments_df))
-    return cleaned.join(split_keys(kept_keys(cleaned)).select("id", "split"), "id")
+    return chosen_rows(cleaned, split_keys(kept_keys(_with_row(cleaned))), "split")
 
 
 def prepared_splits(comments_df: DataFrame) -> DataFrame:

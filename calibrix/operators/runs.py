@@ -3,7 +3,7 @@ extremes and the trade-off points plotted per run."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibrix.config import (
@@ -21,22 +21,28 @@ from calibrix.functions.strings import run_name
 
 
 # ------------------------------------------------------------------ patience logic
+def _known(loss: str) -> Column:
+    """The loss, null where it is null or not a number: an evaluation without a loss improves nothing."""
+    return F.when(~F.isnan(loss), F.col(loss))
+
+
 def patience_trace(log: DataFrame, run: str = "run_id", step: str = "step", loss: str = "eval_loss") -> DataFrame:
-    """Per evaluation: ``improved`` (strictly below every earlier loss), ``bad`` = evaluations
-    since the last improvement, running ``best_loss`` and its ``best_step``.
+    """Per evaluation: ``improved`` (there's a loss, strictly below every earlier one), ``bad`` = evaluations since the last
+    improvement (since the start before the first), running ``best_loss`` and its ``best_step``.
 
     One window partition per run; a run's log holds one row per evaluation.
     """
     w_prev = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     w_cum = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    prev_best = F.min(loss).over(w_prev)
-    t = log.withColumn("improved", prev_best.isNull() | (F.col(loss) < prev_best))
+    t = log.withColumn("_loss", _known(loss))
+    prev_best = F.min("_loss").over(w_prev)
+    t = t.withColumn("improved", F.col("_loss").isNotNull() & (prev_best.isNull() | (F.col("_loss") < prev_best)))
     t = t.withColumn("_island", F.sum(F.col("improved").cast("int")).over(w_cum))
     w_isl = Window.partitionBy(run, "_island").orderBy(step)
-    t = t.withColumn("bad", (F.row_number().over(w_isl) - 1).cast("bigint"))
-    t = t.withColumn("best_loss", F.min(loss).over(w_cum))
-    t = t.withColumn("best_step", F.min_by(F.col(step), F.struct(F.col(loss), F.col(step))).over(w_cum))
-    return t.drop("_island")
+    t = t.withColumn("bad", (F.row_number().over(w_isl) - F.when(F.col("_island") > 0, 1).otherwise(0)).cast("bigint"))
+    t = t.withColumn("best_loss", F.min("_loss").over(w_cum))
+    t = t.withColumn("best_step", F.min_by(F.col(step), F.when(F.col("_loss").isNotNull(), F.struct("_loss", step))).over(w_cum))
+    return t.drop("_island", "_loss")
 
 
 def early_stop(log: DataFrame, patience: int = PATIENCE, run: str = "run_id", step: str = "step",
@@ -47,7 +53,7 @@ def early_stop(log: DataFrame, patience: int = PATIENCE, run: str = "run_id", st
     hit = t.where(F.col("bad") >= patience)
     first = hit.groupBy(run).agg(F.min_by(F.struct(step, "best_loss", "best_step"), F.col(step)).alias("_f"))
     last = t.groupBy(run).agg(
-        F.min_by(F.col(step), F.struct(F.col(loss), F.col(step))).alias("_bs"), F.min(loss).alias("_bl"),
+        F.min_by(F.col(step), F.when(_known(loss).isNotNull(), F.struct(loss, step))).alias("_bs"), F.min(_known(loss)).alias("_bl"),
         F.count(F.lit(1)).alias("n_evals"),
     )
     j = last.join(first, run, "left")
@@ -55,8 +61,8 @@ def early_stop(log: DataFrame, patience: int = PATIENCE, run: str = "run_id", st
         run,
         "n_evals",
         F.col("_f").getField(step).alias("stop_step"),
-        F.coalesce(F.col("_f.best_loss"), F.col("_bl")).alias("best_loss"),
-        F.coalesce(F.col("_f.best_step"), F.col("_bs")).alias("best_step"),
+        F.when(F.col("_f").isNotNull(), F.col("_f.best_loss")).otherwise(F.col("_bl")).alias("best_loss"),
+        F.when(F.col("_f").isNotNull(), F.col("_f.best_step")).otherwise(F.col("_bs")).alias("best_step"),
     )
 
 

@@ -265,8 +265,7 @@ def q_target_range_counts(spark, sf_dir):
 def q_shape_counts(spark, sf_dir):
     """Row and column counts of each intermediate table (one pass per stage; columns from the tables' schemas)."""
     cleaned = P.null_sentinel(P.project_columns(FX.comments(spark, sf_dir)))
-    kept = P.stratified_drop(cleaned)
-    width = {"cleaned": len(cleaned.columns), "kept": len(kept.columns), "splits": len(P.exact_split(kept).columns)}
+    width = {"cleaned": len(cleaned.columns), "kept": len(cleaned.columns), "splits": len([*cleaned.columns, "split"])}
     n_cols = F.create_map(*[x for name, src, _ in _PROFILE_TABLES for x in (F.lit(name), F.lit(width[src]).cast("bigint"))])
     counts = _profile_frames(spark, sf_dir).groupBy("table").agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.withColumn("n_cols", F.element_at(n_cols, F.col("table")))
@@ -475,7 +474,11 @@ from calibrix.functions import math as FM  # noqa: E402
 from calibrix.operators import auc as AU  # noqa: E402
 from calibrix.operators import calibration as CA  # noqa: E402
 from calibrix.operators import losses as L  # noqa: E402
+from calibrix.operators import callbacks as CB  # noqa: E402
+from calibrix.operators import partials as PA  # noqa: E402
 from calibrix.operators import runs as R  # noqa: E402
+from calibrix.operators.ranking import shuffle_partitions  # noqa: E402
+from calibrix.sources import commits as C  # noqa: E402
 
 _D = O.D
 _PRED = O.predictions_cte()
@@ -498,11 +501,13 @@ def _wp(*extra):
     + "SELECT lab.row_id, round(lab.label, 6) AS label, round(lab.input_r, 6) AS input_r, " + _GL + ", round(fc.mean, 6) AS mean, round(fc.stddev, 6) AS stddev FROM lab JOIN fc ON lab.row_id = fc.row_id",
 )
 def q_join_forecasts(spark, sf_dir):
-    """Align labels/inputs/groups with forecasts by row id (equi-join; AQE picks the strategy)."""
+    """Align labels/inputs/groups with forecasts by row id: two stored tables, bucketed and sorted alike, joined without a
+    shuffle."""
     p = FX.predictions(spark, sf_dir)
-    lab = p.select("row_id", "label", "input_r", *GROUPS)
-    fc = p.select("row_id", "mean", "stddev")
-    return lab.join(fc, "row_id", "inner")
+    n = shuffle_partitions(spark)
+    lab = FS.write_bucketed(p.select("row_id", "label", "input_r", *GROUPS), "labels", "row_id", n)
+    fc = FS.write_bucketed(p.select("row_id", "mean", "stddev"), "forecasts", "row_id", n)
+    return lab.hint("merge").join(fc, "row_id", "inner")
 
 
 @register("binarize", _wp() + "SELECT row_id, CAST(pred_label AS BIGINT) AS pred_label, CAST(target_label AS BIGINT) AS target_label FROM terms")
@@ -859,11 +864,40 @@ def q_batched_eval_loss(spark, sf_dir):
     "round(avg(stddev), 6) AS loss_stddev FROM sc GROUP BY scope",
 )
 def q_partial_final_eval(spark, sf_dir):
-    """Losses accumulated over all members, overall and per group: one grouped aggregate, which Spark computes as
-    partial sums in each task and a final merge."""
-    sc = G.with_scopes(_terms(spark, sf_dir), ["cdf_gap", "nll", "stddev"])
-    return sc.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("cdf_gap").alias("loss_cdf"), F.avg("nll").alias("loss_nll"),
-                                   F.avg("stddev").alias("loss_stddev"))
+    """Losses over all members, overall and per group, from partial statistics that are stored every few input files: the
+    forecasts arrive as files in two lots, each evaluated by a run of its own, the second over the new files only."""
+    source, store = fresh_path(spark, "forecast_files"), fresh_path(spark, "loss_partials")
+    p = FX.predictions(spark, sf_dir)
+    early = F.pmod(F.xxhash64("row_id"), F.lit(3)) > 0
+    for lot in (p.where(early), p.where(~early)):
+        lot.write.mode("append").parquet(source)
+        PA.flush_partials(spark, source, store, schema=p.schema)
+    return PA.final_losses(spark, store)
+
+
+_SCOPES_SQL = f"sc AS (SELECT '{OVERALL}' AS \"group\", * FROM terms UNION ALL BY NAME SELECT * FROM members)"
+_BALANCED_SQL = ("SELECT \"group\", 'balanced_accuracy' AS metric, round((coalesce(avg(CASE WHEN target_label = 0 THEN 1.0{d} - pred_label END), 0.0{d}) "
+                 "+ coalesce(avg(CASE WHEN target_label = 1 THEN pred_label::DOUBLE END), 0.0{d})) / 2, 6) AS value FROM {src} GROUP BY \"group\" "
+                 "UNION ALL SELECT \"group\", 'nll_mean', round(avg(nll), 6) FROM {src} GROUP BY \"group\" "
+                 "UNION ALL SELECT \"group\", 'nll_spread', round(stddev_pop(nll), 6) FROM {src} GROUP BY \"group\"").replace("{d}", _D)
+
+
+@register("callback_metrics", _wp(O.members_cte(), _SCOPES_SQL) + _BALANCED_SQL.format(src="sc"))
+def q_callback_metrics(spark, sf_dir):
+    """Metrics of the user's (balanced accuracy; mean and spread of a loss by merged moments), overall and per group, as partial
+    states per task that are merged."""
+    return CB.evaluate(FX.predictions(spark, sf_dir), [CB.BalancedAccuracy(), CB.Spread("nll")])
+
+
+def _halfway(fc: DataFrame) -> DataFrame:
+    return fc.withColumn("mean", F.lit(0.25) + F.lit(0.5) * F.col("mean")).withColumn("stddev", F.lit(2.0) * F.col("stddev"))
+
+
+@register("preprocess_forecasts", _with(_PRED, f"pp AS (SELECT * REPLACE (0.25{_D} + 0.5{_D} * mean AS mean, 2.0{_D} * stddev AS stddev) FROM predictions)",
+                                        O.terms_cte(src="pp"), O.members_cte(), _SCOPES_SQL) + _BALANCED_SQL.format(src="sc"))
+def q_preprocess_forecasts(spark, sf_dir):
+    """The same after a transform of the user's on the forecasts."""
+    return CB.evaluate(FX.predictions(spark, sf_dir), [CB.BalancedAccuracy(), CB.Spread("nll")], preprocess=_halfway)
 
 
 _PIT_SQL = (
@@ -1069,12 +1103,12 @@ def q_tradeoff_points(spark, sf_dir):
 @register("metric_point_append", _tradeoff_sql())
 def q_metric_point_append(spark, sf_dir):
     """Append the runs' points (with a wall-clock stamp) to the scatter table and read it back without the stamp: the
-    first runs create the table, later runs are appended to it by a second write."""
+    first runs create the table, later runs are appended to it by a second write, which is repeated and counts once."""
     pts = FS.written(R.tradeoff_points(_sweep_long(spark, sf_dir), ["coefficient"]).withColumn("pair", F.col("pair").cast("bigint")), "points")
     path, last = fresh_path(spark, "plot_points"), SWEEP_COEFFICIENTS[-1]
-    for runs in (F.col("coefficient") < last, F.col("coefficient") == last):
-        FS.append(pts.where(runs).withColumn("timestamp", F.current_timestamp()), path, partition_by=["pair"])
-    return spark.read.parquet(path).select("coefficient", "pair", "key_x", "key_y", "x", "y")
+    for key, runs in (("first", F.col("coefficient") < last), ("last", F.col("coefficient") == last), ("last", F.col("coefficient") == last)):
+        C.append_once(pts.where(runs).withColumn("timestamp", F.current_timestamp()), path, key, partition_by=["pair"])
+    return C.read_committed(spark, path, pts.schema)
 
 
 @register(
@@ -1085,15 +1119,15 @@ def q_metric_point_append(spark, sf_dir):
 )
 def q_metric_log(spark, sf_dir):
     """Long-form metric log per run, partitioned by run: every run's first record, then a second append with the records
-    of the runs that went on to the next evaluation step."""
+    of the runs that went on to the next evaluation step; each under a commit record, so that a retry doesn't double rows."""
     from calibrix.functions.strings import metric_key
 
     lg = FS.written(_sweep_long(spark, sf_dir).select(
         F.col("coefficient").alias("run_coefficient"), metric_key("eval", "group", "metric").alias("key"), "value"), "metric_log_rows")
     path = fresh_path(spark, "metric_log")
     for step, rows in ((0, lg), (EVAL_STEPS, lg.where(F.col("run_coefficient") > 0))):
-        FS.append(rows.withColumn("step", F.lit(step).cast("bigint")), path, partition_by=["run_coefficient"])
-    return spark.read.parquet(path).select("run_coefficient", "step", "key", "value")
+        C.append_once(rows.withColumn("step", F.lit(step).cast("bigint")), path, f"step {step}", partition_by=["run_coefficient"])
+    return C.read_committed(spark, path, lg.withColumn("step", F.lit(0).cast("bigint")).schema).select("run_coefficient", "step", "key", "value")
 
 
 # ============================================================ embeddings: activations, heads, features
@@ -1193,30 +1227,34 @@ def _stream_t1_sql() -> str:
 
 @register("stream_group_loss", _stream_t1_sql())
 def q_stream_group_loss(spark, sf_dir):
-    """Events staged as an in-order file stream -> forecast rows -> daily (window, group) sums in the state store
-    (update mode: windows that the watermark has passed leave the state) -> losses of each window's last update."""
+    """Events staged as an in-order file stream, a part of them delivered twice -> forecast rows -> redelivered events
+    dropped -> daily (window, group) sums in the state store (update mode: windows that the watermark has passed leave the
+    state) -> losses of each window's last update."""
     d = fresh_path(spark, "stream_group_loss")
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
-    stage_in_order(ev, f"{d}/source", "ts", files=16)
+    again = ev.where(F.pmod(F.xxhash64("event_id"), F.lit(8)) == 0)
+    stage_in_order(ev.unionByName(again), f"{d}/source", "ts", files=16)
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/source")
-    q = SG.stream_group_loss(FX.forecasts_from_events(stream, keep_ts=True), f"{d}/out", f"{d}/checkpoint")
+    q = SG.stream_group_loss(FX.forecasts_from_events(stream, keep_ts=True), f"{d}/out", f"{d}/checkpoint", event_id="row_id")
     q.awaitTermination()
     return SG.finish_losses(SG.latest_sums(spark, f"{d}/out"), DEFAULT_COEFFICIENT)
 
 
 def _eval_log_stream_source(spark, sf_dir, d):
-    log = FX.eval_log(spark, sf_dir).withColumn(
+    """The evaluation log as files in an order that has nothing to do with the steps'."""
+    log = SP.numbered(FX.eval_log(spark, sf_dir)).withColumn(
         "ts", F.to_timestamp(F.date_add(F.to_date(F.lit(EVAL_LOG_DAY0)), F.col("step").cast("int"))))
-    stage_in_order(log, f"{d}/source", "ts", files=8)
+    log = log.withColumn("delivery", F.xxhash64("run_id", "step"))
+    stage_in_order(log, f"{d}/source", "delivery", files=8)
     return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/source")
 
 
 @register("stream_early_stop", ORACLE["early_stop"])
 def q_stream_early_stop(spark, sf_dir):
-    """The evaluation log as a file stream, patience state per run (applyInPandasWithState),
-    latest status per run read back from the per-batch sink."""
+    """The evaluation log as a file stream out of order, patience state per run (transformWithStateInPandas),
+    latest status per run read back from the per-batch sink. Nothing is late within the log's span."""
     d = fresh_path(spark, "stream_early_stop")
-    q = SP.stream_early_stop(_eval_log_stream_source(spark, sf_dir, d), f"{d}/out", f"{d}/checkpoint", PATIENCE)
+    q = SP.stream_early_stop(_eval_log_stream_source(spark, sf_dir, d), f"{d}/out", f"{d}/checkpoint", PATIENCE, wait="400 days")
     q.awaitTermination()
     return SP.latest_status(spark, f"{d}/out")
 

@@ -1,4 +1,4 @@
-"""File sources and sinks: CSV with an explicit schema, partitioned split tables, cached builds,
+"""File sources and sinks: CSV with an explicit schema (read by byte ranges, ``quoted_csv``), partitioned split tables, cached builds,
 append-only logs. All paths live in the shared checkpoint folder (``config.scratch_path``)."""
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibrix.config import GROUPS, fresh_path, path_exists
+from calibrix.config import GROUPS, fresh_path
+from calibrix.sources.commits import build_once
+from calibrix.sources.quoted_csv import read_quoted_csv
 
 COMMENT_SCHEMA = T.StructType(
     [T.StructField(g, T.DoubleType(), True) for g in GROUPS]
@@ -20,7 +22,7 @@ COMMENT_SCHEMA = T.StructType(
     ]
 )
 
-# Quoting that round-trips multi-line text with embedded quotes and edge whitespace.
+# Quoting that round-trips multi-line text with embedded quotes and edge whitespace, as ``quoted_csv`` reads it.
 CSV_OPTIONS = {
     "header": "true",
     "multiLine": "true",
@@ -31,9 +33,11 @@ CSV_OPTIONS = {
 }
 
 
-def read_comments_csv(spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA) -> DataFrame:
-    """Raw comment CSV with a fixed schema (no inference pass over the data)."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+def read_comments_csv(spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA, split_bytes: int | None = None,
+                      damaged: str | None = None) -> DataFrame:
+    """Raw comment CSV with a fixed schema (no inference pass over the data), a file by any number of tasks. ``damaged`` names a
+    column with the text of rows that don't fit the schema."""
+    return read_quoted_csv(spark, path, schema, split_bytes, damaged=damaged)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -50,11 +54,11 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def read_split(spark: SparkSession, path: str, split: str | None = None, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """Read the split table; a ``split`` filter prunes to that partition directory. CSV needs the columns' schema."""
+    """Read the split table; only the directory of ``split`` is read, if one is given. CSV needs the columns' schema."""
     if fmt == "csv":
-        df = spark.read.schema(schema.add("split", T.StringType())).options(**CSV_OPTIONS).csv(path)
-    else:
-        df = spark.read.parquet(path)
+        schema = T.StructType([*schema.fields, T.StructField("split", T.StringType())])
+        return read_quoted_csv(spark, f"{path}/split={split}" if split else path, schema, damaged=None, folders=("split",))
+    df = spark.read.parquet(path)
     return df.where(df["split"] == split) if split else df
 
 
@@ -70,20 +74,22 @@ def input_listing(spark: SparkSession, *paths: str) -> str:
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read ``path`` if a completed write exists there, else build, write and read back.
+    """The table at ``path``, built if it isn't there. A build fills a folder of its own and is published by one rename; of several
+    at the same time the first to finish holds and all read that.
 
     The path must name the inputs and the code (``scratch_path`` with ``input_listing`` and ``code_fingerprint``).
     """
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return build_once(spark, path, build)
 
 
-def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table of its own, bucketed and sorted by ``key`` (a file a bucket): tables with the same key and number of
+    buckets join on it without a shuffle."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = f"{name}_{path.rsplit('/', 1)[-1]}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

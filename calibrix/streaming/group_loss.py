@@ -21,13 +21,19 @@ SUM_COLS = ["n_rows", "s_cdf", "s_nll", "s_std"]
 
 
 def window_sums(fc_stream: DataFrame, window: str = "1 day", watermark: str | None = "1 day",
-                groups: list[str] = GROUPS) -> DataFrame:
+                groups: list[str] = GROUPS, event_id: str | None = None) -> DataFrame:
     """Streaming aggregate ``(window_start, group) -> sums``; ``fc_stream`` has a ``ts`` column.
 
+    ``event_id`` names a column by which redelivered events are told: of rows with one id only the first is counted. It is
+    a stateful operator of its own before the sums; an id leaves its state when the watermark has passed its event, and
+    a copy that comes later than that is late for the sums as well.
+
     Windows are aligned to UTC midnight. Event times stored without a zone are cast to timestamps
     in the session time zone, so day windows are calendar days when that zone is UTC (as
     ``get_session`` sets it)."""
     src = fc_stream.withWatermark("ts", watermark) if watermark else fc_stream
+    if event_id:
+        src = src.dropDuplicatesWithinWatermark([event_id]) if watermark else src.dropDuplicates([event_id])
     t = forecast_terms(src)
     items = [F.lit(OVERALL)] + [F.when(member_condition(g), F.lit(g)) for g in groups]
     longf = t.select("ts", "cdf_gap", "nll", "stddev",
@@ -57,7 +63,7 @@ def finish_losses(sums: DataFrame, coefficient: float = DEFAULT_COEFFICIENT) ->
 
 
 def stream_group_loss(fc_stream: DataFrame, out_path: str, checkpoint: str, mode: str = "update",
-                      window: str = "1 day", watermark: str = "1 day", trigger_available_now: bool = True):
+                      window: str = "1 day", watermark: str = "1 day", trigger_available_now: bool = True, event_id: str | None = None):
     """Start T1 and return the ``StreamingQuery``.
 
     Both modes keep the windows of the last ``watermark`` of event time only in the state store; rows later than that are
@@ -66,7 +72,7 @@ def stream_group_loss(fc_stream: DataFrame, out_path: str, checkpoint: str, mode
     update, so windows still open are there too. ``mode="append"``: a parquet file sink that emits a window once, when the
     watermark passes it; windows still open when an ``availableNow`` run ends are not emitted.
     """
-    sums = window_sums(fc_stream, window, watermark)
+    sums = window_sums(fc_stream, window, watermark, event_id=event_id)
     if mode == "update":
         def write_batch(batch: DataFrame, batch_id: int) -> None:
             (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
