@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import pkgutil
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +29,12 @@ EQUIVALENT = [
     ("non commercial", "noncommercial"), ("per cent", "percent"), ("https", "http"),
 ]
 # A copyright statement: a line with a mark behind "copyright" (the sign, a year, "by", a template's bracket), or whose paragraph begins
-# with "copyright", and up to 100 statements without a mark right below it (Java matches groups by recursion). Other lines that begin with the word are prose.
+# with "copyright", and any statements without a mark right below it. Other lines that begin with the word are prose. First the line breaks
+# before lines that may be statements become \x01 (which stands for no break else), so that the lines below a statement are one line with it.
 _MARK = r"(\(c\)|©|[12][0-9]{3}|[<\[{])"
-COPYRIGHT_LINE = (r"((^|\n)[ \t]*(copyright[ \t:,]*(by[ \t]|" + _MARK + r")|\(c\)[ \t:,]*(copyright|" + _MARK + r")|©|all rights reserved)"
-                  r"|(^|\n[ \t\r]*\n)[ \t]*copyright[ \t])[^\n]*"
-                  r"(\n[ \t]*(copyright|\(c\)|©|(all[ \t]+)?rights[ \t]+reserved)[^\n]*){0,100}")
+_BELOW = r"\n([ \t]*(copyright|\(c\)|©|(all[ \t]+)?rights[ \t]+reserved))"
+COPYRIGHT_LINE = (r"((^|[\n\x01])[ \t]*(copyright[ \t:,]*(by[ \t]|" + _MARK + r")|\(c\)[ \t:,]*(copyright|" + _MARK + r")|©|all rights reserved)"
+                  r"|(^|\n[ \t\r]*[\n\x01])[ \t]*copyright[ \t])[^\n]*")
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F‘’“”–—•© ]+"
 
 # Licence texts, without their copyright lines, and one-line notices.
@@ -130,6 +133,7 @@ NOTICES = {
 def canonical_text(text: str) -> str:
     """The canonical form, for the known texts."""
     text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    text = re.sub(_BELOW, "\x01\\1", text.replace("\x01", " "))
     text = re.sub(PUNCTUATION, " ", re.sub(COPYRIGHT_LINE, " ", text))
     for a, b in EQUIVALENT:
         text = text.replace(a, b)
@@ -139,7 +143,8 @@ def canonical_text(text: str) -> str:
 def canonical(text: Column) -> Column:
     """The canonical form of a column of texts."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    out = F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+    out = F.translate(F.coalesce(text, F.lit("")), f"{upper}\x01", f"{upper.lower()} ")
+    out = F.regexp_replace(out, _BELOW, "\x01$1")
     out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, " "), PUNCTUATION, " ")
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -169,6 +174,16 @@ def notice_digests(notices: dict[str, list[str]] = NOTICES) -> dict[str, str]:
     return {digest(n): name for name, lines in notices.items() for n in lines}
 
 
+def notice_words(notices: dict[str, list[str]] = NOTICES) -> list[str]:
+    """Words such that a line whose canonical form is a notice's has one of them, but for the case: of each notice the longest in which
+    no other spelling has a part."""
+    found = set()
+    for line in (n for lines in notices.values() for n in lines):
+        words = [w for w in canonical_text(line).split(" ") if w.isascii() and not any(b in w for _, b in EQUIVALENT)]
+        found.add(max(words, key=lambda w: (len(w), w), default=""))
+    return sorted(w for w in found if not any(o != w and o in w for o in found))
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None, notices: dict[str, list[str]] = NOTICES, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``doc_id, text_digest, license, notices``: the licence that the whole text is (null: none known), and the licences
@@ -176,7 +191,10 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, notices: dict[
     known = known_texts(docs.sparkSession) if known is None else known
     known = known.groupBy("text_digest").agg(F.min("license").alias("license"))
     named = F.create_map(*[F.lit(x) for pair in sorted(notice_digests(notices).items()) for x in pair])
+    # Only lines with a word of a notice can be one.
+    words = notice_words(notices)
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    lines = F.filter(lines, lambda x: reduce(or_, [F.contains(F.lower(x), F.lit(w)) for w in words], F.lit(False)))
     found = F.transform(lines, lambda x: F.element_at(named, F.sha2(canonical(x), 256)))
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     src = src.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"),
@@ -186,7 +204,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, notices: dict[
 
 def sql_canonical(text: str) -> str:
     """DuckDB's expression for the canonical form."""
-    out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(1), 'abcdefghijklmnopqrstuvwxyz ')"
+    out = f"regexp_replace({out}, '{_BELOW}', chr(1) || '\\1', 'g')"
     out = f"regexp_replace(regexp_replace({out}, '{COPYRIGHT_LINE}', ' ', 'g'), '{PUNCTUATION}', ' ', 'g')"
     for a, b in EQUIVALENT:
         out = f"replace({out}, '{a}', '{b}')"

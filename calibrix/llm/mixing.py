@@ -76,8 +76,9 @@ def with_counts(docs: DataFrame, rates: DataFrame, seed: int, id_col: str, sourc
                                            distribution(F.col("rate") / parts).alias(table))
     rates = written(rates, "source_rates")
     out = docs.join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col(src)), "inner")
-    draw = lambda i: F.size(F.filter(F.col(table), lambda c: c <= uniform(seed, F.col(f"`{id_col}`"), i)))
-    n = F.aggregate(F.sequence(F.lit(1), F.col(k)), F.lit(0), lambda acc, i: acc + draw(i))
+    # Each draw's number is bound first: inside the filter it would be hashed again for every entry of the table.
+    draws = F.transform(F.sequence(F.lit(1), F.col(k)), lambda i: uniform(seed, F.col(f"`{id_col}`"), i))
+    n = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(table), lambda c: c <= u)))
     return out.withColumn(count, n).drop(src, table, k)
 
 

@@ -18,6 +18,7 @@ import json
 import os
 import struct
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -28,17 +29,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibrix.llm.bpe import PATTERN, byte_letters
-from calibrix.llm.common import Remembered, map_batches, slices, utf8
-from calibrix.llm.pretokens import CACHE_CHARS, ChunkCache, chunks, pieces
+from calibrix.llm.common import map_batches, slices, utf8
+from calibrix.llm.pretokens import spaced
 
 # Row index entries every so many rows; the Bloom filters' rate of false positives; bytes of a stripe.
 INDEX_ROWS, BLOOM_RATE, STRIPE_BYTES = 1000, 0.01, 16 << 20
-# Chunks and pieces of texts that a Python worker remembers, twice at most.
-CHUNKS, PIECES = 300_000, 200_000
+# Chunks and words that a Python worker remembers, twice at most; code points from which one isn't remembered.
+CHUNKS, WORDS, LONG = 300_000, 200_000, 64
+_MARKS = ".,;:!?"
+
+
+class Memory(dict):
+    """Ids by text, in two generations of at most ``limit`` texts: when the young one (this) is full it becomes the old one, and what
+    is still asked for returns from there."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if len(text) < LONG:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str):
+def library_encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids (little-endian 32-bit) by the tokenizers library.
 
     Where the file's pre-tokenizer is byte-level, texts are cut by its pattern and each different piece is encoded by the
@@ -52,34 +74,43 @@ def library_encoder(path: str):
     lib.no_padding()
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    added, model = [t["content"] for t in spec.get("added_tokens", [])], lib.model
-    letters, pattern = dict(enumerate(byte_letters())), regex.compile(PATTERN)
-    space = letters[0x20]
+    added, tokenize = [t["content"] for t in spec.get("added_tokens", [])], lib.model.tokenize
+    letters, findall = dict(enumerate(byte_letters())), regex.compile(PATTERN).findall
+    space, packs = letters[0x20], [struct.Struct(f"<{n}I").pack for n in range(LONG)]
     cut = spec["pre_tokenizer"] or {}
     byte_level = spec["normalizer"] is None and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
 
-    def whole(text: str) -> bytes:
-        return np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def shown(piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(letters)
 
-    def piece(word: str) -> bytes:
-        shown = f"{space}{word[1:]}" if word.isascii() and word[1:].isalpha() and word[0] == " " else word.encode().decode("latin-1").translate(letters)
-        ids = [t.id for t in model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def packed(text: str) -> bytes:
+        ids = [t.id for t in tokenize(text)]
+        return packs[len(ids)](*ids) if len(ids) < LONG else struct.pack(f"<{len(ids)}I", *ids)
 
-    known = Remembered(piece, PIECES)
+    def word(w: str) -> bytes:
+        """A word of letters behind a space."""
+        return packed(space + w if w.isascii() else space + shown(w))
 
     def chunk(part: str) -> bytes:
-        words = pieces(part, pattern.findall)
-        if len(words) == 1:  # remembered as a chunk already
-            return piece(part)
-        return b"".join([known[w] if len(w) <= CACHE_CHARS else piece(w) for w in words])
+        """What follows a space up to the next: a word alone or with a mark behind it needs no pattern."""
+        if part.isalpha():
+            return word(part)
+        if part[-1] in _MARKS and part[:-1].isalpha():
+            return words[part[:-1]] + marks[part[-1]]
+        return b"".join([pieces[p] for p in findall(f" {part}")])
 
-    cache = ChunkCache(lambda parts: [chunk(p) for p in parts], CHUNKS)
+    words, pieces = Memory(word, WORDS), Memory(lambda p: packed(shown(p)), WORDS)
+    marks = {m: packed(m) for m in _MARKS} if byte_level else {}
+    chunks = Memory(chunk, CHUNKS)
 
     def ids(text: str) -> bytes:
         if not byte_level or any(a in text for a in added):
-            return whole(text)
-        return b"".join(cache(chunks(text)))
+            return np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        head, *parts = spaced(text)
+        out = list(map(chunks.get, parts))
+        if None in out:
+            out = [chunks[p] for p in parts]
+        return b"".join([*(pieces[p] for p in findall(head)), *out])
 
     return ids
 
@@ -114,10 +145,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """Adds ``start``: the number of ids of all rows before."""
+def starts(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Adds ``start``: the number of ids of all rows before. The files' totals come from ``lengths``, of which only the id, number of
+    ids and file are read (the ids themselves not)."""
     first, last = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"), F.max("doc_id").alias("last")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), first, last)
+    files = lengths.groupBy("file").agg(F.sum("n_tokens").alias("total"), first, last)
     before = Window.orderBy(F.col("first"), F.col("last").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = files.select(F.col("file").alias("of"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("file_start"))
     within = Window.partitionBy("file").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
@@ -142,5 +174,5 @@ def checksums(rows: DataFrame) -> DataFrame:
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files below ``path``."""
-    rows = checksums(read_tokens(spark, path))
-    return starts(rows).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
+    stored = read_tokens(spark, path)
+    return starts(checksums(stored), stored).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")

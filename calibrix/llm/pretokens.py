@@ -17,11 +17,16 @@ _CUT = re.compile(r" (?=\S)")
 CACHE_CHUNKS, CACHE_CHARS = 150_000, 64
 
 
+def spaced(text: str) -> list[str]:
+    """The text's chunks without the space that all but the first begin with (that is empty if the text begins with such a space)."""
+    return _CUT.split(text) if _WIDE.search(text) else text.split(" ")
+
+
 def chunks(text: str) -> list[str]:
     """The text's chunks in order; joined, they are the text."""
     if not text:
         return []
-    parts = _CUT.split(text) if _WIDE.search(text) else text.split(" ")
+    parts = spaced(text)
     head = [parts[0]] if parts[0] else []
     return head + [f" {p}" for p in parts[1:]]
 

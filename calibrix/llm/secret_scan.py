@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +61,8 @@ _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_LINES = re.compile(r"(?:\s*[A-Za-z-]+: [^\n]*\n)*(?:(?:\s|\\[nr]|[\"',+>])*[A-Za-z0-9+/=]{16,})*")
 _PEM_REST = re.compile(r"(?:\s|\\[nr]|[\"',+>])+([A-Za-z0-9+/=]{1,15})(?![A-Za-z0-9+/=])")
 REACH, AROUND, MIN_SHARE = 256, 256, 0.8
-# zstandard's entropy coder takes 64 literals or more and makes any key of a small alphabet cheap. From there on literals
-# are left as they are (a target length does that with the fast strategy), so only repetition saves bytes.
-RAW_LITERALS = 64
+# zstandard's entropy coder makes any long key of a small alphabet cheap. So literals are left as they are (a target length
+# does that with the fast strategy), and only repetition saves bytes, at every length alike.
 _PLAIN = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_FAST, min_match=4, target_length=1,
                                                         write_content_size=False, write_dict_id=False)
 _ID_BYTES = IDENTIFIERS.encode()
@@ -71,10 +72,7 @@ def marginal_bytes(candidate: str, around: str) -> int:
     """Bytes that ``candidate`` adds to a frame primed with identifiers and the text around it."""
     primer = zstandard.ZstdCompressionDict(_ID_BYTES + b" " + around.encode("utf-8", "replace"),
                                            dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    if len(candidate) < RAW_LITERALS:
-        c = zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_dict_id=False)
-    else:
-        c = zstandard.ZstdCompressor(compression_params=_PLAIN, dict_data=primer)
+    c = zstandard.ZstdCompressor(compression_params=_PLAIN, dict_data=primer)
     return len(c.compress(candidate.encode())) - len(c.compress(b""))
 
 
@@ -123,13 +121,20 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH,
                 min_share: float = MIN_SHARE) -> list[tuple[int, int, int]]:
     """(start, 3, end) of candidates in sensitive contexts whose bytes are new, none overlapping ``base``."""
     out, after = [], 0
+    begins, upto = [b for b, _, _ in base], list(accumulate((e for _, _, e in base), max))
+
+    def covered(s: int, e: int) -> bool:
+        """Whether a pattern span overlaps: of those that begin before ``e``, the one that ends last does if any does."""
+        k = bisect_left(begins, e)
+        return k > 0 and upto[k - 1] > s
+
     for start, end, pem in _contexts(text, reach):
         at = max(start, after)
         while c := _CANDIDATE.search(text, at, end if pem else end + _LEAST - 1):
             s, e = c.start(), c.end() if pem else _CANDIDATE.match(text, c.start()).end()
             at = after = e
             s += s > 0 and text[s - 1 : s + 1] in ("\\n", "\\r")  # an escaped line break
-            if e - s < _LEAST or any(s < b_end and b_start < e for b_start, _, b_end in base) or not may_be_key(text[s:e]):
+            if e - s < _LEAST or covered(s, e) or not may_be_key(text[s:e]):
                 continue
             if marginal_bytes(text[s:e], f"{text[max(0, s - around) : s]}\n{text[e : e + around]}") >= min_share * (e - s):
                 out.append((s, 3, e))

@@ -72,14 +72,14 @@ def _with_fingerprints(batch: pa.RecordBatch, text: int, shingle: int, seed: int
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                  seed: int = SEED) -> DataFrame:
-    """``doc_id, fp``: each row's fingerprint as a signed long (the same 64 bits)."""
+    """``doc_id, digest, fp``: each row's fingerprint as a signed long (the same 64 bits), and a digest of its whole text."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), utf8(F.col(f"`{text_col}`")).alias("b"))
+    src = src.select("doc_id", F.xxhash64("b").alias("digest"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), _with_fingerprints(batch, 1, shingle, seed)],
-                                          ["doc_id", "fp"])
+        return batch.set_column(2, "fp", _with_fingerprints(batch, 2, shingle, seed))
 
-    return map_batches(src, run, src.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return map_batches(src, run, src.select("doc_id", "digest", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -225,6 +225,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, fingerprint, component_id, component``: one row per row of ``docs``. ``fingerprint`` is 16
     lowercase hex digits, ``component_id`` the smallest id reachable by links of at most ``max_bits`` bits,
     ``component`` a fingerprint that stands for the component."""
+    return _grouped(docs, id_col, text_col, shingle, max_bits, pivots, cell_rows).drop("digest")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int = MAX_BITS, pivots: int = PIVOTS,
+             cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``near_duplicates`` with the ``digest`` of each row's text."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash")
     comp = components(links(classes, max_bits, pivots, cell_rows))
@@ -235,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = written(linked.select("fp", "root").join(ids, "root"), "simhash")
     out = fps.join(ids, "fp", "left")
-    return out.select("doc_id", _hex("fp").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"),
+    return out.select("doc_id", "digest", _hex("fp").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"),
                       _hex(F.coalesce("root", "fp")).alias("component"))
 
 
@@ -247,24 +253,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          **options) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id. Of rows that repeat this id, the one
     that sorts first by text and then by the other columns stays; a component without any id keeps a row too.
-    All columns are kept. Only ids and fingerprints decide, so a row's fingerprint is computed anew beside its
-    columns, instead of writing the texts a second time."""
-    dup = near_duplicates(docs, id_col, text_col, shingle, **options)
+    All columns are kept. A row is told by its id and the digest of its text, which were taken beside its fingerprint, so
+    the texts are neither fingerprinted nor written a second time."""
+    dup = _grouped(docs, id_col, text_col, shingle, **options)
     kept = dup.where("doc_id = component_id or (component_id is null and fingerprint = component)")
     none = F.lit(-(1 << 63))
-    key, fp = unused("__id", docs.columns), unused("__fp", docs.columns)
-    kept = kept.select(F.coalesce("doc_id", none).alias(key), F.conv("fingerprint", 16, -10).cast("long").alias(fp))
-    src = docs.withColumn(fp, utf8(F.col(f"`{text_col}`")))
-    at = len(docs.columns)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.set_column(at, fp, _with_fingerprints(batch, at, shingle, SEED))
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    rows = map_batches(src, run, schema).withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), none))
-    rows = rows.join(kept.distinct(), [key, fp], "left_semi")
+    key, of, fp = (unused(f"__{x}", docs.columns) for x in ("id", "digest", "fp"))
+    kept = kept.select(F.coalesce("doc_id", none).alias(key), F.col("digest").alias(of), F.col("fingerprint").alias(fp))
+    rows = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), none)).withColumn(of, F.xxhash64(utf8(F.col(f"`{text_col}`"))))
+    rows = rows.join(kept.distinct(), [key, of])
     others = [F.col(f"`{f.name}`") for f in docs.schema.fields
               if isinstance(f.dataType, T.AtomicType) and f.name != text_col]
     order = Window.partitionBy(key, fp).orderBy(F.col(f"`{text_col}`"), *others)
     nth = unused("__nth", docs.columns)
-    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth, key, fp)
+    rows = rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -72,3 +72,19 @@ def test_long_texts_and_headers_are_known(spark):
                         "with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/."}
     docs = spark.createDataFrame([(i, f"{h}\ncode") for i, h in enumerate(heads.values())], "doc_id long, text string")
     assert {r.doc_id: r.notices for r in li.license_scan(docs).collect()} == dict(enumerate(heads))
+
+
+def test_any_number_of_statements_is_dropped(spark):
+    """Unmarked statements below a marked one, however many; no count has another canonical form than the next."""
+    mit = li.TEXTS["MIT"].split("\n", 1)[1]
+    texts = ["MIT License\n\nCopyright (c) 2020 X\n" + "Copyright Y and others\n" * n + "\n" + mit for n in (0, 1, 99, 100, 101, 1000, 50_000)]
+    assert {li.canonical_text(t) for t in texts} == {li.canonical_text(li.TEXTS["MIT"])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.license for r in li.license_scan(docs).collect()} == {"MIT"}
+
+
+def test_lines_with_a_word_of_a_notice_are_all_that_can_match():
+    for lines in li.NOTICES.values():
+        for line in lines:
+            for said in (line, line.upper(), line.replace("icense", "icence"), f"  * {line}!", line.replace(" ", "\t")):
+                assert li.digest(said) == li.digest(line) and any(w in said.lower() for w in li.notice_words())

@@ -55,3 +55,9 @@ def test_files_are_sorted_and_indexed(spark):
 
 def test_no_rows(spark, no_docs):
     assert index(spark, no_docs)[1].count() == 0
+
+
+def test_columns_with_clashing_names(spark, odd_docs):
+    docs = odd_docs.withColumn("ids", F.lit("x")).withColumn("nth", F.lit(7)).withColumn("file", F.lit(1)).withColumn("start", F.lit(2.0))
+    path, got = index(spark, docs)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, index(spark, odd_docs.select("doc_id", "text"))[1].collect()), key=str)

@@ -135,3 +135,22 @@ def test_values_on_the_lines_below_and_behind_long_labels():
         assert found(t.format(KEY)) == [KEY], t
     assert found(f"a credential is kept\nby them: {KEY}") == []
     assert found("credential " + "word " * 60 + KEY) == []
+
+
+def test_one_compressor_at_every_length():
+    """Only repetition saves bytes, in short strings as in long ones."""
+    rng = random.Random(11)
+    for n in (16, 32, 63, 64, 65, 500):
+        text = "".join(rng.choice(string.digits + "abc") for _ in range(n))
+        assert s.marginal_bytes(text, "") >= s.MIN_SHARE * n, n
+    half = "32aR3w02F"
+    assert s.all_spans(f"credential {half * 4}") == [] == s.all_spans(f"credential {half * 8}")
+
+
+def test_overlaps_with_pattern_spans_are_found_among_any_number():
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24))
+    text = "".join(f"secret=abcdef{i} bearer {key()} " for i in range(3000))
+    spans = s.all_spans(text)
+    novel, plain = ([(a, b) for a, k, b in spans if (k == 3) == new] for new in (True, False))
+    assert novel and len(plain) == 3000 and not any(a < y and x < b for a, b in novel[:200] for x, y in plain)
