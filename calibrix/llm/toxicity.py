@@ -11,8 +11,10 @@ group, get weight by their factors, which linear weights can't give.
 It is fitted on a bounded sample of labelled rows: per class the first ``max_positive`` / ``max_negative`` rows
 in the order of a hash of their id, among rows that aren't held out. A bucket takes part if its document count
 is at least 3 and its chi-square statistic in the sample reaches ``MIN_CHI2``, or, for a term that matters only in a
-pair, if the statistic among the documents of such a bucket reaches ``MIN_JOINT``. Scoring covers every row, each text
-as a whole.
+pair, if the statistic among the documents of such a bucket reaches ``MIN_JOINT``, or that of a pair exceeds its terms' own by
+``MIN_PAIR`` (tested for all pairs of the ``PAIR_TERMS`` terms in the most documents). The sample ends before its documents have more than
+``max_terms`` different terms in all, counted per document, so that very long texts don't fill the driver. Scoring covers every row, each
+text as a whole.
 
 Nulls: rows with a null id or label aren't learnt from; a null text scores as the empty text. An id with several
 labels counts as toxic if any is 1. Repeated rows score alike. Without labels of both classes to learn from
@@ -27,16 +29,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibrix.llm.common import Remembered, map_batches, slices, unused, utf8, word_blocks
+from calibrix.sources.files import written
 
 BUCKETS, FACTORS, EPOCHS, MIN_CHI2 = 1 << 20, 8, 30, 20.0
-# Higher, as each term is tested with every bucket of the first kind.
-MIN_JOINT = 30.0
-MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
+# Higher, as each term is tested with every bucket of the first kind; or with every other of PAIR_TERMS.
+MIN_JOINT, MIN_PAIR, PAIR_TERMS = 30.0, 45.0, 2000
+# Rows of the sample by label, and different terms of all its documents together.
+MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS = 3000, 6000, 20_000_000
 THRESHOLD = 0.7
 # Words whose features a task remembers, twice at most.
 WORDS = 100_000
@@ -57,6 +61,12 @@ def document_words(text: bytes) -> set[bytes]:
     return set().union(*(set(words) for words in word_blocks(text.lower())))
 
 
+def joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' features one after the other, and which document each is of."""
+    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    return np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), of
+
+
 @dataclass
 class FactorizationMachine:
     """Weights of the buckets that take part."""
@@ -69,12 +79,23 @@ class FactorizationMachine:
 
     def logits(self, docs: list[np.ndarray]) -> np.ndarray:
         """For documents given as arrays of feature numbers."""
-        out = np.full(len(docs), self.bias)
-        for i, x in enumerate(docs):
-            if len(x):
-                v = self.factors[x]
-                out[i] += self.linear[x].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
-        return out
+        flat, of = joined(docs)
+        each, total, squares = self.factors[flat], np.zeros((len(docs), self.factors.shape[1])), np.zeros(len(docs))
+        for k in range(total.shape[1]):
+            total[:, k] = np.bincount(of, each[:, k], len(docs))
+        squares = np.bincount(of, (each**2).sum(1), len(docs))
+        return self.bias + np.bincount(of, self.linear[flat], len(docs)) + 0.5 * ((total**2).sum(1) - squares)
+
+    def gradient(self, docs: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Of the documents' mean log loss, in the bias, the linear weights and the factors."""
+        err = (self.scores(docs) - labels) / max(1, len(docs))
+        flat, of = joined(docs)
+        each, size = self.factors[flat], len(self.linear)
+        dv = np.empty_like(self.factors)
+        for k in range(dv.shape[1]):
+            total = np.bincount(of, each[:, k], len(docs))
+            dv[:, k] = np.bincount(flat, err[of] * (total[of] - each[:, k]), size)
+        return float(err.sum()), np.bincount(flat, err[of], size), dv
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
         if not self.fitted:
@@ -107,9 +128,28 @@ def _joint(strong: np.ndarray, inverse: np.ndarray, at: np.ndarray, labels: np.n
     return out
 
 
+def _pure_pairs(inverse: np.ndarray, at: np.ndarray, labels: np.ndarray, chi2: np.ndarray, df: np.ndarray, least: float, most: int) -> np.ndarray:
+    """Terms of a pair whose statistic as one term exceeds those of both its terms by ``least``, among the ``most`` terms in the most documents: a
+    pair of which neither term is associated with the label by itself. One product of documents by terms for all pairs."""
+    n, pos, out = len(labels), int(labels.sum()), np.zeros(len(df), bool)
+    usual = np.argsort(-df, kind="stable")[:most]
+    usual = usual[(df[usual] >= 3) & (df[usual] <= n - 3)]
+    place = np.full(len(df), -1)
+    place[usual] = np.arange(len(usual))
+    has = np.zeros((n, len(usual)), np.float32)
+    col, doc = place[inverse], np.repeat(np.arange(n), np.diff(at))
+    has[doc[col >= 0], col[col >= 0]] = 1
+    both, toxic = (has.T @ has).astype(float), (has[labels == 1].T @ has[labels == 1]).astype(float)
+    gain = _chi2(toxic, both, pos, n) - np.maximum(chi2[usual][:, None], chi2[usual][None, :])
+    gain[(both < 3) | (n - both < 3)] = 0
+    np.fill_diagonal(gain, 0)
+    out[usual[(gain >= least).any(1)]] = True
+    return out
+
+
 def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factors: int = FACTORS, rate: float = 0.1,
         decay: float = 3e-4, min_chi2: float = MIN_CHI2, seed: int = 7,
-        min_joint: float = MIN_JOINT) -> FactorizationMachine:
+        min_joint: float = MIN_JOINT, min_pair: float = MIN_PAIR, pair_terms: int = PAIR_TERMS) -> FactorizationMachine:
     """A machine from arrays of distinct buckets and 0/1 labels, by AdaGrad on mini-batches."""
     n, pos = len(docs), int(labels.sum())
     if not n or not pos or pos == n:
@@ -120,8 +160,10 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factor
     a = np.bincount(inverse, y_of, len(buckets))  # with the bucket and toxic
     df = np.bincount(inverse, minlength=len(buckets)).astype(float)
     at = np.cumsum([0, *map(len, docs)])
-    strong = (_chi2(a, df, pos, n) >= min_chi2) & (df >= 3)
-    used = np.flatnonzero(strong | _joint(np.flatnonzero(strong), inverse, at, labels, len(buckets), min_joint))
+    chi2 = _chi2(a, df, pos, n)
+    strong = (chi2 >= min_chi2) & (df >= 3)
+    used = strong | _joint(np.flatnonzero(strong), inverse, at, labels, len(buckets), min_joint)
+    used = np.flatnonzero(used | _pure_pairs(inverse, at, labels, chi2, df, min_pair, pair_terms))
     index = {int(buckets[i]): k for k, i in enumerate(used)}
     place = np.full(len(buckets), -1)
     place[used] = np.arange(len(used))
@@ -134,21 +176,14 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factor
         order = rng.permutation(n)
         for lo in range(0, n, 64):
             batch = order[lo : lo + 64]
-            p = m.scores([rows[i] for i in batch])
-            err = (p - labels[batch]) / len(batch)
-            dw, dv = decay * m.linear / len(batch), decay * m.factors / len(batch)
-            for e, i in zip(err, batch, strict=True):
-                x = rows[i]
-                if len(x) and abs(e) > 1e-7:
-                    v = m.factors[x]
-                    dw[x] += e
-                    dv[x] += e * (v.sum(0) - v)
+            db, dw, dv = m.gradient([rows[i] for i in batch], labels[batch])
+            dw, dv = dw + decay * m.linear / len(batch), dv + decay * m.factors / len(batch)
             g_w += dw**2
             g_v += dv**2
-            g_b += err.sum() ** 2
+            g_b += db**2
             m.linear -= rate * dw / np.sqrt(g_w)
             m.factors -= rate * dv / np.sqrt(g_v)
-            m.bias -= rate * err.sum() / np.sqrt(g_b)
+            m.bias -= rate * db / np.sqrt(g_b)
     return m
 
 
@@ -158,8 +193,9 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                    max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets and labels of the sample: at most ``max_positive + max_negative`` rows reach the driver."""
+                    max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE,
+                    max_terms: int = MAX_TERMS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets and labels of the sample: at most ``max_positive + max_negative`` rows and ``max_terms`` buckets reach the driver."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where(~held_out("id") & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     # Ids that the documents have, so that the bound counts rows with a text.
@@ -182,8 +218,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             out.append(np.array(sorted(found), "<i4").tobytes())
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(out, pa.binary())], schema.names)
 
-    rows = map_batches(texts, run, schema).groupBy("id").agg(F.max("y").alias("y"), F.min("b").alias("b")).toArrow()
-    rows = rows.sort_by("id")
+    rows = map_batches(texts, run, schema).groupBy("id").agg(F.max("y").alias("y"), F.min("b").alias("b"))
+    rows = written(rows.withColumn("size", F.octet_length("b") / 4), "toxicity_sample")
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64(F.col("id").cast("string")), "id"))  # a bounded number of rows
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= max_terms).select("id", "y", "b").toArrow().sort_by("id")
     buckets = [np.frombuffer(x, "<i4").astype(np.int64) for x in rows.column("b").to_pylist()]
     return buckets, rows.column("y").to_numpy().astype(np.int64)
 

@@ -76,4 +76,71 @@ def test_a_term_that_matters_in_a_pair_alone():
     assert 1 in m.index and len(m.index) < 20
     rows = [np.array([m.index[int(t)] for t in d if int(t) in m.index], np.int64) for d in docs[4000:]]
     assert ((m.scores(rows) >= 0.5) == y[4000:]).mean() > 0.99
-    assert 1 not in x.fit(docs[:4000], y[:4000], epochs=1, min_joint=np.inf).index
+    assert 1 not in x.fit(docs[:4000], y[:4000], epochs=1, min_joint=np.inf, min_pair=np.inf).index
+
+
+def machine(seed, size=9, factors=3):
+    rng = np.random.default_rng(seed)
+    return x.FactorizationMachine({i: i for i in range(size)}, 0.3, rng.normal(size=size), rng.normal(size=(size, factors)))
+
+
+DOCS = [np.array(d, np.int64) for d in ([0, 1, 5], [], [8], [2, 3, 4, 5, 6, 7], [0, 8], list(range(9)))]
+
+
+def test_logits_are_the_double_sum():
+    m = machine(1)
+    for d, got in zip(DOCS, m.logits(DOCS), strict=True):
+        pairs = sum(m.factors[i] @ m.factors[j] for a, i in enumerate(d) for j in d[a + 1 :])
+        assert np.isclose(got, m.bias + sum(m.linear[i] for i in d) + pairs)
+    assert m.logits([]).tolist() == []
+
+
+def test_gradient_against_finite_differences():
+    m, y, eps = machine(2), np.array([1, 0, 1, 0, 0, 1]), 1e-6
+
+    def loss():
+        p = m.scores(DOCS)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    db, dw, dv = m.gradient(DOCS, y)
+
+    def slope(add):
+        add(eps)
+        up = loss()
+        add(-2 * eps)
+        down = loss()
+        add(eps)
+        return (up - down) / (2 * eps)
+
+    def bias(by):
+        m.bias += by
+
+    assert np.isclose(slope(bias), db, atol=1e-6)
+    for i in range(9):
+        assert np.isclose(slope(lambda by: m.linear.__setitem__(i, m.linear[i] + by)), dw[i], atol=1e-6)  # noqa: B023
+        for k in range(3):
+            assert np.isclose(slope(lambda by: m.factors.__setitem__((i, k), m.factors[i, k] + by)), dv[i, k], atol=1e-6)  # noqa: B023
+
+
+def test_a_pair_of_which_neither_term_matters_alone():
+    """Toxic where exactly one of two frequent terms is: each term's own statistic is about 0."""
+    rng = np.random.default_rng(4)
+    docs, y = [], []
+    for i in range(6000):
+        a, b = i % 2 == 0, i // 2 % 2 == 0
+        docs.append(np.array([0] * a + [1] * b + sorted(rng.choice(np.arange(2, 60), 6, replace=False).tolist()), np.int64))
+        y.append(int(a != b))
+    y = np.array(y)
+    m = x.fit(docs[:4000], y[:4000], epochs=25)
+    assert {0, 1} <= set(m.index) and len(m.index) < 10
+    rows = [np.array([m.index[int(t)] for t in d if int(t) in m.index], np.int64) for d in docs[4000:]]
+    assert ((m.scores(rows) >= 0.5) == y[4000:]).mean() > 0.99
+    assert 0 not in x.fit(docs[:4000], y[:4000], epochs=1, min_pair=np.inf).index
+
+
+def test_sample_is_bounded_in_terms(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 50), k -> concat('t', id, 'x', k))) as text")
+    labels = spark.range(300).selectExpr("id as doc_id", "cast(id % 4 = 0 as int) as toxic")
+    whole, _ = x.training_sample(docs, labels)
+    some, _ = x.training_sample(docs, labels, max_terms=2000)
+    assert sum(map(len, some)) <= 2000 < sum(map(len, whole)) and len(some) > 5
