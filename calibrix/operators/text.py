@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calibrix.config import MAX_SEQ_LEN
 from calibrix.operators.ranking import global_rank, shuffle_partitions
@@ -59,8 +60,8 @@ def build_vocab(toks: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return r.select("token", (F.col("_r") + FIRST_WORD_ID - 1).alias("token_id"), "count")
 
 
-def lookup(toks: DataFrame, vocab: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Attach ids; unknown tokens map to UNK.
+def lookup(toks: DataFrame, vocab: DataFrame, hot_rows: int = HOT_ROWS, value: str = "token_id") -> DataFrame:
+    """Attach ids (the vocabulary's column ``value``) and counts; unknown tokens map to UNK.
 
     A token with more than ``hot_rows`` occurrences is salted: its vocabulary row is repeated for each of
     ``count / hot_rows`` salts and its occurrences are dealt over them, so no join task gets all of a common word.
@@ -70,10 +71,11 @@ def lookup(toks: DataFrame, vocab: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
     hot = written(vocab.where(F.col("count") > hot_rows).select("token", F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts")), "hot_tokens")
     salts = F.coalesce("_salts", F.lit(1))
     left = toks.join(hot, "token", "left").withColumn("_salt", F.pmod(F.xxhash64(*toks.columns), salts).cast("int")).drop("_salts")
-    right = vocab.select("token", "token_id", "count").join(hot, "token", "left").select(
-        "token", "token_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    right = vocab.select("token", value, "count").join(hot, "token", "left").select(
+        "token", value, F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
     j = left.join(right, ["token", "_salt"], "left").drop("_salt")
-    return j.withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("bigint")))
+    unknown = F.lit(UNK_ID).cast("bigint")
+    return j.withColumn(value, F.coalesce(F.col(value), unknown if value == "token_id" else F.array(unknown)))
 
 
 def encode(ids: DataFrame, max_len: int = MAX_SEQ_LEN, id_col: str = "doc_id") -> DataFrame:
@@ -100,3 +102,64 @@ def tokenize_pad(docs: DataFrame, max_len: int = MAX_SEQ_LEN, id_col: str = "doc
     vocab = build_vocab(toks, min_count)
     first = toks.where(F.col("pos").isNull() | (F.col("pos") < max_len - 2))
     return encode(lookup(first, vocab), max_len, id_col)
+
+
+# ------------------------------------------------------------------ subwords (J5, F11 with pieces)
+def longest_pieces(word: str, pieces: dict[str, int]) -> list[int]:
+    """Ids of the pieces that cover ``word`` from its beginning, each the longest that fits; a character that is no piece is UNK."""
+    out, at, longest = [], 0, pieces.get("", 0)
+    while at < len(word):
+        for end in range(min(len(word), at + longest), at, -1):
+            if (found := pieces.get(word[at:end])) is not None:
+                break
+        else:
+            found, end = UNK_ID, at + 1
+        out.append(found)
+        at = end
+    return out
+
+
+def word_pieces(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``words`` (distinct ``token`` and other columns) with ``piece_ids``: greedy longest match in ``pieces`` (``piece, piece_id``). Each distinct
+    word is cut once, however often it occurs. The pieces must be bounded (``subword_pieces``): every task gets them."""
+    table = {r["piece"]: r["piece_id"] for r in pieces.select("piece", "piece_id").collect()}
+    table[""] = max(map(len, table), default=0)  # the empty text can't be a piece: the longest one's length is kept there
+    shared = words.sparkSession.sparkContext.broadcast(table)  # a vocabulary's size and the characters
+    schema = T.StructType([*words.schema.fields, T.StructField("piece_ids", T.ArrayType(T.LongType()))])
+
+    def run(frames):
+        for pdf in frames:
+            yield pdf.assign(piece_ids=[longest_pieces(w, shared.value) for w in pdf["token"]])
+
+    return words.mapInPandas(run, schema)
+
+
+def subword_pieces(vocab: DataFrame, size: int) -> DataFrame:
+    """``piece, piece_id``: the ``size`` first words of the vocabulary, under their ids, and every single character of the others (id: behind
+    the words', by code point), so that no word of the corpus has an unknown part."""
+    words = vocab.where(F.col("token_id") < FIRST_WORD_ID + size).select(F.col("token").alias("piece"), F.col("token_id").alias("piece_id"))
+    chars = vocab.select(F.explode(F.split("token", "")).alias("piece")).where("piece <> ''").distinct()
+    chars = chars.join(words.where(F.length("piece") == 1), "piece", "left_anti")
+    code = F.conv(F.hex(F.encode("piece", "UTF-32BE")), 16, 10).cast("bigint")
+    return words.unionByName(chars.select("piece", (code + FIRST_WORD_ID + size).alias("piece_id")))
+
+
+def subword_lookup(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
+    """``doc_id, pos, token, piece_ids`` for every token of every whole text (null position and token for a text without any)."""
+    toks = tokens(dealt(docs, id_col), id_col, text_col, keep_empty=True)
+    vocab = written(build_vocab(toks, min_count), "vocabulary")
+    return lookup(toks, word_pieces(vocab.select("token", "count"), subword_pieces(vocab, size)), value="piece_ids")
+
+
+def encode_pieces(rows: DataFrame, max_len: int = MAX_SEQ_LEN, id_col: str = "doc_id") -> DataFrame:
+    """``input_ids`` / ``attention_mask`` from ``subword_lookup``, as ``encode``. Of a document the words of the first ``max_len - 2`` positions are
+    gathered, as each has a piece at least."""
+    keep = max_len - 2
+    docs = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("pos") < keep, F.struct("pos", "piece_ids")))).alias("_p"))
+    body = F.slice(F.flatten(F.transform("_p", lambda s: s["piece_ids"])), 1, keep)
+    docs = docs.select(id_col, body.alias("_b"))
+    n, pad = F.size("_b"), F.lit(keep) - F.size("_b")
+    one = lambda v: F.array(F.lit(v).cast("bigint"))
+    input_ids = F.concat(one(CLS_ID), F.col("_b"), one(SEP_ID), F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad))
+    mask = F.concat(F.array_repeat(F.lit(1).cast("bigint"), n + 2), F.array_repeat(F.lit(0).cast("bigint"), pad))
+    return docs.select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"))

@@ -1204,6 +1204,43 @@ def q_tokenize_pad(spark, sf_dir):
         F.col("e.attention_mask").alias("attention_mask"))
 
 
+# Words that are pieces of their own; the others are cut.
+SUBWORD_SIZE = 1000
+_PIECES_SQL = (
+    _TOK_SQL, "words AS (SELECT DISTINCT token FROM tk)",
+    f"pieces AS (SELECT token AS piece, token_id AS piece_id FROM vocab WHERE token_id < {TX.FIRST_WORD_ID + SUBWORD_SIZE} "
+    f"UNION ALL SELECT c, CAST(ord(c) + {TX.FIRST_WORD_ID + SUBWORD_SIZE} AS BIGINT) FROM (SELECT DISTINCT unnest(string_split(token, '')) AS c FROM words) "
+    f"WHERE c NOT IN (SELECT token FROM vocab WHERE token_id < {TX.FIRST_WORD_ID + SUBWORD_SIZE}))",
+    "longest AS (SELECT max(length(piece)) AS n FROM pieces)",
+    "ends AS (SELECT token, CAST(unnest(range(1, length(token) + 1)) AS BIGINT) AS p FROM words)",
+    "found AS (SELECT token, p, max(l) AS l, arg_max(piece_id, l) AS piece_id FROM (SELECT token, p, CAST(unnest(range(1, least(length(token) - p + 1, n) + 1)) AS BIGINT) AS l "
+    "FROM ends, longest) JOIN pieces ON piece = substr(token, p, l) GROUP BY token, p)",
+    "hop AS (SELECT token, CAST(1 AS BIGINT) AS p, CAST(0 AS BIGINT) AS k FROM words UNION ALL "
+    "SELECT hop.token, hop.p + found.l, hop.k + 1 FROM hop JOIN found ON hop.token = found.token AND hop.p = found.p)",
+    "cut AS (SELECT hop.token, k, piece_id FROM hop JOIN found ON hop.token = found.token AND hop.p = found.p)",
+)
+
+
+@register("subword_lookup", "WITH RECURSIVE " + ", ".join(_PIECES_SQL) + " SELECT doc_id, pos, token, k, piece_id FROM tk JOIN cut USING (token)")
+def q_subword_lookup(spark, sf_dir):
+    """J5 with pieces: every token of every document cut into the longest pieces of a vocabulary of frequent words and characters."""
+    rows = TX.subword_lookup(_docs(spark, sf_dir), SUBWORD_SIZE)
+    return rows.select("doc_id", "pos", "token", F.posexplode("piece_ids").alias("k", "piece_id")).where("token is not null").withColumn("k", F.col("k").cast("bigint"))
+
+
+@register("subword_pad", "WITH RECURSIVE " + ", ".join(_PIECES_SQL) + f""",
+flat AS (SELECT doc_id, piece_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS at FROM tk JOIN cut USING (token)),
+kept AS (SELECT doc_id, count(*) AS n, sum(piece_id) AS total, sum(piece_id * at) AS weighted FROM flat WHERE at <= {TX.MAX_SEQ_LEN - 2} GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) + 2 AS n_tokens, CAST(coalesce(total, 0) + {TX.CLS_ID + TX.SEP_ID} AS BIGINT) AS id_sum,
+CAST(coalesce(weighted, 0) + {TX.SEP_ID} * (coalesce(n, 0) + 1) AS BIGINT) AS id_order FROM documents LEFT JOIN kept USING (doc_id)""")
+def q_subword_pad(spark, sf_dir):
+    """F11 with pieces: padded ids of each document, as their number, sum and sum weighted by place."""
+    enc = TX.encode_pieces(TX.subword_lookup(_docs(spark, sf_dir), SUBWORD_SIZE))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return enc.select("doc_id", total(F.col("attention_mask")).alias("n_tokens"), total(F.col("input_ids")).alias("id_sum"),
+                      total(F.transform("input_ids", lambda x, i: x * i)).alias("id_order"))
+
+
 # ============================================================ streams
 from calibrix.sources.fixtures import EVAL_LOG_DAY0  # noqa: E402
 from calibrix.streaming import group_loss as SG  # noqa: E402

@@ -248,3 +248,33 @@ def test_normal_cdf_orders_as_erf_does(spark):
     assert all(abs(r["p"] - exact[r["z"]]) < 1e-14 for r in rows)
     near = [r["z"] for r in sorted(rows, key=lambda r: r["p"]) if abs(r["z"]) < 5]
     assert near == sorted(near)
+
+
+def test_subwords_against_a_plain_greedy_match(spark):
+    """Every token, cut by trying all pieces from the longest on; ids of padded rows; null and empty texts."""
+    from calibrix.operators import text as TX
+
+    texts = ["the theatre, the then; there a cat", None, "", " ", "the the the cat then then", "überthe catcat 漢字 x" + " the" * 600, "thethethe zzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = TX.subword_lookup(docs, 3).collect()
+    toks = TX.tokens(docs)
+    vocab = TX.build_vocab(toks)
+    pieces = {r.piece: r.piece_id for r in TX.subword_pieces(vocab, 3).collect()}
+    assert "the" in pieces and len(pieces) == 3 + len({c for r in toks.collect() for c in r.token}) - sum(len(p) == 1 for p in list(pieces)[:3])
+    assert len(set(pieces.values())) == len(pieces)
+
+    def plain(word):
+        out = []
+        while word:
+            best = max((p for p in pieces if word.startswith(p)), key=len)
+            out.append(pieces[best])
+            word = word[len(best):]
+        return out
+
+    words = {(r.doc_id, r.pos): r for r in rows if r.token is not None}
+    assert len(words) == toks.count() and {r.doc_id for r in rows} == set(range(7))
+    assert all(r.piece_ids == plain(r.token) for r in words.values()) and TX.UNK_ID not in {i for r in words.values() for i in r.piece_ids}
+    for r in TX.encode_pieces(TX.subword_lookup(docs, 3), 32).collect():
+        flat = [i for _, w in sorted((k, w) for k, w in words.items() if k[0] == r.doc_id) for i in w.piece_ids][:30]
+        assert r.input_ids == [TX.CLS_ID, *flat, TX.SEP_ID] + [TX.PAD_ID] * (30 - len(flat)) and sum(r.attention_mask) == len(flat) + 2
+    assert TX.longest_pieces("a?b", {"a": 5, "b": 6, "": 1}) == [5, TX.UNK_ID, 6]
