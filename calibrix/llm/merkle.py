@@ -2,13 +2,16 @@
 
 A text's paragraphs are its lines. A section ends after a paragraph that is blank or whose hash starts with
 0 or 1, so the cut between sections depends on the text around it only and an edit leaves other sections as they
-are. A paragraph's node is the SHA-256 of its text, a section's that of its paragraphs' nodes, and the root, which
+are. A paragraph's node is a SHA-256, a section's that of its paragraphs' nodes, and the root, which
 is the fingerprint, that of its sections' nodes: equal texts have equal roots, and comparing nodes from the root
 down finds the sections and paragraphs that differ.
 
-Below the paragraphs, their phrases (stretches up to a punctuation mark, 64 code points at most) are hashed too:
-the likeness of two trees is the Dice coefficient of their sets of phrase nodes, 1 for equal texts, 0 where no
-phrase is shared.
+The leaves below a paragraph are its phrases, cut where the content says so: behind punctuation marks, behind words of up to three
+characters, in long stretches without white space behind some characters, and at 64 code points where nothing else cuts. So an
+insertion changes the phrases around it only. A paragraph's node is made of its leaves' nodes and its text.
+
+The likeness of two trees compares them from the root down: 1 for equal roots, else the Dice coefficient of the multisets of their
+leaves, each weighted by its length: 0 where no phrase is shared, and a repeated phrase counts as often as both have it.
 
 Nulls: a null text is the empty text (one empty paragraph; two empty texts are alike to the degree 1). A null id
 counts as the smallest id. Repeated ids: rows follow each other by text. An empty table gives an empty result.
@@ -24,7 +27,10 @@ from pyspark.sql import functions as F
 
 from calibrix.llm.common import unused
 
-_PHRASE = r"[^.!?;:,|]{1,64}[.!?;:,|]*|[.!?;:,|]+"
+# Behind what a phrase ends, in a line; and the longest phrase.
+_ENDS = (r"[.!?;:,|\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F\u2026]+[ \t]*|(?<!\S)\S{1,3}[ \t]+"
+         r"|[0eE\u0435\u3044\u306E\u4E00-\u52FF](?<=\S{33})")
+_LONGEST = r"[^\x00]{64}(?!\x00)"
 _LOWEST = -(1 << 63)
 
 
@@ -34,9 +40,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def tree(text: Column) -> Column:
-    """``struct(root, sections array<struct(node, first)>, paragraphs array<string>, phrases array<long>)``;
-    ``first`` is a section's first paragraph, counted from 1; phrases are distinct."""
-    def of_paragraphs(lines: Column, nodes: Column) -> Column:
+    """``struct(root, sections array<struct(node, first)>, paragraphs array<string>, leaves array<struct(node, chars)>)``;
+    ``first`` is a section's first paragraph, counted from 1."""
+    def of_paragraphs(lines: Column, leaves: Column, nodes: Column) -> Column:
         n = F.size(nodes)
         ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(nodes, i).rlike("^[01]") | (F.trim(F.element_at(lines, i)) == ""))
         starts = F.concat(F.array(F.lit(1)), F.transform(F.filter(ends, lambda i: i < n), lambda i: i + 1))
@@ -46,22 +52,54 @@ def tree(text: Column) -> Column:
             return F.transform(starts, lambda s, k: F.struct(
                 F.sha2(F.concat(F.lit("section:"), F.array_join(F.slice(nodes, s, size(s, k)), "")), 256).alias("node"), s.alias("first")))
 
-        # Each line's phrases, and the line's end, so that a phrase cut by a line break is another one.
-        phrases = F.flatten(F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit(_PHRASE), F.lit(0)), lambda p: F.xxhash64(p))))
         return let(let(starts, sections), lambda s: F.struct(
             F.sha2(F.concat(F.lit("root:"), F.array_join(F.transform(s, lambda x: x["node"]), "")), 256).alias("root"),
-            s.alias("sections"), nodes.alias("paragraphs"), F.array_distinct(phrases).alias("phrases")))
+            s.alias("sections"), nodes.alias("paragraphs"), F.flatten(leaves).alias("leaves")))
+
+    def of_leaves(lines: Column, leaves: Column) -> Column:
+        listed = lambda x: F.array_join(F.transform(x, lambda p: p["node"].cast("string")), ",")
+        nodes = F.zip_with(lines, leaves, lambda x, p: F.sha2(F.concat(F.lit("paragraph:"), listed(p), F.lit(":"), x), 256))
+        return let(nodes, lambda n: of_paragraphs(lines, leaves, n))
 
     text = F.coalesce(text, F.lit(""))
-    return let(F.split(text, "\n", -1), lambda lines: let(
-        F.transform(lines, lambda p: F.sha2(F.concat(F.lit("paragraph:"), p), 256)), lambda nodes: of_paragraphs(lines, nodes)))
+    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, phrases), lambda leaves: of_leaves(lines, leaves)))
+
+
+def phrases(line: Column) -> Column:
+    """The leaves of a line: ``array<struct(node, chars)>``. A NUL marks the cuts; one in the text is a cut as well."""
+    cut = F.regexp_replace(F.regexp_replace(line, _ENDS, "$0\x00"), _LONGEST, "$0\x00")
+    found = F.filter(F.split(cut, "\x00", -1), lambda x: x != "")
+    return F.transform(found, lambda x: F.struct(F.xxhash64(x).alias("node"), F.char_length(x).alias("chars")))
+
+
+def shared_chars(a: Column, b: Column) -> Column:
+    """Length of the common part of two multisets of leaves: both sorted together, so that a node's leaves of either side are a run each, next
+    to each other."""
+    sided = lambda x, side: F.transform(x, lambda p: F.struct(p["node"].alias("node"), F.lit(side).alias("side"), p["chars"].alias("chars")))
+
+    def of_sorted(both: Column) -> Column:
+        n = F.size(both)
+        first = lambda i: (i == 0) | (F.get(both, i)["node"] != F.get(both, i - 1)["node"]) | (F.get(both, i)["side"] != F.get(both, i - 1)["side"])
+
+        def of_runs(runs: Column) -> Column:
+            def add(total: Column, j: Column) -> Column:
+                here, other = F.get(runs, j), F.get(runs, j + 1)
+                same = F.get(both, here)["node"] == F.get(both, other)["node"]
+                times = F.least(other - here, F.coalesce(F.get(runs, j + 2), n) - other)
+                return total + F.when(same, F.get(both, here)["chars"] * times).otherwise(0)
+
+            return F.when(F.size(runs) > 1, F.aggregate(F.sequence(F.lit(0), F.size(runs) - 2), F.lit(0), add)).otherwise(0)
+
+        return F.when(n > 0, let(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), first), of_runs)).otherwise(0)
+
+    return let(F.array_sort(F.concat(sided(a, 0), sided(b, 1))), of_sorted)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the Dice coefficient of two trees' phrases; 1 for equal roots."""
-    total = F.size(a["phrases"]) + F.size(b["phrases"])
-    shared = F.size(F.array_intersect(a["phrases"], b["phrases"]))
-    return F.when(a["root"] == b["root"], F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * shared / total)
+    """0 to 1: the Dice coefficient of two trees' leaves, weighted by length; 1 for equal roots."""
+    size = lambda x: F.aggregate(x["leaves"], F.lit(0), lambda total, p: total + p["chars"])
+    dice = let(size(a) + size(b), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(2.0 * shared_chars(a["leaves"], b["leaves"]) / n))
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(dice)
 
 
 def differing_sections(a: Column, b: Column) -> Column:

@@ -46,8 +46,10 @@ def test_tree_nodes(spark):
     lines = [f"line {i}, of some text." for i in range(40)] + ["", "after a blank line"]
     x = trees(spark, "\n".join(lines)).first().x
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    nodes = [sha("paragraph:" + p) for p in lines]
-    assert x.paragraphs == nodes
+    parts = spark.createDataFrame(list(enumerate(lines)), "i int, t string").select("i", merkle.phrases(F.col("t")).alias("p")).orderBy("i").collect()
+    nodes = [sha("paragraph:" + ",".join(str(q.node) for q in r.p) + ":" + line) for r, line in zip(parts, lines)]
+    assert x.paragraphs == nodes and [tuple(q) for q in x.leaves] == [tuple(q) for r in parts for q in r.p]
+    assert [sum(q.chars for q in r.p) for r in parts] == [len(line) for line in lines]
     cuts = [0] + [i + 1 for i, n in enumerate(nodes[:-1]) if n[0] in "01" or not lines[i].strip()] + [len(nodes)]
     sections = [sha("section:" + "".join(nodes[a:b])) for a, b in zip(cuts, cuts[1:])]
     assert [s.node for s in x.sections] == sections and [s.first for s in x.sections] == [c + 1 for c in cuts[:-1]]
@@ -75,3 +77,90 @@ def test_none_and_one(spark, no_docs):
 def test_native_plan(odd_docs):
     plan = merkle.fingerprints(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan
+
+
+MARKS = ".!?;:,|\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F\u2026"
+
+
+def plain_phrases(line):
+    """The cuts by a loop over the code points."""
+    some = {*"0eE\u0435\u3044\u306E", *(chr(c) for c in range(0x4E00, 0x5300))}
+    out, at, i = [], 0, 0
+    while i < len(line):
+        j = i
+        if line[i] in MARKS:
+            while j < len(line) and line[j] in MARKS:
+                j += 1
+            while j < len(line) and line[j] in " \t":
+                j += 1
+        elif not line[i].isspace() and (i == 0 or line[i - 1].isspace()):
+            k = i
+            while k < len(line) and not line[k].isspace():
+                k += 1
+            for width in (3, 2, 1):
+                if k - i == width and k < len(line) and line[k] in " \t":
+                    while k < len(line) and line[k] in " \t":
+                        k += 1
+                    j = k
+                    break
+        if j == i and line[i] in some and i >= 32 and not any(c.isspace() for c in line[i - 32 : i]):
+            j = i + 1
+        if j > i:
+            out.append(line[at:j])
+            at = i = j
+        else:
+            i += 1
+    out.append(line[at:])
+    cut = [p for x in out for p in ([x[k : k + 64] for k in range(0, len(x), 64)] or [""])]
+    return [p for p in cut if p]
+
+
+def plain_likeness(a, b):
+    from collections import Counter
+
+    if a == b:
+        return 1.0
+    x, y = (Counter(p for line in t.split("\n") for p in plain_phrases(line)) for t in (a, b))
+    total = sum(len(p) * n for c in (x, y) for p, n in c.items())
+    return 2 * sum(len(p) * n for p, n in (x & y).items()) / total if total else 0.0
+
+
+def test_likeness_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["alpha", "of", "to", "beta", "gamma,", "x", "delta.", "epsilon", "\u6F22\u5B57", "the", "a" * 40, "q0" * 50, "re" * 40]
+    pairs = []
+    for _ in range(120):
+        a = " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))).replace("delta. ", "delta.\n")
+        b = a[: len(a) // 2] + " ".join(rng.choice(words) for _ in range(rng.randint(0, 20))) if rng.random() < 0.7 else rng.choice(pairs or [("", "")])[0]
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", merkle.likeness(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("x"))
+    for r in df.collect():
+        assert abs(r.x - plain_likeness(r.a, r.b)) < 1e-9, (r.a, r.b)
+
+
+def test_near_copies_of_any_kind_are_alike_and_others_are_not(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvwyz") for _ in range(rng.randint(1, 9)))
+    unpunctuated = [" ".join(word() for _ in range(400)) for _ in range(2)]
+    run = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(3000)) for _ in range(2)]
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1500)) for _ in range(2)]
+    repetitive = ["one line that repeats\n" * 300, "another line, not the same\n" * 300]
+    rows = []
+    for kind in (unpunctuated, run, han, repetitive):
+        a, b = kind
+        for near in (a[:10] + "X" + a[10:], a[: len(a) // 2] + "something new " + a[len(a) // 2 :], a[: len(a) * 2 // 3]):
+            rows.append((a, near, True))
+        rows.append((a, b, False))
+    rows.append(("a" * 1000, "a", False))
+    df = spark.createDataFrame(rows, "a string, b string, near boolean").select("near", merkle.likeness(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("x"))
+    got = [(r.near, r.x) for r in df.collect()]
+    assert not [g for g in got if (g[1] <= 0.5 if g[0] else g[1] >= 0.1)]
+
+
+def test_a_nul_in_a_text_is_told_apart(spark):
+    roots = {r.x.root for r in trees(spark, "one, two", "one, \x00two", "one\x00, two", "one, two\x00").collect()}
+    assert len(roots) == 4
