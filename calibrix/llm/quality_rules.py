@@ -7,7 +7,9 @@ sample), and is pruned from its end for precision (on the other third). It joins
 there, the documents it matches are set aside, and the next rule is learnt from the rest. The list becomes a chain
 of ``when`` expressions over the statistics' columns, readable as it stands; what no rule matches is kept.
 
-The sample is bounded: the first ``max_rows`` labelled rows in the order of a hash of their id. Applying the list covers all rows.
+The sample is bounded: the first ``max_rows`` labelled rows in the order of a hash of their id. So is the list: at most ``max_rules`` rules of
+``MAX_CONDITIONS`` conditions, whose thresholds are the values of a statistic in the sample, or ``THRESHOLDS`` quantiles of them where there are more.
+Applying the list covers all rows, and texts of any length as a whole.
 
 Nulls: a null text has no words (and fails the base rule); labels with a null id or value aren't learnt from, of an id's
 several labels the lowest holds. Ties between conditions go to the first in order of name and threshold. Without both classes
@@ -16,9 +18,11 @@ no rule is learnt. Repeated rows give equal rows, empty tables empty results. On
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +36,8 @@ SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\v\f\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct_words",
           "n_same_words"]
-MAX_ROWS, MIN_PRECISION, MAX_CONDITIONS, THRESHOLDS = 8000, 0.9, 4, 64
+# Rows of the sample; bounds of the list learnt from it.
+MAX_ROWS, MIN_PRECISION, MAX_CONDITIONS, THRESHOLDS, MAX_RULES = 8000, 0.9, 4, 64, 32
 
 
 def repeated_words(words: np.ndarray, window: int = WINDOW) -> int:
@@ -164,7 +169,7 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray, conditions: list[Condition],
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, min_precision: float = MIN_PRECISION, thresholds: int = THRESHOLDS,
-          max_rules: int = 32) -> list[Rule]:
+          max_rules: int = MAX_RULES) -> list[Rule]:
     """The decision list for ``bad`` documents; rows in ``prune`` judge the rules that the others grow."""
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
@@ -221,8 +226,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     wanted = docs.sparkSession.createDataFrame(some, known.schema)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(wanted), "id")  # at most max_rows rows
     rows = statistics(texts, "id", "text", "y").select("doc_id", "y", *[c.alias(n) for n, c in features().items()])
-    rows = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    hashed = (rows["doc_id"].astype("int64").to_numpy() * 2654435761) % (1 << 32)
+    # Of an id's several texts the one whose statistics sort first is learnt from.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", *features())).alias("x")).select("doc_id", "x.*").toPandas().sort_values("doc_id")
+    ids = rows["doc_id"]
+    hashed = (ids.astype("int64").to_numpy() * 2654435761) % (1 << 32) if pd.api.types.is_integer_dtype(ids) else np.array(
+        [zlib.crc32(str(i).encode()) for i in ids], np.int64)
     return learn({n: rows[n].to_numpy() for n in features()}, rows["y"].to_numpy() == 0, hashed % 3 == 0, **options)
 
 

@@ -86,3 +86,13 @@ def test_held_out_labels(spark):
     out = q.quality(docs, rules).join(labels.where("doc_id % 2 = 1"), "doc_id").where(~F.col("base_failed")).collect()
     right = sum(r.kept == (r.quality == 1) for r in out)
     assert rules and right >= 0.95 * len(out)
+
+
+def test_repeated_and_textual_ids_give_one_list(spark):
+    """An id's several texts, in any order and partitioning, and ids that aren't numbers."""
+    rows = [(f"d{i}", ("## " * 40 if i % 3 == 0 else "plain words of a text " * 12) + str(i)) for i in range(90)]
+    rows += [(f"d{i}", "another text under the id " * (i + 5)) for i in range(0, 90, 5)]
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 > 0)) for i in range(90)], "doc_id string, quality int")
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    lists = {tuple(q.fit_rules(some, labels)) for some in (docs, docs.repartition(7), docs.orderBy("text", ascending=False))}
+    assert len(lists) == 1 and len(next(iter(lists))) >= 1

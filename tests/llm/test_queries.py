@@ -64,6 +64,29 @@ def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, D).count() > 50
 
 
+def test_pipeline_of_odd_rows_and_of_none(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; a table without rows or labels."""
+    labels = spark.createDataFrame([(1, 1, 1), (9, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, docs, known in (("odd", odd_docs, labels), ("unlabelled", odd_docs, labels.limit(0)), ("none", no_docs, labels)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        known.write.parquet(str(tmp_path / name / "labels.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        if name == "none":
+            assert rows == []
+        else:
+            # Copies of one text (ids 1 and 2; the repeated row of 7; texts without words) leave one row each, sources are replicated.
+            assert {r.doc_id for r in rows} <= {r.doc_id for r in odd_docs.collect()} and rows
+            assert all(r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_filters_of_the_pipeline_on_odd_rows(spark, odd_docs):
+    docs = simhash.drop_near_duplicates(odd_docs)
+    assert docs.columns == odd_docs.columns
+    texts = [(r.text or "").split() for r in docs.collect()]
+    assert len(texts) == len({" ".join(t) for t in texts}) and docs.count() < odd_docs.count()
+    assert {" ".join(t) for t in texts} == {" ".join((r.text or "").split()) for r in odd_docs.collect()}
+
+
 def test_entry_lists_them():
     import __spark_entry__ as e
 
