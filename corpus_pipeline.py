@@ -5,6 +5,11 @@
 3. secrets: secrets in the texts are replaced by ``[SECRET]``; every document stays.
 4. mixing: sources are replicated by Poisson draws to shares in proportion to the square root of their size.
 5. tokens: each text's BPE ids, with digests of the ids and of the decoded text.
+
+Null texts count as empty in every stage and stay null until the last; rows with a null id are kept by the filters (null ids count as one id where
+ids decide) and have no label. Repeated rows are near-duplicates, so one of them stays. Empty and very long texts are handled whole, ties as the
+operators say. Further columns, whatever their names, are carried up to the last stage, which has its own columns. Without labels no document is
+toxic. An empty table gives an empty result.
 """
 
 from __future__ import annotations
