@@ -38,7 +38,7 @@ from calibrix.sources.files import written
 
 BUCKETS, FACTORS, EPOCHS, MIN_CHI2 = 1 << 20, 8, 30, 20.0
 # Higher, as each term is tested with every bucket of the first kind; or with every other of PAIR_TERMS.
-MIN_JOINT, MIN_PAIR, PAIR_TERMS = 30.0, 45.0, 2000
+MIN_JOINT, MIN_PAIR, PAIR_TERMS = 30.0, 45.0, 1000
 # Rows of the sample by label, and different terms of all its documents together.
 MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS = 3000, 6000, 20_000_000
 THRESHOLD = 0.7
@@ -112,19 +112,21 @@ def _chi2(a: np.ndarray, df: np.ndarray, pos: int, n: int) -> np.ndarray:
 
 def _joint(strong: np.ndarray, inverse: np.ndarray, at: np.ndarray, labels: np.ndarray, size: int, least: float) -> np.ndarray:
     """Terms whose chi-square among the documents that have one of the ``strong`` terms reaches ``least``."""
-    out = np.zeros(size, bool)
-    doc = np.repeat(np.arange(len(labels)), np.diff(at))
-    order = np.argsort(inverse, kind="stable")
-    first = np.searchsorted(inverse[order], [strong, strong + 1])
+    out, is_strong = np.zeros(size, bool), np.zeros(size, bool)
+    is_strong[strong] = True
+    where = np.flatnonzero(is_strong[inverse])  # of the strong terms only, which are few
+    where = where[np.argsort(inverse[where], kind="stable")]
+    doc = np.searchsorted(at, where, "right") - 1
+    first = np.searchsorted(inverse[where], [strong, strong + 1])
+    terms = lambda docs: np.concatenate([inverse[at[i] : at[i + 1]] for i in docs])
     for s, lo, hi in zip(strong, *first, strict=True):
-        having = doc[order[lo:hi]]
-        n, pos = len(having), int(labels[having].sum())
+        having = doc[lo:hi]
+        toxic = having[labels[having] == 1]
+        n, pos = len(having), len(toxic)
         if n < least or not 0 < pos < n:  # the statistic is n at most
             continue
-        terms = np.concatenate([inverse[at[i] : at[i + 1]] for i in having])
-        df = np.bincount(terms, minlength=size).astype(float)
-        a = np.bincount(terms, np.repeat(labels[having], np.diff(at)[having]), size)
-        out |= (_chi2(a, df, pos, n) >= least) & (df >= 3) & (n - df >= 3)
+        df = np.bincount(terms(having), minlength=size).astype(float)
+        out |= (_chi2(np.bincount(terms(toxic), minlength=size), df, pos, n) >= least) & (df >= 3) & (n - df >= 3)
     return out
 
 
@@ -134,13 +136,16 @@ def _pure_pairs(inverse: np.ndarray, at: np.ndarray, labels: np.ndarray, chi2: n
     n, pos, out = len(labels), int(labels.sum()), np.zeros(len(df), bool)
     usual = np.argsort(-df, kind="stable")[:most]
     usual = usual[(df[usual] >= 3) & (df[usual] <= n - 3)]
-    place = np.full(len(df), -1)
+    place = np.full(len(df), -1, np.int32)
     place[usual] = np.arange(len(usual))
     has = np.zeros((n, len(usual)), np.float32)
-    col, doc = place[inverse], np.repeat(np.arange(n), np.diff(at))
-    has[doc[col >= 0], col[col >= 0]] = 1
-    both, toxic = (has.T @ has).astype(float), (has[labels == 1].T @ has[labels == 1]).astype(float)
-    gain = _chi2(toxic, both, pos, n) - np.maximum(chi2[usual][:, None], chi2[usual][None, :])
+    for i in range(n):
+        mine = place[inverse[at[i] : at[i + 1]]]
+        has[i, mine[mine >= 0]] = 1
+    both = has.T @ has
+    has[labels != 1] = 0
+    toxic = has.T @ has
+    gain = _chi2(toxic.astype(float), both.astype(float), pos, n) - np.maximum(chi2[usual][:, None], chi2[usual][None, :])
     gain[(both < 3) | (n - both < 3)] = 0
     np.fill_diagonal(gain, 0)
     out[usual[(gain >= least).any(1)]] = True
@@ -154,18 +159,23 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factor
     n, pos = len(docs), int(labels.sum())
     if not n or not pos or pos == n:
         return FactorizationMachine({}, 0.0, np.zeros(0), np.zeros((0, factors)), False)
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    y_of = np.repeat(labels, [len(d) for d in docs])
-    buckets, inverse = np.unique(flat, return_inverse=True)
-    a = np.bincount(inverse, y_of, len(buckets))  # with the bucket and toxic
-    df = np.bincount(inverse, minlength=len(buckets)).astype(float)
     at = np.cumsum([0, *map(len, docs)])
+    flat = np.concatenate(docs).astype(np.int32)
+    times = np.bincount(flat)
+    buckets = np.flatnonzero(times)
+    number = np.zeros(len(times), np.int32)
+    number[buckets] = np.arange(len(buckets))
+    inverse, df = number[flat], times[buckets].astype(float)
+    del flat
+    a = np.zeros(len(buckets))  # with the bucket and toxic
+    for i in np.flatnonzero(labels):
+        a[inverse[at[i] : at[i + 1]]] += 1
     chi2 = _chi2(a, df, pos, n)
     strong = (chi2 >= min_chi2) & (df >= 3)
     used = strong | _joint(np.flatnonzero(strong), inverse, at, labels, len(buckets), min_joint)
     used = np.flatnonzero(used | _pure_pairs(inverse, at, labels, chi2, df, min_pair, pair_terms))
     index = {int(buckets[i]): k for k, i in enumerate(used)}
-    place = np.full(len(buckets), -1)
+    place = np.full(len(buckets), -1, np.int32)
     place[used] = np.arange(len(used))
     rows = [z[z >= 0] for z in (place[inverse[at[i] : at[i + 1]]] for i in range(n))]
     rng = np.random.default_rng(seed)
@@ -222,7 +232,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = written(rows.withColumn("size", F.octet_length("b") / 4), "toxicity_sample")
     upto = F.sum("size").over(Window.orderBy(F.xxhash64(F.col("id").cast("string")), "id"))  # a bounded number of rows
     rows = rows.withColumn("upto", upto).where(F.col("upto") <= max_terms).select("id", "y", "b").toArrow().sort_by("id")
-    buckets = [np.frombuffer(x, "<i4").astype(np.int64) for x in rows.column("b").to_pylist()]
+    buckets = [np.frombuffer(x, "<i4") for x in rows.column("b").to_pylist()]
     return buckets, rows.column("y").to_numpy().astype(np.int64)
 
 
