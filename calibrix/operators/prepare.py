@@ -19,7 +19,6 @@ from calibrix.config import (
     DROP_SHARES_WITHOUT_NULLS,
     GROUPS,
     HIST_BINS,
-    HIST_ZOOM_MIN,
     NULL_SENTINEL,
     SPLIT_FIRST_TEST_SHARE,
     SPLIT_SECOND_TEST_SHARE,

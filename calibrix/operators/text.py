@@ -138,9 +138,9 @@ def subword_pieces(vocab: DataFrame, size: int) -> DataFrame:
     """``piece, piece_id``: the ``size`` first words of the vocabulary, under their ids, and every single character of the others (id: behind
     the words', by code point), so that no word of the corpus has an unknown part."""
     words = vocab.where(F.col("token_id") < FIRST_WORD_ID + size).select(F.col("token").alias("piece"), F.col("token_id").alias("piece_id"))
-    chars = vocab.select(F.explode(F.split("token", "")).alias("piece")).where("piece <> ''").distinct()
+    chars = vocab.select(F.explode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("piece")).distinct()
     chars = chars.join(words.where(F.length("piece") == 1), "piece", "left_anti")
-    code = F.conv(F.hex(F.encode("piece", "UTF-32BE")), 16, 10).cast("bigint")
+    code = F.conv(F.hex(F.encode("piece", "UTF-32")), 16, 10).cast("bigint")
     return words.unionByName(chars.select("piece", (code + FIRST_WORD_ID + size).alias("piece_id")))
 
 

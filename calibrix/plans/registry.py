@@ -74,7 +74,7 @@ def q_group_metrics(spark, sf_dir):
 # ============================================================ preparation (S1-S4, P*, W5, W6, U*, A1-A4, L*)
 from pyspark.sql import functions as F  # noqa: E402
 
-from calibrix.config import GROUPS, HIST_BINS, HIST_ZOOM_MIN, NULL_SENTINEL, TARGET_RANGES  # noqa: E402
+from calibrix.config import GROUPS, HIST_BINS, HIST_ZOOM_MIN, TARGET_RANGES  # noqa: E402
 from calibrix.operators import prepare as P  # noqa: E402
 from calibrix.operators.ranking import global_rank  # noqa: E402
 from calibrix.sources import files as FS  # noqa: E402

@@ -161,6 +161,13 @@ def test_evaluation_every_k_steps_stops_early(spark):
     assert log["epoch"].tolist() == [0, 0, 1]  # a rate of 0 improves once, at the first evaluation
 
 
+def test_fit_starts_from_the_users_parameters(spark):
+    feats, _ = _feats(spark, n=100)
+    own = M.init_head(6, 5, seed=77)
+    params, _ = FT.fit_head(feats, feats, [(0.0, 0.8)], epochs=1, batch_size=50, init=lambda width: M.init_head(width, 5, seed=77))
+    assert np.array_equal(M.flatten(params[0.0, 0.8]), M.flatten(own)) and params[0.0, 0.8]["w1"].shape == (5, 7)
+
+
 def test_fit_calibration_lowers_mse(spark):
     rng = np.random.default_rng(4)
     n = 3000
@@ -170,7 +177,7 @@ def test_fit_calibration_lowers_mse(spark):
     like = M.init_calibration(42)
     pdf = df.toPandas()
     mse = lambda p: M.calib_loss_grad(p, pdf["mean"].to_numpy(), pdf["stddev"].to_numpy(), q)[0]
-    fitted, log = FT.fit_calibration(df, batch_size=50, lr=0.5, epochs=3)
+    fitted, log = FT.fit_calibration(df, batch_size=150, lr=0.5, epochs=3)
     assert len(log) == 3 and (log["rows"] == n).all() and mse(fitted) < mse(like)
     assert FT.fit_calibration(df.limit(0))[1].empty
 

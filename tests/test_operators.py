@@ -254,7 +254,7 @@ def test_subwords_against_a_plain_greedy_match(spark):
     """Every token, cut by trying all pieces from the longest on; ids of padded rows; null and empty texts."""
     from calibrix.operators import text as TX
 
-    texts = ["the theatre, the then; there a cat", None, "", " ", "the the the cat then then", "überthe catcat 漢字 x" + " the" * 600, "thethethe zzz"]
+    texts = ["the theatre, the then; there a cat", None, "", " ", "the the the cat then then", "überthe catcat 漢字🙂 x" + " the" * 600, "thethethe zzz"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = TX.subword_lookup(docs, 3).collect()
     toks = TX.tokens(docs)
