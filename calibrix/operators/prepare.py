@@ -188,15 +188,16 @@ def prepare_keys(comments_df: DataFrame) -> DataFrame:
     return split_keys(kept_keys(null_sentinel(project_columns(comments_df))))
 
 
-def prepare(comments_df: DataFrame) -> DataFrame:
+def prepare(comments_df: DataFrame, texts: bool = True) -> DataFrame:
     """comments -> cleaned, down-sampled, split (all kept rows, before the eval/test filter). Texts and groups are
-    joined to the split keys once, at the end."""
+    joined to the split keys once, at the end; without ``texts`` these aren't read at all."""
     cleaned = null_sentinel(project_columns(comments_df))
+    cleaned = cleaned if texts else cleaned.drop("comment_text")
     return chosen_rows(cleaned, split_keys(kept_keys(_with_row(cleaned))), "split")
 
 
-def prepared_splits(comments_df: DataFrame) -> DataFrame:
-    return eval_without_nulls(prepare(comments_df))
+def prepared_splits(comments_df: DataFrame, texts: bool = True) -> DataFrame:
+    return eval_without_nulls(prepare(comments_df, texts))
 
 
 # ------------------------------------------------------------------ profiles (A1-A4, L3)

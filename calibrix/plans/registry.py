@@ -84,7 +84,7 @@ _GL = ", ".join(GROUPS)
 
 
 def _prepared(spark, sf_dir):
-    return P.prepare(FX.comments(spark, sf_dir))
+    return P.prepare(FX.comments(spark, sf_dir), texts=False)
 
 
 @register("project_columns", O.with_prepare() + f"SELECT {_GL}, id, round(target, 6) AS target, comment_text FROM comments")
@@ -366,7 +366,7 @@ def q_sample_per_range(spark, sf_dir):
 )
 def q_toxic_split(spark, sf_dir):
     """Eval rows split at target <= 0.5 / > 0.5, with the zoom (>= 0.1) count per group."""
-    ev = P.prepared_splits(FX.comments(spark, sf_dir)).where(F.col("split") == "eval")
+    ev = P.prepared_splits(FX.comments(spark, sf_dir), texts=False).where(F.col("split") == "eval")
     long = P.group_value_long(ev.withColumn("series", F.when(F.col("target") > 0.5, "toxic").otherwise("not_toxic")), ["series"])
     return long.groupBy("group", "series").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value") >= HIST_ZOOM_MIN, 1)).alias("n_zoom")
@@ -386,7 +386,7 @@ def q_drop_missing_groups(spark, sf_dir):
     """Per group: members in the test split and whether the group is scored at all."""
     from calibrix.operators.groups import member_condition
 
-    t = P.prepared_splits(FX.comments(spark, sf_dir)).where(F.col("split") == "test")
+    t = P.prepared_splits(FX.comments(spark, sf_dir), texts=False).where(F.col("split") == "test")
     one = t.agg(*[F.count(F.when(member_condition(g), 1)).alias(g) for g in GROUPS])
     rows = F.inline(F.array(*[F.struct(F.lit(g).alias("group"), F.col(g).alias("n_members"), (F.col(g) > 0).alias("present"))
                               for g in GROUPS]))
@@ -455,7 +455,7 @@ def q_cached_dataset(spark, sf_dir):
 
     def build():
         enc = TX.tokenize_pad(_docs(spark, sf_dir)).withColumnRenamed("doc_id", "id")
-        return P.prepared_splits(FX.comments(spark, sf_dir)).drop("comment_text").join(enc, "id")
+        return P.prepared_splits(FX.comments(spark, sf_dir), texts=False).join(enc, "id")
 
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return FS.materialize(spark, path, build).select("id", "split", total("attention_mask").alias("n_tokens"), total("input_ids").alias("id_sum"))
@@ -1229,8 +1229,8 @@ def q_subword_lookup(spark, sf_dir):
 
 
 @register("subword_pad", "WITH RECURSIVE " + ", ".join(_PIECES_SQL) + f""",
-flat AS (SELECT doc_id, piece_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS at FROM tk JOIN cut USING (token)),
-kept AS (SELECT doc_id, count(*) AS n, sum(piece_id) AS total, sum(piece_id * at) AS weighted FROM flat WHERE at <= {TX.MAX_SEQ_LEN - 2} GROUP BY doc_id)
+flat AS (SELECT doc_id, piece_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS place FROM tk JOIN cut USING (token)),
+kept AS (SELECT doc_id, count(*) AS n, sum(piece_id) AS total, sum(piece_id * place) AS weighted FROM flat WHERE place <= {TX.MAX_SEQ_LEN - 2} GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) + 2 AS n_tokens, CAST(coalesce(total, 0) + {TX.CLS_ID + TX.SEP_ID} AS BIGINT) AS id_sum,
 CAST(coalesce(weighted, 0) + {TX.SEP_ID} * (coalesce(n, 0) + 1) AS BIGINT) AS id_order FROM documents LEFT JOIN kept USING (doc_id)""")
 def q_subword_pad(spark, sf_dir):
