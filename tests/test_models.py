@@ -155,6 +155,33 @@ def test_calibration_steps_equal_a_single_process(spark, tasks):
     assert np.abs(M.flatten(got) - theta).max() < 1e-6 and np.allclose(log["mse"], losses)
 
 
+def test_steps_of_small_batches_share_jobs(spark):
+    """A job takes many steps of small batches: ten times the rows take few more jobs. Large batches are dealt over tasks."""
+    rng = np.random.default_rng(12)
+    sc, jobs = spark.sparkContext, []
+    for n in (200, 2000):
+        df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "mean": rng.random(n), "stddev": 0.1 + rng.random(n), "q": np.linspace(0, 1, n)}))
+        sc.setJobGroup(f"fit-{n}", "fit")
+        FT.fit_calibration(df, batch_size=10, lr=0.5)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"fit-{n}")))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] < jobs[0] + 30  # of 180 more steps
+    assert FT.dealt_over(64, FT.HEAD_TASK_ROWS) == 1 and FT.dealt_over(16_000, FT.HEAD_TASK_ROWS) == 1000
+
+
+@pytest.mark.parametrize("tasks", [1, 12])
+def test_steps_over_partitions_and_many_tasks(spark, tasks, monkeypatch):
+    """Chains cut by partitions, blocks and evaluations, and sums of many tasks: the parameters of the steps one by one."""
+    feats, _ = _feats(spark, n=230)
+    grid = [(1e-2, 0.8)]
+    fit = lambda t: FT.fit_head(feats, feats, grid, epochs=2, hidden=4, drop=0.3, batch_size=32, tasks=t, eval_steps=3)
+    params, log = fit(3)
+    for name, value in (("CHAIN_STEPS", 2), ("BLOCK_STEPS", 5), ("READ_STEPS", 2)):
+        monkeypatch.setattr(FT, name, value)
+    got, again = fit(tasks)
+    assert np.abs(M.flatten(got[grid[0]]) - M.flatten(params[grid[0]])).max() < 1e-9 and np.allclose(log, again) and len(log) == 5
+
+
 def test_evaluation_every_k_steps_stops_early(spark):
     feats, _ = _feats(spark, n=200)
     _, log = FT.fit_head(feats, feats, [(0.0, 0.8)], epochs=3, batch_size=50, hidden=4, eval_steps=2, patience=2)
