@@ -3,8 +3,8 @@
 Words are lower-cased and split on whitespace and ASCII punctuation (an RE2/Java-compatible
 class). The vocabulary ranks tokens by corpus frequency (ties: a hash of the token, then the
 token) with the global rank, so no single task orders the whole vocabulary. Token ids are
-attached with an equi-join on the token, salted for common ones; the vocabulary grows with the
-corpus, so Spark picks the join from its written size.
+attached with an equi-join on the token, salted for common ones. The vocabulary's partitions are hashed
+(each is a small share of the corpus), so the tokens, many times as many, are shuffled but never sorted.
 """
 
 from __future__ import annotations
@@ -65,7 +65,8 @@ def lookup(toks: DataFrame, vocab: DataFrame, hot_rows: int = HOT_ROWS, value: s
 
     A token with more than ``hot_rows`` occurrences is salted: its vocabulary row is repeated for each of
     ``count / hot_rows`` salts and its occurrences are dealt over them, so no join task gets all of a common word.
-    The list of hot tokens is written first, for Spark to know its size.
+    The list of hot tokens is written first, for Spark to know its size. The join hashes the vocabulary's rows: a sort of the
+    occurrences would spill them.
     """
     vocab = written(vocab, "vocabulary")
     hot = written(vocab.where(F.col("count") > hot_rows).select("token", F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts")), "hot_tokens")
@@ -73,7 +74,7 @@ def lookup(toks: DataFrame, vocab: DataFrame, hot_rows: int = HOT_ROWS, value: s
     left = toks.join(hot, "token", "left").withColumn("_salt", F.pmod(F.xxhash64(*toks.columns), salts).cast("int")).drop("_salts")
     right = vocab.select("token", value, "count").join(hot, "token", "left").select(
         "token", value, F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-    j = left.join(right, ["token", "_salt"], "left").drop("_salt")
+    j = left.join(right.hint("shuffle_hash"), ["token", "_salt"], "left").drop("_salt")
     unknown = F.lit(UNK_ID).cast("bigint")
     return j.withColumn(value, F.coalesce(F.col(value), unknown if value == "token_id" else F.array(unknown)))
 
@@ -144,10 +145,14 @@ def subword_pieces(vocab: DataFrame, size: int) -> DataFrame:
     return words.unionByName(chars.select("piece", (code + FIRST_WORD_ID + size).alias("piece_id")))
 
 
-def subword_lookup(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
-    """``doc_id, pos, token, piece_ids`` for every token of every whole text (null position and token for a text without any)."""
+def subword_lookup(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT,
+                   first: int | None = None) -> DataFrame:
+    """``doc_id, pos, token, piece_ids`` for every token of every whole text (null position and token for a text without any). ``first``: for each
+    text's tokens at so many positions; the others only count for the vocabulary."""
     toks = tokens(dealt(docs, id_col), id_col, text_col, keep_empty=True)
     vocab = written(build_vocab(toks, min_count), "vocabulary")
+    if first is not None:
+        toks = toks.where(F.col("pos").isNull() | (F.col("pos") < first))
     return lookup(toks, word_pieces(vocab.select("token", "count"), subword_pieces(vocab, size)), value="piece_ids")
 
 

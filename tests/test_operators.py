@@ -278,3 +278,33 @@ def test_subwords_against_a_plain_greedy_match(spark):
         flat = [i for _, w in sorted((k, w) for k, w in words.items() if k[0] == r.doc_id) for i in w.piece_ids][:30]
         assert r.input_ids == [TX.CLS_ID, *flat, TX.SEP_ID] + [TX.PAD_ID] * (30 - len(flat)) and sum(r.attention_mask) == len(flat) + 2
     assert TX.longest_pieces("a?b", {"a": 5, "b": 6, "": 1}) == [5, TX.UNK_ID, 6]
+
+
+def test_lookup_never_sorts_the_tokens(spark):
+    """The vocabulary's rows are hashed, also where they are too large for a broadcast; salted tokens get their ids too."""
+    from calibrix.operators import text as TX
+
+    docs = spark.createDataFrame([(i, "the cat " * 9 + f"word{i % 7}") for i in range(40)], "doc_id long, text string")
+    toks = TX.tokens(docs)
+    vocab = TX.build_vocab(toks)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = TX.lookup(toks, vocab, hot_rows=100)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any(line.count("ShuffledHashJoin") and "_salt" in line for line in plan.splitlines())
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    assert len(rows) == toks.count() and all(r.token_id == ids[r.token] for r in rows)
+
+
+def test_subwords_of_the_first_positions(spark):
+    """Only these tokens are looked up; the others count for the vocabulary. The padded ids are those of all tokens."""
+    from calibrix.operators import text as TX
+
+    docs = spark.createDataFrame([(0, "ab cd " * 30 + "late " * 50), (1, None), (2, "late ab")], "doc_id long, text string")
+    every, first = TX.subword_lookup(docs, 2), TX.subword_lookup(docs, 2, first=10)
+    key = lambda r: (r.doc_id, -1 if r.pos is None else r.pos)
+    assert sorted(first.collect(), key=key) == [r for r in sorted(every.collect(), key=key) if r.pos is None or r.pos < 10]
+    assert {r.doc_id: r for r in TX.encode_pieces(first, 12).collect()} == {r.doc_id: r for r in TX.encode_pieces(every, 12).collect()}
