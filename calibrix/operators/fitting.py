@@ -4,7 +4,7 @@ The training rows get their place in a seeded order (an exact rank), and with it
 places ``k * batch_size`` on, the same rows for any number of tasks. A large batch is dealt over tasks, and each step is one job: tasks
 compute the gradient of their share at the same parameters, the shares are summed across tasks (of a few by the driver; of more in two
 levels, about the square root of their number of groups first, so that nobody receives a vector from every task), and the driver takes
-the optimiser's step with the sum. A batch of ``CHAIN_ROWS`` rows at most is one task's: its gradient takes a thousandth of the time
+the optimiser's step with the sum. A batch of ``CHAIN_ROWS`` rows at most is one task's: its gradient takes a small share of the time
 that a job does, so a job takes up to ``CHAIN_STEPS`` steps one after the other, and hands the parameters and the optimiser's state
 on to the next. Either way the parameters are those of a single process that takes the same batches, up to the rounding of sums; the
 number of tasks, the cluster's settings and the partitioning of the input don't matter.
